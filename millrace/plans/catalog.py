@@ -56,7 +56,7 @@ def query(name: str, columns: str, sql: str | None = None):
 def exact_div(num: str, den: str, places: int) -> str:
     """Oracle text: integers ``num/den`` rounded half away from zero, as a decimal."""
     scaled = f"(2 * abs({num}) * {10 ** places} + abs({den})) // (2 * abs({den}))"
-    signed = f"CASE WHEN ({num}) * ({den}) < 0 THEN -({scaled}) ELSE ({scaled}) END"
+    signed = f"CASE WHEN (({num}) < 0) <> (({den}) < 0) THEN -({scaled}) ELSE ({scaled}) END"
     unit = f"CAST({10 ** -places:.{places}f} AS DECIMAL({places + 1},{places}))"
     return f"(CAST({signed} AS DECIMAL({37 - places},0)) * {unit})"
 

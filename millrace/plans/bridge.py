@@ -129,10 +129,10 @@ FRAMES: dict[str, str] = {
     "so_lines": f"""
         SELECT {_LOT_KEY} AS so_line_id, l_orderkey AS so_id, l_partkey AS item_id,
                CAST(l_quantity AS DECIMAL(18,4)) AS qty_ordered,
-               CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE FLOOR(l_quantity / 2) END AS DECIMAL(18,4)) AS qty_shipped,
+               CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity WHEN l_quantity >= 40 THEN 5 ELSE 0 END AS DECIMAL(18,4)) AS qty_shipped,
                {_UNIT_COST} AS unit_price, CAST(l_discount AS DECIMAL(8,4)) AS discount_pct,
                CASE WHEN l_linenumber = 5 AND l_returnflag = 'R' THEN 'CANCELLED' WHEN l_linestatus = 'F' THEN 'CLOSED'
-                    WHEN l_quantity >= 2 THEN 'PARTIAL' ELSE 'OPEN' END AS line_status
+                    WHEN l_quantity >= 40 THEN 'PARTIAL' ELSE 'OPEN' END AS line_status
           FROM {{lineitem}}""",
     "suppliers": """
         SELECT s_suppkey AS supplier_id, s_name AS supplier_name, CAST(1 + s_suppkey % 5 AS INT) AS rating,
@@ -140,9 +140,8 @@ FRAMES: dict[str, str] = {
           FROM {supplier}""",
     "purchase_orders": """
         SELECT l_suppkey || '-' || l_orderkey AS po_id, l_suppkey AS supplier_id,
-               CASE WHEN l_orderkey % 25 = 4 THEN 'CANCELLED' WHEN l_orderkey % 5 = 0 THEN 'DRAFT'
-                    WHEN l_orderkey % 5 = 1 THEN 'APPROVED' WHEN l_orderkey % 5 = 2 THEN 'PARTIAL'
-                    WHEN l_orderkey % 5 = 3 THEN 'RECEIVED' ELSE 'CLOSED' END AS status,
+               CASE l_orderkey % 20 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'APPROVED' WHEN 2 THEN 'PARTIAL' WHEN 4 THEN 'CANCELLED'
+                    WHEN 5 THEN 'DRAFT' WHEN 7 THEN 'RECEIVED' WHEN 11 THEN 'RECEIVED' ELSE 'CLOSED' END AS status,
                CAST(l_suppkey % 3 + 1 AS INT) AS warehouse_id, MIN(CAST(l_shipdate AS DATE)) - 20 AS order_date,
                CASE WHEN l_orderkey % 9 = 0 THEN NULL WHEN l_orderkey % 8 = 0 THEN MIN(CAST(l_shipdate AS DATE)) - 25
                     ELSE MIN(CAST(l_shipdate AS DATE)) END AS expected_date
@@ -150,11 +149,11 @@ FRAMES: dict[str, str] = {
     "po_lines": f"""
         SELECT {_LOT_KEY} AS po_line_id, l_suppkey || '-' || l_orderkey AS po_id, l_partkey AS item_id,
                CAST(l_quantity AS DECIMAL(18,4)) AS qty_ordered,
-               CAST(CASE WHEN l_orderkey % 25 = 4 OR l_orderkey % 5 <= 1 THEN 0
-                         WHEN l_orderkey % 5 = 2 THEN FLOOR(l_quantity / 2) ELSE l_quantity END AS DECIMAL(18,4)) AS qty_received,
+               CAST(CASE WHEN l_orderkey % 20 IN (0, 1, 4, 5) THEN 0
+                         WHEN l_orderkey % 20 = 2 THEN FLOOR(l_quantity / 2) ELSE l_quantity END AS DECIMAL(18,4)) AS qty_received,
                {_UNIT_COST} AS unit_price, CAST(l_shipdate AS DATE) AS need_date,
-               CASE WHEN l_orderkey % 25 = 4 THEN 'CANCELLED' WHEN l_orderkey % 5 <= 1 THEN 'OPEN'
-                    WHEN l_orderkey % 5 = 2 AND l_quantity >= 2 THEN 'PARTIAL' WHEN l_orderkey % 5 = 2 THEN 'OPEN'
+               CASE WHEN l_orderkey % 20 = 4 THEN 'CANCELLED' WHEN l_orderkey % 20 IN (0, 1, 5) THEN 'OPEN'
+                    WHEN l_orderkey % 20 = 2 AND l_quantity >= 2 THEN 'PARTIAL' WHEN l_orderkey % 20 = 2 THEN 'OPEN'
                     ELSE 'CLOSED' END AS line_status
           FROM {{lineitem}}""",
     "monthly": """

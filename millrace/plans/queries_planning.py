@@ -313,8 +313,8 @@ _BUY = f"""{mrp_sql(_SKIP)},
           FROM mplan p JOIN {{items}} i ON i.item_id = p.item_id LEFT JOIN {{suppliers}} s ON s.supplier_id = i.preferred_supplier
          WHERE p.net_req > 0 AND i.item_type = 'RAW' AND i.preferred_supplier IS NOT NULL),
   ln AS (SELECT w.*, ROW_NUMBER() OVER (PARTITION BY supplier_id ORDER BY item_id, level_no) * 10 AS line_no FROM w WHERE code IS NULL),
-  hd AS (SELECT supplier_id, arg_min(warehouse_id, line_no) AS warehouse_id, arg_min(planned_order_date, line_no) AS expected_date, COUNT(*) AS line_count,
-                SUM(CAST(ROUND(CAST(net_req AS DECIMAL(18,4)) * CAST(std_cost AS DECIMAL(14,6)), 4) AS DECIMAL(20,4))) AS total_amount FROM ln GROUP BY 1)"""
+  hd AS (SELECT supplier_id, MAX(CASE WHEN line_no = 10 THEN warehouse_id END) AS warehouse_id, MAX(CASE WHEN line_no = 10 THEN planned_order_date END) AS expected_date, COUNT(*) AS line_count,
+                SUM({exact_div('CAST(net_req * 10000 AS HUGEINT) * CAST(std_cost * 1000000 AS HUGEINT)', 'CAST(10000000000 AS HUGEINT)', 4)}) AS total_amount FROM ln GROUP BY 1)"""
 
 
 @query("po_from_mrp", "po_id:l po_no:s supplier_id:l warehouse_id:l expected_date:s total_amount:d line_count:l",

@@ -50,7 +50,8 @@ def compare(spark, con, entry, folder):
 
 def main(names):
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
+        "spark.millrace.hotGroupRows": os.environ.get("HOT_ROWS", "2000000")})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     entries = all_entries()

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import effective_usage, text, usage_ratio
 from millrace.operators.common import best_per_key, union_all, valid_at
-from millrace.session import materialize
+from millrace.session import materialize, materialize_counted
 
 MAX_LEVELS = 20
+LEVELS_PER_JOB = 3
 
 
 class StructureError(ValueError):
@@ -84,7 +85,7 @@ def _walk(edges: DataFrame, roots: DataFrame, qty: float, max_levels: int, round
             "code_path": F.concat("code_path", F.lit("/"), "component_code"),
             "sort_path": F.concat("sort_path", F.array(F.col("line_no").cast("int"))),
         })
-        step = materialize(step, "explode")
+        step, count = materialize_counted(step, "explode")
         good.append(step.filter(~F.col("looped")))
         bad.append(step.filter("looped"))
         front = step.filter(~F.col("looped")).select(
@@ -92,7 +93,7 @@ def _walk(edges: DataFrame, roots: DataFrame, qty: float, max_levels: int, round
             F.concat("visited", F.array("component_item_id")).alias("visited"),
             "code_path", "sort_path",
         )
-        if front.isEmpty():
+        if not count:
             break
     return edges, union_all(good), union_all(bad)
 
@@ -155,8 +156,8 @@ def where_used(headers: DataFrame, lines: DataFrame, items: DataFrame, component
             "use_path": F.concat("use_path", F.lit("<-"), "parent_code"),
             "visited": F.concat("visited", F.array("parent_item_id")),
         })
-        step = materialize(step, "used")
-        if step.isEmpty():
+        step, count = materialize_counted(step, "used")
+        if not count:
             break
         levels.append(step)
         front = step.select("start_item_id", F.col("parent_item_id").alias("at"), "visited", "use_path")
@@ -233,8 +234,8 @@ def rolled_cost(headers: DataFrame, lines: DataFrame, items: DataFrame, as_of) -
             .select(F.col("parent").alias("item_id"),
                     F.round(F.col("total") / F.col("base"), 6).cast("decimal(20,6)").alias("rolled_cost"))
         )
-        solved = materialize(solved, "cost")
-        if solved.isEmpty():
+        solved, count = materialize_counted(solved, "cost")
+        if not count:
             break
         known.append(solved)
     done = union_all(known)
@@ -252,18 +253,23 @@ def low_level_codes(headers: DataFrame, lines: DataFrame, items: DataFrame) -> D
     edges = materialize(
         lines.join(active, "bom_id").select("parent", F.col("component_item_id").alias("item_id")).distinct(), "edges")
     front = items.filter(F.col("item_type").isin("FG", "SEMI")).select(F.col("item_id").alias("parent"))
-    levels = []
-    for level in range(1, MAX_LEVELS + 2):
-        step = materialize(
-            front.join(edges, "parent").select("item_id").distinct().withColumn("lvl", F.lit(level)), "level")
-        if step.isEmpty():
+    chunks, level = [], 0
+    while True:
+        # A few levels per job: each level's distinct set feeds the next one.
+        steps = []
+        for _ in range(LEVELS_PER_JOB):
+            level += 1
+            step = front.join(edges, "parent").select("item_id").distinct()
+            steps.append(step.withColumn("lvl", F.lit(level)))
+            front = step.select(F.col("item_id").alias("parent"))
+        chunk, count = materialize_counted(union_all(steps), "level")
+        chunks.append(chunk)
+        if not count:
             break
-        if level > MAX_LEVELS:
+        if level > MAX_LEVELS and not chunk.filter(F.col("lvl") > MAX_LEVELS).isEmpty():
             raise StructureError(f"structure deeper than {MAX_LEVELS} levels or cyclic")
-        levels.append(step)
-        front = step.select(F.col("item_id").alias("parent"))
-    all_levels = union_all(levels) if levels else step
-    return all_levels.groupBy("item_id").agg(F.max("lvl").alias("llc"))
+        front = chunk.filter(F.col("lvl") == level).select(F.col("item_id").alias("parent"))
+    return union_all(chunks).groupBy("item_id").agg(F.max("lvl").alias("llc"))
 
 
 def bom_component_list(lines: DataFrame, items: DataFrame, uoms: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.common import union_all
+from millrace.session import materialize
 
 # Fixed value: a token is a run of letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -33,9 +34,11 @@ def duplicate_blocks(docs: DataFrame, n: int = 20) -> DataFrame:
         i.alias("position"), F.xxhash64(F.slice("t", i + 1, n)).alias("h1"), F.xxhash64(F.lit(7), F.slice("t", i + 1, n)).alias("h2"))
     rows = doc.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - n), block)).alias("b")).select(
         "doc_id", "b.position", "b.h1", "b.h2")
-    per_doc = rows.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    shared = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("doc_count"), F.sum("c").alias("occurrences")).filter("doc_count > 1")
-    return rows.join(shared, ["h1", "h2"]).select(
+    ends = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("occurrences"))
+    shared = materialize(ends.filter("lo <> hi").select("h1", "h2", "occurrences"), "blocks")
+    hits = materialize(rows.join(shared, ["h1", "h2"]), "hits")
+    docs_per = hits.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("doc_count"))
+    return hits.join(docs_per, ["h1", "h2"]).select(
         "h1", "h2", "doc_id", "position", F.lit(n).alias("tokens"), "doc_count", "occurrences")
 
 

@@ -20,8 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import PART, largest_group, range_split
-from millrace.session import hot_group_rows
+from millrace.operators.ordered import PART, is_hot, range_split
 
 State = tuple
 Step = Callable[[State, tuple], tuple[State, tuple]]
@@ -88,6 +87,7 @@ def ordered_fold(
     outputs: Sequence[tuple[str, str]],
     carried: Sequence[str] = (),
     additive: Sequence[bool] | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Fold rows of each key in ``order``.
 
@@ -95,14 +95,14 @@ def ordered_fold(
     hold the key's starting state (repeated on its rows). Inputs and state are
     whole numbers without nulls, keys are whole numbers or text. ``outputs`` are (name, type); ``carried`` columns pass through.
     ``additive`` marks state parts that mostly shift by a fixed amount per range,
-    which makes the first estimates good.
+    which makes the first estimates good. Pass ``hot`` where it is already known.
     """
     types = dict(df.dtypes)
     names = [n for n, _ in outputs]
     schema = ", ".join(
         [f"`{c}` {types[c]}" for c in (*keys, *carried)] + [f"`{n}` {t}" for n, t in outputs])
     columns = list(dict.fromkeys([*keys, *inputs, *init, *carried]))
-    if largest_group(df, keys) <= hot_group_rows(df.sparkSession):
+    if not (is_hot(df, keys) if hot is None else hot):
         sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*columns)
         return sorted_rows.mapInPandas(_emit(keys, inputs, init, carried, step, names, None), schema)
 

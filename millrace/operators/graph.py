@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators.common import union_all
 from millrace.operators.ordered import row_numbers
-from millrace.session import materialize
+from millrace.session import materialize, materialize_counted
+
+# Hops taken in one job between two writes of the frontier.
+HOPS_PER_JOB = 3
 
 # Fixed value: a dotted name of two or more identifier parts.
 DOTTED_NAME = r"[A-Za-z_][A-Za-z0-9_$#]*(?:\.[A-Za-z_][A-Za-z0-9_$#]*)+"
@@ -31,11 +34,16 @@ def extract_references(corpus: DataFrame, known: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Nodes reachable from ``entries`` (node), entries included; cycles are fine."""
     links = materialize(edges.select("src", "dst").distinct(), "links")
-    front = materialize(entries.select("node").distinct(), "reach")
+    front, count = materialize_counted(entries.select("node").distinct(), "reach")
     seen = [front]
-    while not front.isEmpty():
-        step = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        front = materialize(step.join(union_all(seen), "node", "left_anti"), "reach")
+    while count:
+        hop, hops = front, []
+        for _ in range(HOPS_PER_JOB):
+            hop = hop.join(links, hop["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
+            hops.append(hop)
+        # Later hops start from all of the hop before; nodes seen earlier drop out here.
+        fresh = union_all(hops).distinct().join(union_all(seen), "node", "left_anti")
+        front, count = materialize_counted(fresh, "reach")
         seen.append(front)
     return union_all(seen)
 
@@ -69,43 +77,50 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     every node takes the smallest id that reaches it; the nodes of one colour
     that also reach the colour's own node form a component.
     """
-    rest = materialize(nodes.select("node").distinct(), "nodes")
+    rest, left = materialize_counted(nodes.select("node").distinct(), "nodes")
     links = materialize(_inside(edges.filter("src <> dst").select("src", "dst").distinct(), rest), "links")
     done = []
     while True:
         while True:
-            core = rest.join(links.select(F.col("src").alias("node")), "node", "left_semi").join(
-                links.select(F.col("dst").alias("node")), "node", "left_semi")
-            core = materialize(core, "core")
-            ends = rest.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
-            ends = materialize(ends, "ends")
-            if ends.isEmpty():
+            core = rest
+            for _ in range(HOPS_PER_JOB):
+                alive = _inside(links, core)
+                core = core.join(alive.select(F.col("src").alias("node")), "node", "left_semi").join(
+                    alive.select(F.col("dst").alias("node")), "node", "left_semi")
+            core, kept = materialize_counted(core, "core")
+            if kept == left:
                 break
-            done.append(ends)
-            rest, links = core, materialize(_inside(links, core), "links")
-        if rest.isEmpty():
+            done.append(rest.join(core, "node", "left_anti").select("node", F.col("node").alias("component")))
+            rest, left = core, kept
+            links = materialize(_inside(links, core), "links")
+        if not left:
             break
         colour = rest.withColumn("colour", F.col("node"))
-        while True:
-            pulled = links.join(colour, links["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("seen"))
-            after = materialize(colour.join(pulled, "node", "left").select(
-                "node", F.least("colour", F.coalesce("seen", "colour")).alias("colour"), (F.col("seen") < F.col("colour")).alias("moved")), "colour")
-            colour = after.select("node", "colour")
-            if after.filter("moved").isEmpty():
-                break
+        moved = 1
+        while moved:
+            before = colour
+            for _ in range(HOPS_PER_JOB):
+                pulled = links.join(colour, links["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("seen"))
+                colour = colour.join(pulled, "node", "left").select("node", F.least("colour", F.coalesce("seen", "colour")).alias("colour"))
+            colour = materialize(colour, "colour")
+            moved = before.join(colour.withColumnRenamed("colour", "after"), "node").filter("after < colour").count()
         same = materialize(
             links.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src")
             .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
             .filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")), "same")
-        front = materialize(colour.filter("node = colour"), "roots")
-        found = [front]
-        while not front.isEmpty():
-            step = front.select(F.col("node").alias("dst")).join(same, "dst").select(F.col("src").alias("node"), "colour").distinct()
-            front = materialize(step.join(union_all(found).select("node"), "node", "left_anti"), "back")
+        front = colour.filter("node = colour")
+        found, count = [front], 1
+        while count:
+            hop, hops = front, []
+            for _ in range(HOPS_PER_JOB):
+                hop = hop.select(F.col("node").alias("dst")).join(same, "dst").select(F.col("src").alias("node"), "colour").distinct()
+                hops.append(hop)
+            fresh = union_all(hops).distinct().join(union_all(found).select("node"), "node", "left_anti")
+            front, count = materialize_counted(fresh, "back")
             found.append(front)
         group = union_all(found).select("node", F.col("colour").alias("component"))
         done.append(group)
-        rest = materialize(rest.join(group, "node", "left_anti"), "nodes")
+        rest, left = materialize_counted(rest.join(group, "node", "left_anti"), "nodes")
         links = materialize(_inside(links, rest), "links")
     return union_all(done) if done else rest.withColumn("component", F.col("node"))
 
@@ -113,22 +128,30 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest distance to a leaf; the members of one component share a level.
 
-    Components without remaining outgoing edges are peeled round by round, and
-    the round is the level: every neighbour went before, one of them just before.
+    A component whose level rose passes it on to the components pointing at it,
+    until no level rises: each round works on the changed part only.
     """
     comp = materialize(strongly_connected(nodes, edges), "comp")
     src = comp.select(F.col("node").alias("src"), F.col("component").alias("a"))
     dst = comp.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     links = materialize(edges.join(src, "src").join(dst, "dst").filter("a <> b").select("a", "b").distinct(), "dag")
-    rest = materialize(comp.select("component").distinct(), "rest")
-    level, done = 0, []
-    while not rest.isEmpty():
-        leaves = materialize(rest.join(links.select(F.col("a").alias("component")), "component", "left_anti").withColumn("level", F.lit(level)), "leaves")
-        done.append(leaves)
-        rest = materialize(rest.join(leaves, "component", "left_anti"), "rest")
-        links = materialize(links.join(leaves.select(F.col("component").alias("b")), "b", "left_anti"), "dag")
-        level += 1
-    return comp.join(union_all(done), "component").select("node", "component", "level")
+    risen = comp.select("component").distinct().withColumn("level", F.lit(0))
+    rounds, count = [risen], 1
+    while count:
+        hop, hops = risen, []
+        for _ in range(HOPS_PER_JOB):
+            hop = links.join(hop, links["b"] == hop["component"]).groupBy(F.col("a").alias("component")).agg(
+                (F.max("level") + 1).alias("level"))
+            hops.append(hop)
+        best = union_all(hops).groupBy("component").agg(F.max("level").alias("level"))
+        # A chain of k links into a component gives level k at least, and every
+        # hop here is one link longer, so a value seen before is never too high.
+        known = union_all(rounds).groupBy("component").agg(F.max("level").alias("had"))
+        better = best.join(known, "component").filter("level > had").select("component", "level")
+        risen, count = materialize_counted(better, "levels")
+        rounds.append(risen)
+    top = union_all(rounds).groupBy("component").agg(F.max("level").alias("level"))
+    return comp.join(top, "component").select("node", "component", "level")
 
 
 def disambiguate_names(df: DataFrame, group: Sequence[str], name: str, order: str, out: str = "ref_name") -> DataFrame:

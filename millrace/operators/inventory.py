@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import doc_no
 from millrace.operators.common import split_by_rules, with_totals
 from millrace.operators.costing import sync_balance
 from millrace.operators.fold import ordered_fold
-from millrace.operators.ordered import row_numbers, running_sums
+from millrace.operators.ordered import is_hot, row_numbers, running_sums
+from millrace.session import materialize
 
 KEY = ["item_id", "warehouse_id"]
 QTY = "decimal(18,4)"
@@ -46,7 +47,7 @@ def _admit_step(state, row):
     return (rest,), (0, rest)
 
 
-def admit_requests(requests: DataFrame, balances: DataFrame, order: list[str]) -> DataFrame:
+def admit_requests(requests: DataFrame, balances: DataFrame, order: list[str], hot: bool | None = None) -> DataFrame:
     """Mark each request accepted or not, in order, against the running balance.
 
     A refused request takes nothing, so later smaller ones may still pass: the
@@ -57,12 +58,28 @@ def admit_requests(requests: DataFrame, balances: DataFrame, order: list[str]) -
     carried = [c for c in requests.columns if c not in KEY]
     folded = ordered_fold(
         base, KEY, [F.col(c) for c in order], ["__qty"], ["__avail"], _admit_step,
-        [("__ok", "bigint"), ("__before", "bigint")], carried, additive=[True])
+        [("__ok", "bigint"), ("__before", "bigint")], carried, additive=[True], hot=hot)
     return folded.select(
         *requests.columns, (F.col("__ok") == 1).alias("accepted"),
         unscaled("__before", 4, QTY).alias("available_before"))
 
 
+def _fill_segments(lot: DataFrame, dem: DataFrame) -> DataFrame:
+    """Segments of ordinary-sized keys: from the far end of the axis backwards,
+    every cut belongs to the last lot and the last demand seen. One shuffle."""
+    pack = lambda df, size: F.struct(*[c for c in df.columns if c not in (*KEY, "__hi")], (F.col("__hi") - F.col(size)).alias("__lo"))
+    lots = lot.select(*KEY, F.col("__hi").alias("__cut"), pack(lot, "avail").alias("__lot"))
+    dems = dem.select(*KEY, F.col("__hi").alias("__cut"), pack(dem, "qty").alias("__dem"))
+    back = Window.partitionBy(*KEY).orderBy(F.col("__cut").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seg = lots.unionByName(dems, allowMissingColumns=True).select(
+        *KEY, "__cut", F.last("__lot", ignorenulls=True).over(back).alias("__lot"), F.last("__dem", ignorenulls=True).over(back).alias("__dem"))
+    flat = seg.filter(F.col("__lot").isNotNull() & F.col("__dem").isNotNull()).select(
+        *KEY, "__cut", "__lot.*", F.col("__lot.__lo").alias("__lot_lo"), F.col("__dem.__lo").alias("__dem_lo"),
+        *[F.col(f"__dem.{c}").alias(c) for c in dem.columns if c not in (*KEY, "__hi")]).drop("__lo")
+    take = (F.col("__cut") - F.greatest("__lot_lo", "__dem_lo")).cast(QTY)
+    return flat.withColumn("taken", take).filter(F.col("taken") > 0)
+
+
 def fifo_overlap(lots: DataFrame, demands: DataFrame, lot_order: list[str], demand_order: list[str]) -> DataFrame:
     """Pair lots with demands first-in first-out, linear in lots + demands.
 
@@ -72,17 +89,20 @@ def fifo_overlap(lots: DataFrame, demands: DataFrame, lot_order: list[str], dema
     ends before the segment, a running count. No lot x demand pairs are formed,
     however many rows one key has.
     """
+    hot = is_hot(lots.select(*KEY).unionByName(demands.select(*KEY)), KEY)
     lot = running_sums(lots, KEY, [F.col(c) for c in lot_order],
-                       {"__hi": F.col("avail").cast("decimal(28,4)"), "__lot_no": F.lit(1).cast("long")})
+                       {"__hi": F.col("avail").cast("decimal(28,4)"), "__lot_no": F.lit(1).cast("long")}, hot)
     dem = running_sums(demands, KEY, [F.col(c) for c in demand_order],
-                       {"__hi": F.col("qty").cast("decimal(28,4)"), "__dem_no": F.lit(1).cast("long")})
+                       {"__hi": F.col("qty").cast("decimal(28,4)"), "__dem_no": F.lit(1).cast("long")}, hot)
+    if not hot:
+        return _fill_segments(lot, dem)
     side = lambda df, is_lot: df.groupBy(*KEY, "__hi").agg(F.count(F.lit(1)).alias("__n")).select(
         *KEY, F.col("__hi").alias("__cut"),
         (F.col("__n") if is_lot else F.lit(0).cast("long")).alias("__lots"),
         (F.lit(0).cast("long") if is_lot else F.col("__n")).alias("__dems"))
     cuts = side(lot, True).unionByName(side(dem, False)).groupBy(*KEY, "__cut").agg(
         F.sum("__lots").alias("__lots"), F.sum("__dems").alias("__dems"))
-    run = running_sums(cuts, KEY, [F.col("__cut")], {"__cum_lots": F.col("__lots"), "__cum_dems": F.col("__dems")})
+    run = running_sums(cuts, KEY, [F.col("__cut")], {"__cum_lots": F.col("__lots"), "__cum_dems": F.col("__dems")}, hot)
     seg = run.select(
         *KEY, F.col("__cut"),
         (F.col("__cum_lots") - F.col("__lots") + 1).alias("__lot_no"),
@@ -107,7 +127,7 @@ def fifo_allocate(
     balance allows but the lots cannot fill are in ``short`` with what is missing.
     """
     valid, bad = split_by_rules(requests, [("M3005", F.col("qty") > 0, "quantity must be positive")])
-    admitted = admit_requests(valid, balances, order)
+    admitted = materialize(admit_requests(valid, balances, order), "admitted")
     refused = admitted.filter(~F.col("accepted")).drop("accepted").withColumns({
         "error_code": F.lit("M3001"),
         "error_msg": F.concat(F.lit("available="), F.col("available_before").cast("string"),
@@ -175,7 +195,8 @@ def apply_movements(balances: DataFrame, movements: DataFrame, order: list[str],
     start = balances.select(
         *KEY, F.col("qty_on_hand").alias("__q0"), F.col("avg_cost").alias("__a0"), F.lit(1).cast("bigint").alias("__has"))
     moves = movements.join(start, KEY, "left")
-    moves = running_sums(moves, KEY, [F.col(c) for c in order], {"__after": F.col("delta_qty"), "__n": F.lit(1).cast("long")})
+    hot = is_hot(movements, KEY)
+    moves = running_sums(moves, KEY, [F.col(c) for c in order], {"__after": F.col("delta_qty"), "__n": F.lit(1).cast("long")}, hot)
     after = (F.coalesce("__q0", F.lit(0)) + F.col("__after")).cast(QTY)
     moves = moves.withColumns({
         "qty_after": after, "qty_before": (after - F.col("delta_qty")).cast(QTY), "__has": F.coalesce("__has", F.lit(0).cast("bigint"))})
@@ -184,7 +205,7 @@ def apply_movements(balances: DataFrame, movements: DataFrame, order: list[str],
         "__hc": F.when(F.col("in_cost").isNull(), 0).otherwise(1).cast("bigint"), "__avg0": scaled(F.col("__a0"), 6)})
     carried = [c for c in movements.columns if c not in KEY] + ["qty_before", "qty_after", "__n"]
     folded = ordered_fold(moves, KEY, [F.col(c) for c in order], ["__b", "__i", "__c", "__hc"], ["__avg0", "__has"],
-                          _average_step, [("__avg", "bigint")], carried)
+                          _average_step, [("__avg", "bigint")], carried, hot=hot)
     trail = folded.withColumn("avg_cost_after", unscaled("__avg", 6, COST)).drop("__avg")
     last = trail.groupBy(*KEY).agg(
         F.max_by(F.struct("qty_after", "avg_cost_after"), F.col("__n")).alias("__l"), F.max("__n").alias("__moves"))
@@ -260,6 +281,7 @@ def adjust_stock(counts: DataFrame, lots: DataFrame, balances: DataFrame, as_of,
     good, bad = split_by_rules(counts, [("M3005", F.col("counted") >= 0, "counted quantity must not be negative")])
     diff = available_qty(balances, good).withColumn("diff", (F.col("counted") - F.col("available")).cast(QTY))
     diff = diff.filter(F.col("diff") != 0).join(balances.select(*KEY, F.col("avg_cost").alias("__avg")), KEY, "left")
+    diff = materialize(diff, "counts")
     gains = diff.filter("diff > 0").select(
         *KEY, F.col("diff").alias("qty"), F.coalesce("__avg", F.lit(0)).cast(COST).alias("unit_cost"), F.lit(None).cast("string").alias("lot_no"))
     losses = diff.filter("diff < 0").select(

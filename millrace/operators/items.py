@@ -11,7 +11,7 @@ from millrace.functions.columns import abc_class, chargeable_weight, volume_cm3,
 from millrace.operators.bom import active_bom
 from millrace.operators.common import next_snapshot, split_by_rules, union_all
 from millrace.operators.ordered import row_numbers, running_sums
-from millrace.session import materialize
+from millrace.session import materialize, materialize_counted
 
 # Item types, and the labels of the item description.
 ITEM_TYPES = ("RAW", "SEMI", "FG", "SVC")
@@ -35,8 +35,8 @@ def _tree(categories: DataFrame, roots: DataFrame) -> DataFrame:
             *nodes.columns, (F.col("lvl") + 1).alias("lvl"),
             F.concat("path", F.lit("/"), "category_code").alias("path"), "root_code",
             F.concat("visited", F.array("category_id")).alias("visited"))
-        level = materialize(step, "tree")
-        if level.isEmpty():
+        level, count = materialize_counted(step, "tree")
+        if not count:
             break
         levels.append(level)
     parents = nodes.select(F.col("parent_category_id").alias("__p")).distinct()
@@ -119,6 +119,7 @@ def reclassify_abc(txns: DataFrame, items: DataFrame, start, end, a: str = "0.80
         .groupBy("item_id").agg(F.sum("total_cost").cast("decimal(26,4)").alias("amount"))
         .filter(F.col("amount") > 0)
     )
+    used = materialize(used, "used")
     total = used.agg(F.sum("amount")).scalar().cast("decimal(30,4)")
     run = running_sums(used, [], [F.col("amount").desc(), F.col("item_id")], {"cum": F.col("amount")})
     within = lambda share: F.col("cum") <= F.lit(Decimal(share)).cast("decimal(6,4)") * total

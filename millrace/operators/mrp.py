@@ -9,7 +9,7 @@ from millrace.functions.columns import doc_no
 from millrace.operators.bom import MAX_LEVELS, StructureError, active_bom, low_level_codes, structure_edges
 from millrace.operators.common import best_per_key, union_all
 from millrace.operators.ordered import row_numbers, running_sums
-from millrace.session import materialize
+from millrace.session import materialize, materialize_counted
 
 NEED = "decimal(22,6)"
 QTY = "decimal(18,4)"
@@ -84,6 +84,9 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
         out = union_all(real).groupBy("item_id").agg(F.sum("qty").cast(NEED).alias("qty"))
         return out.join(codes, "item_id", "left").select("item_id", "qty", F.coalesce("llc", F.lit(level + 1)).alias("level_no"))
 
+    # Demand sits at known low-level codes; only components outside the coded
+    # structure can take it deeper, and those show up in ``below``.
+    deepest = codes.agg(F.coalesce(F.max("llc"), F.lit(0))).first()[0]
     level = 0
     while True:
         here = union_all([p.filter(F.col("level_no") == level) for p in pending]).groupBy("item_id").agg(
@@ -94,9 +97,9 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
             "net", (F.col("gross") - F.col("available") - F.col("in_transit")).cast(NEED))
         rows = materialize(net.withColumn("level_no", F.lit(level)), "plan")
         plans.append(rows)
-        below = materialize(dependents(rows.filter("net > 0").select("item_id", "net"), level), "need")
+        below, count = materialize_counted(dependents(rows.filter("net > 0").select("item_id", "net"), level), "need")
         pending.append(below)
-        if union_all([p.filter(F.col("level_no") > level) for p in pending]).isEmpty():
+        if level >= deepest and (not count or below.filter(F.col("level_no") > level).isEmpty()):
             break
         level += 1
         if level > MAX_LEVELS:

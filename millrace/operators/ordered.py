@@ -26,6 +26,11 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return row[0] or 0
 
 
+def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether some ``keys`` group is too big for one task."""
+    return largest_group(df, keys) > hot_group_rows(df.sparkSession)
+
+
 def range_split(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Fix ``df`` in contiguous (keys, order) ranges numbered by ``PART``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -39,9 +44,13 @@ def running_sums(
     keys: Sequence[str],
     order: Sequence[Column],
     sums: Mapping[str, Column],
+    hot: bool | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums; ``order`` must be unique within ``keys``."""
-    if largest_group(df, keys) <= hot_group_rows(df.sparkSession):
+    """Add inclusive running sums; ``order`` must be unique within ``keys``.
+
+    Pass ``hot`` where the answer of :func:`is_hot` is already known.
+    """
+    if not (is_hot(df, keys) if hot is None else hot):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(value).over(w) for name, value in sums.items()})
 
@@ -64,9 +73,9 @@ def running_sums(
     return out.drop(PART, *values, *[f"__o{v}" for v in values], *[f"__g_{c}" for c in group])
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, hot: bool | None = None) -> DataFrame:
     """``row_number`` over a unique order, safe for hot groups."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("long")})
+    return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, hot)
 
 
 def peer_sums(
@@ -78,6 +87,7 @@ def peer_sums(
     descending: bool = False,
     rank: str | None = None,
     dense_rank: str | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Running sums in which rows with equal ``order_col`` share one value.
 
@@ -92,7 +102,7 @@ def peer_sums(
     wanted = {name: F.col(f"__s_{name}") for name in sums}
     wanted["__cum_n"] = F.col("__n")
     wanted["__dense"] = F.lit(1).cast("long")
-    run = running_sums(peers, keys, [order], wanted)
+    run = running_sums(peers, keys, [order], wanted, hot)
     cols = [F.col(name) for name in sums]
     if rank:
         cols.append((F.col("__cum_n") - F.col("__n") + 1).alias(rank))
@@ -103,14 +113,12 @@ def peer_sums(
     return df.join(run, on).drop(*[f"__g_{c}" for c in group])
 
 
-def ntile(df: DataFrame, order: Sequence[Column], buckets: int, name: str) -> DataFrame:
-    """``ntile`` over the whole frame from row numbers and the row count."""
-    numbered = row_numbers(df, [], order, "__rn")
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    base = F.floor(total / buckets)
-    rest = total % buckets
+def ntile(df: DataFrame, order: Sequence[Column], buckets: int, name: str, total: int) -> DataFrame:
+    """``ntile`` over the whole frame of ``total`` rows, from row numbers."""
+    numbered = row_numbers(df, [], order, "__rn", total > hot_group_rows(df.sparkSession))
+    base, rest = divmod(total, buckets)
     cut = rest * (base + 1)
     tile = F.when(
         F.col("__rn") <= cut, F.ceil(F.col("__rn") / (base + 1))
-    ).otherwise(rest + F.ceil((F.col("__rn") - cut) / F.greatest(base, F.lit(1))))
+    ).otherwise(rest + F.ceil((F.col("__rn") - cut) / max(base, 1)))
     return numbered.withColumn(name, tile.cast("int")).drop("__rn")

@@ -10,6 +10,7 @@ from millrace.operators.common import safe_ratio, split_by_rules
 from millrace.operators.fold import ordered_fold
 from millrace.operators.inventory import receive_stock, scaled, unscaled
 from millrace.operators.ordered import peer_sums, row_numbers
+from millrace.session import hot_group_rows, materialize, materialize_counted
 
 AMOUNT = "decimal(20,4)"
 QTY = "decimal(18,4)"
@@ -40,12 +41,13 @@ def _receive_step(state, row):
     return (received + qty,), (_TAKEN,)
 
 
-def receive_po_lines(orders: DataFrame, lines: DataFrame, receipts: DataFrame, balances: DataFrame, as_of) -> dict[str, DataFrame]:
+def receive_po_lines(orders: DataFrame, lines: DataFrame, receipts: DataFrame, balances: DataFrame, as_of, post_stock: bool = True) -> dict[str, DataFrame]:
     """Post receipts in ``receipt_id`` order against order lines.
 
     A refused receipt leaves the line as it was, so over-receipt is decided by an
     ordered fold per line. Returns the new ``lines`` and ``orders``, the
-    ``rejects``, and the stock posting of the accepted rows.
+    ``rejects``, and (unless ``post_stock`` is off) the stock posting of the
+    accepted rows.
     """
     known = receipts.join(
         lines.select("po_line_id", "item_id", "unit_price", "qty_ordered", "qty_received", "line_status",
@@ -63,6 +65,7 @@ def receive_po_lines(orders: DataFrame, lines: DataFrame, receipts: DataFrame, b
     carried = ["receipt_id", "po_id", "qty", "unit_cost", "unit_price", "item_id", "warehouse_id"]
     folded = ordered_fold(rows, ["po_line_id"], [F.col("receipt_id")], ["__q", "__o"], ["__r"], _receive_step,
                           [("__outcome", "bigint")], carried, additive=[True])
+    folded = materialize(folded, "receipts")
     taken = folded.filter(F.col("__outcome") == _TAKEN)
     refused = folded.filter(F.col("__outcome") != _TAKEN).select(
         "receipt_id", F.when(F.col("__outcome") == _OVER, "M4003").otherwise("M4002").alias("error_code"))
@@ -79,8 +82,10 @@ def receive_po_lines(orders: DataFrame, lines: DataFrame, receipts: DataFrame, b
     new_orders = orders.join(touched, "po_id", "left_anti").unionByName(refreshed)
     stock_in = taken.select("receipt_id", "item_id", "warehouse_id", "qty", F.coalesce("unit_cost", "unit_price").alias("unit_cost"),
                             F.lit(None).cast("string").alias("lot_no"))
-    return {"lines": new_lines, "orders": new_orders, "rejects": rejects,
-            "stock": receive_stock(stock_in, balances, ["receipt_id"], as_of)}
+    out = {"lines": new_lines, "orders": new_orders, "rejects": rejects}
+    if post_stock:
+        out["stock"] = receive_stock(stock_in, balances, ["receipt_id"], as_of)
+    return out
 
 
 def load_purchase_orders(headers: DataFrame, lines: DataFrame, suppliers: DataFrame, items: DataFrame, as_of) -> dict[str, DataFrame]:
@@ -195,9 +200,11 @@ def supplier_ranking(suppliers: DataFrame, orders: DataFrame, lines: DataFrame,
         "supplier_id", "supplier_name", "rating", F.coalesce("__total", zero).cast("decimal(28,6)").alias("total_amount"),
         F.coalesce("__n", zero).alias("po_count"), F.coalesce("__ok", zero).alias("on_time_count"))
     agg = agg.withColumn("on_time_rate", F.coalesce(rate, zero).cast("decimal(8,4)"))
+    agg, count = materialize_counted(agg, "suppliers")
+    hot = count > hot_group_rows(orders.sparkSession)
     total = agg.agg(F.sum("total_amount")).scalar().cast("decimal(28,4)")
-    ranked = peer_sums(agg, [], "total_amount", {}, descending=True, rank="amount_rank")
-    ranked = peer_sums(ranked, [], "on_time_rate", {}, descending=True, dense_rank="on_time_rank")
+    ranked = peer_sums(agg, [], "total_amount", {}, descending=True, rank="amount_rank", hot=hot)
+    ranked = peer_sums(ranked, [], "on_time_rate", {}, descending=True, dense_rank="on_time_rank", hot=hot)
     share = F.round(safe_ratio(F.col("total_amount").cast("decimal(24,4)") * 100, total), 2)
     return ranked.withColumn("amount_share_pct", share.cast("decimal(8,2)"))
 

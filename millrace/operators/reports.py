@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import abc_class
 from millrace.operators.common import best_per_key, safe_ratio, with_totals
 from millrace.operators.ordered import ntile, peer_sums, row_numbers
+from millrace.session import hot_group_rows, materialize_counted
 
 
 def inventory_by_warehouse(balances: DataFrame, items: DataFrame) -> DataFrame:
@@ -74,11 +75,11 @@ def stock_aging(lots: DataFrame, items: DataFrame, today) -> DataFrame:
         .select("lot_id", "lot_no", "item_code", "item_name", "warehouse_id", "qty_on_hand",
                 "receipt_date", age.alias("age_days"))
     )
-    total = held.agg(F.sum("qty_on_hand")).scalar()
+    count, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("qty_on_hand"), F.lit(0)).cast("decimal(22,4)")).first()
     bucket = (F.when(F.col("age_days") <= 30, "0-30").when(F.col("age_days") <= 60, "31-60")
               .when(F.col("age_days") <= 90, "61-90").otherwise("90+"))
-    tiled = ntile(held, [F.col("age_days"), F.col("lot_id")], 4, "age_quartile")
-    pct = F.round(F.col("qty_on_hand").cast("decimal(18,4)") * 100 / F.nullif(total.cast("decimal(22,4)"), F.lit(0)), 2)
+    tiled = ntile(held, [F.col("age_days"), F.col("lot_id")], 4, "age_quartile", count)
+    pct = F.round(F.col("qty_on_hand").cast("decimal(18,4)") * 100 / F.nullif(F.lit(total).cast("decimal(22,4)"), F.lit(0)), 2)
     return tiled.withColumns({"age_bucket": bucket, "qty_pct": pct.cast("decimal(10,2)")})
 
 
@@ -120,9 +121,12 @@ def inventory_pareto(balances: DataFrame, items: DataFrame) -> DataFrame:
         .filter(F.col("stock_value") > 0)
         .join(items.select("item_id", "item_code", "item_name", F.col("abc_class").alias("abc_class_current")), "item_id")
     )
+    # One row per item, needed by four passes: the stock is read once.
+    value, count = materialize_counted(value, "value")
+    hot = count > hot_group_rows(balances.sparkSession)
     valued = with_totals(value, [], {"__total": F.col("stock_value")})
-    cum = peer_sums(valued, [], "stock_value", {"__cum": F.col("stock_value")}, descending=True)
-    ranked = row_numbers(cum, [], [F.col("stock_value").desc(), F.col("item_id")], "value_rank")
+    cum = peer_sums(valued, [], "stock_value", {"__cum": F.col("stock_value")}, descending=True, hot=hot)
+    ranked = row_numbers(cum, [], [F.col("stock_value").desc(), F.col("item_id")], "value_rank", hot)
     total = F.col("__total").cast("decimal(24,4)")
     pct = lambda c: F.round(safe_ratio(F.col(c).cast("decimal(24,4)") * 100, total), 4).cast("decimal(10,4)")
     out = ranked.withColumns({"value_pct": pct("stock_value"), "cum_pct": pct("__cum")})

@@ -37,7 +37,7 @@ _RECEIPTS = """rc AS (
            FROM {po_lines} l LEFT JOIN got ON got.po_line_id = l.po_line_id)"""
 
 
-def _receive(b):
+def _receive(b, post_stock=False):
     half = lambda f: f((F.col("qty_ordered") - F.col("qty_received")) / 2).cast("decimal(18,4)")
     ids = lambda n: F.concat("po_line_id", F.lit(f"/{n}")).alias("receipt_id")
     none = F.lit(None).cast("decimal(20,6)").alias("unit_cost")
@@ -45,7 +45,7 @@ def _receive(b):
     second = b.po_lines.select(
         ids(2), "po_line_id", F.when(F.col("item_id") % 31 == 0, "NONE").otherwise(F.col("po_id")).alias("po_id"),
         F.when(F.col("item_id") % 3 == 0, F.col("qty_ordered")).otherwise(half(F.ceil)).cast("decimal(18,4)").alias("qty"), none)
-    return procurement.receive_po_lines(b.purchase_orders, b.po_lines, first.unionByName(second), b.balances, AS_OF)
+    return procurement.receive_po_lines(b.purchase_orders, b.po_lines, first.unionByName(second), b.balances, AS_OF, post_stock)
 
 
 @query("receive_po_lines", "po_line_id:s qty_received:d line_status:s", f"WITH {_RECEIPTS} SELECT * FROM nl")
@@ -73,7 +73,7 @@ def _(b):
                   COALESCE(b.qty_on_hand, 0) + COALESCE(q, 0) AS qty_on_hand, CASE WHEN b.item_id IS NULL THEN n - 1 ELSE version + COALESCE(n, 0) END AS version
              FROM {{balances}} b FULL JOIN add a ON a.item_id = b.item_id AND a.warehouse_id = b.warehouse_id""")
 def _(b):
-    return _receive(b)["stock"]["balances"]
+    return _receive(b, True)["stock"]["balances"]
 
 
 _LOAD = """h AS (SELECT p.po_id AS ref, CASE WHEN p.supplier_id % 29 = 0 THEN -1 ELSE p.supplier_id END AS sid, p.warehouse_id, p.expected_date FROM {purchase_orders} p),

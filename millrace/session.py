@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 HOT_ROWS_KEY = "spark.millrace.hotGroupRows"
@@ -51,16 +52,23 @@ def scratch_root(spark: SparkSession) -> str:
     return _scratch[app]
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def materialize_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared scratch folder; (the table read back, its row count).
 
     Cuts lineage in a way that survives executor loss, and unlike a plain
     checkpoint keeps column pruning and real size statistics for the next join.
+    The count is observed while writing, so loops need no extra emptiness job.
     """
     spark = df.sparkSession
     path = os.path.join(scratch_root(spark), "millrace", f"{label}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+    """The table of :func:`materialize_counted` alone."""
+    return materialize_counted(df, label)[0]
 
 
 def hot_group_rows(spark: SparkSession) -> int:

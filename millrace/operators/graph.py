@@ -88,27 +88,30 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 core = core.join(alive.select(F.col("src").alias("node")), "node", "left_semi").join(
                     alive.select(F.col("dst").alias("node")), "node", "left_semi")
             core, kept = materialize_counted(core, "core")
-            if kept == left:
-                break
-            done.append(rest.join(core, "node", "left_anti").select("node", F.col("node").alias("component")))
+            peeled, rest_before = left - kept, rest
             rest, left = core, kept
+            if not peeled:
+                break
+            done.append(rest_before.join(core, "node", "left_anti").select("node", F.col("node").alias("component")))
             links = materialize(_inside(links, core), "links")
+            # Peeling only saves work, so it stops once it peels little.
+            if peeled < left / 10 or not left:
+                break
         if not left:
             break
         colour = rest.withColumn("colour", F.col("node"))
         moved = 1
         while moved:
-            before = colour
+            colour = colour.select("node", "colour", F.col("colour").alias("was"))
             for _ in range(HOPS_PER_JOB):
                 pulled = links.join(colour, links["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("seen"))
-                colour = colour.join(pulled, "node", "left").select("node", F.least("colour", F.coalesce("seen", "colour")).alias("colour"))
-            colour = materialize(colour, "colour")
-            moved = before.join(colour.withColumnRenamed("colour", "after"), "node").filter("after < colour").count()
+                colour = colour.join(pulled, "node", "left").select("node", F.least("colour", F.coalesce("seen", "colour")).alias("colour"), "was")
+            colour, moved = materialize_counted(colour, "colour", F.col("colour") < F.col("was"))
         same = materialize(
             links.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src")
             .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
             .filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")), "same")
-        front = colour.filter("node = colour")
+        front = colour.filter("node = colour").select("node", "colour")
         found, count = [front], 1
         while count:
             hop, hops = front, []
@@ -121,7 +124,8 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         group = union_all(found).select("node", F.col("colour").alias("component"))
         done.append(group)
         rest, left = materialize_counted(rest.join(group, "node", "left_anti"), "nodes")
-        links = materialize(_inside(links, rest), "links")
+        # The members of a component share a colour: other links cannot matter.
+        links = materialize(_inside(same, rest), "links")
     return union_all(done) if done else rest.withColumn("component", F.col("node"))
 
 

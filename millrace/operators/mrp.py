@@ -61,10 +61,10 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
     edges = materialize(structure_edges(headers, lines, items, run_date).select(
         F.col("parent_item_id").alias("parent"), F.col("component_item_id").alias("item_id"), "qty_per",
         (F.lit(1).cast("decimal(1,0)") - F.coalesce("scrap_rate", F.lit(0).cast("decimal(8,4)"))).alias("yield_rate"), "is_phantom"), "edges")
-    supply = (
+    supply = materialize(
         items.select("item_id", "lead_time_days")
         .join(default_warehouse(balances).select("item_id", "warehouse_id", "available"), "item_id", "left")
-        .join(transit, "item_id", "left"))
+        .join(transit, "item_id", "left"), "supply")
     pending = [materialize(
         demand.join(codes, "item_id", "left").select("item_id", "qty", F.coalesce("llc", F.lit(0)).alias("level_no")), "need")]
     plans = []

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -52,17 +52,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _scratch[app]
 
 
-def materialize_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+def materialize_counted(df: DataFrame, label: str = "step", where: Column | None = None) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared scratch folder; (the table read back, its row count).
 
     Cuts lineage in a way that survives executor loss, and unlike a plain
     checkpoint keeps column pruning and real size statistics for the next join.
-    The count is observed while writing, so loops need no extra emptiness job.
+    The count (of rows satisfying ``where``, if given) is observed while writing,
+    so loops need no extra emptiness job.
     """
     spark = df.sparkSession
     path = os.path.join(scratch_root(spark), "millrace", f"{label}-{uuid.uuid4().hex}")
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
+    count = F.count(F.lit(1)) if where is None else F.count_if(where)
+    df.observe(seen, count.alias("n")).write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 

@@ -23,7 +23,7 @@ HEADLINE = [
     "inventory_pareto", "sales_summary_cube", "stock_aging", "fifo_layers", "inventory_value", "landed_cost_amt",
     "fifo_allocate", "apply_movements", "explode_bom", "rolled_cost", "low_level_codes", "run_mrp",
     "forecast_ma3", "forecast_accuracy", "price", "supplier_ranking", "receive_po_lines", "convert_uom",
-    "duplicate_blocks", "topo_levels", "phase_metrics", "stream_balances", "stream_moving_average",
+    "duplicate_blocks", "reachable", "phase_metrics", "stream_balances", "stream_moving_average",
 ]
 
 

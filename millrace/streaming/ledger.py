@@ -60,32 +60,44 @@ def stream_balances(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(*KEY).agg(F.sum(signed).cast("decimal(28,4)").alias("qty_on_hand"), F.count(F.lit(1)).alias("moves"))
 
 
-def _average_rows(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one key's (quantity, average, exists, moves) by a micro-batch."""
-    qty, avg, exists, moves = state.get if state.exists else (0, 0, 0, 0)
-    rows = sorted(row for pdf in batches for row in zip(*(pdf[c].tolist() for c in ("seq", "d", "i", "c", "h"))))
-    for _, delta, in_qty, cost, has_cost in rows:
-        (avg, exists), _out = _average_step((avg, exists), (qty, in_qty, cost, has_cost))
-        qty, moves = qty + delta, moves + 1
-    state.update((qty, avg, exists, moves))
-    yield pd.DataFrame([(*key, qty, avg, moves)], columns=[*KEY, "q", "a", "moves"])
-
-
-def stream_moving_average(movements: DataFrame) -> DataFrame:
+def _average_rows(bucket, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Advance the (quantity, average, moves) of a bucket's keys by a micro-batch."""
+    known = {}
+    if state.exists:
+        ids, whs, qtys, avgs, counts = state.get
+        known = {(i, w): (q, a, n) for i, w, q, a, n in zip(ids, whs, qtys, avgs, counts)}
+    columns = (*KEY, "seq", "d", "i", "c", "h")
+    rows = sorted(row for pdf in batches for row in zip(*(pdf[c].tolist() for c in columns)))
+    touched = set()
+    for item, wh, _, delta, in_qty, cost, has_cost in rows:
+        qty, avg, moves = known.get((item, wh), (0, 0, 0))
+        (avg, _), _out = _average_step((avg, moves > 0), (qty, in_qty, cost, has_cost))
+        known[item, wh] = (qty + delta, avg, moves + 1)
+        touched.add((item, wh))
+    state.update(tuple(map(list, zip(*((i, w, *v) for (i, w), v in known.items())))))
+    yield pd.DataFrame([(*k, *known[k]) for k in touched], columns=[*KEY, "q", "a", "moves"])
+
+
+def stream_moving_average(movements: DataFrame, buckets: int = 512) -> DataFrame:
     """Quantity and moving average per key over ordered movements (update mode).
 
     ``movements``: item_id, warehouse_id, seq, delta_qty, in_qty, in_cost. The
-    state is four numbers per key. Rows of one micro-batch are put in ``seq``
-    order; batches must arrive in that order too. Bound the batch size at the
-    source (for example files per trigger), which bounds the rows per key.
+    state of a key is three numbers; keys are held in hash ``buckets`` so that the
+    per-group cost of Python state is shared by the keys of a bucket (choose the
+    count for some hundred keys each; it is fixed for the life of a checkpoint).
+    Rows of one micro-batch are put in ``seq`` order; batches must arrive in that
+    order too. Bound the batch size at the source (for example files per
+    trigger), which bounds the rows of a bucket.
     """
     rows = movements.select(
-        *KEY, "seq", scaled(F.col("delta_qty"), 4).alias("d"), scaled(F.col("in_qty"), 4).alias("i"), scaled(F.col("in_cost"), 6).alias("c"),
+        F.pmod(F.xxhash64(*KEY), F.lit(buckets)).alias("bucket"), *KEY, "seq", scaled(F.col("delta_qty"), 4).alias("d"),
+        scaled(F.col("in_qty"), 4).alias("i"), scaled(F.col("in_cost"), 6).alias("c"),
         F.when(F.col("in_cost").isNull(), 0).otherwise(1).cast("bigint").alias("h"))
     kinds = dict(movements.dtypes)
-    out = f"item_id {kinds['item_id']}, warehouse_id {kinds['warehouse_id']}, q bigint, a bigint, moves bigint"
-    folded = rows.groupBy(*KEY).applyInPandasWithState(
-        _average_rows, out, "q bigint, a bigint, e bigint, n bigint", "update", GroupStateTimeout.NoTimeout)
+    item, wh = kinds["item_id"], kinds["warehouse_id"]
+    state = f"i array<{item}>, w array<{wh}>, q array<bigint>, a array<bigint>, n array<bigint>"
+    folded = rows.groupBy("bucket").applyInPandasWithState(
+        _average_rows, f"item_id {item}, warehouse_id {wh}, q bigint, a bigint, moves bigint", state, "update", GroupStateTimeout.NoTimeout)
     return folded.select(*KEY, unscaled("q", 4, QTY).alias("qty_on_hand"), unscaled("a", 6, COST).alias("avg_cost"), "moves")
 
 

@@ -52,6 +52,20 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+# An input of fewer splits than this may be spread over the free cores.
+FEW_SPLITS = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input of few splits over the cores before costly row work.
+
+    One row group is one task, however costly its rows. Inputs with enough
+    splits, which large ones always have, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+
+
 def safe_ratio(num: Column, den: Column) -> Column:
     """Null instead of an error when the denominator is zero."""
     return num / F.nullif(den, F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.common import union_all
+from millrace.operators.common import spread, union_all
 from millrace.session import materialize
 
 # Fixed value: a token is a run of letters, digits or underscores.
@@ -29,7 +29,7 @@ def duplicate_blocks(docs: DataFrame, n: int = 20) -> DataFrame:
     per task, and its positions are spread over tasks by the join's skew handling.
     """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
-    doc = docs.select("doc_id", tokens.alias("t")).filter(F.size("t") >= n)
+    doc = spread(docs.select("doc_id", "text")).select("doc_id", tokens.alias("t")).filter(F.size("t") >= n)
     block = lambda i: F.struct(
         i.alias("position"), F.xxhash64(F.slice("t", i + 1, n)).alias("h1"), F.xxhash64(F.lit(7), F.slice("t", i + 1, n)).alias("h2"))
     rows = doc.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - n), block)).alias("b")).select(

@@ -56,6 +56,7 @@ def admit_requests(requests: DataFrame, balances: DataFrame, order: list[str], h
     base = available_qty(balances, requests).withColumns({
         "__qty": scaled(F.col("qty"), 4), "__avail": scaled(F.col("available"), 4)})
     carried = [c for c in requests.columns if c not in KEY]
+    hot = is_hot(requests, KEY) if hot is None else hot
     folded = ordered_fold(
         base, KEY, [F.col(c) for c in order], ["__qty"], ["__avail"], _admit_step,
         [("__ok", "bigint"), ("__before", "bigint")], carried, additive=[True], hot=hot)

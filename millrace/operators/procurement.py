@@ -9,7 +9,7 @@ from millrace.functions.columns import doc_no
 from millrace.operators.common import safe_ratio, split_by_rules
 from millrace.operators.fold import ordered_fold
 from millrace.operators.inventory import receive_stock, scaled, unscaled
-from millrace.operators.ordered import peer_sums, row_numbers
+from millrace.operators.ordered import is_hot, peer_sums, row_numbers
 from millrace.session import hot_group_rows, materialize, materialize_counted
 
 AMOUNT = "decimal(20,4)"
@@ -64,7 +64,7 @@ def receive_po_lines(orders: DataFrame, lines: DataFrame, receipts: DataFrame, b
         "__q": scaled(F.col("qty"), 4), "__o": scaled(F.col("qty_ordered"), 4), "__r": scaled(F.col("qty_received"), 4)})
     carried = ["receipt_id", "po_id", "qty", "unit_cost", "unit_price", "item_id", "warehouse_id"]
     folded = ordered_fold(rows, ["po_line_id"], [F.col("receipt_id")], ["__q", "__o"], ["__r"], _receive_step,
-                          [("__outcome", "bigint")], carried, additive=[True])
+                          [("__outcome", "bigint")], carried, additive=[True], hot=is_hot(receipts, ["po_line_id"]))
     folded = materialize(folded, "receipts")
     taken = folded.filter(F.col("__outcome") == _TAKEN)
     refused = folded.filter(F.col("__outcome") != _TAKEN).select(
@@ -258,7 +258,7 @@ def screen_transfers(accounts: DataFrame, transfers: DataFrame, minimum: str = "
     known = full.filter(F.col("account_id").isNotNull()).withColumns({
         "__a": scaled(F.col("amount"), 2), "__m": scaled(F.lit(minimum).cast("decimal(18,2)"), 2), "__b": scaled(F.col("balance"), 2)})
     folded = ordered_fold(known, ["source_id"], [F.col("transfer_id")], ["__a", "__m"], ["__b"], _transfer_step,
-                          [("__no", "bigint")], ["transfer_id", "amount"], additive=[True])
+                          [("__no", "bigint")], ["transfer_id", "amount"], additive=[True], hot=is_hot(transfers, ["source_id"]))
     ok = folded.select("transfer_id", "source_id", "amount", F.when(F.col("__no") == 0, "OK").otherwise("INSUFFICIENT").alias("outcome"))
     lost = full.filter(F.col("account_id").isNull()).select("transfer_id", "source_id", "amount", F.lit("NOT_FOUND").alias("outcome"))
     return ok.unionByName(lost)

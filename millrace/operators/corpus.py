@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.common import spread, union_all
+from millrace.operators.common import spread
 from millrace.session import materialize
 
 # Fixed value: a token is a run of letters, digits or underscores.

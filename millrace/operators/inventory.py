@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import doc_no
-from millrace.operators.common import split_by_rules, with_totals
+from millrace.operators.common import split_by_rules
 from millrace.operators.costing import sync_balance
 from millrace.operators.fold import ordered_fold
 from millrace.operators.ordered import is_hot, row_numbers, running_sums

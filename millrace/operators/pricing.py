@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.common import best_per_key, union_all, valid_at
+from millrace.operators.common import union_all, valid_at
 
 WILD = ("item_id", "category_id", "customer_id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import doc_no
 from millrace.operators.common import safe_ratio, split_by_rules
 from millrace.operators.fold import ordered_fold
-from millrace.operators.inventory import receive_stock, scaled, unscaled
+from millrace.operators.inventory import receive_stock, scaled
 from millrace.operators.ordered import is_hot, peer_sums, row_numbers
 from millrace.session import hot_group_rows, materialize, materialize_counted
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import abc_class
@@ -84,11 +84,7 @@ def stock_aging(lots: DataFrame, items: DataFrame, today) -> DataFrame:
 
 
 def top_consumed_items(txns, items, start, end, n: int = 10) -> DataFrame:
-    """Top ``n`` items by consumed quantity with the three rankings.
-
-    Only the top rows are returned, so ranks come from counting: an item in the
-    top n has at most n-1 items above it, apart from ties at the cut.
-    """
+    """Top ``n`` items by consumed quantity with the three rankings."""
     used = (
         txns.filter(
             (F.col("direction") == "O") & F.col("txn_type").isin("ISSUE", "PROD_OUT")
@@ -98,11 +94,9 @@ def top_consumed_items(txns, items, start, end, n: int = 10) -> DataFrame:
              F.count(F.lit(1)).alias("txn_count"))
     )
     named = used.join(items.select("item_id", "item_code", "item_name", "item_type"), "item_id")
-    # The first n rows hold everything their own ranks depend on, so the
-    # rankings are taken over those n rows only.
+    # A rank depends only on the rows above, which are all among the first n,
+    # so the windows run over those n rows.
     top = named.orderBy(F.col("consumed_qty").desc(), F.col("item_id")).limit(n)
-    from pyspark.sql import Window
-
     by_qty = Window.orderBy(F.col("consumed_qty").desc())
     unique = Window.orderBy(F.col("consumed_qty").desc(), F.col("item_id"))
     return top.select(

@@ -4,18 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, pieces
+from millrace.llm import lines, packing, pieces, quality, sharding
 from millrace.llm.common import load, tokenizer_path
 
 
+def _sha(column: str):
+    return F.sha2(F.encode(column, "UTF-8"), 256)
+
+
+def op1_attention_quality(spark, sf_dir):
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    scored = quality.score_documents(docs.select("doc_id", "text"), quality.fit(docs, labels))
+    score = F.col("quality_score")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op3_sum_of_squares_packing(spark, sf_dir):
     out = packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=0, outputs=("ids_crc32",))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_hypergeometric_shards(spark, sf_dir):
+    out = sharding.shuffle_into_shards(load(spark, sf_dir, "documents"), 24)
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return out.select("doc_id", (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_two_filter_lines(spark, sf_dir):
+    out = lines.drop_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return out.select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
+
+
 def op10_piece_codec(spark, sf_dir):
     return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sum_of_squares_packing, op10_piece_codec)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op3_sum_of_squares_packing, op4_hypergeometric_shards, op7_two_filter_lines, op10_piece_codec)}
+
+_KEY = r"regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
+
+ORACLE = {
+    "op7_two_filter_lines": f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+rows AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM split),
+keyed AS (SELECT doc_id, line, i, {_KEY} AS key FROM rows),
+gone AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT k.doc_id, line, i, g.key IS NOT NULL AS lost FROM keyed k LEFT JOIN gone g ON k.key = g.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import lines, packing, pieces, quality, sharding
+from millrace.llm import imatch, lines, packing, phrases, pieces, quality, sharding
 from millrace.llm.common import load, tokenizer_path
 
 
@@ -30,6 +30,15 @@ def op4_hypergeometric_shards(spark, sf_dir):
     return out.select("doc_id", (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_repeated_phrases(spark, sf_dir):
+    out = phrases.remove_repeated(load(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", _sha("kept").alias("kept_sha256"))
+
+
+def op6_i_match(spark, sf_dir):
+    return imatch.fingerprint_pairs(load(spark, sf_dir, "documents"))
+
+
 def op7_two_filter_lines(spark, sf_dir):
     out = lines.drop_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
@@ -39,7 +48,7 @@ def op10_piece_codec(spark, sf_dir):
     return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op3_sum_of_squares_packing, op4_hypergeometric_shards, op7_two_filter_lines, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op3_sum_of_squares_packing, op4_hypergeometric_shards, op5_repeated_phrases, op6_i_match, op7_two_filter_lines, op10_piece_codec)}
 
 _KEY = r"regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 

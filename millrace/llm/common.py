@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -115,10 +114,11 @@ class WordTable:
             self._clear()
         get = self.codes.get
         coded = [list(map(get, words)) for words in split]
-        unknown = [k for k, codes in enumerate(coded) if None in codes]
-        self._learn(list({w for k in unknown for w, c in zip(split[k], coded[k]) if c is None}))
-        for k in unknown:
-            coded[k] = [get(w) if c is None else c for w, c in zip(split[k], coded[k])]
+        gaps = [(words, codes, [i for i, c in enumerate(codes) if c is None]) for words, codes in zip(split, coded) if None in codes]
+        self._learn(list({words[i] for words, _, at in gaps for i in at}))
+        for words, codes, at in gaps:
+            for i in at:
+                codes[i] = get(words[i])
         out = []
         for codes in coded:
             at = np.array(codes, np.int64)
@@ -132,8 +132,3 @@ def take_runs(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
 
-
-def worker_quiet() -> None:
-    """Tasks are the unit of parallelism; libraries must not start threads of their own."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    os.environ["RAYON_NUM_THREADS"] = "1"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import imatch, jaccard, lines, packing, phrases, pieces, quality, sharding
+from millrace.llm import imatch, jaccard, lines, packing, phrases, pieces, quality, sharding, vectors
 from millrace.llm.common import load, tokenizer_path
 
 
@@ -19,6 +19,10 @@ def op1_attention_quality(spark, sf_dir):
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op2_one_bit_neighbours(spark, sf_dir):
+    return vectors.nearest(load(spark, sf_dir, "embeddings"), query_modulus=50, k=5)
+
+
 def op3_sum_of_squares_packing(spark, sf_dir):
     out = packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=0, outputs=("ids_crc32",))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -52,7 +56,7 @@ def op10_piece_codec(spark, sf_dir):
     return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op3_sum_of_squares_packing, op4_hypergeometric_shards, op5_repeated_phrases, op6_i_match, op7_two_filter_lines, op9_chosen_path_join, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_one_bit_neighbours, op3_sum_of_squares_packing, op4_hypergeometric_shards, op5_repeated_phrases, op6_i_match, op7_two_filter_lines, op9_chosen_path_join, op10_piece_codec)}
 
 _KEY = r"regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 

@@ -157,6 +157,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, filter_bits: int =
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     suspects = keep(_suspects(rows.withColumn("text", F.encode("text", "UTF-8")), shared, filter_bits), "suspects")
     repeated = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("key")
+    repeated = keep(repeated, "repeated-keys")  # a plain table on this side lets AQE split a hot key on the other
     lost = suspects.join(repeated, "key").select("doc_id", "text_hash", F.explode("lines").alias("line"))
     lost = lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("__lost")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     lost = keep(lost, "lost-lines")

@@ -210,6 +210,7 @@ def _confirmed_offsets(texts: DataFrame, window: int) -> DataFrame:
 
     bytes_ = texts.withColumn("words", F.encode("words", "UTF-8"))
     met = map_arrow(bytes_.select("copies", "words"), counts, "w1 bigint, w2 bigint, copies bigint").groupBy("w1", "w2").agg(F.sum("copies").alias("copies")).where("copies > 1").select("w1", "w2")
+    met = keep(met, "repeated-windows")
     single = map_arrow(bytes_.where("copies = 1").select("anchor", "body", "words"), places, "w1 bigint, w2 bigint, anchor bigint, body bigint, offset int")
     found = single.join(met, ["w1", "w2"]).select("anchor", "body", "offset")
     return found.groupBy("anchor", "body").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
@@ -270,6 +271,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, per_shard: int = 2000, per
     rows = _hashed(docs, id_col, text_col)
     runs = keep(_runs(rows, window), "runs")
     again = runs.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
+    again = keep(again, "repeated-anchors")  # a plain table on this side lets AQE split a hot anchor on the other
     candidates = keep(runs.join(again, "anchor").drop("times"), "candidate-runs")
     variants = candidates.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "start", "windows")).alias("one")).select("anchor", "body", "copies", "one.*")
     texts = keep(_variant_texts(rows, variants, window), "variant-texts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import imatch, jaccard, lines, packing, phrases, pieces, quality, sharding, vectors
+from millrace.llm import imatch, jaccard, lines, packing, phrases, pieces, privacy, quality, sharding, vectors
 from millrace.llm.common import load, tokenizer_path
 
 
@@ -48,6 +48,15 @@ def op7_two_filter_lines(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
 
 
+def op8_disclosure_sanitising(spark, sf_dir):
+    out = privacy.sanitise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [F.col(f"entities.{k}") for k in privacy.KINDS]
+    counts = [F.coalesce(F.size(b), F.lit(0)).cast("bigint").alias(f"n_{k}") for k, b in zip(privacy.KINDS, base)]
+    return out.select(
+        "doc_id", *[F.when(F.col("entities").isNull(), 0).otherwise(c).cast("bigint").alias(f"n_{k}") for k, c in zip(privacy.KINDS, counts)],
+        F.sha2(privacy.span_list(*base), 256).alias("base_sha256"), privacy.span_list(*base, F.col("entities.terms")).alias("spans"))
+
+
 def op9_chosen_path_join(spark, sf_dir):
     return jaccard.similarity_groups(load(spark, sf_dir, "documents"), words=5, threshold=0.8).select("doc_id", "class_id", "group_id", "links")
 
@@ -56,7 +65,7 @@ def op10_piece_codec(spark, sf_dir):
     return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_one_bit_neighbours, op3_sum_of_squares_packing, op4_hypergeometric_shards, op5_repeated_phrases, op6_i_match, op7_two_filter_lines, op9_chosen_path_join, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_one_bit_neighbours, op3_sum_of_squares_packing, op4_hypergeometric_shards, op5_repeated_phrases, op6_i_match, op7_two_filter_lines, op8_disclosure_sanitising, op9_chosen_path_join, op10_piece_codec)}
 
 _KEY = r"regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 

@@ -248,7 +248,7 @@ def _locate(passages: DataFrame, n_passages: int, per_shard: int, per_task: int)
         import pandas as pd
 
         if not len(patterns) or not len(texts):
-            return pd.DataFrame({"anchor": [], "body": [], "spans": []})
+            return pd.DataFrame({"anchor": [], "body": [], "spans": []}, dtype=object)
         automaton = ahocorasick.Automaton()
         for passage in patterns["passage"]:
             automaton.add_word(f" {passage} ", passage.count(" ") + 1)

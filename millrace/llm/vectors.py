@@ -182,7 +182,7 @@ def nearest(vectors: DataFrame, query_modulus: int, k: int = 5, probe_share: flo
 
         c, t = shared.value
         if not len(stored) or not len(asking):
-            return pd.DataFrame({"digest": [], "ids": [], "score": []})
+            return pd.DataFrame({"digest": [], "ids": [], "score": []}, dtype=object)
         x, q = unit(np.stack(stored["v"].to_list())), unit(np.stack(asking["v"].to_list()))
         bits = np.frombuffer(b"".join(stored["bits"]), np.uint8).reshape(len(x), -1)
         guess, error = estimate(bits, np.stack(stored["scalars"].to_list()), q, c[stored["list"].iloc[0]], t)

@@ -92,7 +92,7 @@ def lexicon(docs: DataFrame, low: float, high: float) -> np.ndarray:
 
     parts = map_arrow(docs.select("text"), make, "term bigint, docs bigint")
     found = parts.groupBy("term").agg(F.sum("docs").alias("docs")).where((F.col("docs") >= low * total) & (F.col("docs") <= high * total))
-    terms = found.select("term").toPandas()["term"].to_numpy(np.int64)  # at most mean terms per document / low
+    terms = keep(found.select("term"), "lexicon").toPandas()["term"].to_numpy(np.int64)  # at most mean terms per document / low
     return np.sort(terms.view(np.uint64))
 
 

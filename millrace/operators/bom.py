@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import effective_usage, text, usage_ratio
 from millrace.operators.common import best_per_key, union_all, valid_at
+from millrace.operators.graph import strongly_connected
 from millrace.session import materialize, materialize_counted
 
-MAX_LEVELS = 20
 LEVELS_PER_JOB = 3
-
-
-class StructureError(ValueError):
-    """The structure has a cycle or is deeper than allowed (M2002)."""
+# After so many levels a structure is looked at for cycles; it may go deeper.
+LOOK_FOR_CYCLES = 20
 
 
 def active_bom(headers: DataFrame, as_of) -> DataFrame:
@@ -62,8 +60,11 @@ def structure_edges(headers: DataFrame, lines: DataFrame, items: DataFrame, as_o
     )
 
 
-def _walk(edges: DataFrame, roots: DataFrame, qty: float, max_levels: int, round_each_level: bool):
-    """Level-by-level explosion of many roots; yields (good rows, violations)."""
+def _walk(edges: DataFrame, roots: DataFrame, qty: float, max_levels: int | None, round_each_level: bool):
+    """Level-by-level explosion of many roots until no row is left; yields (good rows, violations).
+
+    The visited path stops cycles; rows below ``max_levels``, if given, are violations.
+    """
     edges = materialize(edges, "edges")
     carry = "decimal(18,6)" if round_each_level else "double"
     ratio = usage_ratio(F.col("qty_per"), F.col("scrap_rate"))
@@ -73,7 +74,10 @@ def _walk(edges: DataFrame, roots: DataFrame, qty: float, max_levels: int, round
         F.lit("").alias("code_path"), F.array().cast("array<int>").alias("sort_path"),
     )
     good, bad = [], []
-    for level in range(1, max_levels + 2):
+    level = 0
+    while True:
+        level += 1
+        too_deep = max_levels is not None and level > max_levels
         step = front.join(edges, front["at"] == edges["parent_item_id"]).drop("at")
         carried = F.col("carried") * ratio
         if round_each_level:
@@ -81,7 +85,7 @@ def _walk(edges: DataFrame, roots: DataFrame, qty: float, max_levels: int, round
         step = step.withColumns({
             "lvl": F.lit(level),
             "carried": carried,
-            "looped": F.array_contains("visited", F.col("component_item_id")) | F.lit(level > max_levels),
+            "looped": F.array_contains("visited", F.col("component_item_id")) | F.lit(too_deep),
             "code_path": F.concat("code_path", F.lit("/"), "component_code"),
             "sort_path": F.concat("sort_path", F.array(F.col("line_no").cast("int"))),
         })
@@ -100,7 +104,7 @@ def _walk(edges: DataFrame, roots: DataFrame, qty: float, max_levels: int, round
 
 def explode_bom_checked(
     headers: DataFrame, lines: DataFrame, items: DataFrame, roots: DataFrame, qty: float = 1,
-    as_of=None, max_levels: int = MAX_LEVELS, round_each_level: bool = False,
+    as_of=None, max_levels: int | None = None, round_each_level: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Explosion and its violations (component already on its path, or too deep).
 
@@ -129,7 +133,7 @@ def explode_bom_checked(
 
 
 def explode_bom(headers, lines, items, roots, qty: float = 1, as_of=None,
-                max_levels: int = MAX_LEVELS, round_each_level: bool = False) -> DataFrame:
+                max_levels: int | None = None, round_each_level: bool = False) -> DataFrame:
     """Multi-level explosion of every root; cyclic branches are cut."""
     rows, _ = explode_bom_checked(headers, lines, items, roots, qty, as_of, max_levels, round_each_level)
     return rows.drop("id_path")
@@ -201,9 +205,9 @@ def compare_bom_versions(old: DataFrame, new: DataFrame, pair: str = "pair_id")
 def rolled_cost(headers: DataFrame, lines: DataFrame, items: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """Bottom-up unit cost of all items, rounded at every level.
 
-    Returns (item_id, rolled_cost) and the items that cannot be costed because
-    of a cycle or a missing component. One round per structure level: an item is
-    costed once all its components are.
+    Returns (item_id, rolled_cost) and the items that cannot be costed: M1001 where a
+    component below is no item, M2002 where a cycle is. One round per structure level: an
+    item is costed once all its components are, until a round costs nothing new.
     """
     chosen = active_bom(headers, as_of).select("item_id", "bom_id", "base_qty")
     uses = chosen.join(lines, "bom_id").select(
@@ -216,12 +220,14 @@ def rolled_cost(headers: DataFrame, lines: DataFrame, items: DataFrame, as_of) -
     have_lines = uses.select(F.col("parent").alias("item_id")).distinct()
     cost = F.col("std_cost").cast("decimal(20,6)")
     empty_bom = chosen.select("item_id").join(have_lines, "item_id", "left_anti")
+    absent = uses.select(F.col("child").alias("item_id")).distinct().join(items, "item_id", "left_anti").join(have_lines, "item_id", "left_anti")
     leaves = union_all([
-        items.join(chosen.select("item_id"), "item_id", "left_anti").select("item_id", cost.alias("rolled_cost")),
-        empty_bom.select("item_id", F.lit(0).cast("decimal(20,6)").alias("rolled_cost")),
+        items.join(chosen.select("item_id"), "item_id", "left_anti").select("item_id", cost.alias("rolled_cost"), F.lit(True).alias("whole")),
+        empty_bom.select("item_id", F.lit(0).cast("decimal(20,6)").alias("rolled_cost"), F.lit(True).alias("whole")),
+        absent.select("item_id", F.lit(None).cast("decimal(20,6)").alias("rolled_cost"), F.lit(False).alias("whole")),
     ])
     known = [materialize(leaves, "cost")]
-    for _ in range(MAX_LEVELS):
+    while True:
         done = union_all(known)
         open_uses = uses.join(done.select(F.col("item_id").alias("parent")), "parent", "left_anti")
         priced = open_uses.join(done.withColumnRenamed("item_id", "child"), "child", "left")
@@ -229,29 +235,57 @@ def rolled_cost(headers: DataFrame, lines: DataFrame, items: DataFrame, as_of) -
         solved = (
             priced.groupBy("parent")
             .agg(F.sum(part.cast("decimal(36,18)")).alias("total"), F.max("base").alias("base"),
-                 F.count(F.lit(1)).alias("n"), F.count("rolled_cost").alias("n_known"))
+                 F.count(F.lit(1)).alias("n"), F.count("whole").alias("n_known"), F.bool_and("whole").alias("whole"))
             .filter("n = n_known")
             .select(F.col("parent").alias("item_id"),
-                    F.round(F.col("total") / F.col("base"), 6).cast("decimal(20,6)").alias("rolled_cost"))
+                    F.when(F.col("whole"), F.round(F.col("total") / F.col("base"), 6)).cast("decimal(20,6)").alias("rolled_cost"), "whole")
         )
         solved, count = materialize_counted(solved, "cost")
         if not count:
             break
         known.append(solved)
     done = union_all(known)
-    failed = have_lines.join(done, "item_id", "left_anti").withColumn("error_code", F.lit("M2002"))
-    return done, failed
+    broken = done.filter(~F.col("whole")).join(have_lines, "item_id", "left_semi").select("item_id", F.lit("M1001").alias("error_code"))
+    circular = have_lines.join(done, "item_id", "left_anti").withColumn("error_code", F.lit("M2002"))
+    return done.filter("whole").drop("whole"), broken.unionByName(circular)
+
+
+def circular_items(edges: DataFrame) -> DataFrame:
+    """item_id of every item on a cycle of (parent, item_id) edges."""
+    links = edges.select(F.col("parent").alias("src"), F.col("item_id").alias("dst"))
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    groups = strongly_connected(nodes, links)
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    own = links.filter("src = dst").select(F.col("src").alias("item_id"))
+    return groups.join(several, "component").select(F.col("node").alias("item_id")).union(own).distinct()
 
 
 def low_level_codes(headers: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Deepest level of each component under any FG/SEMI root.
+    """Codes of :func:`low_level_codes_checked` alone."""
+    return low_level_codes_checked(headers, lines, items)[0]
+
+
+def low_level_codes_checked(headers: DataFrame, lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, llc): deepest level of each component under any FG/SEMI root; and the items on cycles (M2002).
 
     Each round holds the distinct items of one level, so the number of paths
-    through shared components never matters.
+    through shared components never matters. Items on a cycle get no code and pass
+    no level down; all others are coded, however deep.
     """
     active = headers.filter(F.col("status") == "ACTIVE").select("bom_id", F.col("item_id").alias("parent"))
     edges = materialize(
         lines.join(active, "bom_id").select("parent", F.col("component_item_id").alias("item_id")).distinct(), "edges")
+    codes = _levels_below(edges, items, LOOK_FOR_CYCLES)
+    if codes is not None:
+        return codes, edges.select("item_id", F.lit("M2002").alias("error_code")).limit(0)
+    circular = materialize(circular_items(edges), "circular")
+    on_cycle = circular.withColumnRenamed("item_id", "parent")
+    open_edges = materialize(edges.join(on_cycle, "parent", "left_anti").join(circular, "item_id", "left_anti"), "edges")
+    return _levels_below(open_edges, items, None), circular.withColumn("error_code", F.lit("M2002"))
+
+
+def _levels_below(edges: DataFrame, items: DataFrame, look_at: int | None) -> DataFrame | None:
+    """Codes over ``edges``; None if they go deeper than ``look_at`` levels."""
     front = items.filter(F.col("item_type").isin("FG", "SEMI")).select(F.col("item_id").alias("parent"))
     chunks, level = [], 0
     while True:
@@ -266,8 +300,8 @@ def low_level_codes(headers: DataFrame, lines: DataFrame, items: DataFrame) -> D
         chunks.append(chunk)
         if not count:
             break
-        if level > MAX_LEVELS and not chunk.filter(F.col("lvl") > MAX_LEVELS).isEmpty():
-            raise StructureError(f"structure deeper than {MAX_LEVELS} levels or cyclic")
+        if look_at is not None and level > look_at:
+            return None
         front = chunk.filter(F.col("lvl") == level).select(F.col("item_id").alias("parent"))
     return union_all(chunks).groupBy("item_id").agg(F.max("lvl").alias("llc"))
 

@@ -123,7 +123,7 @@ def fifo_allocate(
     """Issue stock first-in first-out for many requests.
 
     ``requests``: request_id, item_id, warehouse_id, qty and the ``order``
-    columns. Returns ``allocations``, the ``lots`` after them, the ledger
+    columns. Returns ``allocations``, the ``lots`` and ``balances`` after them, the ledger
     ``txns`` and the ``rejects`` (M3005 quantity, M3001 not enough). Requests the
     balance allows but the lots cannot fill are in ``short`` with what is missing.
     """
@@ -161,7 +161,9 @@ def fifo_allocate(
     short = served.join(got, "request_id", "left").withColumn(
         "short_qty", (F.col("qty") - F.coalesce("__got", F.lit(0))).cast(QTY)).filter("short_qty > 0").drop("__got")
     rejects = bad.unionByName(refused.drop("available_before"))
-    return {"allocations": allocations, "lots": new_lots, "txns": txns, "rejects": rejects, "short": short}
+    drawn = allocations.groupBy(*KEY).agg(F.sum("qty").cast(QTY).alias("__drawn"))
+    after = balances.join(drawn, KEY, "left").withColumn("qty_on_hand", (F.col("qty_on_hand") - F.coalesce("__drawn", F.lit(0))).cast(QTY)).drop("__drawn")
+    return {"allocations": allocations, "lots": new_lots, "txns": txns, "rejects": rejects, "short": short, "balances": after.select(balances.columns)}
 
 
 def post_ledger(movements: DataFrame, as_of, order: list[str], start_seq: int = 0) -> DataFrame:
@@ -300,10 +302,13 @@ def adjust_stock(counts: DataFrame, lots: DataFrame, balances: DataFrame, as_of,
     return {"lots": new_lots, "balances": kept.unionByName(rebuilt), "txns": txns, "rejects": bad, "short": drawn["short"]}
 
 
-def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order: list[str], as_of) -> dict[str, DataFrame]:
+def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order: list[str], as_of, full_quantity: bool = False) -> dict[str, DataFrame]:
     """Move stock between warehouses at the weighted cost of the lots drawn.
 
-    ``moves``: move_id, item_id, from_wh, to_wh, qty and the ``order`` columns.
+    ``moves``: move_id, item_id, from_wh, to_wh, qty and the ``order`` columns. What the
+    lots gave arrives (``inbound``) and the rest is in ``short``, so no quantity is made;
+    ``full_quantity=True`` lets the asked quantity arrive whatever the lots gave. Returns
+    also the ``target_lots`` received and the ``balances`` of both sides.
     """
     good, bad = split_by_rules(moves, [
         ("M3004", F.col("from_wh") != F.col("to_wh"), "warehouses must differ"),
@@ -313,13 +318,17 @@ def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order
         *[c for c in order if c not in ("move_id", "item_id", "qty")])
     order = ["request_id" if c == "move_id" else c for c in order]
     out = fifo_allocate(lots, requests, balances, order, as_of, txn_type="XFER_OUT")
-    cost = out["allocations"].groupBy("request_id").agg(F.sum("alloc_cost").cast("decimal(24,4)").alias("__cost"))
+    cost = out["allocations"].groupBy("request_id").agg(F.sum("alloc_cost").cast("decimal(24,4)").alias("__cost"), F.sum("qty").cast(QTY).alias("__moved"))
     refused = out["rejects"].select(F.col("request_id").alias("move_id"))
     total = F.coalesce("__cost", F.lit(0).cast("decimal(24,4)"))
+    moved = F.col("qty") if full_quantity else F.coalesce("__moved", F.lit(0))
     inbound = (
-        good.join(refused, "move_id", "left_anti").join(cost, F.col("move_id") == cost["request_id"], "left").select(
-            "move_id", "item_id", F.col("to_wh").alias("warehouse_id"), "qty",
-            F.round(total / F.col("qty").cast("decimal(14,4)"), 6).cast(COST).alias("unit_cost")))
+        good.join(refused, "move_id", "left_anti").join(cost, F.col("move_id") == cost["request_id"], "left").withColumn("__in", moved.cast(QTY)).filter("__in > 0").select(
+            "move_id", "item_id", F.col("to_wh").alias("warehouse_id"), F.col("__in").alias("qty"),
+            F.round(total / F.col("__in").cast("decimal(14,4)"), 6).cast(COST).alias("unit_cost")))
+    inbound = materialize(inbound, "inbound")
+    got = receive_stock(inbound.withColumn("lot_no", F.lit(None).cast("string")), out["balances"], ["move_id"], as_of, txn_type="XFER_IN")
+    short = out["short"].select(F.col("request_id").alias("move_id"), "item_id", "warehouse_id", "short_qty")
     txns_in = inbound.select(
         "item_id", "warehouse_id", F.col("move_id").alias("ref_doc_id"), F.lit("XFER_IN").alias("txn_type"),
         F.lit("I").alias("direction"), F.col("qty").alias("quantity"), "unit_cost",
@@ -327,7 +336,8 @@ def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order
     rejects = bad.select("move_id", "error_code").unionByName(
         out["rejects"].select(F.col("request_id").alias("move_id"), "error_code"))
     return {"allocations": out["allocations"], "lots": out["lots"], "inbound": inbound,
-            "txns_out": out["txns"], "txns_in": txns_in, "rejects": rejects}
+            "txns_out": out["txns"], "txns_in": txns_in, "rejects": rejects, "short": short,
+            "target_lots": got["lots"], "balances": got["balances"]}
 
 
 def archive_txns(txns: DataFrame, before) -> tuple[DataFrame, DataFrame, str]:

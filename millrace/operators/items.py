@@ -94,8 +94,12 @@ def lookup_items(df: DataFrame, items: DataFrame, key: str = "item_code") -> tup
 
 
 def load_items(new_rows: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Validated new items with ids after the current maximum, and the rejects."""
-    known = new_rows.join(items.select("item_code", F.lit(True).alias("__dup")), "item_code", "left")
+    """Validated new items with ids after the current maximum, and the rejects.
+
+    A code used before, or by several of the new rows, is rejected in all of them.
+    """
+    taken = items.select("item_code").union(new_rows.groupBy("item_code").count().filter("count > 1").select("item_code")).distinct()
+    known = new_rows.join(taken.withColumn("__dup", F.lit(True)), "item_code", "left")
     good, bad = split_by_rules(known, [
         ("M1001", F.col("item_type").isin(*ITEM_TYPES), "illegal item type"),
         ("M1004", F.col("__dup").isNull(), "item code already used"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import doc_no
-from millrace.operators.bom import MAX_LEVELS, StructureError, active_bom, low_level_codes, structure_edges
+from millrace.operators.bom import active_bom, low_level_codes_checked, structure_edges
 from millrace.operators.common import best_per_key, union_all
 from millrace.operators.ordered import row_numbers, running_sums
 from millrace.session import materialize, materialize_counted
@@ -46,41 +46,43 @@ def in_transit(po_lines: DataFrame, orders: DataFrame, run_date, horizon: int) -
 
 
 def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: DataFrame, headers: DataFrame, lines: DataFrame,
-            run_date, horizon: int = 90, run_id: int = 1, phantom: str = "skip") -> tuple[DataFrame, DataFrame]:
-    """(plan rows, run summary): netting level by level down the structure.
+            run_date, horizon: int = 90, run_id: int = 1, phantom: str = "skip") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plan rows, run summary, rejects): netting level by level down the structure.
 
     All items of one low-level code are netted in one job, and their net need is
-    passed to the next levels; at most twenty rounds whatever the item count.
-    ``phantom="skip"`` drops phantom components; ``"pass_through"`` hands their
-    need straight to their own components.
+    passed to the next levels: one round per level. ``phantom="skip"`` drops phantom
+    components; ``"pass_through"`` hands their need straight to their own components.
+    ``rejects`` (item_id, level_no, qty, error_code) hold the need that cannot be planned:
+    M1001 for unknown items, M2002 for items on a cycle, M2004 for need that comes from
+    an uncoded parent to a level netted before. Need planned and rejected add up.
     """
     if phantom not in ("skip", "pass_through"):
         raise ValueError("phantom must be skip or pass_through")
     end = F.date_add(F.lit(run_date).cast("date"), horizon)
-    codes = materialize(low_level_codes(headers, lines, items), "llc")
+    codes, circular = low_level_codes_checked(headers, lines, items)
+    codes, circular = materialize(codes, "llc"), materialize(circular.select("item_id"), "circular")
     edges = materialize(structure_edges(headers, lines, items, run_date).select(
         F.col("parent_item_id").alias("parent"), F.col("component_item_id").alias("item_id"), "qty_per",
         (F.lit(1).cast("decimal(1,0)") - F.coalesce("scrap_rate", F.lit(0).cast("decimal(8,4)"))).alias("yield_rate"), "is_phantom"), "edges")
     supply = materialize(
         items.select("item_id", "lead_time_days")
         .join(default_warehouse(balances).select("item_id", "warehouse_id", "available"), "item_id", "left")
-        .join(transit, "item_id", "left"), "supply")
+        .join(transit, "item_id", "left").join(circular, "item_id", "left_anti"), "supply")
     pending = [materialize(
         demand.join(codes, "item_id", "left").select("item_id", "qty", F.coalesce("llc", F.lit(0)).alias("level_no")), "need")]
-    plans = []
+    plans, rejects = [], []
 
     def dependents(net: DataFrame, level: int) -> DataFrame:
         need = F.round(F.col("net") * F.col("qty_per").cast("decimal(12,6)") / F.col("yield_rate").cast("decimal(9,4)"), 6).cast(NEED)
         step = net.withColumnRenamed("item_id", "parent").join(edges, "parent").select("item_id", need.alias("qty"), "is_phantom")
         real = [step.filter("is_phantom <> 'Y'")]
         hollow = step.filter("is_phantom = 'Y'")
-        for _ in range(MAX_LEVELS if phantom == "pass_through" else 0):
-            if hollow.isEmpty():
-                break
+        hollow = hollow.join(circular, "item_id", "left_anti")  # a phantom on a cycle has nothing to hand on
+        while phantom == "pass_through" and not hollow.isEmpty():
             deeper = materialize(hollow.select(F.col("item_id").alias("parent"), F.col("qty").alias("net")).join(edges, "parent").select(
                 "item_id", need.alias("qty"), "is_phantom"), "phantom")
             real.append(deeper.filter("is_phantom <> 'Y'"))
-            hollow = deeper.filter("is_phantom = 'Y'")
+            hollow = deeper.filter("is_phantom = 'Y'").join(circular, "item_id", "left_anti")
         out = union_all(real).groupBy("item_id").agg(F.sum("qty").cast(NEED).alias("qty"))
         return out.join(codes, "item_id", "left").select("item_id", "qty", F.coalesce("llc", F.lit(level + 1)).alias("level_no"))
 
@@ -91,6 +93,8 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
     while True:
         here = union_all([p.filter(F.col("level_no") == level) for p in pending]).groupBy("item_id").agg(
             F.sum("qty").cast(NEED).alias("gross")).filter("gross > 0")
+        lost = here.join(supply, "item_id", "left_anti").join(circular.withColumn("__loop", F.lit(True)), "item_id", "left")
+        rejects.append(lost.select("item_id", F.lit(level).alias("level_no"), F.col("gross").alias("qty"), F.when(F.col("__loop"), "M2002").otherwise("M1001").alias("error_code")))
         zero = F.lit(0).cast(QTY)
         net = here.join(supply, "item_id").withColumns({
             "available": F.coalesce("available", zero), "in_transit": F.coalesce("in_transit", zero)}).withColumn(
@@ -98,12 +102,11 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
         rows = materialize(net.withColumn("level_no", F.lit(level)), "plan")
         plans.append(rows)
         below, count = materialize_counted(dependents(rows.filter("net > 0").select("item_id", "net"), level), "need")
+        rejects.append(below.filter(F.col("level_no") <= level).select("item_id", "level_no", "qty", F.lit("M2004").alias("error_code")))
         pending.append(below)
         if level >= deepest and (not count or below.filter(F.col("level_no") > level).isEmpty()):
             break
         level += 1
-        if level > MAX_LEVELS:
-            raise StructureError("demand keeps passing down: cyclic structure")
     lead = F.coalesce("lead_time_days", F.lit(0))
     ordered = F.col("net") > 0
     planned = F.when(ordered, F.round("net", 4)).otherwise(0).cast(QTY)
@@ -115,7 +118,7 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
         F.when(ordered, F.concat(F.lit(ORDER_TEXT), lead.cast("string"), F.lit(DAYS_TEXT))).otherwise(COVERED_TEXT).alias("action_msg"))
     summary = plan.agg(F.lit(run_id).alias("run_id"), F.lit("SUCCESS").alias("status"), F.count(F.lit(1)).alias("item_count"),
                        F.count(F.lit(1)).alias("plan_count"), F.coalesce(F.max("level_no"), F.lit(0)).alias("max_level"))
-    return plan, summary
+    return plan, summary, union_all(rejects)
 
 
 def netting_detail(plan: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.common import union_all, valid_at
+from millrace.operators.common import small_side, valid_at
 
 WILD = ("item_id", "category_id", "customer_id")
 
@@ -46,10 +44,10 @@ def _preference() -> list[Column]:
 def _candidates(requests: DataFrame, rules: DataFrame, as_of, tiered: bool) -> DataFrame:
     """Request x matching rule pairs.
 
-    A wildcard match is a theta join. Instead, rules are split by which of item,
-    category and customer they name; within one such class the match is an
-    equi-join on list and named columns. Rules of a class that share key and tier
-    cannot both win, so only the preferred one is kept before a tiered join.
+    A wildcard match is a theta join. Instead, rules are classed by which of item,
+    category and customer they name. A request gets one key per class that has rules,
+    and one equi-join on list, class and key finds the pairs. Rules of a class that share
+    key and tier cannot both win, so only the preferred one is kept before a tiered join.
     """
     live = rules.filter((F.col("is_active") == "Y") & valid_at(as_of, "valid_from", "valid_to")).select(
         "rule_id", F.col("price_list_id").alias("r_list"), *[F.col(c).alias(f"r_{c}") for c in WILD],
@@ -59,19 +57,24 @@ def _candidates(requests: DataFrame, rules: DataFrame, as_of, tiered: bool) -> D
         rest = [c for c in live.columns if c not in key]
         live = live.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("priority", "rule_id")).alias("w")).select(
             *key, *[F.col(f"w.{c}").alias(c) for c in rest])
-    parts = []
-    for named in product([True, False], repeat=len(WILD)):
-        side = live
-        on = requests["price_list_id"] == F.col("r_list")
-        for column, is_set in zip(WILD, named):
-            side = side.filter(F.col(f"r_{column}").isNotNull() if is_set else F.col(f"r_{column}").isNull())
-            if is_set:
-                on = on & (requests[column] == F.col(f"r_{column}"))
-        if tiered:
-            on = on & (F.col("min_qty") <= requests["qty"]) & (
-                F.col("max_qty").isNull() | (F.col("max_qty") > requests["qty"]))
-        parts.append(requests.join(side, on))
-    return union_all(parts)
+    named = F.concat(*[F.when(F.col(f"r_{c}").isNull(), "0").otherwise("1") for c in WILD])
+    live = small_side(live.withColumns({"r_class": named, "r_key": F.concat_ws("\x01", *[F.col(f"r_{c}").cast("string") for c in WILD])}))
+    classes = sorted(r["r_class"] for r in live.select("r_class").distinct().collect())  # at most eight
+
+    def request_key(name: str) -> Column:
+        columns = [c for c, flag in zip(WILD, name) if flag == "1"]
+        given = F.lit(True)
+        for c in columns:
+            given = given & F.col(c).isNotNull()
+        key = F.concat_ws("\x01", *[F.col(c).cast("string") for c in columns]) if columns else F.lit("")
+        return F.when(given, F.struct(F.lit(name).alias("q_class"), key.alias("q_key")))
+
+    keys = F.filter(F.array(*[request_key(name) for name in classes]), lambda k: k.isNotNull()) if classes else F.array().cast("array<struct<q_class:string,q_key:string>>")
+    asked = requests.withColumn("__k", F.explode(keys)).select(*requests.columns, "__k.q_class", "__k.q_key")
+    on = (F.col("price_list_id") == F.col("r_list")) & (F.col("q_class") == F.col("r_class")) & (F.col("q_key") == F.col("r_key"))
+    if tiered:
+        on = on & (F.col("min_qty") <= F.col("qty")) & (F.col("max_qty").isNull() | (F.col("max_qty") > F.col("qty")))
+    return asked.join(live, on).drop("q_class", "q_key", "r_class", "r_key")
 
 
 def match_price_rules(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame:
@@ -85,8 +88,17 @@ def match_price_rules(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame
     ).select("request_id", "r.rule_id", "r.rule_type", "r.price_value")
 
 
+def price_rejects(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: DataFrame, as_of) -> DataFrame:
+    """Requests that :func:`price` leaves out: M1001 unknown item, M6002 no price list."""
+    picked = pick_price_list(customers, lists, as_of).select("customer_id", "price_list_id")
+    known = items.select("item_id", F.lit(True).alias("__item"))
+    full = requests.join(known, "item_id", "left").join(picked, "customer_id", "left")
+    code = F.when(F.col("__item").isNull(), "M1001").when(F.coalesce("price_list_id", default_price_list(lists, as_of)).isNull(), "M6002")
+    return full.select("request_id", code.alias("error_code")).filter(F.col("error_code").isNotNull())
+
+
 def price(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: DataFrame, rules: DataFrame, as_of) -> DataFrame:
-    """Base and final price of every request.
+    """Base and final price of every request whose item and price list exist (see :func:`price_rejects`).
 
     ``requests``: request_id, item_id, customer_id (nullable), qty (null means 1).
     """
@@ -97,6 +109,7 @@ def price(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: Da
         .join(dims, "item_id")
         .join(picked, "customer_id", "left")
         .withColumn("price_list_id", F.coalesce("price_list_id", default_price_list(lists, as_of)))
+        .filter(F.col("price_list_id").isNotNull())
     )
     won = match_price_rules(
         full.select("request_id", "price_list_id", "item_id", "category_id", "customer_id", "qty"), rules, as_of)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.errors import ERROR_CODES, UNKNOWN_NUMERIC_CODE
-from millrace.functions.columns import format_with_uom, round_by_digits
+from millrace.functions.columns import format_with_uom, money_display, round_by_digits
 from millrace.operators.common import small_side, union_all
 
 
@@ -75,9 +75,14 @@ def typed_params(params: DataFrame, number_default=0) -> DataFrame:
 
 
 def read_params(params: DataFrame, keys: Sequence[str]) -> dict[str, object]:
-    """The named parameters on the driver (at most ``len(keys)`` rows)."""
-    rows = typed_params(params).filter(F.col("param_key").isin(list(keys))).limit(len(keys)).collect()
+    """The named parameters on the driver; a key with several rows is an error."""
+    named = typed_params(params).filter(F.col("param_key").isin(list(keys)))
     pick = {"NUMBER": "value_number", "DATE": "value_date", "STRING": "value_string"}
+    one = named.groupBy("param_key").agg(F.count(F.lit(1)).alias("n"), F.first("param_type").alias("param_type"), *[F.first(c).alias(c) for c in pick.values()])
+    rows = one.collect()  # a row per key at most
+    repeated = sorted(r["param_key"] for r in rows if r["n"] > 1)
+    if repeated:
+        raise ValueError(f"parameters with several rows: {', '.join(repeated)}")
     return {r["param_key"]: r[pick[r["param_type"]]] for r in rows}
 
 
@@ -144,12 +149,22 @@ def map_error_codes(rejects: DataFrame) -> DataFrame:
 
 
 def sum_money(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Sum ``amount`` per key; groups that mix currencies are rejects."""
+    """Sum ``amount`` per key; groups that mix currencies or miss one are rejects."""
     agg = df.groupBy(*keys).agg(
         F.sum("amount").alias("amount"), F.min("currency_code").alias("currency_code"), F.max("currency_code").alias("__max"),
-        F.count(F.lit(1)).alias("n"))
-    same = F.col("currency_code") == F.col("__max")
-    return agg.filter(same).drop("__max"), agg.filter(~same).select(*keys, "n", F.lit("MIXED_CURRENCY").alias("error_code"))
+        F.count(F.lit(1)).alias("n"), F.count("currency_code").alias("__named"))
+    wrong = F.when(F.col("__named") < F.col("n"), "MISSING_CURRENCY").when(F.col("currency_code") != F.col("__max"), "MIXED_CURRENCY")
+    marked = agg.withColumn("error_code", wrong)
+    good = marked.filter(F.col("error_code").isNull()).drop("__max", "__named", "error_code")
+    return good, marked.filter(F.col("error_code").isNotNull()).select(*keys, "n", "error_code")
+
+
+def money_parts(df: DataFrame, amount: str = "amount", currency: str = "currency_code") -> DataFrame:
+    """Add the amount's scale-4 value, absolute and negated value, zero test and display text."""
+    value = F.round(F.col(amount), 4).cast("decimal(24,4)")
+    return df.withColumns({
+        "amount_scaled": value, "amount_abs": F.abs(value), "amount_minus": -value, "is_zero": value == 0,
+        "amount_text": money_display(F.col(amount), F.col(currency))})
 
 
 def audit_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], table_name: str) -> DataFrame:

@@ -36,7 +36,7 @@ FRAMES: dict[str, str] = {
                     WHEN 3 * p_partkey + 1 <= (SELECT MAX(p_partkey) FROM {part}) THEN 'SEMI'
                     WHEN p_size = 50 THEN 'SVC' ELSE 'RAW' END AS item_type,
                p_type || '/' || p_brand AS category_id,
-               CASE p_size % 3 WHEN 0 THEN 'EA' WHEN 1 THEN 'KG' ELSE 'M' END AS base_uom,
+               CASE p_size % 3 WHEN 0 THEN 'UNIT' WHEN 1 THEN 'TON' ELSE 'YD' END AS base_uom,
                CAST(p_retailprice AS DECIMAL(20,6)) AS std_cost,
                CAST(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(1.5 AS DECIMAL(3,1)) AS DECIMAL(20,4)) AS list_price,
                CASE WHEN p_partkey < 30 OR 3 * p_partkey + 1 <= (SELECT MAX(p_partkey) FROM {part}) THEN 'STD'
@@ -84,7 +84,7 @@ FRAMES: dict[str, str] = {
         SELECT p_partkey AS line_id, CAST(FLOOR((p_partkey - 1) / 3) AS BIGINT) AS bom_id,
                CAST(10 * (1 + (p_partkey - 1) % 3) AS INT) AS line_no, p_partkey AS component_item_id,
                CAST(1 + p_size % 3 AS DECIMAL(18,6)) AS qty_per,
-               CASE p_size % 3 WHEN 0 THEN 'EA' WHEN 1 THEN 'KG' ELSE 'M' END AS uom,
+               CASE p_size % 3 WHEN 0 THEN 'UNIT' WHEN 1 THEN 'TON' ELSE 'YD' END AS uom,
                CAST(CAST(p_size % 5 AS DECIMAL(6,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(8,4)) AS scrap_rate,
                'N' AS is_phantom
           FROM {part} WHERE p_partkey >= 1
@@ -93,7 +93,7 @@ FRAMES: dict[str, str] = {
                CAST(10 * (1 + (p_partkey - 1) % 3) AS INT),
                CASE WHEN p_size % 10 = 9 THEN p_partkey + 1 ELSE p_partkey END,
                CAST(1 + p_size % 3 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,6)),
-               CASE p_size % 3 WHEN 0 THEN 'EA' WHEN 1 THEN 'KG' ELSE 'M' END,
+               CASE p_size % 3 WHEN 0 THEN 'UNIT' WHEN 1 THEN 'TON' ELSE 'YD' END,
                CAST(CAST(p_size % 5 AS DECIMAL(6,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(8,4)), 'N'
           FROM {part} WHERE p_partkey >= 1 AND NOT (p_partkey % 3 = 0 AND p_size % 4 = 1)""",
     "warehouses": """
@@ -204,12 +204,12 @@ FRAMES: dict[str, str] = {
                CAST(NULL AS DECIMAL(18,4)), 'DISCOUNT_PCT', CAST(0.01 AS DECIMAL(20,6)), 99, DATE '1995-01-01', CAST(NULL AS DATE), 'Y'
           FROM {region} WHERE r_regionkey = 0""",
     "uoms": """
-        SELECT * FROM (VALUES ('EA', 'EA', 0, 'Y'), ('PCS', 'EA', 0, 'N'), ('BOX', 'EA', 0, 'N'), ('SET', 'EA', 0, 'N'),
-               ('KG', 'WT', 3, 'Y'), ('G', 'WT', 3, 'N'), ('M', 'LEN', 2, 'Y'), ('CM', 'LEN', 2, 'N'))
+        SELECT * FROM (VALUES ('UNIT', 'COUNT', 0, 'Y'), ('PAIR', 'COUNT', 0, 'N'), ('CRATE', 'COUNT', 0, 'N'), ('PALLET', 'COUNT', 0, 'N'),
+               ('TON', 'MASS', 3, 'Y'), ('LB', 'MASS', 3, 'N'), ('YD', 'DIST', 2, 'Y'), ('FT', 'DIST', 2, 'N'))
                AS w(uom_code, uom_category, decimal_digits, is_base)""",
     "uom_conversions": """
-        SELECT from_uom, to_uom, CAST(factor AS DECIMAL(20,8)) AS factor FROM (VALUES ('KG', 'G', 1000.0), ('G', 'KG', 0.001),
-               ('BOX', 'EA', 12.0), ('PCS', 'EA', 1.0), ('SET', 'EA', 1.0), ('M', 'CM', 100.0), ('CM', 'M', 0.01))
+        SELECT from_uom, to_uom, CAST(factor AS DECIMAL(20,8)) AS factor FROM (VALUES ('TON', 'LB', 2204.5), ('YD', 'FT', 3.0),
+               ('PAIR', 'UNIT', 2.0), ('CRATE', 'UNIT', 24.0), ('PALLET', 'UNIT', 960.0))
                AS w(from_uom, to_uom, factor)""",
     "nodes": """
         SELECT p_partkey AS node, CAST(FLOOR(p_partkey / 18) AS BIGINT) AS grp, p_size AS w FROM {part}""",

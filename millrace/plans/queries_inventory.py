@@ -7,15 +7,15 @@ from millrace.plans.bridge import AS_OF
 from millrace.plans.catalog import exact_div, huge, query
 
 _K = "item_id, warehouse_id"
-_OPEN = """open_lots AS (SELECT item_id, warehouse_id, lot_id, unit_cost, qty_on_hand - qty_allocated AS avail,
+_OPEN = """open_lots AS MATERIALIZED (SELECT item_id, warehouse_id, lot_id, unit_cost, qty_on_hand - qty_allocated AS avail,
         SUM(qty_on_hand - qty_allocated) OVER (PARTITION BY item_id, warehouse_id ORDER BY receipt_date, lot_id) AS hi
    FROM {lots} WHERE status = 'AVAILABLE' AND qty_on_hand - qty_allocated > 0)"""
 
 
 def _served(requests: str) -> str:
     """Greedy admission by a recursion over the requests of each key."""
-    return f"""req AS ({requests}),
-    num AS (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY r.item_id, r.warehouse_id ORDER BY request_id) AS rn,
+    return f"""req AS MATERIALIZED ({requests}),
+    num AS MATERIALIZED (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY r.item_id, r.warehouse_id ORDER BY request_id) AS rn,
                    COALESCE(b.qty_on_hand - b.qty_allocated, 0) AS avail0
               FROM req r LEFT JOIN {{balances}} b ON b.item_id = r.item_id AND b.warehouse_id = r.warehouse_id WHERE qty > 0),
     adm AS (SELECT request_id, item_id, warehouse_id, qty, rn, CAST(avail0 AS DECIMAL(28,4)) AS before, qty <= avail0 AS ok,
@@ -24,9 +24,9 @@ def _served(requests: str) -> str:
             SELECT n.request_id, n.item_id, n.warehouse_id, n.qty, n.rn, a.rest, n.qty <= a.rest,
                    CAST(CASE WHEN n.qty <= a.rest THEN a.rest - n.qty ELSE a.rest END AS DECIMAL(28,4))
               FROM adm a JOIN num n ON n.item_id = a.item_id AND n.warehouse_id = a.warehouse_id AND n.rn = a.rn + 1),
-    served AS (SELECT *, SUM(qty) OVER (PARTITION BY item_id, warehouse_id ORDER BY request_id) AS hi FROM adm WHERE ok),
+    served AS MATERIALIZED (SELECT *, SUM(qty) OVER (PARTITION BY item_id, warehouse_id ORDER BY request_id) AS hi FROM adm WHERE ok),
     {_OPEN},
-    alloc AS (SELECT s.request_id, s.item_id, s.warehouse_id, l.lot_id, l.unit_cost, s.before,
+    alloc AS MATERIALIZED (SELECT s.request_id, s.item_id, s.warehouse_id, l.lot_id, l.unit_cost, s.before,
                      LEAST(l.hi, s.hi) - GREATEST(l.hi - l.avail, s.hi - s.qty) AS qty,
                      GREATEST(l.hi - l.avail, s.hi - s.qty) - (s.hi - s.qty) AS drawn
                 FROM served s JOIN open_lots l ON l.item_id = s.item_id AND l.warehouse_id = s.warehouse_id
@@ -234,16 +234,36 @@ _MOVE_REQ = """SELECT so_line_id AS request_id, item_id, CAST(so_id % 3 + 1 AS I
 
 @query("transfer_stock", "move_id:s warehouse_id:l qty:d unit_cost:d error_code:s",
        f"""WITH {_served(_MOVE_REQ)},
-           c AS (SELECT request_id, SUM(CAST(qty * CAST(unit_cost AS DECIMAL(14,4)) AS DECIMAL(20,4))) AS cost FROM alloc GROUP BY request_id)
-           SELECT s.request_id AS move_id, r.to_wh AS warehouse_id, s.qty, {exact_div('CAST(COALESCE(cost, 0) * 10000 AS HUGEINT)', huge('s.qty', 4), 6)} AS unit_cost, NULL AS error_code
-             FROM served s JOIN req r ON r.request_id = s.request_id LEFT JOIN c ON c.request_id = s.request_id
+           c AS (SELECT request_id, SUM(qty) AS moved, SUM(CAST(qty * CAST(unit_cost AS DECIMAL(14,4)) AS DECIMAL(20,4))) AS cost FROM alloc GROUP BY request_id)
+           SELECT s.request_id AS move_id, r.to_wh AS warehouse_id, c.moved AS qty, {exact_div('CAST(c.cost * 10000 AS HUGEINT)', huge('c.moved', 4), 6)} AS unit_cost, NULL AS error_code
+             FROM served s JOIN req r ON r.request_id = s.request_id JOIN c ON c.request_id = s.request_id
+           UNION ALL SELECT s.request_id, s.warehouse_id, s.qty - COALESCE(c.moved, 0), NULL, 'SHORT' FROM served s LEFT JOIN c ON c.request_id = s.request_id WHERE s.qty > COALESCE(c.moved, 0)
            UNION ALL SELECT request_id, NULL, NULL, NULL, 'M3001' FROM adm WHERE NOT ok
            UNION ALL SELECT so_line_id, NULL, NULL, NULL, 'M3004' FROM {{so_lines}} WHERE CAST(so_id % 3 + 1 AS INT) = CAST((item_id + so_id) % 4 AS INT)""")
 def _(b):
     moves = b.so_lines.select(F.col("so_line_id").alias("move_id"), "item_id", (F.col("so_id") % 3 + 1).cast("int").alias("from_wh"),
                               ((F.col("item_id") + F.col("so_id")) % 4).cast("int").alias("to_wh"), F.col("qty_ordered").alias("qty"))
     out = inventory.transfer_stock(moves, b.lots, b.balances, ["move_id"], AS_OF)
-    return out["inbound"].unionByName(out["rejects"], allowMissingColumns=True)
+    short = out["short"].select("move_id", "warehouse_id", F.col("short_qty").alias("qty"), F.lit("SHORT").alias("error_code"))
+    return out["inbound"].unionByName(out["rejects"], allowMissingColumns=True).unionByName(short, allowMissingColumns=True)
+
+
+@query("transfer_stock_balances", "item_id:l qty:d",
+       "SELECT item_id, SUM(qty_on_hand) AS qty FROM {balances} GROUP BY item_id")
+def _(b):
+    """A transfer changes no item's total quantity."""
+    moves = b.so_lines.select(F.col("so_line_id").alias("move_id"), "item_id", (F.col("so_id") % 3 + 1).cast("int").alias("from_wh"),
+                              ((F.col("item_id") + F.col("so_id")) % 4).cast("int").alias("to_wh"), F.col("qty_ordered").alias("qty"))
+    after = inventory.transfer_stock(moves, b.lots, b.balances, ["move_id"], AS_OF)["balances"]
+    return after.groupBy("item_id").agg(F.sum("qty_on_hand").alias("qty"))
+
+
+@query("fifo_allocate_balances", "item_id:l warehouse_id:l qty_on_hand:d",
+       f"""WITH {_served(_ISSUES)}, used AS (SELECT item_id, warehouse_id, SUM(qty) AS u FROM alloc GROUP BY 1, 2)
+           SELECT b.item_id, b.warehouse_id, b.qty_on_hand - COALESCE(u, 0) AS qty_on_hand
+             FROM {{balances}} b LEFT JOIN used ON used.item_id = b.item_id AND used.warehouse_id = b.warehouse_id""")
+def _(b):
+    return _issue(b)["balances"]
 
 
 @query("available_qty", "item_id:l warehouse_id:l available:d",
@@ -275,8 +295,8 @@ def _(b):
     return inventory.reconcile_balances(b.ledger, b.lots, b.balances)
 
 
-_UOM_IN = """SELECT so_line_id, qty_ordered AS qty, CASE item_id % 5 WHEN 0 THEN 'BOX' WHEN 1 THEN 'KG' WHEN 2 THEN 'M' WHEN 3 THEN 'EA' ELSE 'XX' END AS from_uom,
-     CASE so_id % 6 WHEN 0 THEN 'PCS' WHEN 1 THEN 'G' WHEN 2 THEN 'CM' WHEN 3 THEN 'BOX' WHEN 4 THEN 'EA' ELSE 'SET' END AS to_uom FROM {so_lines}"""
+_UOM_IN = """SELECT so_line_id, qty_ordered AS qty, CASE item_id % 5 WHEN 0 THEN 'CRATE' WHEN 1 THEN 'TON' WHEN 2 THEN 'YD' WHEN 3 THEN 'UNIT' ELSE 'XX' END AS from_uom,
+     CASE so_id % 6 WHEN 0 THEN 'PAIR' WHEN 1 THEN 'LB' WHEN 2 THEN 'FT' WHEN 3 THEN 'CRATE' WHEN 4 THEN 'UNIT' ELSE 'PALLET' END AS to_uom FROM {so_lines}"""
 
 
 @query("convert_uom", "so_line_id:s qty:d from_uom:s to_uom:s converted:d error_code:s",
@@ -291,21 +311,21 @@ _UOM_IN = """SELECT so_line_id, qty_ordered AS qty, CASE item_id % 5 WHEN 0 THEN
                    FROM x LEFT JOIN {{uoms}} u ON u.uom_code = x.from_uom LEFT JOIN {{uoms}} v ON v.uom_code = x.to_uom
                    LEFT JOIN b ON b.from_uom = x.from_uom AND b.to_uom = x.to_uom)
            SELECT so_line_id, qty, from_uom, to_uom, error_code,
-                  CASE WHEN error_code IS NOT NULL THEN NULL WHEN from_uom = to_uom THEN qty
-                       WHEN dg = 0 THEN ROUND(CAST(qty AS DECIMAL(12,4)) * factor, 0) WHEN dg = 2 THEN ROUND(CAST(qty AS DECIMAL(12,4)) * factor, 2)
-                       ELSE ROUND(CAST(qty AS DECIMAL(12,4)) * factor, 3) END AS converted FROM j""")
+                  CASE WHEN error_code IS NOT NULL THEN NULL WHEN from_uom = to_uom THEN CAST(qty AS DOUBLE)
+                       WHEN dg = 0 THEN CAST(ROUND(CAST(qty AS DECIMAL(12,4)) * factor, 0) AS DOUBLE) WHEN dg = 2 THEN CAST(ROUND(CAST(qty AS DECIMAL(12,4)) * factor, 2) AS DOUBLE)
+                       ELSE CAST(ROUND(CAST(qty AS DECIMAL(12,4)) * factor, 3) AS DOUBLE) END AS converted FROM j""")
 def _(b):
     src = b.so_lines.select(
         "so_line_id", F.col("qty_ordered").alias("qty"),
-        F.expr("CASE item_id % 5 WHEN 0 THEN 'BOX' WHEN 1 THEN 'KG' WHEN 2 THEN 'M' WHEN 3 THEN 'EA' ELSE 'XX' END").alias("from_uom"),
-        F.expr("CASE so_id % 6 WHEN 0 THEN 'PCS' WHEN 1 THEN 'G' WHEN 2 THEN 'CM' WHEN 3 THEN 'BOX' WHEN 4 THEN 'EA' ELSE 'SET' END").alias("to_uom"))
+        F.expr("CASE item_id % 5 WHEN 0 THEN 'CRATE' WHEN 1 THEN 'TON' WHEN 2 THEN 'YD' WHEN 3 THEN 'UNIT' ELSE 'XX' END").alias("from_uom"),
+        F.expr("CASE so_id % 6 WHEN 0 THEN 'PAIR' WHEN 1 THEN 'LB' WHEN 2 THEN 'FT' WHEN 3 THEN 'CRATE' WHEN 4 THEN 'UNIT' ELSE 'PALLET' END").alias("to_uom"))
     good, bad = utility.convert_uom(src, b.uoms, b.uom_conversions)
     return good.unionByName(bad, allowMissingColumns=True)
 
 
 @query("round_and_format", "event_id:l uom:s rounded:d formatted:s",
        """WITH x AS (SELECT event_id, CAST(CAST(value AS DECIMAL(12,2)) * CAST(37.137 AS DECIMAL(8,3)) AS DECIMAL(20,5)) AS qty,
-              CASE event_id % 4 WHEN 0 THEN 'EA' WHEN 1 THEN 'KG' WHEN 2 THEN 'M' ELSE 'ZZ' END AS uom FROM events)
+              CASE event_id % 4 WHEN 0 THEN 'UNIT' WHEN 1 THEN 'TON' WHEN 2 THEN 'YD' ELSE 'ZZ' END AS uom FROM events)
           SELECT event_id, x.uom, CASE u.decimal_digits WHEN 0 THEN ROUND(qty, 0) WHEN 2 THEN ROUND(qty, 2) WHEN 3 THEN ROUND(qty, 3) ELSE ROUND(qty, 4) END AS rounded,
                  CASE u.decimal_digits WHEN 0 THEN format('{:,}', CAST(ROUND(qty, 0) AS BIGINT))
                       WHEN 3 THEN format('{:,}', CAST(FLOOR(ROUND(qty, 3)) AS BIGINT)) || '.' || right(CAST(CAST(ROUND(qty, 3) AS DECIMAL(20,3)) AS VARCHAR), 3)
@@ -313,7 +333,7 @@ def _(b):
             FROM x LEFT JOIN {uoms} u ON u.uom_code = x.uom""")
 def _(b):
     src = b.events.select("event_id", (F.col("value").cast("decimal(12,2)") * F.lit("37.137").cast("decimal(8,3)")).cast("decimal(20,5)").alias("qty"),
-                          F.expr("CASE event_id % 4 WHEN 0 THEN 'EA' WHEN 1 THEN 'KG' WHEN 2 THEN 'M' ELSE 'ZZ' END").alias("uom"))
+                          F.expr("CASE event_id % 4 WHEN 0 THEN 'UNIT' WHEN 1 THEN 'TON' WHEN 2 THEN 'YD' ELSE 'ZZ' END").alias("uom"))
     return utility.round_and_format(src, b.uoms)
 
 
@@ -367,12 +387,12 @@ def _(b):
 
 
 @query("sum_money", "o_custkey:l o_orderpriority:s amount:d currency_code:s n:l error_code:s",
-       """WITH g AS (SELECT o_custkey, o_orderpriority, SUM(CAST(o_totalprice AS DECIMAL(20,4))) AS amount, MIN(o_orderstatus) AS lo, MAX(o_orderstatus) AS hi, COUNT(*) AS n
-                       FROM orders GROUP BY 1, 2)
-          SELECT o_custkey, o_orderpriority, CASE WHEN lo = hi THEN amount END AS amount, CASE WHEN lo = hi THEN lo END AS currency_code, n,
-                 CASE WHEN lo <> hi THEN 'MIXED_CURRENCY' END AS error_code FROM g""")
+       """WITH g AS (SELECT o_custkey, o_orderpriority, SUM(CAST(o_totalprice AS DECIMAL(20,4))) AS amount, MIN(c) AS lo, MAX(c) AS hi, COUNT(*) AS n, COUNT(c) AS named
+                       FROM (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS c FROM orders) GROUP BY 1, 2),
+               h AS (SELECT *, CASE WHEN named < n THEN 'MISSING_CURRENCY' WHEN lo <> hi THEN 'MIXED_CURRENCY' END AS error_code FROM g)
+          SELECT o_custkey, o_orderpriority, CASE WHEN error_code IS NULL THEN amount END AS amount, CASE WHEN error_code IS NULL THEN lo END AS currency_code, n, error_code FROM h""")
 def _(b):
-    src = b.orders.select("o_custkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(20,4)").alias("amount"), F.col("o_orderstatus").alias("currency_code"))
+    src = b.orders.select("o_custkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(20,4)").alias("amount"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")).alias("currency_code"))
     good, bad = utility.sum_money(src, ["o_custkey", "o_orderpriority"])
     return good.unionByName(bad, allowMissingColumns=True)
 

@@ -79,7 +79,7 @@ def _(b):
 _LOAD = """h AS (SELECT p.po_id AS ref, CASE WHEN p.supplier_id % 29 = 0 THEN -1 ELSE p.supplier_id END AS sid, p.warehouse_id, p.expected_date FROM {purchase_orders} p),
   hj AS (SELECT h.*, CASE WHEN s.supplier_id IS NULL THEN 'M4001' WHEN s.status = 'BLOCKED' THEN 'M4004' END AS code FROM h LEFT JOIN {suppliers} s ON s.supplier_id = h.sid),
   lj AS (SELECT l.po_id AS ref, l.po_line_id AS line_ref, l.unit_price, CASE WHEN l.item_id % 19 = 0 THEN 0 ELSE l.qty_ordered END AS qty,
-                CASE WHEN l.item_id % 23 = 0 THEN -l.item_id - 1 ELSE l.item_id END AS item_id, CASE WHEN l.item_id % 2 = 0 THEN NULL ELSE 'BOX' END AS uom FROM {po_lines} l),
+                CASE WHEN l.item_id % 23 = 0 THEN -l.item_id - 1 ELSE l.item_id END AS item_id, CASE WHEN l.item_id % 2 = 0 THEN NULL ELSE 'CRATE' END AS uom FROM {po_lines} l),
   lc AS (SELECT lj.*, i.base_uom, CASE WHEN qty <= 0 THEN 'M4002' WHEN hj.code IS NOT NULL THEN 'M4001' WHEN i.item_id IS NULL THEN 'M1001' END AS code
            FROM lj JOIN hj ON hj.ref = lj.ref LEFT JOIN {items} i ON i.item_id = lj.item_id),
   ln AS (SELECT lc.*, 10 * ROW_NUMBER() OVER (PARTITION BY ref ORDER BY line_ref) AS line_no FROM lc WHERE code IS NULL)"""
@@ -92,7 +92,7 @@ def _load(b):
         F.col("po_id").alias("ref"), F.col("po_line_id").alias("line_ref"), "unit_price", "need_date",
         F.when(F.col("item_id") % 19 == 0, 0).otherwise(F.col("qty_ordered")).cast("decimal(18,4)").alias("qty"),
         F.when(F.col("item_id") % 23 == 0, -F.col("item_id") - 1).otherwise(F.col("item_id")).alias("item_id"),
-        F.when(F.col("item_id") % 2 == 1, "BOX").alias("uom"))
+        F.when(F.col("item_id") % 2 == 1, "CRATE").alias("uom"))
     return procurement.load_purchase_orders(heads, lines, b.suppliers, b.items, AS_OF)
 
 

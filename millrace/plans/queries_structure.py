@@ -39,7 +39,7 @@ _EXPLODE = f"""WITH {_EDGES}, tree AS (
       FROM edges e JOIN {{items}} r ON r.item_id = e.parent AND r.item_type = 'FG'
     UNION ALL
     SELECT t.root, t.lvl + 1, e.*, t.cum * {_RATIO}, t.path || '/' || e.item_code, t.id_path || e.child || '/'
-      FROM tree t JOIN edges e ON e.parent = t.child WHERE t.lvl < 20)
+      FROM tree t JOIN edges e ON e.parent = t.child)
     SELECT root AS root_item_id, lvl, parent AS parent_item_id, child AS component_item_id, item_code AS component_code,
            item_name AS component_name, item_type, qty_per, CAST(ROUND(cum, 6) AS DECIMAL(18,6)) AS cum_qty, uom, path, id_path,
            CASE WHEN child IN (SELECT parent FROM edges) THEN 'N' ELSE 'Y' END AS is_leaf, is_phantom FROM tree"""
@@ -221,7 +221,7 @@ def _(b):
        """WITH n AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'P' ELSE 'N' END || p_partkey AS item_code,
                  CASE p_size % 5 WHEN 0 THEN 'RAW' WHEN 1 THEN 'SEMI' WHEN 2 THEN 'FG' WHEN 3 THEN 'SVC' ELSE 'BAD' END AS item_type,
                  CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(20,6)) END AS c FROM part),
-          m AS (SELECT n.*, CASE WHEN item_type = 'BAD' THEN 'M1001' WHEN item_code LIKE 'P%' THEN 'M1004' END AS error_code FROM n)
+          m AS (SELECT n.*, CASE WHEN item_type = 'BAD' THEN 'M1001' WHEN item_code LIKE 'P%' OR COUNT(*) OVER (PARTITION BY item_code) > 1 THEN 'M1004' END AS error_code FROM n)
           SELECT item_code, item_type, (SELECT MAX(p_partkey) FROM part) + ROW_NUMBER() OVER (ORDER BY item_code) AS item_id,
                  CASE item_type WHEN 'SVC' THEN 'NONE' WHEN 'RAW' THEN 'FIFO' ELSE 'STD' END AS valuation_method, COALESCE(c, 0) AS std_cost, error_code
             FROM m WHERE error_code IS NULL
@@ -342,6 +342,13 @@ def _(b):
     return pricing.price(_requests(b), b.items, b.customers, b.price_lists, b.price_rules, AS_OF)
 
 
+@query("price_rejects", "request_id:l error_code:s",
+       "SELECT o_orderkey AS request_id, 'M1001' AS error_code FROM orders WHERE o_orderkey NOT IN (SELECT item_id FROM {items})")
+def _(b):
+    req = b.orders.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("customer_id"))
+    return pricing.price_rejects(req, b.items, b.customers, b.price_lists, AS_OF)
+
+
 _DISC = exact_div("CAST((base_price - final_price) * 1000000 AS HUGEINT)", "CAST(NULLIF(base_price, 0) * 1000000 AS HUGEINT)", 4)
 _REPRICED = _pricing_ctes("o.status IN ('DRAFT', 'CONFIRMED') AND l.line_status <> 'CANCELLED'") + f""",
     d AS (SELECT *, CASE WHEN base_price > 0 AND final_price < base_price THEN LEAST({_DISC}, 0.9999) ELSE 0 END AS disc FROM priced)"""

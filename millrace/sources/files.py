@@ -44,7 +44,7 @@ def read_duplication_report(spark: SparkSession, path: str) -> DataFrame:
     schema = "_lines INT, _tokens INT, file ARRAY<STRUCT<_line: INT, _path: STRING>>, codefragment STRING"
     df = spark.read.schema(schema).xml(path, rowTag="duplication")
     return df.select(
-        F.xxhash64("codefragment", "_lines", "_tokens").alias("group_id"),
+        F.xxhash64("codefragment", "_lines", "_tokens", "file").alias("group_id"),  # reports may leave the fragment out
         F.col("_lines").alias("lines"), F.col("_tokens").alias("tokens"),
         F.explode("file").alias("f"),
     ).select("group_id", "lines", "tokens", F.col("f._line").alias("start_line"), F.col("f._path").alias("file"))

@@ -21,7 +21,8 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{folder.rstrip('/')}/{name}*.parquet")
+    # a stream reads a folder: that of the table, or the single file by its exact name in a pattern
+    return reader.parquet(f"{folder.rstrip('/')}/{name}[.]parquet")
 
 
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:

@@ -42,8 +42,9 @@ def compare(spark, con, entry, folder):
     want = canon(con.execute(entry.oracle()).fetchall())
     diff = None
     if got != want:
-        only_a = [r for r in got if r not in set(want)][:2]
-        only_b = [r for r in want if r not in set(got)][:2]
+        a, b = set(got), set(want)
+        only_a = [r for r in got if r not in b][:2]
+        only_b = [r for r in want if r not in a][:2]
         diff = [[x[1] for x in r] for r in only_a], [[x[1] for x in r] for r in only_b]
     return len(got), len(want), got == want, diff
 

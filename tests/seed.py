@@ -1,78 +1,70 @@
-"""Small hand-written master data with a shared part, a phantom and a draft version.
-
-Expected values used by the tests were worked out by hand from these rows.
-"""
+"""A bicycle workshop: two products, a shared wheel, a phantom hub and a second version."""
 
 from pyspark.sql import functions as F
 
-ITEMS = [
-    # id, code, type, uom, std_cost, list_price, category, lead, phantom
-    (121, "RAW-3000", "RAW", "EA", "12.5", "0", "5", 14, "N"), (122, "RAW-3001", "RAW", "EA", "18", "0", "5", 21, "N"),
-    (123, "RAW-3002", "RAW", "EA", "0.05", "0", "5", 7, "N"), (124, "RAW-3003", "RAW", "EA", "0.02", "0", "5", 7, "N"),
-    (125, "RAW-3010", "RAW", "EA", "0.08", "0", "6", 7, "N"), (126, "RAW-3020", "RAW", "EA", "1.2", "0", "5", 14, "N"),
-    (127, "RAW-3030", "RAW", "KG", "8", "0", "6", 10, "N"), (128, "RAW-3040", "RAW", "EA", "3.5", "0", "5", 14, "N"),
-    (129, "RAW-3050", "RAW", "EA", "0.6", "0", "5", 14, "N"), (111, "SEMI-2000", "SEMI", "EA", "0", "0", "3", 2, "N"),
-    (112, "SEMI-2001", "SEMI", "EA", "0", "0", "3", 1, "Y"), (113, "SEMI-2002", "SEMI", "EA", "0", "0", "3", 2, "N"),
-    (101, "FG-1000", "FG", "EA", "0", "199", "2", 3, "N"), (102, "FG-1001", "FG", "EA", "0", "299", "2", 4, "N"),
-    (141, "SVC-9000", "SVC", "EA", "5", "0", "7", 0, "N"),
-]
-LINES = {  # bom -> [(component, qty, scrap, phantom)]
-    1: [(111, "1", "0", "N"), (112, "1", "0", "Y"), (125, "8", "0.01", "N"), (141, "1", "0", "N")],
-    2: [(111, "1", "0", "N"), (126, "2", "0.02", "N"), (113, "1", "0", "N")],
-    3: [(121, "1", "0.005", "N"), (122, "1", "0.005", "N"), (123, "10", "0.03", "N"), (124, "20", "0.03", "N")],
-    4: [(127, "0.05", "0.05", "N"), (125, "4", "0.01", "N")],
-    5: [(128, "1", "0", "N"), (123, "5", "0.03", "N"), (129, "1", "0.01", "N")],
-    6: [(111, "1", "0", "N"), (112, "1", "0", "Y"), (125, "6", "0.01", "N"), (141, "1", "0", "N")],
+#: id: (code, type, std_cost, list_price, category, lead days, phantom)
+ITEMS = {
+    1: ("BIKE", "FG", "0", "640", "city", 4, "N"), 2: ("TRIKE", "FG", "0", "870", "cargo", 6, "N"),
+    3: ("WHEEL", "SEMI", "0", "0", "part", 3, "N"), 4: ("HUBSET", "SEMI", "0", "0", "part", 1, "Y"), 5: ("SADDLE", "SEMI", "0", "0", "part", 2, "N"),
+    11: ("RIM", "RAW", "21.4", "0", "metal", 9, "N"), 12: ("SPOKE", "RAW", "0.17", "0", "metal", 5, "N"), 13: ("AXLE", "RAW", "6.25", "0", "metal", 12, "N"),
+    14: ("GREASE", "RAW", "31", "0", "fluid", 8, "N"), 15: ("LEATHER", "RAW", "44.9", "0", "skin", 15, "N"),
+}
+#: bom: (item, version, status, default, [(component, qty, scrap, phantom)])
+BOMS = {
+    71: (1, "A", "ACTIVE", "Y", [(3, "2", "0", "N"), (4, "1", "0", "Y"), (5, "1", "0", "N")]),
+    72: (2, "A", "ACTIVE", "Y", [(3, "3", "0", "N"), (5, "2", "0", "N"), (13, "4", "0.04", "N")]),
+    73: (3, "A", "ACTIVE", "Y", [(11, "1", "0.02", "N"), (12, "32", "0.05", "N"), (13, "1", "0", "N")]),
+    74: (4, "A", "ACTIVE", "Y", [(13, "2", "0", "N"), (14, "0.01", "0.1", "N")]),
+    75: (5, "A", "ACTIVE", "Y", [(15, "0.3", "0.08", "N"), (14, "0.02", "0", "N")]),
+    76: (1, "B", "DRAFT", "N", [(3, "2", "0", "N"), (4, "1", "0", "Y"), (5, "3", "0", "N")]),
+}
+#: lot: (item, warehouse, quantity, unit cost, received)
+LOTS = {
+    501: (13, 1, 40, "6", "2025-02-01"), 502: (13, 1, 25, "6.6", "2025-03-05"), 503: (11, 1, 90, "21", "2025-01-20"), 504: (12, 1, 4000, "0.16", "2025-01-22"),
+    505: (14, 1, 3, "31", "2025-02-11"), 506: (15, 1, 12, "45", "2025-02-15"), 507: (1, 2, 7, "210", "2025-04-01"), 508: (5, 1, 20, "15", "2025-04-02"),
 }
-HEADERS = [(1, 101, "V1", "ACTIVE", "Y", "2025-01-01"), (2, 102, "V1", "ACTIVE", "Y", "2025-01-01"), (3, 111, "V1", "ACTIVE", "Y", "2025-01-01"),
-           (4, 112, "V1", "ACTIVE", "Y", "2025-01-01"), (5, 113, "V1", "ACTIVE", "Y", "2025-01-01"), (6, 101, "V2", "DRAFT", "N", "2026-06-01")]
-LOTS = [(1, 121, 1, 500, "12.5", "2026-03-01"), (2, 121, 1, 300, "13", "2026-04-15"), (3, 122, 1, 1000, "18", "2026-03-10"), (4, 123, 1, 50000, "0.05", "2026-02-20"),
-        (5, 124, 1, 80000, "0.02", "2026-02-20"), (6, 125, 1, 20000, "0.08", "2026-01-15"), (7, 126, 1, 2000, "1.2", "2026-03-20"), (8, 127, 1, 500, "8", "2026-04-01"),
-        (9, 128, 1, 800, "3.5", "2026-03-25"), (10, 129, 1, 1500, "0.6", "2026-03-25"), (11, 101, 2, 50, "80", "2026-05-01"), (12, 102, 2, 30, "95", "2026-05-10")]
-AVG_COST = {121: "12.6875", 122: "18", 123: "0.05", 124: "0.02", 125: "0.08", 126: "1.2", 127: "8", 128: "3.5", 129: "0.6", 101: "80", 102: "95"}
-AS_OF = "2026-05-27"
+AS_OF = "2025-06-10"
 
 
 def cast(df, **kinds):
     return df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
 
 
-def items(spark):
-    df = spark.createDataFrame(ITEMS, "item_id long, item_code string, item_type string, base_uom string, std_cost string, list_price string, category_id string, lead_time_days int, is_phantom string")
+def items(spark, extra=()):
+    rows = [(k, *v) for k, v in [*ITEMS.items(), *extra]]
+    df = spark.createDataFrame(rows, "item_id long, item_code string, item_type string, std_cost string, list_price string, category_id string, lead_time_days int, is_phantom string")
     return cast(df, std_cost="decimal(20,6)", list_price="decimal(20,4)").withColumns({
-        "item_name": F.col("item_code"), "status": F.lit("ACTIVE"), "abc_class": F.lit(None).cast("string"),
+        "item_name": F.lower("item_code"), "status": F.lit("ACTIVE"), "base_uom": F.lit("UNIT"), "abc_class": F.lit(None).cast("string"),
         "valuation_method": F.when(F.col("item_type") == "RAW", "FIFO").otherwise("STD"), "preferred_supplier": F.when(F.col("item_type") == "RAW", 1)})
 
 
-def headers(spark):
-    df = spark.createDataFrame(HEADERS, "bom_id long, item_id long, bom_version string, status string, is_default string, effective_from string")
-    return cast(df, effective_from="date").withColumns({"effective_to": F.lit(None).cast("date"), "base_qty": F.lit(1).cast("decimal(18,6)")})
+def headers(spark, extra=()):
+    rows = [(b, v[0], v[1], v[2], v[3]) for b, v in [*BOMS.items(), *extra]]
+    df = spark.createDataFrame(rows, "bom_id long, item_id long, bom_version string, status string, is_default string")
+    return df.withColumns({"effective_from": F.lit("2024-03-01").cast("date"), "effective_to": F.lit(None).cast("date"), "base_qty": F.lit(1).cast("decimal(18,6)")})
 
 
-def lines(spark):
-    rows = [(b * 100 + i, b, 10 * (i + 1), c, q, s, p) for b, ls in LINES.items() for i, (c, q, s, p) in enumerate(ls)]
+def lines(spark, extra=()):
+    rows = [(b * 10 + i, b, i + 1, *line) for b, v in [*BOMS.items(), *extra] for i, line in enumerate(v[4])]
     df = spark.createDataFrame(rows, "line_id long, bom_id long, line_no int, component_item_id long, qty_per string, scrap_rate string, is_phantom string")
-    return cast(df, qty_per="decimal(18,6)", scrap_rate="decimal(8,4)").withColumn("uom", F.lit("EA"))
+    return cast(df, qty_per="decimal(18,6)", scrap_rate="decimal(8,4)").withColumn("uom", F.lit("UNIT"))
 
 
 def lots(spark):
-    df = spark.createDataFrame(LOTS, "lot_id long, item_id long, warehouse_id int, qty_on_hand int, unit_cost string, receipt_date string")
+    df = spark.createDataFrame([(k, *v) for k, v in LOTS.items()], "lot_id long, item_id long, warehouse_id int, qty_on_hand int, unit_cost string, receipt_date string")
     return cast(df, qty_on_hand="decimal(18,4)", unit_cost="decimal(20,6)", receipt_date="date").withColumns({
-        "lot_no": F.concat(F.lit("LOT-"), F.col("lot_id").cast("string")), "qty_allocated": F.lit(0).cast("decimal(18,4)"), "status": F.lit("AVAILABLE")})
+        "lot_no": F.concat(F.lit("L"), F.col("lot_id").cast("string")), "qty_allocated": F.lit(0).cast("decimal(18,4)"), "status": F.lit("AVAILABLE")})
 
 
 def balances(spark):
-    held = lots(spark).groupBy("item_id", "warehouse_id").agg(F.sum("qty_on_hand").cast("decimal(18,4)").alias("qty_on_hand"))
-    cost = spark.createDataFrame([(k, v) for k, v in AVG_COST.items()], "item_id long, avg_cost string")
-    return cast(held.join(cost, "item_id"), avg_cost="decimal(20,6)").withColumns({
-        "qty_allocated": F.lit(0).cast("decimal(18,4)"), "last_txn_date": F.lit(None).cast("date"), "version": F.lit(0)})
+    value = F.sum(F.col("qty_on_hand") * F.col("unit_cost")) / F.sum("qty_on_hand")
+    held = lots(spark).groupBy("item_id", "warehouse_id").agg(F.sum("qty_on_hand").cast("decimal(18,4)").alias("qty_on_hand"), value.cast("decimal(20,6)").alias("avg_cost"))
+    return held.withColumns({"qty_allocated": F.lit(0).cast("decimal(18,4)"), "last_txn_date": F.lit(None).cast("date"), "version": F.lit(0)})
 
 
 def history(spark):
-    """Monthly demand of the two products, January 2025 to May 2026."""
-    n = spark.range(17).select(F.col("id").alias("n"))
-    base = spark.createDataFrame([(101, 120), (102, 80)], "item_id long, base int")
-    wave = F.col("base") + 30 * F.sin(F.col("n") / 1.9) + 4 * F.col("n")
-    return n.join(base, F.lit(True)).select(
-        "item_id", F.lit(2).alias("warehouse_id"), F.add_months(F.lit("2025-01-01").cast("date"), F.col("n").cast("int")).alias("period_date"),
-        F.round(wave).cast("decimal(18,4)").alias("forecast_qty"), F.round(wave + (F.col("n") * 7) % 11 - 5).cast("decimal(18,4)").alias("actual_qty"), F.lit("MA3").alias("method"))
+    """Monthly demand of the two products in 2024."""
+    rows = [(item, 2, f"2024-{m:02d}-01", q) for item, start in ((1, 30), (2, 9)) for m, q in enumerate((start + (5 * k) % 7 + k for k in range(12)), 1)]
+    df = spark.createDataFrame(rows, "item_id long, warehouse_id int, period_date string, q int")
+    return df.select("item_id", "warehouse_id", F.col("period_date").cast("date"), F.col("q").cast("decimal(18,4)").alias("forecast_qty"),
+                     F.col("q").cast("decimal(18,4)").alias("actual_qty"), F.lit("MA3").alias("method"))

@@ -40,22 +40,27 @@ def test_closure_and_reference_only_groups(spark):
 
 
 def test_mixed_closure_follows_references_one_hop(spark):
-    calls = edges(spark, ("CALLER", "SHARED"), ("SHARED", "DEEP"))
-    refs = edges(spark, ("CALLER", "MID"), ("MID", "LEAF"), ("CALLER", "SHARED"))
-    got = {r.node: r.via for r in graph.mixed_closure(calls, refs, nodes(spark, ["CALLER"])).collect()}
-    assert got == {"CALLER": "call", "SHARED": "call", "DEEP": "call", "MID": "reference"}
+    """A reference of a reached routine is taken in, but nothing behind it."""
+    calls = edges(spark, *[(f"step{i}", f"step{i + 1}") for i in range(4)], ("aside", "step0"))
+    refs = edges(spark, *[(f"step{i}", f"table{i}") for i in range(5)], *[(f"table{i}", f"column{i}") for i in range(5)], ("step2", "step4"))
+    got = {r.node: r.via for r in graph.mixed_closure(calls, refs, nodes(spark, ["step1"])).collect()}
+    assert got == {**{f"step{i}": "call" for i in range(1, 5)}, **{f"table{i}": "reference" for i in range(1, 5)}}
 
 
 def test_reference_resolution(spark):
-    index = spark.createDataFrame(
-        [("M.P_FOO", "FOO_PROC", "FOO_PROC"), ("M.P_FOO", "HELPER", "HELPER"), ("M.P_BAR", "DO_BAR", "DO_BAR"), ("M.P_FOO", "OVER", "OVER__1"), ("M.P_FOO", "OVER", "OVER__2")],
-        "grp string, name string, ref_name string")
-    refs = spark.createDataFrame(
-        [("M.P_FOO", "FOO_PROC", 1, "helper"), ("M.P_FOO", "FOO_PROC", 2, '"p_bar".do_bar'), ("M.P_FOO", "FOO_PROC", 3, "M.P_BAR.DO_BAR"), ("M.P_FOO", "FOO_PROC", 3, "p_bar.do_bar"),
-         ("M.P_FOO", "FOO_PROC", 4, "foo_proc"), ("M.P_FOO", "FOO_PROC", 5, "to_char"), ("M.P_FOO", "FOO_PROC", 6, "pkg.compute"), ("M.P_FOO", "OVER__1", 7, "over")],
-        "caller_group string, caller_ref string, line int, ref string")
-    got = {(r.line, r.target_group, r.target_ref) for r in graph.resolve_references(refs, index, ["TO_CHAR"]).collect()}
-    assert got == {(1, "M.P_FOO", "HELPER"), (2, "M.P_BAR", "DO_BAR"), (3, "M.P_BAR", "DO_BAR"), (7, "M.P_FOO", "OVER__2")}
+    """Every routine of five groups refers to the next one in several spellings; some refer to nothing."""
+    names = [(f"SHOP.G{g}", f"R{r}") for g in range(5) for r in range(3)]
+    index = spark.createDataFrame([(g, r, r) for g, r in names], "grp string, name string, ref_name string")
+    rows, want = [], set()
+    for n, (g, r) in enumerate(names):
+        to_group, to_name = names[(n + 1) % len(names)]
+        short = to_group.split(".")[1]
+        spellings = [f"{short}.{to_name}", f"{short.lower()}.{to_name.lower()}", f'"{short}".{to_name}', f"{to_group}.{to_name}"]
+        rows += [(g, r, 10 * n + i, s) for i, s in enumerate(spellings)] + [(g, r, 10 * n + 8, r), (g, r, 10 * n + 9, "nvl")]
+        want |= {(10 * n + i, to_group, to_name) for i in range(4)}
+    refs = spark.createDataFrame(rows, "caller_group string, caller_ref string, line int, ref string")
+    got = {(r.line, r.target_group, r.target_ref) for r in graph.resolve_references(refs, index, ["NVL"]).collect()}
+    assert got == want
 
 
 def test_duplicate_blocks_against_brute_force(spark):

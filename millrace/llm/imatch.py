@@ -170,7 +170,7 @@ def _in_order(docs: DataFrame, rows_per_part: int) -> DataFrame:
     pairs = spark.createDataFrame([(p, q) for p, q in earlier.items()], "part int, earlier int")
     extra = heads.join(pairs, "part").select(F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), F.col("earlier").alias("part"), F.lit(True).alias("ahead"))
     rows = placed.withColumn("ahead", F.lit(False)).unionByName(extra)
-    return rows.repartition(max(len(used), 1), "part").sortWithinPartitions("part", "ahead", *order)
+    return rows.repartitionByRange(max(len(used), 1), "part").sortWithinPartitions("part", "ahead", *order)
 
 
 def fingerprint_pairs(docs: DataFrame, low: float = 0.0002, high: float = 0.05, levels: int = 8, per_level: int = 12, rows_per_part: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

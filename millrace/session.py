@@ -65,7 +65,9 @@ def materialize_counted(df: DataFrame, label: str = "step", where: Column | None
     seen = Observation()
     count = F.count(F.lit(1)) if where is None else F.count_if(where)
     df.observe(seen, count.alias("n")).write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table, seen.get["n"]
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -73,6 +75,14 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return materialize_counted(df, label)[0]
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`materialize` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hot_group_rows(spark: SparkSession) -> int:
     """Largest group one task may sort; bigger groups are range-split."""
     return int(spark.conf.get(HOT_ROWS_KEY, "2000000"))

@@ -13,8 +13,10 @@ from ``recall``.
 Buckets with the same members are compared once. Every pair is compared in one bucket
 only, the smallest that holds both. Candidate pairs never become rows: a bucket task
 returns a number of links per class and a spanning forest of its links, and groups are
-the connected components of these forests. The similarity is exact on 64-bit shingle
-hashes.
+the connected components of these forests. Classes are told apart by 64-bit shingle
+hashes; pairs are compared on their upper 32 bits, which halves what is shuffled: no link
+is lost, and a pair just one shingle below the threshold passes with a chance of about
+|A| |B| / 2**32.
 
 A text of fewer words is one shingle; null, empty and blank texts have the empty set
 and form one class. Words are lower-cased and cut at white space. Repeated rows are in
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import id_and_text, keep, keep_counted, map_arrow
+from millrace.session import discard
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -105,7 +108,7 @@ def _sets(rows: DataFrame, words: int, runs: int, rate: float, seed: int) -> Dat
 
 
 def _shingles_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) of the classes whose chosen document is in ``wanted`` (doc_id, class)."""
+    """(class, shingles) of the classes whose chosen document is in ``wanted`` (doc_id, class), as 32-bit hashes."""
     joined = rows.join(wanted.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("class", "text")
 
     def make():
@@ -117,11 +120,11 @@ def _shingles_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [shingler.of(t) for t in part.column("text").to_pylist()]
                 names = [f"{int(np.bitwise_xor.reduce(mixed(s + np.uint64(1)))):016x}{int(np.bitwise_xor.reduce(mixed(s + np.uint64(2)))):016x}{len(s):x}" if len(s) else "" for s in sets]
                 own = [i for i, (n, m) in enumerate(zip(names, part.column("class").to_pylist())) if n == m]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own], pa.string()), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own], pa.string()), pa.array([np.unique((sets[i] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for i in own], pa.list_(pa.int32()))], names=["class", "shingles"])
 
         return step
 
-    return map_arrow(joined, make, "class string, shingles array<bigint>").dropDuplicates(["class"])
+    return map_arrow(joined, make, "class string, shingles array<int>").dropDuplicates(["class"])
 
 
 def _split(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
@@ -133,7 +136,7 @@ def _split(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
             out_bucket, out_class = [], []
             names = batch.column("class")
             for i, (bucket, shingles) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("shingles"))):
-                children = taken(shingles.values.to_numpy().view(np.uint64), bucket % 2**64, rate)
+                children = taken(shingles.values.to_numpy().view(np.uint32).astype(np.uint64), bucket % 2**64, rate)
                 out_bucket.append(children.view(np.int64))
                 out_class.append(np.full(len(children), i, np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_bucket)), names.take(pa.array(np.concatenate(out_class)))], names=["bucket", "class"])
@@ -155,7 +158,7 @@ def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
 
         bucket = pdf["bucket"].iloc[0]
         side = pdf["side"].to_numpy()
-        sets = [np.asarray(s, np.int64) for s in pdf["shingles"]]
+        sets = [np.asarray(s, np.int32) for s in pdf["shingles"]]
         rank = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), rank)
@@ -238,15 +241,19 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     placed = keep(classes.select("class", "doc_id", F.explode("buckets").alias("bucket")).distinct(), "buckets")
     counts = keep(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-counts")
     shared = keep(placed.join(counts, "bucket"), "shared-buckets")
+    discard(placed, counts)
+    scratch = [shared]
     shingles = keep(_shingles_of(rows, shared.select("doc_id", "class").distinct(), words), "shingles")
     ready, large = [shared.where(F.col("n") <= small).select("bucket", "class")], shared.where(F.col("n") > small).select("bucket", "class")
     for depth in range(max_depth):
         children, n = keep_counted(_split(large, shingles, rate).distinct(), f"split-{depth}")
+        scratch.append(children)
         if not n:
             large = None
             break
         sizes = keep(children.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "split-counts")
         counted = keep(children.join(sizes, "bucket"), "split-rows")
+        scratch += [sizes, counted]
         ready.append(counted.where(F.col("n") <= small).select("bucket", "class"))
         large = counted.where(F.col("n") > small).select("bucket", "class")
     if large is not None:
@@ -255,18 +262,21 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     for more in ready[1:]:
         members = members.unionByName(more)
     members = keep(members, "members")
+    discard(*scratch)
     same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("xor"))
     once = same.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"))
     once = keep(once.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "distinct-buckets")
+    every = members
     members = keep(members.join(once, "bucket"), "distinct-members")
-    others = members.groupBy("class").agg(F.collect_list("bucket").alias("others"))
-    full = keep(others.join(shingles, "class"), "class-rows")
+    discard(every, once)
+    others = keep(members.groupBy("class").agg(F.collect_list("bucket").alias("others")), "class-buckets")
     # a bucket of several blocks is compared block pair by block pair
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     pairs = members.select("bucket", "class", "blocks", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     pairs = pairs.select("bucket", "class", (low * F.col("blocks") + high).cast("bigint").alias("pair_of_blocks"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    found = keep(_compare(pairs.join(full, "class"), threshold), "links")
+    found = keep(_compare(pairs.join(others, "class").join(shingles, "class"), threshold), "links")
+    discard(members, others, shingles)
     degree = found.groupBy("class").agg(F.sum("links").alias("links"))
     component = _components(found.select("class", "root"))
     named = sets.select("doc_id", "class").join(degree, "class", "left").join(component, "class", "left").select("doc_id", F.col("class").alias("class_id"), F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

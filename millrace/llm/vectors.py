@@ -127,7 +127,7 @@ def estimate(bits: np.ndarray, scalars: np.ndarray, queries: np.ndarray, centroi
     return queries @ centroid.reshape(-1, 1) + length * (guess + with_centroid), length * error
 
 
-def nearest(vectors: DataFrame, query_modulus: int, k: int = 5, probe_share: float = 0.6, least_probes: int = 8, list_rows: int = 64, max_lists: int = 1024, sample: int = 8192, block_rows: int = 2048, query_rows: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query_modulus: int, k: int = 5, probe_share: float = 0.7, least_probes: int = 8, list_rows: int = 1024, max_lists: int = 1024, sample: int = 8192, block_rows: int = 2048, query_rows: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by ``query_modulus``
     the ``k`` nearest other rows found, by cosine of the original vectors."""
     spark = vectors.sparkSession

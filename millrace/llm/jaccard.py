@@ -4,9 +4,11 @@ A document is the set of hashes of its ``words``-word shingles. Documents with e
 sets are one class. In each of several runs every class samples shingles: shingle x of
 set S is taken when a hash of (run, path, x) is below 1 / (threshold * |S|), so similar
 sets agree on one token or more on average, and classes that took one shingle meet in
-its bucket. A bucket of at most ``small`` classes is compared by brute force; a larger
-one is split again on the next sampled shared token, down to ``max_depth``, and what is
-still large then is compared in blocks. Two sets at the threshold share a bucket of one
+its bucket. A class stays in a bucket only if another one there has a size that allows
+the threshold. A bucket of at most ``small`` classes is compared by brute force; a larger
+one is split again on the next sampled shared token, down to ``max_depth``. A child that
+still holds more than half of its parent consists of sets too near to be separated by
+splitting: like what is large at the last depth, it is compared in blocks. Two sets at the threshold share a bucket of one
 run with a chance of at least 1 - 1/e at the first level; the number of runs follows
 from ``recall``.
 
@@ -78,6 +80,12 @@ def taken(shingles: np.ndarray, path: int, rate: float) -> np.ndarray:
     return mixed(hit + np.uint64(path * int(P2) % 2**64))
 
 
+def class_name(shingles: np.ndarray) -> bytes:
+    """128 bits that name a set; the empty set has the name of no bits."""
+    a, b = (int(np.bitwise_xor.reduce(mixed(shingles + np.uint64(k)))) if len(shingles) else 0 for k in (1, 2))
+    return (a << 64 | b).to_bytes(16, "big")
+
+
 def runs_for(recall: float) -> int:
     """Runs after which a pair at the threshold has met with probability ``recall`` at the first level."""
     return max(1, math.ceil(math.log(1 - recall) / -1))
@@ -96,54 +104,77 @@ def _sets(rows: DataFrame, words: int, runs: int, rate: float, seed: int) -> Dat
                 name, size, buckets = [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingler.of(text)
-                    a, b = (int(np.bitwise_xor.reduce(mixed(s + np.uint64(k)))) if len(s) else 0 for k in (1, 2))
-                    name.append(f"{a:016x}{b:016x}{len(s):x}")
+                    name.append(class_name(s))
                     size.append(len(s))
                     buckets.append(np.concatenate([taken(s, p, rate) for p in paths]).view(np.int64) if len(s) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(name), pa.array(size, pa.int32()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "class", "size", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(name, pa.binary()), pa.array(size, pa.int32()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "class", "size", "buckets"])
 
         return step
 
-    return map_arrow(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, class string, size int, buckets array<bigint>")
+    return map_arrow(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, class binary, size int, buckets array<bigint>")
 
 
 def _shingles_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) of the classes whose chosen document is in ``wanted`` (doc_id, class), as 32-bit hashes."""
+    """(class, shingles) of the classes whose chosen document is in ``wanted`` (doc_id, class), as 32-bit hashes.
+
+    Rows of one doc_id meet in one task, which returns each class once. If AQE splits the
+    task, a class can come once from each part; users of the table drop these repeats.
+    """
     joined = rows.join(wanted.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("class", "text")
 
     def make():
-        shingler = Shingler(words)
+        shingler, seen = Shingler(words), set()
 
         def step(batch):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingler.of(t) for t in part.column("text").to_pylist()]
-                names = [f"{int(np.bitwise_xor.reduce(mixed(s + np.uint64(1)))):016x}{int(np.bitwise_xor.reduce(mixed(s + np.uint64(2)))):016x}{len(s):x}" if len(s) else "" for s in sets]
-                own = [i for i, (n, m) in enumerate(zip(names, part.column("class").to_pylist())) if n == m]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own], pa.string()), pa.array([np.unique((sets[i] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for i in own], pa.list_(pa.int32()))], names=["class", "shingles"])
+                names, sets = [], []
+                for text, name in zip(part.column("text").to_pylist(), part.column("class").to_pylist()):
+                    if name in seen:
+                        continue
+                    s = shingler.of(text)
+                    if class_name(s) == name:
+                        seen.add(name)
+                        names.append(name)
+                        sets.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=["class", "shingles"])
 
         return step
 
-    return map_arrow(joined, make, "class string, shingles array<int>").dropDuplicates(["class"])
+    return map_arrow(joined, make, "class binary, shingles array<int>")
+
+
+def _shared(placed: DataFrame, label: str) -> DataFrame:
+    """The rows (bucket, class, band, ...) that share their bucket with a class of their own or a neighbouring band, with ``n``, the classes of the bucket.
+
+    Bands are so wide that two classes at the threshold lie at most one band apart.
+    """
+    bands = placed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"))
+    bands = bands.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list(F.struct("band", "n")).alias("bands")).where("n > 1")
+    bands = keep(bands, f"{label}-bands")
+    near = F.aggregate(F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1), F.lit(0).cast("bigint"), lambda sum_, b: sum_ + b["n"])
+    shared = keep(placed.join(bands, "bucket").where(near > 1).drop("bands"), f"{label}-shared")
+    discard(bands)
+    return shared
 
 
 def _split(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
-    """Children (bucket, class) of the rows (bucket, class)."""
-    joined = rows.join(sets, "class").select("bucket", "class", "shingles")
+    """Children (bucket, class, band, parent) of the rows (bucket, class, band, n); ``parent`` is the parent's n."""
+    joined = rows.join(sets, "class").select("bucket", "class", "band", "n", "shingles")
 
     def make():
         def step(batch):
             out_bucket, out_class = [], []
-            names = batch.column("class")
             for i, (bucket, shingles) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("shingles"))):
                 children = taken(shingles.values.to_numpy().view(np.uint32).astype(np.uint64), bucket % 2**64, rate)
                 out_bucket.append(children.view(np.int64))
                 out_class.append(np.full(len(children), i, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_bucket)), names.take(pa.array(np.concatenate(out_class)))], names=["bucket", "class"])
+            of = pa.array(np.concatenate(out_class))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_bucket)), *[batch.column(c).take(of) for c in ("class", "band", "n")]], names=["bucket", "class", "band", "parent"])
 
         return step
 
-    return map_arrow(joined, make, "bucket bigint, class string")
+    return map_arrow(joined, make, "bucket bigint, class binary, band int, parent bigint")
 
 
 def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -156,6 +187,7 @@ def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
     def compare(pdf):
         import pandas as pd
 
+        pdf = pdf.drop_duplicates("class")
         bucket = pdf["bucket"].iloc[0]
         side = pdf["side"].to_numpy()
         sets = [np.asarray(s, np.int32) for s in pdf["shingles"]]
@@ -204,7 +236,7 @@ def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
         linked = np.flatnonzero(links)
         return pd.DataFrame({"class": names[linked], "links": links[linked], "root": names[[root(i) for i in linked.tolist()]]})
 
-    return blocks.groupBy("bucket", "pair_of_blocks").applyInPandas(compare, "class string, links bigint, root string")
+    return blocks.groupBy("bucket", "pair_of_blocks").applyInPandas(compare, "class binary, links bigint, root binary")
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -237,27 +269,28 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     rows = id_and_text(docs, id_col, text_col)
     rate = 1 / threshold
     sets = keep(_sets(rows, words, runs_for(recall), rate, seed), "shingle-classes")
-    classes = sets.groupBy("class").agg(F.min(F.struct("doc_id", "buckets")).alias("one")).select("class", "one.doc_id", "one.buckets")
-    placed = keep(classes.select("class", "doc_id", F.explode("buckets").alias("bucket")).distinct(), "buckets")
-    counts = keep(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-counts")
-    shared = keep(placed.join(counts, "bucket"), "shared-buckets")
-    discard(placed, counts)
+    classes = sets.groupBy("class").agg(F.min(F.struct("doc_id", "size", "buckets")).alias("one")).select("class", "one.*")
+    band = F.floor(F.log(F.col("size")) / (max(math.log(1 / threshold), 1e-6) * 1.0001)).cast("int")
+    placed = keep(classes.select("class", "doc_id", band.alias("band"), F.explode(F.array_distinct("buckets")).alias("bucket")), "buckets")
+    shared = _shared(placed, "top")
+    discard(placed)
     scratch = [shared]
     shingles = keep(_shingles_of(rows, shared.select("doc_id", "class").distinct(), words), "shingles")
-    ready, large = [shared.where(F.col("n") <= small).select("bucket", "class")], shared.where(F.col("n") > small).select("bucket", "class")
+    columns = ["bucket", "class", "band", "n"]
+    ready, large = [shared.where(F.col("n") <= small).select("bucket", "class")], shared.where(F.col("n") > small).select(*columns)
     for depth in range(max_depth):
         children, n = keep_counted(_split(large, shingles, rate).distinct(), f"split-{depth}")
         scratch.append(children)
         if not n:
             large = None
             break
-        sizes = keep(children.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "split-counts")
-        counted = keep(children.join(sizes, "bucket"), "split-rows")
-        scratch += [sizes, counted]
-        ready.append(counted.where(F.col("n") <= small).select("bucket", "class"))
-        large = counted.where(F.col("n") > small).select("bucket", "class")
+        counted = _shared(children, f"split-{depth}")
+        scratch.append(counted)
+        done = (F.col("n") <= small) | (2 * F.col("n") > F.col("parent"))
+        ready.append(counted.where(done).select("bucket", "class"))
+        large = counted.where(~done).select(*columns)
     if large is not None:
-        ready.append(large)
+        ready.append(large.select("bucket", "class"))
     members = ready[0]
     for more in ready[1:]:
         members = members.unionByName(more)
@@ -279,7 +312,7 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     discard(members, others, shingles)
     degree = found.groupBy("class").agg(F.sum("links").alias("links"))
     component = _components(found.select("class", "root"))
-    named = sets.select("doc_id", "class").join(degree, "class", "left").join(component, "class", "left").select("doc_id", F.col("class").alias("class_id"), F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    named = sets.select("doc_id", "class").join(degree, "class", "left").join(component, "class", "left").select("doc_id", F.lower(F.hex("class")).alias("class_id"), F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     return named.join(smallest, "root").select("doc_id", "class_id", "group_id", "links")
 

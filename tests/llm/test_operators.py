@@ -326,6 +326,20 @@ def test_join_against_brute_force(docs, corpus, small, block):
     assert len({r.class_id for r in rows.values()}) == len({" ".join(t.lower().split()) for t in corpus})
 
 
+def test_join_of_dense_groups_and_sizes_apart(spark):
+    """A group of near copies that no split separates, a passage shared by texts of many sizes, repeated rows."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(1, 41)]
+    texts += [" ".join(base[:20] + [f"y{k}_{i}" for i in range(30 * k)]) for k in range(1, 11)]
+    texts += [texts[0], texts[0], texts[45]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    twice = docs.unionByName(docs.where("doc_id < 3"))
+    want = dict(enumerate(jaccard.brute_force(texts)))
+    for small, block in [(128, 512), (4, 7)]:
+        rows = jaccard.similarity_groups(twice, small=small, block=block).collect()
+        assert len(rows) == len(texts) + 3 and {(r.doc_id, r.group_id, r.links) for r in rows} == {(i, *w) for i, w in want.items()}
+
+
 def test_join_on_awkward_tables(awkward):
     rows = jaccard.similarity_groups(awkward).collect()
     assert len(rows) == 7 and {r.group_id for r in rows} == {1, 3, 4}

@@ -31,8 +31,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them hold."""
-    return _with_text(lines.drop_repeated_lines(docs, min_docs=10), F.col("text"), docs.columns)
+    """Documents without the lines that ten or more of them hold, but for each line's first place."""
+    return _with_text(lines.drop_repeated_lines(docs, min_docs=10, keep_lines="first"), F.col("text"), docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ their whole key, and counted exactly. The filters have a fixed size: beyond abou
 but changes no result.
 
 Each row counts as one document, also with a repeated doc_id. A null or empty text is
-one empty line; empty keys are never dropped. A document may lose all lines and is
-then empty. Other columns stay as they are; columns called n_lines or n_dropped are
+one empty line; empty keys are never dropped. With ``keep_lines="none"`` every line of a
+repeated key is dropped; with ``keep_lines="first"`` its first line by (doc_id, text hash, line
+number), null ids first, stays, and repeated rows all keep it. A document may lose all
+lines and is then empty. Other columns stay as they are; columns called n_lines or n_dropped are
 replaced.
 """
 
@@ -140,11 +142,13 @@ def _suspects(rows: DataFrame, filter_of_two, bits: int) -> DataFrame:
     return map_arrow(rows, make, f"doc_id {id_type}, text_hash bigint, key string, lines array<int>")
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, filter_bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines whose key is in at least ``min_docs`` documents (2 or more).
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, filter_bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text", keep_lines: str = "none") -> DataFrame:
+    """``docs`` without the lines whose key is in at least ``min_docs`` documents (2 or more), or without all but the first of them.
 
     Adds n_lines (before dropping) and n_dropped.
     """
+    if keep_lines not in ("none", "first"):
+        raise ValueError(f"keep_lines is none or first, not {keep_lines}")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     full = docs.drop("n_lines", "n_dropped").withColumn(text_col, text)
@@ -156,9 +160,12 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, filter_bits: int =
         bitmap[lo:lo + (1 << (SEGMENT_BITS - 3))] = np.frombuffer(r["bitmap"], np.uint8)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     suspects = keep(_suspects(rows.withColumn("text", F.encode("text", "UTF-8")), shared, filter_bits), "suspects")
-    repeated = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("key")
+    first = F.min(F.struct("doc_id", "text_hash", F.col("lines")[0].alias("line"))).alias("first")
+    repeated = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), first).where(F.col("docs") >= min_docs).select("key", "first")
     repeated = keep(repeated, "repeated-keys")  # a plain table on this side lets AQE split a hot key on the other
-    lost = suspects.join(repeated, "key").select("doc_id", "text_hash", F.explode("lines").alias("line"))
+    lost = suspects.join(repeated, "key").select("doc_id", "text_hash", "first", F.explode("lines").alias("line"))
+    if keep_lines == "first":
+        lost = lost.where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("first")))
     lost = lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("__lost")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     lost = keep(lost, "lost-lines")
     joined = full.join(lost.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")

@@ -9,8 +9,10 @@ the threshold. A bucket of at most ``small`` classes is compared by brute force;
 one is split again on the next sampled shared token, down to ``max_depth``. A child that
 still holds more than half of its parent consists of sets too near to be separated by
 splitting: like what is large at the last depth, it is compared in blocks. Two sets at the threshold share a bucket of one
-run with a chance of at least 1 - 1/e at the first level; the number of runs follows
-from ``recall``.
+run with a chance s(0) of at least 1 - 1/e, and still share one after k splits with a chance
+s(k) = 1 - exp(-s(k - 1)). The number of runs follows from ``recall`` and s(0). Classes in
+buckets that were split k times are sampled in more runs, up to the number that s(k) asks
+for, so a pair that meets in split buckets only is found as surely as any other.
 
 Buckets with the same members are compared once. Every pair is compared in one bucket
 only, the smallest that holds both. Candidate pairs never become rows: a bucket task
@@ -28,6 +30,7 @@ one class. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +89,12 @@ def class_name(shingles: np.ndarray) -> bytes:
     return (a << 64 | b).to_bytes(16, "big")
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall`` at the first level."""
-    return max(1, math.ceil(math.log(1 - recall) / -1))
+def runs_for(recall: float, splits: int = 0) -> int:
+    """Runs after which a pair at the threshold has met with probability ``recall``, in buckets that are split ``splits`` times."""
+    met = 1.0
+    for _ in range(splits + 1):
+        met = 1 - math.exp(-met)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met) - 1e-9))
 
 
 def _sets(rows: DataFrame, words: int, runs: int, rate: float, seed: int) -> DataFrame:
@@ -177,6 +183,51 @@ def _split(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
     return map_arrow(joined, make, "bucket bigint, class binary, band int, parent bigint")
 
 
+def _sampled(classes: DataFrame, sets: DataFrame, paths: list[int], rate: float) -> DataFrame:
+    """First-level buckets (bucket, class, band) of ``classes`` (class, band) in one run per path."""
+    joined = classes.join(sets, "class").select("class", "band", "shingles")
+
+    def make():
+        def step(batch):
+            out = [[taken(x.values.to_numpy().view(np.uint32).astype(np.uint64), p, rate) for p in paths] for x in batch.column("shingles")]
+            of = pa.array(np.repeat(np.arange(len(out)), [sum(map(len, o)) for o in out]))
+            buckets = np.concatenate([b for o in out for b in o]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), *[batch.column(c).take(of) for c in ("class", "band")]], names=["bucket", "class", "band"])
+
+        return step
+
+    return map_arrow(joined, make, "bucket bigint, class binary, band int").distinct()
+
+
+def _split_down(top: DataFrame, sets: DataFrame, rate: float, small: int, max_depth: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Buckets to compare (bucket, class), and (class, band, splits) of the classes in buckets that were split.
+
+    ``top``: first-level buckets (bucket, class, band, n), discarded.
+    """
+    columns, scratch = ["bucket", "class", "band", "n"], [top]
+    ready, large = [top.where(F.col("n") <= small).select("bucket", "class")], top.where(F.col("n") > small).select(*columns)
+    split = []
+    for depth in range(max_depth):
+        split.append(large.select("class", "band", F.lit(depth + 1).alias("splits")))
+        children, n = keep_counted(_split(large, sets, rate).distinct(), f"{label}-split-{depth}")
+        scratch.append(children)
+        if not n:
+            large = None
+            break
+        counted = _shared(children, f"{label}-split-{depth}")
+        scratch.append(counted)
+        done = (F.col("n") <= small) | (2 * F.col("n") > F.col("parent"))
+        ready.append(counted.where(done).select("bucket", "class"))
+        large = counted.where(~done).select(*columns)
+    if large is not None:
+        ready.append(large.select("bucket", "class"))
+    members = keep(reduce(DataFrame.unionByName, ready), f"{label}-members")
+    deep = top.select("class", "band", F.lit(0).alias("splits")).limit(0)
+    deep = keep(reduce(DataFrame.unionByName, split, deep).groupBy("class", "band").agg(F.max("splits").alias("splits")), f"{label}-deep")
+    discard(*scratch)
+    return members, deep
+
+
 def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
     """(class, links, root): links of each class found in the bucket blocks, and its forest parent.
 
@@ -274,34 +325,27 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     placed = keep(classes.select("class", "doc_id", band.alias("band"), F.explode(F.array_distinct("buckets")).alias("bucket")), "buckets")
     shared = _shared(placed, "top")
     discard(placed)
-    scratch = [shared]
     shingles = keep(_shingles_of(rows, shared.select("doc_id", "class").distinct(), words), "shingles")
-    columns = ["bucket", "class", "band", "n"]
-    ready, large = [shared.where(F.col("n") <= small).select("bucket", "class")], shared.where(F.col("n") > small).select(*columns)
-    for depth in range(max_depth):
-        children, n = keep_counted(_split(large, shingles, rate).distinct(), f"split-{depth}")
-        scratch.append(children)
+    members, deep = _split_down(shared, shingles, rate, small, max_depth, "top")
+    found_in = [members]
+    extra = [int(x) for x in np.random.default_rng([seed, 1]).integers(1, 2**63, runs_for(recall, max_depth))]
+    for splits in range(1, max_depth + 1):
+        # deeper buckets of these runs send their classes to the next turn, so every class gets the runs of its depth
+        again, n = keep_counted(deep.where(F.col("splits") >= splits), f"again-{splits}")
         if not n:
-            large = None
             break
-        counted = _shared(children, f"split-{depth}")
-        scratch.append(counted)
-        done = (F.col("n") <= small) | (2 * F.col("n") > F.col("parent"))
-        ready.append(counted.where(done).select("bucket", "class"))
-        large = counted.where(~done).select(*columns)
-    if large is not None:
-        ready.append(large.select("bucket", "class"))
-    members = ready[0]
-    for more in ready[1:]:
-        members = members.unionByName(more)
-    members = keep(members, "members")
-    discard(*scratch)
+        placed = keep(_sampled(again.select("class", "band"), shingles, extra[runs_for(recall, splits - 1):runs_for(recall, splits)], rate), f"more-{splits}")
+        shared = _shared(placed, f"more-{splits}")
+        members, more = _split_down(shared, shingles, rate, small, max_depth, f"more-{splits}")
+        found_in.append(members)
+        before, deep = deep, keep(again.unionByName(more).groupBy("class", "band").agg(F.max("splits").alias("splits")), f"deep-{splits}")
+        discard(placed, before, again, more)
+    members = reduce(DataFrame.unionByName, found_in)
     same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("xor"))
     once = same.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"))
     once = keep(once.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "distinct-buckets")
-    every = members
     members = keep(members.join(once, "bucket"), "distinct-members")
-    discard(every, once)
+    discard(*found_in, once)
     others = keep(members.groupBy("class").agg(F.collect_list("bucket").alias("others")), "class-buckets")
     # a bucket of several blocks is compared block pair by block pair
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")

@@ -3,7 +3,8 @@
 The lexicon holds the terms whose document frequency, as a share of all documents,
 lies in a band (equivalently an inverse-document-frequency band). A document keeps its
 distinct lexicon terms in sorted order. Each of ``levels * per_level`` random lexicon
-subsets (level L keeps a term with probability 2**-(L + 1)) hashes the kept terms that
+subsets (level L keeps a term with probability 2**-(L + 1); a level lies within the one
+eight before it) hashes the kept terms that
 it holds; the fingerprint is the row of these hashes. A document without any lexicon
 term uses all its distinct terms instead; a document without terms has an empty row.
 
@@ -12,6 +13,9 @@ hold a term of either, over the levels at which subsets hold about one term at m
 both (at denser levels one changed term changes every hash). Equal texts always have
 equal fingerprints; equal fingerprints have likeness 1.
 
+There are so many levels that the sparsest subsets hold about one term of the lexicon, and
+so of the longest document, at most; 16 at least.
+
 The lexicon holds at most (mean distinct terms per document) / ``low`` terms whatever
 the number of documents, which bounds the broadcast. Null texts are empty texts.
 Documents follow one another by (doc_id, text), null ids first, and repeated rows
@@ -96,20 +100,27 @@ def lexicon(docs: DataFrame, low: float, high: float) -> np.ndarray:
     return np.sort(terms.view(np.uint64))
 
 
+def levels_for(terms: int) -> int:
+    """Levels after which a subset holds at most about one of ``terms`` lexicon terms."""
+    return max(16, (max(terms, 1) - 1).bit_length())
+
+
 @dataclass
 class Fingerprinter:
     """Hash rows of texts for one lexicon."""
 
     lexicon: np.ndarray
-    levels: int = 8
+    levels: int | None = None
     per_level: int = 12
     seed: int = 11
+    salted: int = 8  # levels with salts of their own
 
     def __post_init__(self):
+        self.levels = self.levels or levels_for(len(self.lexicon))
         self.subsets = self.levels * self.per_level
-        self.share = 0.5 ** (np.arange(self.subsets) // self.per_level + 1)
-        self.salts = np.random.default_rng(self.seed).integers(0, 2**63, self.subsets, dtype=np.uint64) | np.uint64(1)
-        self.limit = (self.share * 2.0**32).astype(np.uint64)
+        own = min(self.levels, self.salted) * self.per_level
+        self.salts = np.random.default_rng(self.seed).integers(0, 2**63, own, dtype=np.uint64) | np.uint64(1)
+        self.limit = (0.5 ** (np.arange(self.subsets) // self.per_level + 1) * 2.0**32).astype(np.uint64)
         self.hashes = TermHashes()
 
     def row(self, text: str) -> bytes:
@@ -122,10 +133,12 @@ class Fingerprinter:
         if not len(kept):
             kept = every
         mixed = kept[:, None] * self.salts[None, :]
-        held = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) < self.limit
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+        salt = np.arange(self.subsets) % len(self.salts)
         out = np.zeros(self.subsets, np.uint16)
-        for s in np.flatnonzero(held.any(axis=0)).tolist():
-            digest = hashlib.blake2b(kept[held[:, s]].tobytes(), digest_size=2).digest()
+        for s in np.flatnonzero(mixed.min(axis=0)[salt] < self.limit).tolist():
+            held = mixed[:, salt[s]] < self.limit[s]
+            digest = hashlib.blake2b(kept[held].tobytes(), digest_size=2).digest()
             out[s] = int.from_bytes(digest, "little") or 1
         return out.tobytes()
 
@@ -173,7 +186,7 @@ def _in_order(docs: DataFrame, rows_per_part: int) -> DataFrame:
     return rows.repartitionByRange(max(len(used), 1), "part").sortWithinPartitions("part", "ahead", *order)
 
 
-def fingerprint_pairs(docs: DataFrame, low: float = 0.0002, high: float = 0.05, levels: int = 8, per_level: int = 12, rows_per_part: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_pairs(docs: DataFrame, low: float = 0.0002, high: float = 0.05, levels: int | None = None, per_level: int = 12, rows_per_part: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,

@@ -148,15 +148,22 @@ class ByteBpe:
 
     The pre-tokenizer always starts a new token at a single space between two other
     characters, so cutting there changes no id. Unknown words are merged by tiktoken
-    with the file's vocabulary, which gives the ids of the tokenizers library (special
-    tokens being ordinary text) at a quarter of its cost per new word.
+    with the file's vocabulary, which gives the ids of the tokenizers library at a quarter
+    of its cost per new word. The file's added tokens are cut out of the text first and
+    give their ids; the parts between are texts of their own.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            content = json.load(f)
+        vocabulary, added = content["model"]["vocab"], content.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and content.get("normalizer") for t in added):
+            raise ValueError(f"{path}: added tokens match more than their own text")
+        self.added = {t["content"]: np.array([t["id"]], np.int32) for t in added}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cut_added = re.compile(f"({'|'.join(longest_first)})") if self.added else None
         letters = _byte_letters()
         ranks = {bytes(map(letters.__getitem__, token)): i for token, i in vocabulary.items() if all(c in letters for c in token)}
         special = [i for token, i in vocabulary.items() if token.startswith("<|")]
@@ -198,7 +205,11 @@ class ByteBpe:
         return [" " + text[a:b] for a, b in zip(edges, edges[1:]) if a < b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.words.ids([self._cut(t) for t in texts])
+        if not self.cut_added:
+            return self.words.ids([self._cut(t) for t in texts])
+        split = [self.cut_added.split(t) for t in texts]  # every second part is an added token
+        plain = iter(self.words.ids([self._cut(t) for parts in split for t in parts[::2]]))
+        return [next(plain) if len(parts) == 1 else np.concatenate([self.added[t] if i % 2 else next(plain) for i, t in enumerate(parts)]) for parts in split]
 
 
 _models: dict[str, ByteBpe] = {}

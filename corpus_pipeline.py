@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 Parquet and read again as the next stage's docs. All but the last return the columns of
 ``documents``; n_chars follows the text. Null texts count as empty. A document that
 loses all its lines stays as an empty document until the near-duplicate stage, which
-keeps one document of every group, the one with the smallest doc_id. Labels are read
+keeps one document of every group, the one with the smallest doc_id (then text hash). Labels are read
 from the folder, everything else from the stage's own input.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.llm import jaccard, lines, packing, privacy, quality
 from millrace.llm.common import keep, load, tokenizer_path
 
-ORACLE_SQL = None  # the stages cannot be expressed in SQL; tests compare with a brute-force version
+ORACLE_SQL = None  # the stages cannot be expressed in SQL; tests/llm/test_pipeline.py compares with plain Python
 
 
 def _with_text(df: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -37,9 +37,10 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near duplicates."""
-    groups = jaccard.similarity_groups(docs, words=5, threshold=0.8)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    row = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))  # ids can repeat over different texts
+    groups = jaccard.similarity_groups(docs.select(row.alias("row"), "text"), words=5, threshold=0.8, id_col="row")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__row")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), row == F.col("__row"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,3 +132,23 @@ def take_runs(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
 
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with about ``size`` bytes of the text column each, at least one row."""
+    texts = batch.column(column)
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, batch.num_rows + 1, texts.offset * 4)).astype(np.int64)
+    cut = np.cumsum(sizes) // size
+    edges = np.r_[np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]), batch.num_rows]
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        yield batch.slice(a, b - a)
+
+
+def word_lists(raw: bytes, size: int = 8 << 20) -> Iterator[list[bytes]]:
+    """The words of ``raw``, cut at ASCII white space, in lists of about ``size`` bytes."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size) if at + size < len(raw) else -1
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end

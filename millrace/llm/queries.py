@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import collocations, decontam, imatch, jaccard, lines, packing, phrases, pieces, privacy, quality, sharding, vectors
+from millrace.llm import alignment, collocations, decontam, imatch, jaccard, lines, packing, phrases, pieces, privacy, quality, sharding, vectors
 from millrace.llm.common import load, tokenizer_path
 
 
@@ -69,6 +69,10 @@ def op11_setm_collocations(spark, sf_dir):
     return collocations.collocations(load(spark, sf_dir, "documents"), max_words=3, min_count=10, top=2000)
 
 
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align_documents(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_suffix_array_leaks(spark, sf_dir):
     found = decontam.screen(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"), window=10, matches=False)
     return found.withColumn("n_hit", decontam.hit_words(F.col("hit"))).select(
@@ -76,7 +80,7 @@ def op13_suffix_array_leaks(spark, sf_dir):
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_one_bit_neighbours, op3_sum_of_squares_packing, op4_hypergeometric_shards, op5_repeated_phrases, op6_i_match, op7_two_filter_lines, op8_disclosure_sanitising, op9_chosen_path_join, op10_piece_codec, op11_setm_collocations, op13_suffix_array_leaks)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_one_bit_neighbours, op3_sum_of_squares_packing, op4_hypergeometric_shards, op5_repeated_phrases, op6_i_match, op7_two_filter_lines, op8_disclosure_sanitising, op9_chosen_path_join, op10_piece_codec, op11_setm_collocations, op12_token_alignment, op13_suffix_array_leaks)}
 
 _KEY = r"regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 
@@ -92,13 +96,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM marked GROUP BY doc_id""",
     "op11_setm_collocations": r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS ws FROM pieces),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
 grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
   FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM split, (VALUES (1), (2), (3)) AS lengths(k) WHERE len(ws) >= k)),
 f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
 total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
-inner2 AS (SELECT lang, array_to_string(ws[s:s + 1], ' ') AS phrase, max(a) AS longer FROM cand, (VALUES (1), (2)) AS at(s) WHERE k = 3 GROUP BY ALL),
+inner2 AS (SELECT lang, array_to_string(ws[s:s + 1], ' ') AS phrase, max(a) AS longer FROM cand, (VALUES (1), (2)) AS place(s) WHERE k = 3 GROUP BY ALL),
 left_over AS (SELECT c.* FROM cand c LEFT JOIN inner2 i ON c.k = 2 AND i.lang = c.lang AND i.phrase = c.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a),
 cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, ((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
   FROM (SELECT *, unnest(range(1, k)) AS cut FROM left_over) c

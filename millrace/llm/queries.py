@@ -105,9 +105,9 @@ cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE
 inner2 AS (SELECT lang, array_to_string(ws[s:s + 1], ' ') AS phrase, max(a) AS longer FROM cand, (VALUES (1), (2)) AS place(s) WHERE k = 3 GROUP BY ALL),
 left_over AS (SELECT c.* FROM cand c LEFT JOIN inner2 i ON c.k = 2 AND i.lang = c.lang AND i.phrase = c.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a),
 cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, ((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
-  FROM (SELECT *, unnest(range(1, k)) AS cut FROM left_over) c
+  FROM (SELECT lang, phrase, a, k AS words, ws, unnest(range(1, k)) AS cut FROM left_over) c
   JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:cut], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1:k], ' ')),
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1:c.words], ' ')),
 worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",

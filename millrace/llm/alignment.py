@@ -12,10 +12,10 @@ token whose byte ranges overlap. The count of an id pair is the number of docume
 the corpus that hold it linked.
 
 Texts are cut into units at places that neither tokenizer can cross, and a unit is
-encoded and aligned once while it stays in the worker's table (``table_units``): before a space that follows another
-character than a space and stands before no white space, between a letter and a mark that
-never share a piece, and around a single line end. The units of a batch are encoded
-together, parted by line ends; units with other white space one by one.
+encoded and aligned once while it stays in the worker's table (``table_units``): before
+a space that follows another character than a space and stands before no white space,
+between a letter and a mark that never share a piece, and around a single line end. New
+units are encoded together, parted by line ends; units with other white space one by one.
 
 Null and empty texts, and texts whose decoded bytes differ from the space and the text
 for either tokenizer (for example those that hold U+2581), have no tokens: zeros and an
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,11 +98,10 @@ class Aligner:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain):
             raise ValueError("pieces that hold a space after other characters, or a line end, are not supported")
         joined = {p[i:i + 2] for p in plain for i in range(len(p) - 1)}
-        known = [chr(c) for c in range(0x250) if chr(c).isalpha()]
-        edges = [f"(?<=[{''.join(x for x in known if x + mark not in joined)}])(?={re.escape(mark)})" for mark in MARKS]
-        # a line end between other characters than white space is a unit
-        self.edge = re.compile("|".join([*edges, r"(?<=\S)(?=\n\S)", r"(?<=\S\n)(?=\S)"]))
-        self.odd = re.compile(r" (?=\s|$)|^ | \Z")
+        letters = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and not any(chr(c) + mark in joined for mark in MARKS))
+        self.mark = re.compile(rf"[{re.escape(MARKS)}](?<=[{letters}].)")
+        self.line = re.compile(r"\n(?<=\S\n)(?=\S)")
+        self.odd = re.compile(r" (?=\s|$)|^ |\0")
         # decimal ids with what follows them: the next id, the other side, the next group, the next unit
         self.words = [f"{i}{end}" for n, ends in ((n_a, ",|"), (self.n_b, ",;\n")) for end in ends for i in range(n)]
         self.n_a, self.limit = n_a, limit
@@ -113,25 +113,19 @@ class Aligner:
         self.used, self.pairs = 0, np.empty(1 << 20, np.int64 if self.n_a * self.n_b >= 1 << 31 else np.int32)
         self.table = np.zeros((1 << 16, 7), np.int64)  # A tokens, B tokens, groups, links, start and number of pairs, intact
 
-    def units(self, text: str) -> list[str]:
-        """``text`` after a space, cut where no token of either tokenizer can cross."""
-        parts = self.edge.sub("\0 ", text).split(" ") if "\0" not in text else text.split(" ")
-        # a part begins with what stood behind a space, or ends with \0 where the cut took the space in
-        out: list[str] = []
-        if not self.odd.search(text) and "\0" not in text:
-            before = " "
-            for p in parts:
-                if p[-1:] == "\0":
-                    out.append(before + p[:-1])
-                    before = ""
-                else:
-                    out.append(before + p)
-                    before = " "
-            return out
-        s, cuts = " " + text, [0]
-        for m in re.finditer(r"(?<=[^ ]) (?=\S)", s):
-            cuts.append(m.start())
-        return [s[a:b] for a, b in zip(cuts, [*cuts[1:], len(s)])]
+    def keys(self, text: str) -> list[str]:
+        """``text`` after a space, cut where no token of either tokenizer can cross: a key per unit (see :meth:`unit`)."""
+        if not self.odd.search(text):
+            return self.line.sub(" \0\n \0", self.mark.sub(" \0\\g<0>", text)).split(" ")
+        s = " " + text
+        cuts = [0, *[m.start() for m in re.finditer(r"(?<=[^ ]) (?=\S)", s)], len(s)]
+        units = [s[a + 1:b] for a, b in zip(cuts, cuts[1:])]
+        return ["\0\0" + u if u[:1] == "\0" else u for u in units]
+
+    @staticmethod
+    def unit(key: str) -> str:
+        """The characters of a unit: behind a space, or, if its key begins with \\0, as they are (\\0\\0: behind a space)."""
+        return " " + key if key[:1] != "\0" else " " + key[2:] if key[1:2] == "\0" else key[1:]
 
     def _tokens_a(self, text: str):
         found = self.a.encode(text, add_special_tokens=False)
@@ -201,11 +195,12 @@ class Aligner:
             good[i] = bool((made[at[i]:at[i] + got[i]] == own[edge[i]:edge[i] + count[i]]).all())
         return good
 
-    def _learn(self, units: list[str]) -> None:
-        for a in range(0, len(units), 1000):
-            self._learn_some(units[a:a + 1000])
+    def _learn(self, keys: list[str]) -> None:
+        for a in range(0, len(keys), 250):
+            self._learn_some(keys[a:a + 250])
 
-    def _learn_some(self, units: list[str]) -> None:
+    def _learn_some(self, keys: list[str]) -> None:
+        units = list(map(self.unit, keys))
         (ua, ia, ea), (ub, ib, eb) = self._encode(units)
         n = len(units)
         intact = self._intact(units, 0, ua, ia, ea) & self._intact(units, 1, ub, ib, eb)
@@ -218,7 +213,8 @@ class Aligner:
         times = last - first
         link_a, link_b = np.repeat(np.arange(len(ia)), times), take_runs(np.arange(len(ib)), first, times)
         pairs = ia[link_a] * self.n_b + ib[link_b]
-        both = np.intersect1d(ea, eb)
+        met = np.searchsorted(eb, ea)
+        both = ea[eb[np.minimum(met, len(eb) - 1)] == ea] if len(eb) else ea[:0]
         group_a, group_b = np.searchsorted(both, ea), np.searchsorted(both, eb)
         new_unit = np.r_[ub[1:] != ub[:-1], True] if len(ub) else np.empty(0, bool)
         end_a = np.r_[group_a[1:] != group_a[:-1], True] if len(ia) else np.empty(0, bool)
@@ -240,26 +236,25 @@ class Aligner:
         self.table[code:code + n] = np.c_[np.bincount(ua, minlength=n), np.bincount(ub, minlength=n), np.bincount(group_unit, minlength=n), links, self.used + np.cumsum(links) - links, links, intact]
         self.used += len(pairs)
         self.groups += groups
-        self.codes.update(zip(units, range(code, code + n)))
+        self.codes.update(zip(keys, range(code, code + n)))
 
-    def coded(self, texts: list[str]) -> list[np.ndarray]:
-        """Unit numbers of each text; they hold until the next call."""
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit numbers of the texts, one after another, and how many each has; they hold until the next call."""
         if len(self.codes) > self.limit:
             self._clear()
-        split = [self.units(t) for t in texts]
-        get = self.codes.get
-        got = [list(map(get, u)) for u in split]
-        new = list(dict.fromkeys(u for units, codes in zip(split, got) if None in codes for u, c in zip(units, codes) if c is None))
-        if new:
-            self._learn(new)
-            got = [codes if None not in codes else list(map(get, units)) for units, codes in zip(split, got)]
-        return [np.array(c, np.int64) for c in got]
+        split = [self.keys(t) for t in texts]
+        keys = list(chain.from_iterable(split))
+        codes = np.fromiter(map(self.codes.get, keys, repeat(-1)), np.int64, len(keys))
+        gaps = np.flatnonzero(codes < 0).tolist()
+        if gaps:
+            missing = [keys[i] for i in gaps]
+            self._learn(list(dict.fromkeys(missing)))
+            codes[gaps] = np.fromiter(map(self.codes.get, missing), np.int64, len(missing))
+        return codes, np.array([len(k) for k in split], np.int64)
 
     def measure(self, texts: list[str]) -> list[tuple[np.ndarray, list[str], np.ndarray, np.ndarray] | None]:
         """(A tokens, B tokens, groups and links; group strings; distinct pairs; their links) of each text, None without tokens."""
-        codes = self.coded(texts)
-        sizes = np.array([len(c) for c in codes], np.int64)
-        flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        flat, sizes = self.coded(texts)
         owner = np.repeat(np.arange(len(texts)), sizes)
         key, times = np.unique(owner << 32 | flat, return_counts=True)
         of, unit = key >> 32, key & 0xFFFFFFFF
@@ -276,12 +271,13 @@ class Aligner:
         edge = np.searchsorted(of_pair, np.arange(len(texts) + 1))
         sums = [np.bincount(of, weights=rows[:, k] * times, minlength=len(texts)).astype(np.int64) for k in range(4)]
         broken = np.bincount(of, weights=rows[:, 6] == 0, minlength=len(texts)) > 0
-        out = []
-        for i, c in enumerate(codes):
+        out, at = [], np.cumsum(sizes) - sizes
+        groups = list(map(self.groups.__getitem__, flat.tolist()))
+        for i, (a, n) in enumerate(zip(at.tolist(), sizes.tolist())):
             if not texts[i] or broken[i]:
                 out.append(None)
             else:
-                out.append((np.array([s[i] for s in sums]), list(map(self.groups.__getitem__, c.tolist())), pair[edge[i]:edge[i + 1]], weight[edge[i]:edge[i + 1]]))
+                out.append((np.array([s[i] for s in sums]), groups[a:a + n], pair[edge[i]:edge[i + 1]], weight[edge[i]:edge[i + 1]]))
         return out
 
     def long_text(self, text: str):

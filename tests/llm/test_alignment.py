@@ -88,7 +88,7 @@ def test_units_join_to_the_text():
     tool = alignment.Aligner(BYTE, PIECE)
     for text in texts(7, 300):
         if text:
-            assert "".join(tool.units(text)) == " " + text
+            assert "".join(map(tool.unit, tool.keys(text))) == " " + text
 
 
 def test_documents_of_the_test_data(spark, sf):

@@ -8,7 +8,9 @@ its bucket. A class stays in a bucket only if another one there has a size that
 the threshold. A bucket of at most ``small`` classes is compared by brute force; a larger
 one is split again on the next sampled shared token, down to ``max_depth``. A child that
 still holds more than half of its parent consists of sets too near to be separated by
-splitting: like what is large at the last depth, it is compared in blocks. Two sets at the threshold share a bucket of one
+splitting: like what is large at the last depth, it is compared as a whole. A bucket is
+one task while its sets hold ``block_shingles`` shingles at most; beyond that it is
+compared in pairs of blocks of that size, so a class is sent once per block of its bucket. Two sets at the threshold share a bucket of one
 run with a chance s(0) of at least 1 - 1/e, and still share one after k splits with a chance
 s(k) = 1 - exp(-s(k - 1)). The number of runs follows from ``recall`` and s(0). Classes in
 buckets that were split k times are sampled in more runs, up to the number that s(k) asks
@@ -18,9 +20,9 @@ Buckets with the same members are compared once. Every pair is compared in one b
 only, the smallest that holds both. Candidate pairs never become rows: a bucket task
 returns a number of links per class and a spanning forest of its links, and groups are
 the connected components of these forests. Classes are told apart by 64-bit shingle
-hashes; pairs are compared on their upper 32 bits, which halves what is shuffled: no link
-is lost, and a pair just one shingle below the threshold passes with a chance of about
-|A| |B| / 2**32.
+hashes; pairs are compared on their upper 32 bits, which halves what is shuffled. Two of the
+32-bit hashes of a pair are equal by chance with about (|A| + |B|)**2 / 2**33, which can
+move a pair that lies one shingle off the threshold to the other side.
 
 A text of fewer words is one shingle; null, empty and blank texts have the empty set
 and form one class. Words are lower-cased and cut at white space. Repeated rows are in
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_and_text, keep, keep_counted, map_arrow
+from millrace.llm.common import id_and_text, keep, keep_counted, map_arrow, take_runs
 from millrace.session import discard
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -49,30 +51,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts."""
+    """Distinct shingle hashes of texts."""
 
     def __init__(self, words: int, limit: int = 600_000):
         self.words, self.limit, self.known = words, limit, {}
 
-    def of(self, text: str) -> np.ndarray:
+    def _word_hashes(self, parts: list[str]) -> list[int]:
         import xxhash
 
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, parts = self.known, text.lower().split()
+        known = self.known
         got = list(map(known.get, parts))
         if None in got:
             for i, h in enumerate(got):
                 if h is None:
                     got[i] = known[parts[i]] = xxhash.xxh3_64_intdigest(parts[i])
-        h = np.array(got, np.uint64)
-        if not len(h):
-            return h
-        k = min(self.words, len(h))
-        out = np.full(len(h) - k + 1, len(h) if len(h) < self.words else 0, np.uint64)
-        for j in range(k):
-            out = mixed(out * P1 + h[j:len(h) - k + 1 + j])
-        return np.unique(out)
+        return got
+
+    def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of each text, one text after another, and how many each has."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        h = [np.array(self._word_hashes(t.lower().split()), np.uint64) for t in texts]
+        words = np.array([len(x) for x in h], np.int64)
+        h = np.concatenate([np.empty(0, np.uint64), *h])
+        width = np.minimum(words, self.words)
+        count = np.where(words > 0, words - width + 1, 0)
+        at = take_runs(np.arange(len(h)), np.cumsum(words) - words, count)
+        owner = np.repeat(np.arange(len(texts)), count)
+        out = np.where(words < self.words, words, 0)[owner].astype(np.uint64)
+        for j in range(self.words):
+            in_ = np.flatnonzero(width[owner] > j) if (width[words > 0] <= j).any() else slice(None)
+            out[in_] = mixed(out[in_] * P1 + h[at[in_] + j])
+        key = owner.astype(np.uint64) << np.uint64(48) | out >> np.uint64(16)
+        order = np.argsort(key)
+        key, sorted_ = key[order], out[order]
+        same = key[1:] == key[:-1]
+        if (same & (sorted_[1:] != sorted_[:-1])).any():  # hashes alike in their upper bits
+            order = np.lexsort((out, owner))
+            sorted_ = out[order]
+            same = (sorted_[1:] == sorted_[:-1]) & (owner[order][1:] == owner[order][:-1])
+        new = np.r_[True, ~same][:len(sorted_)]
+        return sorted_[new], np.bincount(owner[order][new], minlength=len(texts))
 
 
 def taken(shingles: np.ndarray, path: int, rate: float) -> np.ndarray:
@@ -83,10 +102,30 @@ def taken(shingles: np.ndarray, path: int, rate: float) -> np.ndarray:
     return mixed(hit + np.uint64(path * int(P2) % 2**64))
 
 
-def class_name(shingles: np.ndarray) -> bytes:
-    """128 bits that name a set; the empty set has the name of no bits."""
-    a, b = (int(np.bitwise_xor.reduce(mixed(shingles + np.uint64(k)))) if len(shingles) else 0 for k in (1, 2))
-    return (a << 64 | b).to_bytes(16, "big")
+def taken_by_each(flat: np.ndarray, sizes: np.ndarray, paths: list[int], rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`taken` for several sets laid one after another: (children, children of each set)."""
+    limit = np.repeat(np.minimum(rate / np.maximum(sizes, 1) * 2.0**64, 2.0**64 - 2048).astype(np.uint64), sizes)
+    all_ = np.repeat(rate >= sizes, sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    children, owners = [], []
+    for path in paths:
+        h = mixed(flat * P1 ^ np.uint64(path))
+        hit = (h < limit) | all_
+        children.append(mixed(h[hit] + np.uint64(path * int(P2) % 2**64)))
+        owners.append(owner[hit])
+    children, owners = np.concatenate(children), np.concatenate(owners)
+    return children[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(sizes))
+
+
+def class_names(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """128 bits that name each set; the empty set has the name of no bits."""
+    halves = np.zeros((len(sizes), 2), ">u8")
+    some = np.flatnonzero(sizes)
+    for k in (1, 2):
+        if len(some):
+            halves[some, k - 1] = np.bitwise_xor.reduceat(mixed(flat + np.uint64(k)), (np.cumsum(sizes) - sizes)[some])
+    raw = halves.tobytes()
+    return [raw[i:i + 16] for i in range(0, len(raw), 16)]
 
 
 def runs_for(recall: float, splits: int = 0) -> int:
@@ -107,13 +146,10 @@ def _sets(rows: DataFrame, words: int, runs: int, rate: float, seed: int) -> Dat
         def step(batch):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                name, size, buckets = [], [], []
-                for text in part.column("text").to_pylist():
-                    s = shingler.of(text)
-                    name.append(class_name(s))
-                    size.append(len(s))
-                    buckets.append(np.concatenate([taken(s, p, rate) for p in paths]).view(np.int64) if len(s) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(name, pa.binary()), pa.array(size, pa.int32()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "class", "size", "buckets"])
+                flat, sizes = shingler.sets(part.column("text").to_pylist())
+                children, count = taken_by_each(flat, sizes, paths, rate)
+                buckets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(children.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(class_names(flat, sizes), pa.binary()), pa.array(sizes, pa.int32()), buckets], names=["doc_id", "class", "size", "buckets"])
 
         return step
 
@@ -134,15 +170,18 @@ def _shingles_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         def step(batch):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                names, sets = [], []
+                wanted = {}
                 for text, name in zip(part.column("text").to_pylist(), part.column("class").to_pylist()):
-                    if name in seen:
-                        continue
-                    s = shingler.of(text)
-                    if class_name(s) == name:
+                    if name not in seen:
+                        wanted.setdefault((name, text), None)
+                flat, sizes = shingler.sets([text for _, text in wanted])
+                ends = np.cumsum(sizes)
+                names, sets = [], []
+                for (name, _), own, a, b in zip(wanted, class_names(flat, sizes), (ends - sizes).tolist(), ends.tolist()):
+                    if own == name and name not in seen:
                         seen.add(name)
                         names.append(name)
-                        sets.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                        sets.append(np.unique((flat[a:b] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=["class", "shingles"])
 
         return step
@@ -159,7 +198,7 @@ def _shared(placed: DataFrame, label: str) -> DataFrame:
     bands = bands.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list(F.struct("band", "n")).alias("bands")).where("n > 1")
     bands = keep(bands, f"{label}-bands")
     near = F.aggregate(F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1), F.lit(0).cast("bigint"), lambda sum_, b: sum_ + b["n"])
-    shared = keep(placed.join(bands, "bucket").where(near > 1).drop("bands"), f"{label}-shared")
+    shared = keep(placed.join(bands.hint("shuffle_hash"), "bucket").where(near > 1).drop("bands"), f"{label}-shared")
     discard(bands)
     return shared
 
@@ -200,12 +239,12 @@ def _sampled(classes: DataFrame, sets: DataFrame, paths: list[int], rate: float)
 
 
 def _split_down(top: DataFrame, sets: DataFrame, rate: float, small: int, max_depth: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """Buckets to compare (bucket, class), and (class, band, splits) of the classes in buckets that were split.
+    """Buckets to compare (bucket, class, band), and (class, band, splits) of the classes in buckets that were split.
 
     ``top``: first-level buckets (bucket, class, band, n), discarded.
     """
     columns, scratch = ["bucket", "class", "band", "n"], [top]
-    ready, large = [top.where(F.col("n") <= small).select("bucket", "class")], top.where(F.col("n") > small).select(*columns)
+    ready, large = [top.where(F.col("n") <= small).select("bucket", "class", "band")], top.where(F.col("n") > small).select(*columns)
     split = []
     for depth in range(max_depth):
         split.append(large.select("class", "band", F.lit(depth + 1).alias("splits")))
@@ -217,10 +256,10 @@ def _split_down(top: DataFrame, sets: DataFrame, rate: float, small: int, max_de
         counted = _shared(children, f"{label}-split-{depth}")
         scratch.append(counted)
         done = (F.col("n") <= small) | (2 * F.col("n") > F.col("parent"))
-        ready.append(counted.where(done).select("bucket", "class"))
+        ready.append(counted.where(done).select("bucket", "class", "band"))
         large = counted.where(~done).select(*columns)
     if large is not None:
-        ready.append(large.select("bucket", "class"))
+        ready.append(large.select("bucket", "class", "band"))
     members = keep(reduce(DataFrame.unionByName, ready), f"{label}-members")
     deep = top.select("class", "band", F.lit(0).alias("splits")).limit(0)
     deep = keep(reduce(DataFrame.unionByName, split, deep).groupBy("class", "band").agg(F.max("splits").alias("splits")), f"{label}-deep")
@@ -310,7 +349,7 @@ def _components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("class"), F.col("v").alias("root"))
 
 
-def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 128, max_depth: int = 6, block: int = 512, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 128, max_depth: int = 6, block_shingles: int = 2_000_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, group_id, links.
 
     class_id names documents with equal shingle sets, group_id is the smallest doc_id of
@@ -321,7 +360,8 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     rate = 1 / threshold
     sets = keep(_sets(rows, words, runs_for(recall), rate, seed), "shingle-classes")
     classes = sets.groupBy("class").agg(F.min(F.struct("doc_id", "size", "buckets")).alias("one")).select("class", "one.*")
-    band = F.floor(F.log(F.col("size")) / (max(math.log(1 / threshold), 1e-6) * 1.0001)).cast("int")
+    step = max(1 / threshold, 1.000001) ** 1.0001  # sizes of a band lie within this factor
+    band = F.floor(F.log(F.col("size")) / math.log(step)).cast("int")
     placed = keep(classes.select("class", "doc_id", band.alias("band"), F.explode(F.array_distinct("buckets")).alias("bucket")), "buckets")
     shared = _shared(placed, "top")
     discard(placed)
@@ -341,10 +381,10 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
         before, deep = deep, keep(again.unionByName(more).groupBy("class", "band").agg(F.max("splits").alias("splits")), f"deep-{splits}")
         discard(placed, before, again, more)
     members = reduce(DataFrame.unionByName, found_in)
-    same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("xor"))
-    once = same.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"))
-    once = keep(once.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "distinct-buckets")
-    members = keep(members.join(once, "bucket"), "distinct-members")
+    same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("xor"), F.sum(F.pow(F.lit(step), F.col("band") + 1)).alias("shingles"))
+    once = same.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.min("shingles").alias("shingles"))
+    once = keep(once.select("bucket", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks")), "distinct-buckets")
+    members = keep(members.join(once.hint("shuffle_hash"), "bucket").select("bucket", "class", "blocks"), "distinct-members")
     discard(*found_in, once)
     others = keep(members.groupBy("class").agg(F.collect_list("bucket").alias("others")), "class-buckets")
     # a bucket of several blocks is compared block pair by block pair
@@ -352,7 +392,8 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     pairs = members.select("bucket", "class", "blocks", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     pairs = pairs.select("bucket", "class", (low * F.col("blocks") + high).cast("bigint").alias("pair_of_blocks"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    found = keep(_compare(pairs.join(others, "class").join(shingles, "class"), threshold), "links")
+    sets_of = shingles.dropDuplicates(["class"]).join(others.hint("shuffle_hash"), "class")
+    found = keep(_compare(pairs.join(sets_of.hint("shuffle_hash"), "class"), threshold), "links")
     discard(members, others, shingles)
     degree = found.groupBy("class").agg(F.sum("links").alias("links"))
     component = _components(found.select("class", "root"))

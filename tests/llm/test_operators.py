@@ -318,9 +318,9 @@ def test_privacy_on_awkward_tables(awkward):
 
 # --- similarity join -------------------------------------------------------------
 
-@pytest.mark.parametrize("small,block", [(128, 512), (2, 3)])
+@pytest.mark.parametrize("small,block", [(128, 2_000_000), (2, 300)])
 def test_join_against_brute_force(docs, corpus, small, block):
-    rows = {r.doc_id: r for r in jaccard.similarity_groups(docs, small=small, block=block, max_depth=3).collect()}
+    rows = {r.doc_id: r for r in jaccard.similarity_groups(docs, small=small, block_shingles=block, max_depth=3).collect()}
     want = jaccard.brute_force(corpus)
     assert {i: (r.group_id, r.links) for i, r in rows.items()} == dict(enumerate(want))
     assert len({r.class_id for r in rows.values()}) == len({" ".join(t.lower().split()) for t in corpus})
@@ -335,8 +335,8 @@ def test_join_of_dense_groups_and_sizes_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     twice = docs.unionByName(docs.where("doc_id < 3"))
     want = dict(enumerate(jaccard.brute_force(texts)))
-    for small, block in [(128, 512), (4, 7)]:
-        rows = jaccard.similarity_groups(twice, small=small, block=block).collect()
+    for small, block in [(128, 2_000_000), (4, 400)]:
+        rows = jaccard.similarity_groups(twice, small=small, block_shingles=block).collect()
         assert len(rows) == len(texts) + 3 and {(r.doc_id, r.group_id, r.links) for r in rows} == {(i, *w) for i, w in want.items()}
 
 

@@ -51,18 +51,30 @@ def admit_requests(requests: DataFrame, balances: DataFrame, order: list[str], h
     """Mark each request accepted or not, in order, against the running balance.
 
     A refused request takes nothing, so later smaller ones may still pass: the
-    decision depends on every earlier decision for the same key.
+    decision depends on every earlier decision for the same key. It is simple where the
+    whole demand of a key fits its balance: all pass, and what is left before a request
+    is a running sum. One aggregate tells these keys apart; only the rows of contended
+    keys go through the ordered fold.
     """
-    base = available_qty(balances, requests).withColumns({
+    asked = requests.groupBy(*KEY).agg(F.sum("qty").alias("__asked"))
+    keys = materialize(available_qty(balances, asked), "demand-of-keys")
+    calm = keys.filter(F.col("__asked") <= F.col("available")).select(*KEY, "available")
+    tight = keys.filter(~(F.col("__asked") <= F.col("available"))).select(*KEY, "available")
+    hot = is_hot(requests, KEY) if hot is None else hot
+    by = [F.col(c) for c in order]
+    easy = running_sums(requests.join(calm, KEY), KEY, by, {"__run": F.col("qty").cast("decimal(28,4)")}, hot)
+    easy = easy.select(
+        *requests.columns, F.lit(True).alias("accepted"),
+        (F.col("available") - F.col("__run") + F.col("qty")).cast(QTY).alias("available_before"))
+    base = requests.join(tight, KEY).withColumns({
         "__qty": scaled(F.col("qty"), 4), "__avail": scaled(F.col("available"), 4)})
     carried = [c for c in requests.columns if c not in KEY]
-    hot = is_hot(requests, KEY) if hot is None else hot
     folded = ordered_fold(
-        base, KEY, [F.col(c) for c in order], ["__qty"], ["__avail"], _admit_step,
+        base, KEY, by, ["__qty"], ["__avail"], _admit_step,
         [("__ok", "bigint"), ("__before", "bigint")], carried, additive=[True], hot=hot)
-    return folded.select(
+    return easy.unionByName(folded.select(
         *requests.columns, (F.col("__ok") == 1).alias("accepted"),
-        unscaled("__before", 4, QTY).alias("available_before"))
+        unscaled("__before", 4, QTY).alias("available_before")))
 
 
 def _fill_segments(lot: DataFrame, dem: DataFrame) -> DataFrame:

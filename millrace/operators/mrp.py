@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import doc_no
-from millrace.operators.bom import active_bom, low_level_codes_checked, structure_edges
+from millrace.operators.bom import active_bom, circular_items, low_level_codes_checked, structure_edges
 from millrace.operators.common import best_per_key, union_all
 from millrace.operators.ordered import row_numbers, running_sums
-from millrace.session import materialize, materialize_counted
+from millrace.session import materialize, materialize_counted, scratch_root
 
 NEED = "decimal(22,6)"
 QTY = "decimal(18,4)"
@@ -45,6 +47,33 @@ def in_transit(po_lines: DataFrame, orders: DataFrame, run_date, horizon: int) -
     return due.join(live, "po_id").groupBy("item_id").agg(F.sum(F.col("qty_ordered") - F.col("qty_received")).cast(QTY).alias("in_transit"))
 
 
+def _uncoded_levels(edges: DataFrame, codes: DataFrame, circular: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(item_id, llc) of the components that no FG/SEMI root reaches, and their items on cycles; None where there are none.
+
+    ``edges`` (parent, item_id) are all planning edges, whatever the items' type. Such a
+    component lies one level below its deepest parent, so it is netted once; a parent
+    without a code lies at level 0.
+    """
+    coded = codes.select("item_id", F.lit(True).alias("__coded"))
+    open_ = edges.join(coded, "item_id", "left").filter("__coded IS NULL").drop("__coded").join(circular, "item_id", "left_anti")
+    open_, count = materialize_counted(open_, "uncoded")
+    if not count:
+        return None, None
+    within = open_.join(open_.select(F.col("item_id").alias("parent")).distinct(), "parent", "left_semi")
+    loops = materialize(circular_items(within), "loops")
+    open_ = materialize(open_.join(loops, "item_id", "left_anti").join(loops.withColumnRenamed("item_id", "parent"), "parent", "left_anti"), "uncoded")
+    front = open_.join(codes.withColumnRenamed("item_id", "parent"), "parent", "left").groupBy("item_id").agg(F.max(F.coalesce("llc", F.lit(0)) + 1).alias("llc"))
+    levels = []
+    while True:  # no cycle is left, so the front dies out
+        step, count = materialize_counted(front, "uncoded-level")
+        if not count:
+            break
+        levels.append(step)
+        front = step.withColumnRenamed("item_id", "parent").join(open_, "parent").groupBy("item_id").agg(F.max(F.col("llc") + 1).alias("llc"))
+    found = union_all(levels).groupBy("item_id").agg(F.max("llc").cast("int").alias("llc")) if levels else None
+    return found, loops
+
+
 def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: DataFrame, headers: DataFrame, lines: DataFrame,
             run_date, horizon: int = 90, run_id: int = 1, phantom: str = "skip") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(plan rows, run summary, rejects): netting level by level down the structure.
@@ -59,17 +88,28 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
     if phantom not in ("skip", "pass_through"):
         raise ValueError("phantom must be skip or pass_through")
     end = F.date_add(F.lit(run_date).cast("date"), horizon)
+    spark = items.sparkSession
     codes, circular = low_level_codes_checked(headers, lines, items)
-    codes, circular = materialize(codes, "llc"), materialize(circular.select("item_id"), "circular")
+    codes, circular = materialize(codes, "llc"), circular.select("item_id")
     edges = materialize(structure_edges(headers, lines, items, run_date).select(
         F.col("parent_item_id").alias("parent"), F.col("component_item_id").alias("item_id"), "qty_per",
         (F.lit(1).cast("decimal(1,0)") - F.coalesce("scrap_rate", F.lit(0).cast("decimal(8,4)"))).alias("yield_rate"), "is_phantom"), "edges")
+    further, loops = _uncoded_levels(edges.select("parent", "item_id").distinct(), codes, circular)
+    codes = codes if further is None else materialize(codes.unionByName(further), "llc")
+    circular = materialize(circular if loops is None else circular.union(loops).distinct(), "circular")
     supply = materialize(
         items.select("item_id", "lead_time_days")
         .join(default_warehouse(balances).select("item_id", "warehouse_id", "available"), "item_id", "left")
         .join(transit, "item_id", "left").join(circular, "item_id", "left_anti"), "supply")
-    pending = [materialize(
-        demand.join(codes, "item_id", "left").select("item_id", "qty", F.coalesce("llc", F.lit(0)).alias("level_no")), "need")]
+    # one table of needs by level: a round appends what it hands down and reads its own level only
+    needs = f"{scratch_root(spark)}/millrace/needs-{uuid.uuid4().hex}"
+
+    def hand_on(need: DataFrame) -> None:
+        need.select("item_id", F.col("qty").cast(NEED).alias("qty"), F.col("level_no").cast("int").alias("level_no")).write.partitionBy("level_no").mode("append").parquet(needs)
+
+    item_type = items.schema["item_id"].dataType.simpleString()
+    needed = lambda: spark.read.schema(f"item_id {item_type}, qty {NEED}, level_no int").parquet(needs)
+    hand_on(demand.withColumn("item_id", F.col("item_id").cast(item_type)).join(codes, "item_id", "left").select("item_id", "qty", F.coalesce("llc", F.lit(0)).alias("level_no")))
     plans, rejects = [], []
 
     def dependents(net: DataFrame, level: int) -> DataFrame:
@@ -86,12 +126,10 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
         out = union_all(real).groupBy("item_id").agg(F.sum("qty").cast(NEED).alias("qty"))
         return out.join(codes, "item_id", "left").select("item_id", "qty", F.coalesce("llc", F.lit(level + 1)).alias("level_no"))
 
-    # Demand sits at known low-level codes; only components outside the coded
-    # structure can take it deeper, and those show up in ``below``.
+    # Every item that can be needed has a level, so the rounds end with the deepest one.
     deepest = codes.agg(F.coalesce(F.max("llc"), F.lit(0))).first()[0]
-    level = 0
-    while True:
-        here = union_all([p.filter(F.col("level_no") == level) for p in pending]).groupBy("item_id").agg(
+    for level in range(deepest + 1):
+        here = needed().filter(F.col("level_no") == level).groupBy("item_id").agg(
             F.sum("qty").cast(NEED).alias("gross")).filter("gross > 0")
         lost = here.join(supply, "item_id", "left_anti").join(circular.withColumn("__loop", F.lit(True)), "item_id", "left")
         rejects.append(lost.select("item_id", F.lit(level).alias("level_no"), F.col("gross").alias("qty"), F.when(F.col("__loop"), "M2002").otherwise("M1001").alias("error_code")))
@@ -101,12 +139,12 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
             "net", (F.col("gross") - F.col("available") - F.col("in_transit")).cast(NEED))
         rows = materialize(net.withColumn("level_no", F.lit(level)), "plan")
         plans.append(rows)
-        below, count = materialize_counted(dependents(rows.filter("net > 0").select("item_id", "net"), level), "need")
+        below = materialize(dependents(rows.filter("net > 0").select("item_id", "net"), level), "need")
         rejects.append(below.filter(F.col("level_no") <= level).select("item_id", "level_no", "qty", F.lit("M2004").alias("error_code")))
-        pending.append(below)
-        if level >= deepest and (not count or below.filter(F.col("level_no") > level).isEmpty()):
-            break
-        level += 1
+        if level < deepest:
+            hand_on(below.filter(F.col("level_no") > level))
+    on_loop = below.filter(F.col("level_no") > deepest)  # a cycle has no level
+    rejects.append(on_loop.select("item_id", "level_no", "qty", F.lit("M2002").alias("error_code")))
     lead = F.coalesce("lead_time_days", F.lit(0))
     ordered = F.col("net") > 0
     planned = F.when(ordered, F.round("net", 4)).otherwise(0).cast(QTY)

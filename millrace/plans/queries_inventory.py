@@ -13,17 +13,22 @@ _OPEN = """open_lots AS MATERIALIZED (SELECT item_id, warehouse_id, lot_id, unit
 
 
 def _served(requests: str) -> str:
-    """Greedy admission by a recursion over the requests of each key."""
+    """Greedy admission: one sum per key decides where all fits, a list fold per contended key elsewhere (no recursion)."""
     return f"""req AS MATERIALIZED ({requests}),
-    num AS MATERIALIZED (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY r.item_id, r.warehouse_id ORDER BY request_id) AS rn,
-                   COALESCE(b.qty_on_hand - b.qty_allocated, 0) AS avail0
+    num AS MATERIALIZED (SELECT r.*, COALESCE(b.qty_on_hand - b.qty_allocated, 0) AS avail0
               FROM req r LEFT JOIN {{balances}} b ON b.item_id = r.item_id AND b.warehouse_id = r.warehouse_id WHERE qty > 0),
-    adm AS (SELECT request_id, item_id, warehouse_id, qty, rn, CAST(avail0 AS DECIMAL(28,4)) AS before, qty <= avail0 AS ok,
-                   CAST(CASE WHEN qty <= avail0 THEN avail0 - qty ELSE avail0 END AS DECIMAL(28,4)) AS rest FROM num WHERE rn = 1
-            UNION ALL
-            SELECT n.request_id, n.item_id, n.warehouse_id, n.qty, n.rn, a.rest, n.qty <= a.rest,
-                   CAST(CASE WHEN n.qty <= a.rest THEN a.rest - n.qty ELSE a.rest END AS DECIMAL(28,4))
-              FROM adm a JOIN num n ON n.item_id = a.item_id AND n.warehouse_id = a.warehouse_id AND n.rn = a.rn + 1),
+    asked AS MATERIALIZED (SELECT item_id, warehouse_id, MAX(avail0) AS avail0, SUM(qty) AS asked FROM num GROUP BY 1, 2),
+    calm AS MATERIALIZED (SELECT n.request_id, n.item_id, n.warehouse_id, n.qty,
+                    CAST(n.avail0 - SUM(n.qty) OVER (PARTITION BY n.item_id, n.warehouse_id ORDER BY request_id) + n.qty AS DECIMAL(28,4)) AS before, TRUE AS ok
+               FROM num n JOIN asked a ON a.item_id = n.item_id AND a.warehouse_id = n.warehouse_id WHERE a.asked <= a.avail0),
+    lists AS MATERIALIZED (SELECT n.item_id, n.warehouse_id, list(n.request_id ORDER BY n.request_id) AS ids, list(n.qty ORDER BY n.request_id) AS qtys,
+                     list(CAST(n.qty * 10000 AS BIGINT) ORDER BY n.request_id) AS want, CAST(MAX(n.avail0) * 10000 AS BIGINT) AS start
+                FROM num n JOIN asked a ON a.item_id = n.item_id AND a.warehouse_id = n.warehouse_id WHERE NOT a.asked <= a.avail0 GROUP BY 1, 2),
+    rests AS MATERIALIZED (SELECT *, list_reduce(list_prepend([start], list_transform(want, lambda w: [w])),
+                     lambda acc, w: list_append(acc, CASE WHEN w[1] <= acc[-1] THEN acc[-1] - w[1] ELSE acc[-1] END)) AS rest FROM lists),
+    tight AS MATERIALIZED (SELECT ids[i] AS request_id, item_id, warehouse_id, qtys[i] AS qty, CAST(CAST(rest[i] AS DECIMAL(24,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(28,4)) AS before, want[i] <= rest[i] AS ok
+                FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM rests)),
+    adm AS MATERIALIZED (SELECT * FROM calm UNION ALL SELECT * FROM tight),
     served AS MATERIALIZED (SELECT *, SUM(qty) OVER (PARTITION BY item_id, warehouse_id ORDER BY request_id) AS hi FROM adm WHERE ok),
     {_OPEN},
     alloc AS MATERIALIZED (SELECT s.request_id, s.item_id, s.warehouse_id, l.lot_id, l.unit_cost, s.before,

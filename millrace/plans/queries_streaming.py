@@ -1,11 +1,14 @@
 """Streaming runs over the given tables, compared with their batch meaning."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.plans.bridge import FRAMES
 from millrace.plans.catalog import query
 from millrace.plans.queries_inventory import _folded, _MOVES, movements
 from millrace.plans.queries_telemetry import _K
+from millrace.session import scratch_root
 from millrace.streaming import ledger as streams
 
 
@@ -34,6 +37,35 @@ def _(b):
     return streams.latest(streams.run_to_table(streams.stream_moving_average(moves), "update"), ["item_id", "warehouse_id"])
 
 
+# Three micro-batches: up to 1996, up to 1998 and the rest. Every fifth row of the first
+# two comes one batch later than its time: those of 1998 within the delay, in disorder;
+# those up to 1996 come with the rest, far behind the watermark.
+_BATCH = """CASE WHEN txn_date < DATE '1996-01-01' THEN CASE WHEN {odd} THEN 3 ELSE 1 END
+                 WHEN txn_date < DATE '1998-01-01' THEN 2
+                 WHEN txn_date < DATE '1998-03-01' THEN CASE WHEN {odd} THEN 3 ELSE 2 END ELSE 3 END"""
+_ODD = "(item_id + warehouse_id + CAST(quantity AS BIGINT)) % 5 = 0"
+_TIMELY = _MOVES.replace("FROM {ledger}", "FROM {ledger} WHERE NOT (txn_date < DATE '1996-01-01' AND " + _ODD + ")")
+
+
+@query("stream_moving_average_late", "item_id:l warehouse_id:l late_seq:s late_qty:d qty_on_hand:d avg_cost:d moves:l",
+       "WITH nobal AS (SELECT * FROM {balances} WHERE FALSE), " + _folded(_TIMELY).replace("{balances}", "nobal")
+       + " SELECT item_id, warehouse_id, NULL AS late_seq, NULL AS late_qty, qty AS qty_on_hand, avg AS avg_cost, moves FROM after"
+       + " UNION ALL SELECT item_id, warehouse_id, CAST(txn_date AS VARCHAR(10)) || txn_id, CASE WHEN direction = 'I' THEN quantity ELSE -quantity END, NULL, NULL, NULL"
+       + " FROM {ledger} WHERE txn_date < DATE '1996-01-01' AND " + _ODD)
+def _(b):
+    batch = F.expr(_BATCH.format(odd=_ODD))
+    ledger = b.ledger.withColumn("batch", batch)
+    folder = f"{scratch_root(b.spark)}/millrace/arrivals-{uuid.uuid4().hex}"
+    for n in (1, 2, 3):  # one after the other, so that the stream takes them in this order
+        mine = ledger.filter(F.col("batch") == n)
+        mine = movements(_LedgerOnly(mine)).withColumn("ts", F.to_timestamp(F.substring("seq", 1, 10)))
+        mine.repartition(1).write.mode("append").parquet(folder)
+    stream = b.spark.readStream.schema(b.spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    emitted = streams.run_to_table(streams.stream_moving_average_late(stream, "90 days"), "update", keyed=True)
+    now = streams.latest(emitted.filter("late_seq IS NULL"), ["item_id", "warehouse_id"])
+    return now.unionByName(emitted.filter("late_seq IS NOT NULL").drop("batch"))
+
+
 @query("stream_pair_calls", "call_id:l run:l tool:s state:s duration_ms:l",
        f"""WITH ev AS (SELECT event_id, user_id, event_type, ts, CAST(FLOOR(event_id / 2) AS BIGINT) AS call_id, event_id % 2 = 0 AS is_start, {_K} AS k FROM events)
            SELECT s.call_id, s.user_id AS run, s.event_type AS tool, CASE WHEN e.event_type = 'error' THEN 'error' ELSE 'completed' END AS state,

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.inventory import COST, KEY, QTY, _average_step, scaled, unscaled
@@ -25,8 +26,12 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return reader.parquet(f"{folder.rstrip('/')}/{name}[.]parquet")
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over everything available and return what it emitted.
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, mode: str, keyed: bool = False) -> DataFrame:
+    """Run a stream over everything available and return what it emitted (``keyed``: with the state store of keyed processors).
 
     Each micro-batch overwrites its own folder, so a batch repeated after a
     failure is not counted twice. ``batch`` numbers the emissions; in update
@@ -38,9 +43,16 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
-             .trigger(availableNow=True).foreachBatch(save).start())
-    query.awaitTermination()
+    kept = spark.conf.get(PROVIDER_KEY, None)
+    if keyed:
+        spark.conf.set(PROVIDER_KEY, ROCKS)
+    try:
+        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
+                 .trigger(availableNow=True).foreachBatch(save).start())
+        query.awaitTermination()
+    finally:
+        if keyed:
+            spark.conf.set(PROVIDER_KEY, kept) if kept else spark.conf.unset(PROVIDER_KEY)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{root}/out")
 
@@ -102,6 +114,90 @@ def stream_moving_average(movements: DataFrame, buckets: int = 512) -> DataFrame
     return folded.select(*KEY, unscaled("q", 4, QTY).alias("qty_on_hand"), unscaled("a", 6, COST).alias("avg_cost"), "moves")
 
 
+class _KeyedAverage(StatefulProcessor):
+    """Per key: the settled (quantity, average, moves) and a buffer of rows ahead of the watermark.
+
+    A row at or behind the watermark is late: it changes nothing and comes out as it is.
+    Other rows wait in the buffer, so rows out of order within the delay are put in order;
+    a timer at the row's time settles them once the watermark has passed it.
+    """
+
+    ROW = ["at", "seq", "d", "i", "c", "h"]
+
+    def __init__(self, seq_type: str):
+        self.seq_type = seq_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "q bigint, a bigint, n bigint")
+        self.buffer = handle.getListState("buffer", f"at bigint, seq {self.seq_type}, d bigint, i bigint, c bigint, h bigint")
+
+    def _known(self) -> tuple[int, int, int]:
+        return tuple(self.settled.get()) if self.settled.exists() else (0, 0, 0)
+
+    @staticmethod
+    def _folded(value: tuple, rows: list[tuple]) -> tuple[int, int, int]:
+        qty, avg, moves = value
+        for _, _, delta, in_qty, cost, has_cost in sorted(rows):
+            (avg, _), _out = _average_step((avg, moves > 0), (qty, in_qty, cost, has_cost))
+            qty, moves = qty + delta, moves + 1
+        return qty, avg, moves
+
+    def _result(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[*KEY, "late_seq", "late_qty", "q", "a", "moves"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        new, late = [], []
+        for pdf in rows:
+            for row in zip(*(pdf[c].tolist() for c in self.ROW)):
+                (new if row[0] > passed else late).append(row)
+        out = [(seq, delta, None, None, None) for _, seq, delta, *_ in late]
+        if new:
+            waiting = [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
+            self.buffer.appendList(new)
+            self.handle.registerTimer(max(r[0] for r in new) // 1000 + 1)
+            out.append((None, None, *self._folded(self._known(), waiting + new)))
+        yield self._result(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
+        due, rest = [r for r in waiting if r[0] <= passed], [r for r in waiting if r[0] > passed]
+        if due:
+            self.settled.update(self._folded(self._known(), due))
+            self.buffer.put(rest) if rest else self.buffer.clear()
+        yield self._result(key, [])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_moving_average_late(movements: DataFrame, delay: str = "30 days") -> DataFrame:
+    """Quantity and moving average per key with event time (update mode), and the late rows.
+
+    ``movements``: ts, item_id, warehouse_id, seq, delta_qty, in_qty, in_cost. Rows are
+    folded by (ts, seq) in whatever order they arrive, as long as the watermark (the
+    latest ts less ``delay``) has not passed them. A row behind it comes out with its
+    ``late_seq`` and ``late_qty``; all others update qty_on_hand, avg_cost and moves,
+    which hold all rows of the key so far. A key's state is three numbers and the rows of
+    the last ``delay``; every key has its own state and timers, so a micro-batch touches
+    only the keys it holds. Needs the RocksDB state store (:func:`run_to_table` sets it).
+    """
+    kinds = dict(movements.dtypes)
+    # the watermark moves on, but rows behind it are not dropped: "at" is a plain number
+    rows = movements.withWatermark("ts", delay).select(
+        *KEY, F.unix_micros("ts").alias("at"), "seq", scaled(F.col("delta_qty"), 4).alias("d"), scaled(F.col("in_qty"), 4).alias("i"),
+        scaled(F.col("in_cost"), 6).alias("c"), F.when(F.col("in_cost").isNull(), 0).otherwise(1).cast("bigint").alias("h"))
+    out = f"item_id {kinds['item_id']}, warehouse_id {kinds['warehouse_id']}, late_seq {kinds['seq']}, late_qty bigint, q bigint, a bigint, moves bigint"
+    folded = rows.groupBy(*KEY).transformWithStateInPandas(
+        statefulProcessor=_KeyedAverage(kinds["seq"]), outputStructType=out, outputMode="Update", timeMode="EventTime")
+    late = F.col("late_seq").isNotNull()
+    return folded.select(
+        *KEY, "late_seq", F.when(late, unscaled("late_qty", 4, QTY)).alias("late_qty"), F.when(~late, unscaled("q", 4, QTY)).alias("qty_on_hand"),
+        F.when(~late, unscaled("a", 6, COST)).alias("avg_cost"), "moves")
+
+
 def stream_pair_calls(started: DataFrame, ended: DataFrame, timeout: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Pair start and end events by call id; ends later than ``timeout`` stay unpaired.
 

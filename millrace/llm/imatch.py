@@ -6,9 +6,10 @@ distinct lexicon terms. ``per_level`` salts each give a term three random ranks
 (fewer of more bits beyond 21 levels), and each rank a nest of lexicon subsets: level L
 keeps the terms whose rank begins with more than L zero bits, half as many as level L - 1;
 the levels take the three nests in turn. Every subset hashes the kept terms that it holds:
-the sum of their mixed hashes, which does not depend on an order, cut to 16 bits. The fingerprint is the row of these ``levels * per_level`` hashes, as base64
-text. A document without any lexicon term uses all its distinct terms instead; a document
-without terms has an empty row.
+the sum of their mixed hashes, which does not depend on an order, cut to 16 bits. The
+fingerprint is the row of these ``levels * per_level`` hashes, as base64 text. A document
+without any lexicon term uses all its distinct terms instead; a document without terms
+has an empty row.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that
 hold a term of either, over the levels at which subsets hold about one term at most of

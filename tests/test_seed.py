@@ -1,5 +1,6 @@
 """Operators on the small master data, against plain recursion and hand counts."""
 
+import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -156,6 +157,50 @@ def test_planning_keeps_what_it_cannot_plan(spark):
     assert {(r.item_id, float(r.qty), r.error_code) for r in rejects.collect()} == {(4711, 8.0, "M1001"), (900, 2.0, "M2002")}
 
 
+def raw(*numbers):
+    return [(k, (f"R{k}", "RAW", "0", "0", "part", 1, "N")) for k in numbers]
+
+
+def bom(item, *parts, phantom="N"):
+    return item, (item, "A", "ACTIVE", "Y", [(p, "1", "0", phantom) for p in parts])
+
+
+@pytest.mark.parametrize("phantom", ["skip", "pass_through"])
+def test_planning_ends_on_cycles_of_raw_items(spark, phantom):
+    """Cycles and shared parts that no finished product reaches: nothing hangs, every item is netted once, no need is lost."""
+    boms = [bom(700, 701), bom(701, 700), bom(710, 711, 712), bom(711, 712), bom(720, 700, 712), bom(730, 730), bom(740, 700, phantom="Y")]
+    wanted = {700: "5", 710: "2", 720: "1", 730: "4", 740: "6"}
+    rows, _, rejects = plan(spark, wanted, phantom, boms=boms, made=raw(700, 701, 710, 711, 712, 720, 730, 740))
+    planned = [(r.item_id, float(r.gross_req), r.level_no) for r in rows.collect()]
+    assert sorted(planned) == [(710, 2.0, 0), (711, 2.0, 1), (712, 5.0, 2), (720, 1.0, 0), (740, 6.0, 0)]
+    left = {}
+    for r in rejects.collect():
+        left[r.item_id, r.error_code] = left.get((r.item_id, r.error_code), 0) + float(r.qty)
+    assert left == {(700, "M2002"): 6.0, (730, "M2002"): 4.0}
+
+
+def test_admission_of_calm_and_contended_keys(spark):
+    """Keys whose demand fits are decided by sums, the others by the fold; both as one pass in order would."""
+    rng = random.Random(8)
+    have = {(k, 1): rng.choice([0, 40, 100, 500]) for k in range(1, 30)}
+    requests = [(n, rng.randint(1, 32), 1, rng.randint(1, 60)) for n in range(300)]
+    rest, want = dict(have), {}
+    for n, item, wh, qty in requests:
+        before = rest.get((item, wh), 0)
+        want[n] = (qty <= before, before)
+        if qty <= before:
+            rest[item, wh] = before - qty
+    asked = seed.cast(spark.createDataFrame(requests, "request_id int, item_id long, warehouse_id int, qty int"), qty="decimal(18,4)")
+    balances = seed.cast(spark.createDataFrame([(*k, q, 0) for k, q in have.items()], "item_id long, warehouse_id int, qty_on_hand int, qty_allocated int"), qty_on_hand="decimal(18,4)", qty_allocated="decimal(18,4)")
+    got = inventory.admit_requests(asked, balances, ["request_id"])
+    assert {r.request_id: (r.accepted, int(r.available_before)) for r in got.collect()} == want
+    totals = {}
+    for _, item, wh, qty in requests:
+        totals[item, wh] = totals.get((item, wh), 0) + qty
+    calm = [k for k, total in totals.items() if total <= have.get(k, 0)]
+    assert 0 < len(calm) < len(totals)
+
+
 def test_pareto(spark):
     value = {}
     for item, _, q, cost, _ in seed.LOTS.values():

@@ -133,6 +133,34 @@ def test_stream_equals_batch_over_several_batches(spark, sf, tmp_path):
     assert got == {(r.item_id, r.warehouse_id): (r.qty_on_hand, r.avg_cost, r.version + 1) for r in batch.collect()}
 
 
+def test_keyed_average_orders_rows_and_returns_late_ones(spark, tmp_path):
+    """Rows in disorder within the delay are folded in order over several micro-batches; rows behind the watermark come out."""
+    rng = random.Random(11)
+    day = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}"
+    rows = []
+    for n in range(240):
+        inbound, qty = rng.random() < 0.6, Decimal(rng.randint(1, 50))
+        rows.append((day(n // 2), rng.randint(1, 3), 1, n, qty if inbound else -qty, qty if inbound else Decimal(0), Decimal(rng.randint(1, 99999)) / 1000 if inbound else None))
+    cut = [rows[:80], rows[80:160], rows[160:]]
+    moved = [cut[0].pop(i) for i in (70, 10)]  # the first is within the delay of ten days, the second far behind
+    cut[1] += [moved[0]]
+    cut[2] += [moved[1]]
+    folder = tmp_path / "moves"
+    schema = "ts string, item_id long, warehouse_id int, seq long, delta_qty decimal(18,4), in_qty decimal(18,4), in_cost decimal(20,6)"
+    for part in cut:
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(spark.read.parquet(str(folder)).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    emitted = streams.run_to_table(streams.stream_moving_average_late(stream, "10 days"), "update", keyed=True)
+    late = emitted.filter("late_seq IS NOT NULL").collect()
+    assert [(r.late_seq, r.late_qty) for r in late] == [(moved[1][3], moved[1][4])]
+    got = {r.item_id: (r.qty_on_hand, r.avg_cost, r.moves) for r in streams.latest(emitted.filter("late_seq IS NULL"), ["item_id", "warehouse_id"]).collect()}
+    for item in range(1, 4):
+        mine = sorted((r for r in rows if r[1] == item and r[3] != moved[1][3]), key=lambda r: (r[0], r[3]))
+        want = sequential_average([r[4:] for r in mine], (Decimal(0), Decimal(0), False))
+        assert got[item] == (*want[-1], len(mine))
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     rows = [[("2024-01-01 10:05:00", "p")], [("2024-01-01 15:00:00", "p")], [("2024-01-01 15:02:00", "p")], [("2024-01-01 10:06:00", "p"), ("2024-01-01 15:01:00", "p")]]
     folder = tmp_path / "ev"

@@ -297,6 +297,15 @@ def _(b):
     return plan(b)[1]
 
 
+@query("run_mrp_rejects", "item_id:l level_no:l qty:d error_code:s",
+       f"WITH {_DEMAND} SELECT item_id + 900000000 AS item_id, 0 AS level_no, qty, 'M1001' AS error_code FROM dem WHERE item_id % 7 = 0 AND qty > 0")
+def _(b):
+    """Every seventh item's demand once more under a number that no item has: all of it, and nothing else, is rejected."""
+    known = demand(b)
+    unknown = known.filter(F.col("item_id") % 7 == 0).withColumn("item_id", F.col("item_id") + 900000000)
+    return mrp.run_mrp(known.unionByName(unknown), b.balances, transit(b), b.items, b.bom_headers, b.bom_lines, AS_OF, HORIZON_DAYS)[2]
+
+
 @query("release_production_orders", "prod_id:l prod_no:s item_id:l bom_id:l qty_planned:d start_date:s due_date:s",
        f"""WITH {mrp_sql(_SKIP)},
            bom AS (SELECT h.item_id, h.bom_id FROM {{bom_headers}} h WHERE {_LIVE.replace(AS_OF, TODAY)}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.common import spread
@@ -42,6 +42,33 @@ def duplicate_blocks(docs: DataFrame, n: int = 20) -> DataFrame:
         "h1", "h2", "doc_id", "position", F.lit(n).alias("tokens"), "doc_count", "occurrences")
 
 
+def duplicate_spans(docs: DataFrame, n: int = 20) -> DataFrame:
+    """Maximal duplicate blocks: the longest token runs whose ``n``-token blocks all occur at the same places.
+
+    Neighbouring blocks of :func:`duplicate_blocks` are joined where each one is met next
+    to the other only, so all copies of a span have the same length and the same
+    sources. That is decided per block, in one aggregate of its neighbours, and no
+    pairs of documents are formed. Per span of a document: start, tokens, sources
+    (documents), occurrences and its first place (first_doc, first_position).
+    """
+    key = F.struct("h1", "h2")
+    within = Window.partitionBy("doc_id").orderBy("position")
+    beside = lambda f, step: F.when(f("position").over(within) == F.col("position") + step, f("block").over(within))
+    hits = duplicate_blocks(docs, n).select("doc_id", "position", key.alias("block"), F.col("doc_count").alias("sources"), "occurrences")
+    hits = materialize(hits.select("*", beside(F.lag, -1).alias("before"), beside(F.lead, 1).alias("after")), "neighbours")
+    only = lambda c: F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c))
+    blocks = materialize(hits.groupBy("block").agg(only("before").alias("before"), only("after").alias("after")), "blocks")
+    lead = blocks.filter("before IS NOT NULL").select("block", "before")
+    joined = lead.join(blocks.select(F.col("block").alias("before"), F.col("after").alias("block")), ["before", "block"]).select("block", F.lit(True).alias("__inner"))
+    marked = hits.join(joined, "block", "left").withColumn("no", F.sum(F.when(F.col("__inner"), 0).otherwise(1)).over(within))
+    spans = materialize(marked.groupBy("doc_id", "no").agg(
+        F.min("position").alias("start"), (F.count(F.lit(1)) + n - 1).alias("tokens"), F.min_by("block", "position").alias("block"),
+        F.min("sources").alias("sources"), F.min("occurrences").alias("occurrences")).drop("no"), "spans")
+    first = spans.groupBy("block").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    return spans.join(first, "block").select(
+        "doc_id", "start", "tokens", "sources", "occurrences", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_position"))
+
+
 def apply_dup_rules(groups: DataFrame, rules: DataFrame, index: DataFrame) -> DataFrame:
     """Decide per duplicate group whether to extract it.
 

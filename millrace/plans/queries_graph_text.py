@@ -124,6 +124,24 @@ def _(b):
     return corpus.duplicate_blocks(b.documents, 20)
 
 
+@query("duplicate_spans", "doc_id:l start:l tokens:l sources:l occurrences:l first_doc:l first_position:l",
+       f"""WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents),
+           b AS (SELECT doc_id, i AS position, array_to_string(t[i + 1:i + 20], ' ') AS blk FROM (SELECT doc_id, t, unnest(range(len(t) - 19)) AS i FROM t WHERE len(t) >= 20)),
+           s AS (SELECT blk, COUNT(DISTINCT doc_id) AS sources, COUNT(*) AS occurrences FROM b GROUP BY blk HAVING COUNT(DISTINCT doc_id) > 1),
+           h AS (SELECT b.doc_id, b.position, b.blk, s.sources, s.occurrences FROM b JOIN s ON s.blk = b.blk),
+           n AS (SELECT h.blk, p.blk AS prev, x.blk AS nxt FROM h LEFT JOIN h p ON p.doc_id = h.doc_id AND p.position = h.position - 1
+                   LEFT JOIN h x ON x.doc_id = h.doc_id AND x.position = h.position + 1),
+           c AS (SELECT blk, CASE WHEN COUNT(prev) = COUNT(*) AND MIN(prev) = MAX(prev) THEN MIN(prev) END AS prev,
+                        CASE WHEN COUNT(nxt) = COUNT(*) AND MIN(nxt) = MAX(nxt) THEN MIN(nxt) END AS nxt FROM n GROUP BY blk),
+           i AS (SELECT c.blk FROM c JOIN c p ON p.blk = c.prev AND p.nxt = c.blk),
+           z AS (SELECT h.*, SUM(CASE WHEN i.blk IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY h.doc_id ORDER BY h.position) AS no FROM h LEFT JOIN i ON i.blk = h.blk),
+           sp AS (SELECT doc_id, MIN(position) AS start, COUNT(*) + 19 AS tokens, ARG_MIN(blk, position) AS blk, MIN(sources) AS sources, MIN(occurrences) AS occurrences FROM z GROUP BY doc_id, no)
+           SELECT doc_id, start, tokens, sources, occurrences, FIRST_VALUE(doc_id) OVER w AS first_doc, FIRST_VALUE(start) OVER w AS first_position
+             FROM sp WINDOW w AS (PARTITION BY blk ORDER BY doc_id, start)""")
+def _(b):
+    return corpus.duplicate_spans(b.documents, 20)
+
+
 @query("apply_dup_rules", "group_id:s packages:l sources:l suggested:b forced:b skip_reason:s",
        """WITH g AS (SELECT MIN(doc_id) OVER (PARTITION BY text) AS group_id, source AS package, 'D' || doc_id AS cls FROM documents WHERE lang = 'en'),
           idx AS (SELECT source AS package, 'D' || doc_id AS cls FROM documents),

@@ -58,6 +58,29 @@ def _(b):
     return rows
 
 
+def _faulty_lines(b):
+    """Lines with one more for every tenth parent: itself, or (remainder 5) a number that no item has."""
+    parent = b.bom_headers.select("bom_id", F.col("item_id").alias("__parent"))
+    more = b.bom_lines.filter("line_no = 10").join(parent, "bom_id").filter(F.col("__parent") % 10 == 0)
+    lost = b.bom_lines.filter("line_no = 10").join(parent, "bom_id").filter(F.col("__parent") % 10 == 5)
+    added = more.withColumn("component_item_id", F.col("__parent")).unionByName(lost.withColumn("component_item_id", F.col("__parent") + 900000000))
+    return b.bom_lines.unionByName(added.withColumn("line_no", F.lit(1000)).drop("__parent").select(b.bom_lines.columns))
+
+
+@query("explode_violations", "root_item_id:l lvl:l component_item_id:l id_path:s error_code:s",
+       f"""WITH {_EDGES}, selfs AS (
+             SELECT h.item_id AS item FROM {{bom_lines}} l JOIN {{bom_headers}} h ON h.bom_id = l.bom_id
+              WHERE {_LIVE.replace('status', 'h.status')} AND h.is_default = 'Y' AND l.line_no = 10 AND h.item_id % 10 = 0),
+           tree AS (
+             SELECT item_id AS root, 0 AS lvl, item_id AS child, '/' || item_id || '/' AS id_path FROM {{items}} WHERE item_type = 'FG'
+             UNION ALL
+             SELECT t.root, t.lvl + 1, e.child, t.id_path || e.child || '/' FROM tree t JOIN edges e ON e.parent = t.child)
+           SELECT root AS root_item_id, lvl + 1 AS lvl, child AS component_item_id, id_path || child || '/' AS id_path, 'M2002' AS error_code
+             FROM tree JOIN selfs ON selfs.item = tree.child""")
+def _(b):
+    return bom.explode_bom_checked(b.bom_headers, _faulty_lines(b), b.items, _roots(b), 1, AS_OF)[1]
+
+
 @query("where_used", "start_item_id:l lvl:l parent_item_id:l parent_code:s component_item_id:l qty_per:d is_top:l use_path:s",
        f"""WITH u AS (SELECT h.item_id AS parent, i.item_code, l.component_item_id AS child, l.qty_per
              FROM {{bom_lines}} l JOIN {{bom_headers}} h ON h.bom_id = l.bom_id JOIN {{items}} i ON i.item_id = h.item_id
@@ -133,6 +156,19 @@ def _(b):
     return done
 
 
+@query("rolled_cost_failures", "item_id:l error_code:s",
+       f"""WITH uses AS (
+             SELECT h.item_id AS parent, l.component_item_id AS child, l.line_no FROM {{bom_lines}} l JOIN (
+               SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY effective_from DESC, bom_id) AS rn
+                                FROM {{bom_headers}} WHERE {_LIVE} AND is_default = 'Y') WHERE rn = 1) h ON h.bom_id = l.bom_id),
+           loops AS (SELECT parent FROM uses WHERE line_no = 10 AND parent % 10 = 0 UNION SELECT u.parent FROM uses u JOIN loops f ON f.parent = u.child),
+           lost AS (SELECT parent FROM uses WHERE line_no = 10 AND parent % 10 = 5 UNION SELECT u.parent FROM uses u JOIN lost f ON f.parent = u.child)
+           SELECT parent AS item_id, 'M2002' AS error_code FROM loops
+           UNION ALL SELECT parent, 'M1001' FROM lost WHERE parent NOT IN (SELECT parent FROM loops)""")
+def _(b):
+    return bom.rolled_cost(b.bom_headers, _faulty_lines(b), b.items, AS_OF)[1]
+
+
 @query("roll_standard_cost", "item_id:l item_type:s std_cost:d",
        _rolled_sql() + f""" SELECT i.item_id, i.item_type,
             CASE WHEN i.item_type IN ('FG', 'SEMI') AND i.status = 'ACTIVE' THEN k.cost ELSE i.std_cost END AS std_cost
@@ -142,6 +178,19 @@ def _(b):
     return updated
 
 
+@query("low_level_code_cycles", "item_id:l error_code:s",
+       """WITH u AS (SELECT h.bom_id, h.item_id AS parent, l.component_item_id AS child, l.line_no FROM {bom_lines} l JOIN {bom_headers} h ON h.bom_id = l.bom_id WHERE h.status = 'ACTIVE'),
+          back AS (SELECT u.parent, u.child FROM u WHERE u.line_no = 10 AND u.parent % 10 = 0 AND u.child IN (SELECT parent FROM u))
+          SELECT parent AS item_id, 'M2002' AS error_code FROM back UNION SELECT child, 'M2002' FROM back""")
+def _(b):
+    """Every tenth parent also goes into its first component, so the two contain each other."""
+    parent = b.bom_headers.filter("status = 'ACTIVE'").select("bom_id", F.col("item_id").alias("__parent"))
+    uses = b.bom_lines.join(parent, "bom_id").filter("line_no = 10 AND __parent % 10 = 0").select("__parent", F.col("component_item_id").alias("__child"))
+    into = b.bom_lines.filter("line_no = 10").join(parent.withColumnRenamed("__parent", "__child"), "bom_id").join(uses, "__child")
+    added = into.withColumns({"component_item_id": F.col("__parent"), "line_no": F.lit(1000)}).select(b.bom_lines.columns)
+    return bom.low_level_codes_checked(b.bom_headers, b.bom_lines.unionByName(added), b.items)[1]
+
+
 @query("low_level_codes", "item_id:l llc:l",
        """WITH e AS (SELECT h.item_id AS parent, l.component_item_id AS child FROM {bom_lines} l
                        JOIN {bom_headers} h ON h.bom_id = l.bom_id WHERE h.status = 'ACTIVE'),

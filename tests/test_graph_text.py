@@ -1,6 +1,8 @@
 """Graph and text operators on literal inputs."""
 
 
+import random
+
 from millrace.operators import corpus, graph, quality
 
 
@@ -91,3 +93,35 @@ def test_coverage_rates(spark):
 def test_abc_thresholds_and_layers(spark):
     rows = spark.createDataFrame([(None, 90.0, None, None), (100.0, 100.0, 100.0, 100.0)], "l1 double, l2 double, l3 double, l4 double")
     assert {(r.total, r.grade) for r in quality.overall_score(rows).collect()} == {(90.0, "A"), (100.0, "A+")}
+
+
+def test_maximal_duplicate_spans_match_brute_force(spark):
+    rng, n = random.Random(3), 4
+    words = [f"w{i}" for i in range(400)]
+    shared = [[rng.choice(words) for _ in range(k)] for k in (4, 9, 15, 30)]
+    texts = []
+    for i in range(40):
+        parts = [[rng.choice(words) for _ in range(rng.randrange(8))] for _ in range(3)]
+        parts[1:1] = [p[rng.randrange(3):] for p in rng.sample(shared, 2)]
+        texts.append(" ".join(w for p in parts for w in p))
+    texts += ["", "w1 w2", " ".join(["same"] * 12), " ".join(["same"] * 7), texts[0]]
+    places = {}
+    for d, t in enumerate(texts):
+        t = t.split()
+        for i in range(len(t) - n + 1):
+            places.setdefault(tuple(t[i:i + n]), set()).add((d, i))
+    blocks = {p: b for b, ps in places.items() if len({d for d, _ in ps}) > 1 for p in ps}
+    follows = lambda p, q: p in blocks and q in blocks and {(d, i + 1) for d, i in places[blocks[p]]} == places[blocks[q]]
+    want = set()
+    for d, i in blocks:
+        if follows((d, i - 1), (d, i)):
+            continue
+        end = i
+        while follows((d, end), (d, end + 1)):
+            end += 1
+        here = places[blocks[d, i]]
+        want.add((d, i, end - i + n, len({x for x, _ in here}), len(here), *min(here)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in corpus.duplicate_spans(docs, n).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(r[2] > 20 for r in want)
+    assert corpus.duplicate_spans(docs.limit(0), n).count() == 0

@@ -143,9 +143,10 @@ def _(b):
 
 
 @query("apply_dup_rules", "group_id:s packages:l sources:l suggested:b forced:b skip_reason:s",
-       """WITH g AS (SELECT MIN(doc_id) OVER (PARTITION BY text) AS group_id, source AS package, 'D' || doc_id AS cls FROM documents WHERE lang = 'en'),
-          idx AS (SELECT source AS package, 'D' || doc_id AS cls FROM documents),
-          r AS (SELECT CASE WHEN toxic = 1 THEN 'exclude' ELSE 'force' END AS action, 'D' || doc_id AS cls, 'label ' || doc_id AS reason FROM labels WHERE toxic = 1 OR quality = 0),
+       """WITH g AS (SELECT MIN(doc_id) OVER (PARTITION BY text) AS group_id, source AS package, 'D' || doc_id AS cls FROM documents),
+          idx AS (SELECT source AS package, 'D' || doc_id AS cls FROM documents UNION ALL SELECT 'pages', 'P' || page_id FROM pages),
+          r AS (SELECT CASE WHEN toxic = 1 THEN 'exclude' ELSE 'force' END AS action, 'D' || doc_id AS cls, 'label ' || doc_id AS reason FROM labels WHERE toxic = 1 OR quality = 0
+               UNION ALL SELECT 'force', 'P' || doc_id, 'page ' || doc_id FROM labels WHERE quality = 0),
           p AS (SELECT group_id, COUNT(DISTINCT package) AS packages, COUNT(*) AS sources FROM g GROUP BY 1),
           h AS (SELECT group_id, MAX(CASE WHEN action = 'force' THEN 1 END) AS f, MIN(CASE WHEN action = 'exclude' THEN reason END) AS x FROM g JOIN r ON r.cls = g.cls GROUP BY 1)
           SELECT CAST(p.group_id AS VARCHAR) AS group_id, packages, sources, CASE WHEN f IS NOT NULL THEN TRUE WHEN x IS NOT NULL THEN FALSE ELSE packages >= 2 END AS suggested,
@@ -155,12 +156,16 @@ def _(b):
 def _(b):
     file = F.concat(F.lit("src/"), "lang", F.lit("/D"), F.col("doc_id").cast("string"), F.lit(".java"))
     docs = b.documents.select("doc_id", "text", F.col("source").alias("package"), file.alias("file"), "lang")
-    ids = docs.filter("lang = 'en'").groupBy("text").agg(F.min("doc_id").alias("group_id"))
-    groups = docs.filter("lang = 'en'").join(ids, "text").select("group_id", "package", "file")
+    ids = docs.groupBy("text").agg(F.min("doc_id").alias("group_id"))
+    groups = docs.join(ids, "text").select("group_id", "package", "file")
     rules = b.labels.filter("toxic = 1 OR quality = 0").select(
         F.when(F.col("toxic") == 1, "exclude").otherwise("force").alias("action"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("class_name"),
         F.concat(F.lit("label "), F.col("doc_id").cast("string")).alias("reason"))
-    return corpus.apply_dup_rules(groups, rules, docs.select("package", "file"))
+    page = F.concat(F.lit("P"), F.col("doc_id").cast("string"))
+    rules = rules.unionByName(b.labels.filter("quality = 0").select(
+        F.lit("force").alias("action"), page.alias("class_name"), F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("reason")))
+    pages = b.pages.select(F.lit("pages").alias("package"), F.concat(F.lit("web/P"), F.col("page_id").cast("string"), F.lit(".html")).alias("file"))
+    return corpus.apply_dup_rules(groups, rules, docs.select("package", "file").unionByName(pages))
 
 
 # Statement and control-flow patterns, anchored at line starts.
@@ -204,13 +209,13 @@ def _(b):
 
 
 @query("normalize_findings", "line:l file:s rule:s severity:s category:s tool:s package:s",
-       """WITH f AS (SELECT event_id AS line, 'f' || (user_id % 40) AS file, CASE WHEN event_id % 2 = 0 THEN 'checkstyle' ELSE 'pmd' END AS tool, event_type AS t, user_id % 6 AS lv FROM events)
+       """WITH f AS (SELECT event_id AS line, 'f' || user_id AS file, CASE WHEN event_id % 2 = 0 THEN 'checkstyle' ELSE 'pmd' END AS tool, event_type AS t, user_id % 6 AS lv FROM events)
           SELECT line, f.file, CASE tool WHEN 'checkstyle' THEN CASE t WHEN 'click' THEN 'MethodName' ELSE 'LineLength' END
                    ELSE CASE t WHEN 'click' THEN 'EmptyCatchBlock' WHEN 'view' THEN 'CloseResource' ELSE 'UnusedLocalVariable' END END AS rule,
                  CASE tool WHEN 'checkstyle' THEN CASE lv WHEN 0 THEN 'major' WHEN 1 THEN 'minor' ELSE 'info' END
                    ELSE CASE lv WHEN 1 THEN 'critical' WHEN 2 THEN 'major' WHEN 3 THEN 'minor' ELSE 'info' END END AS severity,
                  CASE WHEN tool = 'checkstyle' AND t = 'click' THEN 'naming-convention' WHEN tool = 'pmd' AND t IN ('click', 'view') THEN 'collection-exception' ELSE 'code-format' END AS category,
-                 tool, COALESCE(s_name, 'UNKNOWN') AS package FROM f LEFT JOIN supplier ON 'f' || s_suppkey = f.file AND s_suppkey < 30""")
+                 tool, COALESCE(s_name, 'UNKNOWN') AS package FROM f LEFT JOIN supplier ON 'f' || s_suppkey = f.file""")
 def _(b):
     style = F.col("event_id") % 2 == 0
     rule = (F.when(style & (F.col("event_type") == "click"), "com.tool.checks.naming.MethodNameCheck").when(style, "com.tool.checks.sizes.LineLengthCheck")
@@ -218,9 +223,9 @@ def _(b):
     lv = F.col("user_id") % 6
     level = F.when(style, F.when(lv == 0, "error").when(lv == 1, "warning").otherwise("info")).otherwise(lv.cast("string"))
     rows = b.events.select(
-        F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")).alias("file"), F.col("event_id").alias("line"), rule.alias("rule"), level.alias("level"),
+        F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line"), rule.alias("rule"), level.alias("level"),
         F.lit("m").alias("message"), F.when(style, "checkstyle").otherwise("pmd").alias("tool"))
-    owners = b.supplier.filter("s_suppkey < 30").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.col("s_name").alias("package"))
+    owners = b.supplier.select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.col("s_name").alias("package"))
     return corpus.normalize_findings(rows, owners)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.common import small_side, valid_at
+from millrace.session import materialize
 
 WILD = ("item_id", "category_id", "customer_id")
 
@@ -131,12 +132,20 @@ def price(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: Da
 
 
 def reprice_orders(orders, lines, items, customers, lists, rules, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reprice DRAFT/CONFIRMED orders: (orders, lines, rejected order ids)."""
-    open_orders = orders.filter(F.col("status").isin("DRAFT", "CONFIRMED"))
+    """Reprice DRAFT/CONFIRMED orders: (orders, lines, rejects).
+
+    An order with a line that cannot be priced stays as it is, lines and total. ``rejects``
+    (so_id, so_line_id, status, error_code) hold those lines (M1001, M6002) and the
+    orders in another status (M6001, without a line).
+    """
+    is_open = F.col("status").isin("DRAFT", "CONFIRMED")
     live = lines.filter(F.col("line_status") != "CANCELLED").join(
-        open_orders.select("so_id", "customer_id"), "so_id")
-    priced = price(live.select(F.col("so_line_id").alias("request_id"), "item_id", "customer_id",
-                               F.col("qty_ordered").alias("qty")), items, customers, lists, rules, as_of)
+        orders.filter(is_open).select("so_id", "customer_id", "status"), "so_id")
+    asked = live.select(F.col("so_line_id").alias("request_id"), "item_id", "customer_id", F.col("qty_ordered").alias("qty"), "so_id")
+    failed = price_rejects(asked, items, customers, lists, as_of).withColumnRenamed("request_id", "so_line_id")
+    failed = materialize(live.join(failed, "so_line_id").select("so_id", "so_line_id", "status", "error_code"), "unpriced")
+    held = failed.select("so_id").distinct()
+    priced = price(asked.join(held, "so_id", "left_anti").drop("so_id"), items, customers, lists, rules, as_of)
     base, final = F.col("base_price").cast("decimal(16,6)"), F.col("final_price").cast("decimal(16,6)")
     disc = F.when((base > 0) & (final < base), F.round((base - final) / base, 4)).otherwise(0).cast("decimal(8,4)")
     disc = F.when(disc >= 1, F.lit("0.9999").cast("decimal(8,4)")).otherwise(disc)
@@ -150,13 +159,12 @@ def reprice_orders(orders, lines, items, customers, lists, rules, as_of) -> tupl
     amount = F.round((F.col("qty_ordered").cast("decimal(12,4)") * F.col("unit_price").cast("decimal(16,6)"))
                      * (one - F.col("discount_pct")), 4)
     totals = new_lines.filter(hit).groupBy("so_id").agg(F.sum(amount.cast("decimal(24,4)")).alias("__total"))
-    new_orders = orders.join(totals, "so_id", "left").withColumn(
+    new_orders = orders.join(totals, "so_id", "left").join(held.withColumn("__held", F.lit(True)), "so_id", "left").withColumn(
         "total_amount",
-        F.when(F.col("status").isin("DRAFT", "CONFIRMED"), F.coalesce("__total", F.lit(0)).cast("decimal(20,4)"))
-        .otherwise(F.col("total_amount"))).drop("__total")
-    rejected = orders.filter(~F.col("status").isin("DRAFT", "CONFIRMED")).select(
-        "so_id", "status", F.lit("M6001").alias("error_code"))
-    return new_orders, new_lines.drop("__base", "__disc"), rejected
+        F.when(is_open & F.col("__held").isNull(), F.coalesce("__total", F.lit(0)).cast("decimal(20,4)"))
+        .otherwise(F.col("total_amount"))).drop("__total", "__held")
+    closed = orders.filter(~is_open).select("so_id", F.lit(None).cast(lines.schema["so_line_id"].dataType).alias("so_line_id"), "status", F.lit("M6001").alias("error_code"))
+    return new_orders, new_lines.drop("__base", "__disc"), closed.unionByName(failed)
 
 
 def effective_rules(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: DataFrame, rules: DataFrame, as_of) -> DataFrame:

@@ -1,10 +1,16 @@
 """Reports and costing over the bridged tables."""
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import costing, reports
+from millrace.operators.common import error_rows, split_by_rules
 from millrace.plans.bridge import AS_OF, TODAY
 from millrace.plans.catalog import exact_div, huge, query
+from millrace.session import scratch_root
+from millrace.sources.files import append_batch
 
 START, END = "1998-01-01", "2000-12-31"
 
@@ -213,3 +219,18 @@ for _basis in ("AMT", "WGT"):
     query(f"landed_cost_{_basis.lower()}",
           "po_id:s po_line_id:s item_id:l qty_ordered:d line_amount:d line_weight:d freight_alloc:d duty_alloc:d landed_total:d landed_unit_cost:d",
           _landed(_basis))(lambda b, basis=_basis: costing.landed_cost(b.po_lines, b.items_dim, "120", "45", basis))
+
+
+@query("error_log", "batch_id:s error_code:s error_level:s module_name:s procedure_name:s error_msg:s biz_key:s",
+       """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'customers' ELSE 'amounts' END AS batch_id, CASE WHEN o_custkey % 3 = 0 THEN 'M1001' ELSE 'M3001' END AS error_code,
+                 'WARN' AS error_level, 'ORDERS' AS module_name, 'CHECK' AS procedure_name,
+                 CASE WHEN o_custkey % 3 = 0 THEN 'customer blocked' ELSE repeat('over the limit ', 134)[1:2000] END AS error_msg, CAST(o_orderkey AS VARCHAR) AS biz_key
+            FROM orders WHERE o_custkey % 3 = 0 OR o_totalprice >= 200000""")
+def _(b):
+    """Rejected orders in the error log; every batch is appended twice and is there once."""
+    _, bad = split_by_rules(b.orders, [("M1001", F.col("o_custkey") % 3 != 0, "customer blocked"), ("M3001", F.col("o_totalprice") < 200000, "over the limit " * 134)])
+    rows = error_rows(bad, "ORDERS", "CHECK", F.col("o_orderkey"))
+    path = os.path.join(scratch_root(b.orders.sparkSession), "millrace", f"error-log-{uuid.uuid4().hex}")
+    for batch_id, code in (("customers", "M1001"), ("amounts", "M3001"), ("customers", "M1001"), ("amounts", "M3001")):
+        append_batch(rows.filter(F.col("error_code") == code), path, batch_id)
+    return b.orders.sparkSession.read.parquet(path)

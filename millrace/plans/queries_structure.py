@@ -418,6 +418,30 @@ def _(b):
     return pricing.reprice_orders(b.sales_orders, b.so_lines, b.items, b.customers, b.price_lists, b.price_rules, AS_OF)[0]
 
 
+def _with_unknown_items(b):
+    return b.so_lines.withColumn("item_id", F.when(F.col("item_id") % 70 == 0, F.col("item_id") + 900000000).otherwise(F.col("item_id")))
+
+
+_UNPRICED = """SELECT l.so_id, l.so_line_id, o.status FROM {so_lines} l JOIN {sales_orders} o ON o.so_id = l.so_id
+                WHERE o.status IN ('DRAFT', 'CONFIRMED') AND l.line_status <> 'CANCELLED' AND l.item_id % 70 = 0"""
+
+
+@query("reprice_orders_rejects", "so_id:l so_line_id:s status:s error_code:s",
+       f"""SELECT so_id, so_line_id, status, 'M1001' AS error_code FROM ({_UNPRICED})
+           UNION ALL SELECT so_id, NULL, status, 'M6001' FROM {{sales_orders}} WHERE status NOT IN ('DRAFT', 'CONFIRMED')""")
+def _(b):
+    return pricing.reprice_orders(b.sales_orders, _with_unknown_items(b), b.items, b.customers, b.price_lists, b.price_rules, AS_OF)[2]
+
+
+@query("reprice_orders_held", "so_id:l so_line_id:s total_amount:d unit_price:d discount_pct:d",
+       f"""SELECT l.so_id, l.so_line_id, o.total_amount, l.unit_price, l.discount_pct FROM {{so_lines}} l JOIN {{sales_orders}} o ON o.so_id = l.so_id
+            WHERE o.so_id IN (SELECT so_id FROM ({_UNPRICED}))""")
+def _(b):
+    """Orders with a line that cannot be priced, as they come out."""
+    orders, lines, rejects = pricing.reprice_orders(b.sales_orders, _with_unknown_items(b), b.items, b.customers, b.price_lists, b.price_rules, AS_OF)
+    return lines.join(orders.select("so_id", "total_amount"), "so_id").join(rejects.filter("so_line_id IS NOT NULL").select("so_id"), "so_id", "left_semi")
+
+
 @query("effective_rules", "request_id:l rule_id:s priority:l match_seq:l hit_flag:s",
        f"""WITH {_LISTS}, q AS (SELECT o.o_orderkey AS request_id, o.o_orderkey % (SELECT MAX(p_partkey) + 1 FROM part) AS item_id, o.o_custkey AS customer_id, p.price_list_id, i.category_id
               FROM orders o JOIN picked p ON p.customer_id = o.o_custkey JOIN {{items}} i ON i.item_id = o.o_orderkey % (SELECT MAX(p_partkey) + 1 FROM part)),

@@ -120,6 +120,16 @@ def read_jdbc_table(
     return reader.load()
 
 
+def append_batch(rows: DataFrame, path: str, batch_id: int | str) -> None:
+    """Append ``rows`` as one batch, exactly once.
+
+    A batch is a partition of its own, written by dynamic overwrite: the files of a
+    repeated job or micro-batch replace those of its first try when the job commits,
+    and other batches are not touched. The same id must bring the same rows.
+    """
+    rows.withColumn("batch_id", F.lit(str(batch_id))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 def write_ledger(txns: DataFrame, path: str, mode: str = "append", grain: str = "quarter") -> None:
     """Ledger sink partitioned by quarter (or month) of ``txn_date``.
 

@@ -173,3 +173,12 @@ def test_late_events_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
     out = streams.latest(streams.run_to_table(streams.stream_phase_metrics(stream), "update"), ["window_start", "phase"])
     assert {(str(r.window_start), r.calls) for r in out.collect()} == {("2024-01-01 10:00:00", 1), ("2024-01-01 15:00:00", 3)}
+
+
+def test_a_repeated_batch_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda *keys: spark.createDataFrame([(k,) for k in keys], "biz_key string")
+    for batch, keys in ((1, "abc"), (2, "cd"), (1, "abc"), ("x y/z", "e"), (2, "cd")):
+        files.append_batch(rows(*keys), path, batch)
+    got = sorted((r.batch_id, r.biz_key) for r in spark.read.schema("biz_key string, batch_id string").parquet(path).collect())
+    assert got == [("1", "a"), ("1", "b"), ("1", "c"), ("2", "c"), ("2", "d"), ("x y/z", "e")]

@@ -141,7 +141,16 @@ def explode_bom(headers, lines, items, roots, qty: float = 1, as_of=None,
 
 def where_used(headers: DataFrame, lines: DataFrame, items: DataFrame, components: DataFrame,
                as_of=None, max_levels: int | None = None) -> DataFrame:
-    """Climb from each component to its top assemblies over ACTIVE effective headers."""
+    """Rows of :func:`where_used_checked` alone."""
+    return where_used_checked(headers, lines, items, components, as_of, max_levels)[0]
+
+
+def where_used_checked(headers: DataFrame, lines: DataFrame, items: DataFrame, components: DataFrame,
+                       as_of=None, max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Climb from each component to its top assemblies over ACTIVE effective headers, and the uses cut (M2002).
+
+    A use is cut where its parent is on the path already; the climb goes on beside it.
+    """
     live = headers.filter((F.col("status") == "ACTIVE") & valid_at(as_of)).select(
         "bom_id", F.col("item_id").alias("parent_item_id"))
     names = items.select(F.col("item_id").alias("parent_item_id"),
@@ -150,28 +159,33 @@ def where_used(headers: DataFrame, lines: DataFrame, items: DataFrame, component
         "parent_item_id", "parent_code", "parent_name", "component_item_id", "qty_per", "uom"), "uses")
     front = components.select(F.col("item_id").alias("start_item_id"), F.col("item_id").alias("at"),
                               F.array("item_id").alias("visited"), F.lit("").alias("use_path"))
-    levels = []
+    levels, cut = [], []
     level = 0
     while max_levels is None or level < max_levels:
         level += 1
         step = front.join(edges, front["at"] == edges["component_item_id"]).drop("at")
-        step = step.filter(~F.array_contains("visited", F.col("parent_item_id"))).withColumns({
+        step = step.withColumns({
             "lvl": F.lit(level),
             "use_path": F.concat("use_path", F.lit("<-"), "parent_code"),
+            "looped": F.array_contains("visited", F.col("parent_item_id")),
             "visited": F.concat("visited", F.array("parent_item_id")),
         })
-        step, count = materialize_counted(step, "used")
+        step, count = materialize_counted(step, "used", ~F.col("looped"))
+        cut.append(step.filter("looped"))
+        step = step.filter("NOT looped")
         if not count:
             break
         levels.append(step)
         front = step.select("start_item_id", F.col("parent_item_id").alias("at"), "visited", "use_path")
     rows = union_all(levels) if levels else step
     used = edges.select(F.col("component_item_id").alias("__c")).distinct()
-    return rows.join(used, rows["parent_item_id"] == used["__c"], "left").select(
+    rows = rows.join(used, rows["parent_item_id"] == used["__c"], "left").select(
         "start_item_id", "lvl", "parent_item_id", "parent_code", "parent_name",
         "component_item_id", "qty_per", "uom",
         F.when(F.col("__c").isNull(), 1).otherwise(0).alias("is_top"), "use_path",
     )
+    looped = union_all(cut) if cut else step.limit(0)
+    return rows, looped.select("start_item_id", "lvl", "parent_item_id", "component_item_id", "use_path", F.lit("M2002").alias("error_code"))
 
 
 def compare_bom_versions(old: DataFrame, new: DataFrame, pair: str = "pair_id") -> DataFrame:

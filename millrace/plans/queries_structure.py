@@ -96,6 +96,21 @@ def _(b):
     return bom.where_used(b.bom_headers, b.bom_lines, b.items, b.items.select("item_id"), AS_OF)
 
 
+@query("where_used_violations", "start_item_id:l lvl:l parent_item_id:l component_item_id:l use_path:s error_code:s",
+       f"""WITH u AS (SELECT h.item_id AS parent, i.item_code, l.component_item_id AS child, l.line_no
+             FROM {{bom_lines}} l JOIN {{bom_headers}} h ON h.bom_id = l.bom_id JOIN {{items}} i ON i.item_id = h.item_id
+            WHERE {_LIVE.replace('status', 'h.status')}),
+           selfs AS (SELECT parent, item_code FROM u WHERE line_no = 10 AND parent % 10 = 0),
+           climb AS (
+             SELECT item_id AS start, 0 AS lvl, item_id AS node, '' AS use_path FROM {{items}}
+             UNION ALL
+             SELECT c.start, c.lvl + 1, u.parent, c.use_path || '<-' || u.item_code FROM climb c JOIN u ON u.child = c.node)
+           SELECT start AS start_item_id, lvl + 1 AS lvl, node AS parent_item_id, node AS component_item_id, use_path || '<-' || selfs.item_code AS use_path, 'M2002' AS error_code
+             FROM climb JOIN selfs ON selfs.parent = climb.node""")
+def _(b):
+    return bom.where_used_checked(b.bom_headers, _faulty_lines(b), b.items, b.items.select("item_id"), AS_OF)[1]
+
+
 def _version(b, version):
     heads = b.bom_headers.filter(F.col("bom_version") == version).select("bom_id", F.col("item_id").alias("pair_id"))
     return bom.bom_components(b.bom_lines, b.items).join(heads, "bom_id")

@@ -161,14 +161,14 @@ def raw(*numbers):
     return [(k, (f"R{k}", "RAW", "0", "0", "part", 1, "N")) for k in numbers]
 
 
-def bom(item, *parts, phantom="N"):
+def one_bom(item, *parts, phantom="N"):
     return item, (item, "A", "ACTIVE", "Y", [(p, "1", "0", phantom) for p in parts])
 
 
 @pytest.mark.parametrize("phantom", ["skip", "pass_through"])
 def test_planning_ends_on_cycles_of_raw_items(spark, phantom):
     """Cycles and shared parts that no finished product reaches: nothing hangs, every item is netted once, no need is lost."""
-    boms = [bom(700, 701), bom(701, 700), bom(710, 711, 712), bom(711, 712), bom(720, 700, 712), bom(730, 730), bom(740, 700, phantom="Y")]
+    boms = [one_bom(700, 701), one_bom(701, 700), one_bom(710, 711, 712), one_bom(711, 712), one_bom(720, 700, 712), one_bom(730, 730), one_bom(740, 700, phantom="Y")]
     wanted = {700: "5", 710: "2", 720: "1", 730: "4", 740: "6"}
     rows, _, rejects = plan(spark, wanted, phantom, boms=boms, made=raw(700, 701, 710, 711, 712, 720, 730, 740))
     planned = [(r.item_id, float(r.gross_req), r.level_no) for r in rows.collect()]

@@ -14,8 +14,10 @@ one sequential pass.
 from __future__ import annotations
 
 import ast
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,12 @@ from millrace.operators.ordered import PART, is_hot, range_split
 
 State = tuple
 Step = Callable[[State, tuple], tuple[State, tuple]]
+# (state, offsets, row) -> (offsets after the row, slope): states of one number that lie
+# ``offsets`` from ``state`` before the row, relative to the new state after it.
+Near = Callable[[State, np.ndarray, tuple], tuple[np.ndarray, float]]
+
+# States to either side of an estimated start whose ends are computed with it.
+BAND = 2048
 
 
 def _rows(batches, columns):
@@ -53,30 +61,107 @@ def _emit(keys, inputs, init, carried, step, out_names, starts):
     return run
 
 
-def _ends(keys, inputs, init, step, starts):
-    """One row per range: first and last key, start used and end of the last key."""
+class _Band:
+    """Ends of the states up to ``width`` from a start, as a step function of the offset."""
+
+    def __init__(self, width: int):
+        self.starts = np.arange(-width, width + 1)
+        self.offsets = self.starts.copy()
+        self.slope, self.rows = 1.0, 0
+
+    def pass_row(self, near: Near, state: State, row: tuple) -> None:
+        if self.slope == 0.0 and len(self.offsets) == 1:
+            return
+        self.offsets, slope = near(state, self.offsets, row)
+        self.slope *= slope
+        self.rows += 1
+        if self.rows % 64 == 0:
+            self.merge()
+
+    def merge(self) -> None:
+        """Starts next to each other that have met go on as one."""
+        first = np.r_[True, self.offsets[1:] != self.offsets[:-1]]
+        self.starts, self.offsets = self.starts[first], self.offsets[first]
+
+    def text(self) -> str:
+        self.merge()
+        return repr((self.starts.tolist(), self.offsets.tolist(), self.slope))
+
+
+def _ends(keys, inputs, init, step, starts, near, width):
+    """One row per range: first and last key, start used, end of the last key and, for a
+    range of one key, the ends of the starts nearby."""
     n_keys, n_in = len(keys), len(inputs)
     columns = [*keys, *inputs, *init]
 
     def run(batches):
-        firsts, lasts, current = {}, {}, None
-        state = begin = None
+        firsts, lasts, bands, current = {}, {}, {}, None
+        state = begin = band = None
         for row in _rows(batches, columns):
             key = row[:n_keys]
             part, rest = key[0], key[1:]
             if key != current:
                 current = key
                 begin = state = starts.get((part, rest), row[n_keys + n_in:])
+                band = None
+                if near is not None and part not in firsts:
+                    band = bands[part] = _Band(width)
                 firsts.setdefault(part, rest)
-            state, _ = step(state, row[n_keys:n_keys + n_in])
+            given = row[n_keys:n_keys + n_in]
+            if band is not None:
+                band.pass_row(near, state, given)
+            state, _ = step(state, given)
             lasts[part] = (rest, begin, state)
         yield pd.DataFrame(
-            [(p, repr(firsts[p]), *map(repr, lasts[p])) for p in lasts],
-            columns=["part", "first", "last", "begin", "finish"])
+            [(p, repr(firsts[p]), *map(repr, lasts[p]), bands[p].text() if p in bands and firsts[p] == lasts[p][0] else "None") for p in lasts],
+            columns=["part", "first", "last", "begin", "finish", "band"])
 
     return run
 
 
+def _end_for(want: State, begin: State, finish: State, band, additive) -> tuple[State, bool]:
+    """End of a range of one key for the start ``want``, and whether it is sure."""
+    if want == begin:
+        return finish, True
+    if band is None:
+        return tuple(w + f - b if add else f for w, f, b, add in zip(want, finish, begin, additive)), False
+    starts, offsets, slope = band
+    off, width = want[0] - begin[0], -starts[0]
+    if abs(off) <= width:
+        return (finish[0] + offsets[bisect_right(starts, off) - 1],), True
+    return (finish[0] + round(slope * off),), False
+
+
+def settled_starts(arranged, keys, inputs, init, step, additive, near=None) -> tuple[dict, int]:
+    """Exact start of every range that begins inside a key, and the rounds it took.
+
+    ``arranged(parts)`` gives the sorted rows of some ranges (None: of all).
+    """
+    starts: dict = {}
+    ends: dict[int, tuple] = {}
+    todo, rounds = None, 0
+    while todo is None or todo:
+        width = BAND if near is not None and rounds else 0
+        found = arranged(todo).mapInPandas(
+            _ends(keys, inputs, init, step, starts, near, width),
+            "part int, first string, last string, begin string, finish string, band string").collect()
+        rounds += 1
+        for r in found:
+            ends[r.part] = tuple(map(ast.literal_eval, (r.first, r.last, r.begin, r.finish, r.band)))
+        todo, before = [], None
+        for part in sorted(ends):
+            first, last, begin, finish, band = ends[part]
+            end = finish
+            if before is not None and before[0] == first:
+                starts[part, first] = want = before[1]
+                if first == last:  # else the end belongs to another key and does not hang on this start
+                    end, sure = _end_for(want, begin, finish, band, additive)
+                    if not sure:
+                        todo.append(part)
+            before = (last, end)
+    return starts, rounds
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -88,6 +173,7 @@ def ordered_fold(
     carried: Sequence[str] = (),
     additive: Sequence[bool] | None = None,
     hot: bool | None = None,
+    near: Near | None = None,
 ) -> DataFrame:
     """Fold rows of each key in ``order``.
 
@@ -95,7 +181,8 @@ def ordered_fold(
     hold the key's starting state (repeated on its rows). Inputs and state are
     whole numbers without nulls, keys are whole numbers or text. ``outputs`` are (name, type); ``carried`` columns pass through.
     ``additive`` marks state parts that mostly shift by a fixed amount per range,
-    which makes the first estimates good. Pass ``hot`` where it is already known.
+    which makes the first estimates good; ``near`` (for a state of one number) says how
+    states close by fare. Pass ``hot`` where it is already known.
     """
     types = dict(df.dtypes)
     names = [n for n, _ in outputs]
@@ -113,31 +200,7 @@ def ordered_fold(
         rows = split if parts is None else split.filter(F.col(PART).isin(parts))
         return rows.repartition(PART).sortWithinPartitions(*part_keys, *order).select(PART, *columns)
 
-    starts: dict = {}
-    ends: dict[int, tuple] = {}
-    todo = None
-    additive = additive or [False] * len(init)
-    while todo is None or todo:
-        found = arranged(todo).mapInPandas(
-            _ends(part_keys, inputs, init, step, starts),
-            "part int, first string, last string, begin string, finish string").collect()
-        for r in found:
-            ends[r.part] = tuple(map(ast.literal_eval, (r.first, r.last, r.begin, r.finish)))
-        todo, before = [], None
-        for part in sorted(ends):
-            first, last, begin, finish = ends[part]
-            end = finish
-            if before is not None and before[0] == first:
-                slot = (part, first)
-                want = before[1]
-                if starts.get(slot) != want:
-                    starts[slot] = want
-                    todo.append(part)
-                    if first == last:
-                        shift = tuple(
-                            w + f - b if add else f for w, f, b, add in zip(want, finish, begin, additive))
-                        end = shift
-            before = (last, end)
+    starts, _ = settled_starts(arranged, part_keys, inputs, init, step, additive or [False] * len(init), near)
     wide = ", ".join([f"`{PART}` int", schema])
     out = arranged().mapInPandas(_emit(part_keys, inputs, init, carried, step, names, starts), wide)
     return out.drop(PART)

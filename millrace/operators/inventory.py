@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,12 +201,39 @@ def _average_step(state, row):
     return (avg, 1), (avg,)
 
 
+def _average_row(state, row):
+    """:func:`_average_step` with the average as whole state; ``fresh`` marks the first row of a key without a balance."""
+    *given, fresh = row
+    (avg, _), out = _average_step((state[0], not fresh), given)
+    return (avg,), out
+
+
+def _average_near(state, offsets, row):
+    """Averages that lie ``offsets`` from ``state``, after one movement, relative to the new one."""
+    before, in_qty, in_cost, has_cost, fresh = row
+    total = before + in_qty
+    if fresh:
+        return np.zeros_like(offsets), 0.0
+    if not has_cost or total <= 0:
+        return offsets, 1.0
+    num, far = before * state[0] + in_qty * in_cost, int(max(abs(offsets[0]), abs(offsets[-1]), 1))
+    if abs(num) < abs(before) * far:  # the value to be rounded may change its sign
+        new = _half_away(num, total)
+        return np.array([_half_away(num + before * d, total) - new for d in offsets.tolist()]), before / total
+    sign = 1 if num >= 0 else -1
+    rest = (2 * abs(num) + total) % (2 * total)
+    wide = 2 * abs(before) * far + 2 * total >= 2 ** 62
+    moved = (rest + sign * 2 * before * (offsets.astype(object) if wide else offsets)) // (2 * total)
+    return (sign * moved).astype(np.int64), before / total
+
+
 def apply_movements(balances: DataFrame, movements: DataFrame, order: list[str], as_of=None) -> tuple[DataFrame, DataFrame]:
     """Next balances, and every movement with quantity before/after and average.
 
     ``movements``: item_id, warehouse_id, delta_qty, in_qty, in_cost (nullable)
     and the unique ``order`` columns. Quantities are running sums; only the
-    average, which is rounded to six places at every receipt, needs the fold.
+    average, which is rounded to six places at every receipt, needs the fold. A hot
+    key's ranges are composed as step functions of the average before them.
     """
     start = balances.select(
         *KEY, F.col("qty_on_hand").alias("__q0"), F.col("avg_cost").alias("__a0"), F.lit(1).cast("bigint").alias("__has"))
@@ -217,10 +245,11 @@ def apply_movements(balances: DataFrame, movements: DataFrame, order: list[str],
         "qty_after": after, "qty_before": (after - F.col("delta_qty")).cast(QTY), "__has": F.coalesce("__has", F.lit(0).cast("bigint"))})
     moves = moves.withColumns({
         "__b": scaled(F.col("qty_before"), 4), "__i": scaled(F.col("in_qty"), 4), "__c": scaled(F.col("in_cost"), 6),
-        "__hc": F.when(F.col("in_cost").isNull(), 0).otherwise(1).cast("bigint"), "__avg0": scaled(F.col("__a0"), 6)})
+        "__hc": F.when(F.col("in_cost").isNull(), 0).otherwise(1).cast("bigint"),
+        "__avg0": scaled(F.col("__a0"), 6), "__fresh": ((F.col("__has") == 0) & (F.col("__n") == 1)).cast("bigint")})
     carried = [c for c in movements.columns if c not in KEY] + ["qty_before", "qty_after", "__n"]
-    folded = ordered_fold(moves, KEY, [F.col(c) for c in order], ["__b", "__i", "__c", "__hc"], ["__avg0", "__has"],
-                          _average_step, [("__avg", "bigint")], carried, hot=hot)
+    folded = ordered_fold(moves, KEY, [F.col(c) for c in order], ["__b", "__i", "__c", "__hc", "__fresh"], ["__avg0"],
+                          _average_row, [("__avg", "bigint")], carried, hot=hot, near=_average_near)
     trail = folded.withColumn("avg_cost_after", unscaled("__avg", 6, COST)).drop("__avg")
     last = trail.groupBy(*KEY).agg(
         F.max_by(F.struct("qty_after", "avg_cost_after"), F.col("__n")).alias("__l"), F.max("__n").alias("__moves"))

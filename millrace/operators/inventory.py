@@ -267,11 +267,12 @@ def apply_movements(balances: DataFrame, movements: DataFrame, order: list[str],
 
 
 def receive_stock(receipts: DataFrame, balances: DataFrame, order: list[str], as_of, *,
-                  txn_type: str = "RECV", start_lot: int = 0) -> dict[str, DataFrame]:
+                  txn_type: str = "RECV", start_lot: int = 0, ref: str | None = None) -> dict[str, DataFrame]:
     """New lots, ledger rows and balances for receipts; bad quantities rejected.
 
     ``receipts``: item_id, warehouse_id, qty, unit_cost, lot_no (nullable) and
-    the unique ``order`` columns.
+    the unique ``order`` columns. ``ref`` names a column that the ledger rows keep
+    as their document.
     """
     good, bad = split_by_rules(receipts, [("M3005", F.col("qty") > 0, "received quantity must be positive")])
     day = F.lit(as_of).cast("date")
@@ -288,7 +289,7 @@ def receive_stock(receipts: DataFrame, balances: DataFrame, order: list[str], as
         F.col("lot_id").alias("txn_id"), doc_no("IT", day, F.col("lot_id")).alias("txn_no"), *KEY, "lot_id",
         F.lit(txn_type).alias("txn_type"), F.lit("I").alias("direction"), F.col("qty").cast(QTY).alias("quantity"), "unit_cost",
         F.round(F.col("qty") * F.col("unit_cost"), 4).cast("decimal(20,4)").alias("total_cost"),
-        "qty_before", "qty_after", day.alias("txn_date"))
+        "qty_before", "qty_after", day.alias("txn_date"), *([F.col(ref).alias("ref_doc_id")] if ref else []))
     return {"lots": lots, "txns": txns, "balances": next_balances, "rejects": bad}
 
 
@@ -343,13 +344,16 @@ def adjust_stock(counts: DataFrame, lots: DataFrame, balances: DataFrame, as_of,
     return {"lots": new_lots, "balances": kept.unionByName(rebuilt), "txns": txns, "rejects": bad, "short": drawn["short"]}
 
 
-def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order: list[str], as_of, full_quantity: bool = False) -> dict[str, DataFrame]:
+def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order: list[str], as_of, full_quantity: bool = False, start_lot: int = 0) -> dict[str, DataFrame]:
     """Move stock between warehouses at the weighted cost of the lots drawn.
 
     ``moves``: move_id, item_id, from_wh, to_wh, qty and the ``order`` columns. What the
     lots gave arrives (``inbound``) and the rest is in ``short``, so no quantity is made;
-    ``full_quantity=True`` lets the asked quantity arrive whatever the lots gave. Returns
-    also the ``target_lots`` received and the ``balances`` of both sides.
+    ``full_quantity=True`` lets the asked quantity arrive and leave the source balance,
+    whatever the lots gave. Every arrival is a lot of its own in ``target_lots``, numbered
+    in move order from ``start_lot`` + 1; ``txns_in`` names that lot and the quantity of
+    its key before and after, as ``txns_out`` does for the lots drawn. ``balances`` holds
+    both sides.
     """
     good, bad = split_by_rules(moves, [
         ("M3004", F.col("from_wh") != F.col("to_wh"), "warehouses must differ"),
@@ -357,8 +361,7 @@ def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order
     requests = good.select(
         F.col("move_id").alias("request_id"), "item_id", F.col("from_wh").alias("warehouse_id"), "qty",
         *[c for c in order if c not in ("move_id", "item_id", "qty")])
-    order = ["request_id" if c == "move_id" else c for c in order]
-    out = fifo_allocate(lots, requests, balances, order, as_of, txn_type="XFER_OUT")
+    out = fifo_allocate(lots, requests, balances, ["request_id" if c == "move_id" else c for c in order], as_of, txn_type="XFER_OUT")
     cost = out["allocations"].groupBy("request_id").agg(F.sum("alloc_cost").cast("decimal(24,4)").alias("__cost"), F.sum("qty").cast(QTY).alias("__moved"))
     refused = out["rejects"].select(F.col("request_id").alias("move_id"))
     total = F.coalesce("__cost", F.lit(0).cast("decimal(24,4)"))
@@ -366,14 +369,16 @@ def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order
     inbound = (
         good.join(refused, "move_id", "left_anti").join(cost, F.col("move_id") == cost["request_id"], "left").withColumn("__in", moved.cast(QTY)).filter("__in > 0").select(
             "move_id", "item_id", F.col("to_wh").alias("warehouse_id"), F.col("__in").alias("qty"),
-            F.round(total / F.col("__in").cast("decimal(14,4)"), 6).cast(COST).alias("unit_cost")))
+            F.round(total / F.col("__in").cast("decimal(14,4)"), 6).cast(COST).alias("unit_cost"),
+            *[c for c in order if c not in ("move_id", "item_id", "qty")]))
     inbound = materialize(inbound, "inbound")
-    got = receive_stock(inbound.withColumn("lot_no", F.lit(None).cast("string")), out["balances"], ["move_id"], as_of, txn_type="XFER_IN")
     short = out["short"].select(F.col("request_id").alias("move_id"), "item_id", "warehouse_id", "short_qty")
-    txns_in = inbound.select(
-        "item_id", "warehouse_id", F.col("move_id").alias("ref_doc_id"), F.lit("XFER_IN").alias("txn_type"),
-        F.lit("I").alias("direction"), F.col("qty").alias("quantity"), "unit_cost",
-        F.round(F.col("qty") * F.col("unit_cost"), 4).cast("decimal(20,4)").alias("total_cost"))
+    left = out["balances"]
+    if full_quantity:  # what arrives without a lot leaves the source all the same
+        owed = short.groupBy(*KEY).agg(F.sum("short_qty").cast(QTY).alias("__owed"))
+        left = left.join(owed, KEY, "left").withColumn("qty_on_hand", (F.col("qty_on_hand") - F.coalesce("__owed", F.lit(0))).cast(QTY)).select(left.columns)
+    got = receive_stock(inbound.withColumn("lot_no", F.lit(None).cast("string")), left, order, as_of, txn_type="XFER_IN", start_lot=start_lot, ref="move_id")
+    txns_in = got["txns"].select(out["txns"].columns)
     rejects = bad.select("move_id", "error_code").unionByName(
         out["rejects"].select(F.col("request_id").alias("move_id"), "error_code"))
     return {"allocations": out["allocations"], "lots": out["lots"], "inbound": inbound,

@@ -237,6 +237,12 @@ _MOVE_REQ = """SELECT so_line_id AS request_id, item_id, CAST(so_id % 3 + 1 AS I
    FROM {so_lines} WHERE CAST(so_id % 3 + 1 AS INT) <> CAST((item_id + so_id) % 4 AS INT)"""
 
 
+def _transfer(b, **how):
+    moves = b.so_lines.select(F.col("so_line_id").alias("move_id"), "item_id", (F.col("so_id") % 3 + 1).cast("int").alias("from_wh"),
+                              ((F.col("item_id") + F.col("so_id")) % 4).cast("int").alias("to_wh"), F.col("qty_ordered").alias("qty"))
+    return inventory.transfer_stock(moves, b.lots, b.balances, ["move_id"], AS_OF, **how)
+
+
 @query("transfer_stock", "move_id:s warehouse_id:l qty:d unit_cost:d error_code:s",
        f"""WITH {_served(_MOVE_REQ)},
            c AS (SELECT request_id, SUM(qty) AS moved, SUM(CAST(qty * CAST(unit_cost AS DECIMAL(14,4)) AS DECIMAL(20,4))) AS cost FROM alloc GROUP BY request_id)
@@ -246,9 +252,7 @@ _MOVE_REQ = """SELECT so_line_id AS request_id, item_id, CAST(so_id % 3 + 1 AS I
            UNION ALL SELECT request_id, NULL, NULL, NULL, 'M3001' FROM adm WHERE NOT ok
            UNION ALL SELECT so_line_id, NULL, NULL, NULL, 'M3004' FROM {{so_lines}} WHERE CAST(so_id % 3 + 1 AS INT) = CAST((item_id + so_id) % 4 AS INT)""")
 def _(b):
-    moves = b.so_lines.select(F.col("so_line_id").alias("move_id"), "item_id", (F.col("so_id") % 3 + 1).cast("int").alias("from_wh"),
-                              ((F.col("item_id") + F.col("so_id")) % 4).cast("int").alias("to_wh"), F.col("qty_ordered").alias("qty"))
-    out = inventory.transfer_stock(moves, b.lots, b.balances, ["move_id"], AS_OF)
+    out = _transfer(b)
     short = out["short"].select("move_id", "warehouse_id", F.col("short_qty").alias("qty"), F.lit("SHORT").alias("error_code"))
     return out["inbound"].unionByName(out["rejects"], allowMissingColumns=True).unionByName(short, allowMissingColumns=True)
 
@@ -257,12 +261,49 @@ def _(b):
        "SELECT item_id, SUM(qty_on_hand) AS qty FROM {balances} GROUP BY item_id")
 def _(b):
     """A transfer changes no item's total quantity."""
-    moves = b.so_lines.select(F.col("so_line_id").alias("move_id"), "item_id", (F.col("so_id") % 3 + 1).cast("int").alias("from_wh"),
-                              ((F.col("item_id") + F.col("so_id")) % 4).cast("int").alias("to_wh"), F.col("qty_ordered").alias("qty"))
-    after = inventory.transfer_stock(moves, b.lots, b.balances, ["move_id"], AS_OF)["balances"]
+    after = _transfer(b)["balances"]
     return after.groupBy("item_id").agg(F.sum("qty_on_hand").alias("qty"))
 
 
+# Arrivals in move order: each is a lot and a ledger row of its own at the weighted cost of the lots drawn.
+_ARRIVED = f"""WITH {_served(_MOVE_REQ)},
+    c AS MATERIALIZED (SELECT request_id, SUM(qty) AS moved, SUM(CAST(qty * CAST(unit_cost AS DECIMAL(14,4)) AS DECIMAL(20,4))) AS cost FROM alloc GROUP BY request_id),
+    arr AS MATERIALIZED (SELECT c.request_id, r.item_id, r.to_wh AS warehouse_id, c.moved AS qty, {exact_div('CAST(c.cost * 10000 AS HUGEINT)', huge('c.moved', 4), 6)} AS unit_cost,
+                   ROW_NUMBER() OVER (ORDER BY c.request_id) AS lot FROM c JOIN req r ON r.request_id = c.request_id),
+    drawn AS MATERIALIZED (SELECT item_id, warehouse_id, SUM(qty) AS u FROM alloc GROUP BY 1, 2)"""
+
+
+@query("transfer_stock_lots", "lot_id:l lot_no:s item_id:l warehouse_id:l qty_on_hand:d unit_cost:d",
+       f"""{_ARRIVED} SELECT 5000000 + lot AS lot_id, 'LOT' || strftime(DATE '{AS_OF}', '%Y%m%d') || lpad(CAST((5000000 + lot) % 1000000 AS VARCHAR), 6, '0') AS lot_no,
+            item_id, warehouse_id, qty AS qty_on_hand, unit_cost FROM arr""")
+def _(b):
+    return _transfer(b, start_lot=5_000_000)["target_lots"]
+
+
+@query("transfer_stock_txns", "ref_doc_id:s txn_type:s direction:s lot_id:s item_id:l warehouse_id:l quantity:d unit_cost:d qty_before:d qty_after:d",
+       f"""{_ARRIVED},
+           ins AS (SELECT a.*, COALESCE(b.qty_on_hand, 0) - COALESCE(d.u, 0) + SUM(a.qty) OVER (PARTITION BY a.item_id, a.warehouse_id ORDER BY a.lot) AS after
+                     FROM arr a LEFT JOIN {{balances}} b ON b.item_id = a.item_id AND b.warehouse_id = a.warehouse_id
+                     LEFT JOIN drawn d ON d.item_id = b.item_id AND d.warehouse_id = b.warehouse_id)
+           SELECT request_id AS ref_doc_id, 'XFER_OUT' AS txn_type, 'O' AS direction, lot_id, item_id, warehouse_id, qty AS quantity, unit_cost, before - drawn AS qty_before,
+                  before - drawn - qty AS qty_after FROM alloc
+           UNION ALL SELECT request_id, 'XFER_IN', 'I', CAST(lot AS VARCHAR), item_id, warehouse_id, qty, unit_cost, after - qty, after FROM ins""")
+def _(b):
+    out = _transfer(b)
+    return out["txns_out"].unionByName(out["txns_in"].withColumn("lot_id", F.col("lot_id").cast("string")))
+
+
+@query("transfer_stock_full_balances", "item_id:l warehouse_id:l qty_on_hand:d",
+       f"""WITH {_served(_MOVE_REQ)},
+           m AS (SELECT item_id, warehouse_id, -qty AS d FROM served UNION ALL
+                 SELECT s.item_id, r.to_wh, s.qty FROM served s JOIN req r ON r.request_id = s.request_id),
+           k AS (SELECT item_id, warehouse_id, qty_on_hand AS d FROM {{balances}} UNION ALL SELECT * FROM m)
+           SELECT item_id, warehouse_id, SUM(d) AS qty_on_hand FROM k GROUP BY 1, 2""")
+def _(b):
+    """The asked quantity leaves one side and reaches the other, whatever the lots gave."""
+    return _transfer(b, full_quantity=True)["balances"]
+
+
 @query("fifo_allocate_balances", "item_id:l warehouse_id:l qty_on_hand:d",
        f"""WITH {_served(_ISSUES)}, used AS (SELECT item_id, warehouse_id, SUM(qty) AS u FROM alloc GROUP BY 1, 2)
            SELECT b.item_id, b.warehouse_id, b.qty_on_hand - COALESCE(u, 0) AS qty_on_hand

@@ -248,8 +248,13 @@ def test_transfer_makes_no_stock(spark):
     assert {(r.move_id, float(r.short_qty)) for r in out["short"].collect()} == {(2, 20.0)}
     assert {(r.warehouse_id, float(r.qty_on_hand)) for r in out["balances"].filter("item_id = 13").collect()} == {(1, 25.0), (3, 40.0)}
     assert {float(r.qty_on_hand) for r in out["target_lots"].collect()} == {30.0, 10.0}
+    out = inventory.transfer_stock(moves, lots, seed.balances(spark), ["move_id"], seed.AS_OF, start_lot=900)
+    assert {(r.ref_doc_id, r.lot_id, r.direction, float(r.qty_before), float(r.qty_after)) for r in out["txns_in"].collect()} == {(1, 901, "I", 0.0, 30.0), (2, 902, "I", 30.0, 40.0)}
+    assert {(r.ref_doc_id, r.lot_id, float(r.quantity)) for r in out["txns_out"].collect()} == {(1, 501, 30.0), (2, 501, 10.0)}
+    assert {r.lot_id: float(r.qty_on_hand) for r in out["target_lots"].collect()} == {901: 30.0, 902: 10.0}
     full = inventory.transfer_stock(moves, lots, seed.balances(spark), ["move_id"], seed.AS_OF, full_quantity=True)
     assert {(r.move_id, float(r.qty)) for r in full["inbound"].collect()} == {(1, 30.0), (2, 30.0)}
+    assert {(r.warehouse_id, float(r.qty_on_hand)) for r in full["balances"].filter("item_id = 13").collect()} == {(1, 5.0), (3, 60.0)}
 
 
 def test_units(spark):

@@ -96,19 +96,40 @@ def review_summary(reviews: DataFrame, findings: DataFrame, expected: DataFrame)
     return {"results": results, "summary": summary, "missing": missing, "skipped": reviews.filter(~usable)}
 
 
-def coverage_summary(counters: DataFrame, lines: DataFrame | None = None, line_target: float = 0.90, branch_target: float = 0.75) -> dict[str, DataFrame]:
-    """Line and branch rates per package and overall, and the uncovered lines."""
-    def rates(df, *keys):
-        part = lambda t, c: F.coalesce(F.sum(F.when(F.col("type") == t, F.col(c))), F.lit(0))
-        agg = df.groupBy(*keys).agg(part("LINE", "missed").alias("lm"), part("LINE", "covered").alias("lc"),
-                                    part("BRANCH", "missed").alias("bm"), part("BRANCH", "covered").alias("bc"))
-        rate = lambda m, c: F.when(F.col(m) + F.col(c) > 0, F.col(c).cast("double") / (F.col(m) + F.col(c))).otherwise(1.0)
-        out = agg.withColumns({"line_rate": rate("lm", "lc"), "branch_rate": rate("bm", "bc")})
-        return out.withColumn("passed", (F.col("line_rate") >= line_target) & (F.col("branch_rate") >= branch_target)).drop("lm", "lc", "bm", "bc")
-
+def _coverage_rates(counters: DataFrame, keys: Sequence[str], line_target: float, branch_target: float) -> DataFrame:
+    """Line and branch rates; a group without counters was not measured and neither passes nor fails."""
+    part = lambda t, c: F.coalesce(F.sum(F.when(F.col("type") == t, F.col(c))), F.lit(0))
+    agg = counters.groupBy(*keys).agg(part("LINE", "missed").alias("lm"), part("LINE", "covered").alias("lc"), part("BRANCH", "missed").alias("bm"),
+                                      part("BRANCH", "covered").alias("bc"), (F.count("type") > 0).alias("executed"))
+    rate = lambda m, c: F.when(F.col("executed"), F.when(F.col(m) + F.col(c) > 0, F.col(c).cast("double") / (F.col(m) + F.col(c))).otherwise(1.0))
+    out = agg.withColumns({"line_rate": rate("lm", "lc"), "branch_rate": rate("bm", "bc")})
+    return out.withColumn("passed", (F.col("line_rate") >= line_target) & (F.col("branch_rate") >= branch_target)).drop("lm", "lc", "bm", "bc")
+
+
+def coverage_summary(counters: DataFrame, lines: DataFrame | None = None, line_target: float = 0.90, branch_target: float = 0.75,
+                     files: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Line and branch rates per ``packages`` and in ``total``, and what was not covered.
+
+    ``counters``: package, source, type, missed, covered. ``total`` is one row even without
+    counters; then ``executed`` is false and rates and ``passed`` are null: missing input is
+    skipped, not failed. ``lines`` (package, source, nr, mi, mb) gives the ``gaps``: lines with
+    missed instructions or branches. ``files`` (path, owner) are the source files that
+    should be measured, ending in ``package/source``: ``owners`` has the rates of each owner
+    (not executed where the report has none of its files) and ``skipped`` the files that
+    the report does not hold.
+    """
+    rates = lambda df, *keys: _coverage_rates(df, keys, line_target, branch_target)
     out = {"packages": rates(counters, "package"), "total": rates(counters)}
     if lines is not None:
         out["gaps"] = lines.filter((F.col("mi") > 0) | (F.col("mb") > 0))
+    if files is not None:
+        path = F.concat_ws("/", "package", "source")
+        # one row per file and type, so a file meets four rows at most in the join
+        per_file = counters.groupBy(path.alias("__path"), "type").agg(F.sum("missed").alias("missed"), F.sum("covered").alias("covered"))
+        wanted = files.select("path", "owner", F.regexp_replace("path", "^(.*/)?src/(main|test)/java/", "").alias("__path")).distinct()
+        joined = wanted.join(per_file, "__path", "left")
+        out["owners"] = rates(joined, "owner")
+        out["skipped"] = joined.filter(F.col("type").isNull()).select("path", "owner")
     return out
 
 

@@ -75,6 +75,40 @@ def run_metrics(phases: DataFrame) -> DataFrame:
     return totals.join(merged, "run", "left")
 
 
+#: kinds of objects that a run counts, and the column of each
+OBJECT_COUNTS = {"package": "package_count", "procedure": "procedure_count", "table": "table_count", "source_file": "source_file_count", "test_file": "test_file_count"}
+
+
+def run_business(objects: DataFrame, reviews: DataFrame, builds: DataFrame, phases: DataFrame) -> DataFrame:
+    """Business roll-up per run: what it worked on and how it came out.
+
+    ``objects``: run, kind (a key of ``OBJECT_COUNTS``), name; a name counts once. ``reviews``:
+    run, package, seq, score, passed, todos; the newest review of a package counts, so a package
+    that was mended is judged by its last state (of equal ``seq`` the highest score). ``builds``:
+    run, seq, success; the newest one counts. ``phases``: run, phase. A run that appears in any input has a row; what it
+    has no rows for is null (scores, success) or 0 (counts).
+
+    Each input is reduced to a few rows per run on its own before the rows meet in one
+    aggregation, so no input is joined with another.
+    """
+    names = objects.filter(F.col("kind").isin(*OBJECT_COUNTS)).select("run", "kind", "name").distinct().groupBy("run", "kind").agg(F.count(F.lit(1)).alias("n"))
+    newest = reviews.groupBy("run", "package").agg(F.max(F.struct("seq", "score", "passed", "todos")).alias("r")).groupBy("run").agg(
+        F.count("r.score").alias("scored"), F.sum(F.col("r.score").cast("decimal(18,4)")).alias("score"), F.count(F.lit(1)).alias("reviewed"),
+        F.count_if(F.col("r.passed")).alias("passed"), F.sum(F.coalesce("r.todos", F.lit(0))).alias("todos"))
+    built = builds.groupBy("run").agg(F.max(F.struct("seq", "success")).alias("b")).select("run", "b.success")
+    cycles = phases.groupBy("run").agg(F.count_if(F.col("phase") == "fix").alias("fixes"))
+    rows = names
+    for part in (newest, built, cycles):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b))
+    agg = rows.groupBy("run").agg(
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in OBJECT_COUNTS.items()],
+        *[F.sum(c).alias(f"__{c}") for c in ("scored", "score", "reviewed", "passed")],
+        F.coalesce(F.sum("todos"), F.lit(0)).alias("todos_remaining"), F.bool_or("success").alias("build_success"), F.coalesce(F.sum("fixes"), F.lit(0)).alias("fix_cycles"))
+    return agg.withColumns({"review_average_score": ratio("__score", "__scored"), "review_passed_rate": ratio("__passed", "__reviewed")}).drop(
+        "__scored", "__score", "__reviewed", "__passed")
+
+
 def _js_round(value: Column, places: int) -> Column:
     """Round half up, as floor(x * 10^n + 0.5) / 10^n."""
     scale = float(10 ** places)

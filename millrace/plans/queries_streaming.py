@@ -72,20 +72,43 @@ def _(b):
                   FLOOR((epoch_us(e.ts) - epoch_us(s.ts)) / 1000) AS duration_ms
              FROM ev s JOIN ev e ON e.call_id = s.call_id AND s.is_start AND NOT e.is_start AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 5 MINUTE""")
 def _(b):
-    def side(is_start):
-        e = streams.stream_table(b.spark, b.sf_dir, "events").filter((F.col("event_id") % 2 == 0) == F.lit(is_start))
-        return e.select(F.floor(F.col("event_id") / 2).cast("bigint").alias("call_id"), F.col("user_id").alias("run"), F.col("event_type").alias("tool"),
-                        F.when(F.col("event_type") == "error", "error").otherwise("completed").alias("state"), "ts")
-    return streams.run_to_table(streams.stream_pair_calls(side(True), side(False), "5 minutes"), "append")
+    return streams.run_to_table(streams.stream_pair_calls(_call_side(b, True, None), _call_side(b, False, None), "5 minutes"), "append")
+
+
+def _call_side(b, is_start, closing_id):
+    e = streams.stream_table(b.spark, b.sf_dir, "events").filter((F.col("event_id") % 2 == 0) == F.lit(is_start))
+    e = e.select(F.floor(F.col("event_id") / 2).cast("bigint").alias("call_id"), F.col("user_id").alias("run"), F.col("event_type").alias("tool"),
+                 F.when(F.col("event_type") == "error", "error").otherwise("completed").alias("state"), F.col("ts").cast("timestamp").alias("ts"))
+    return e.unionByName(streams.closing_event(b.spark, e.schema, call_id=closing_id, ts=_END)) if closing_id else e
+
+
+# far behind every event of the table
+_END = "2100-01-01 00:00:00"
+
+
+@query("stream_session_calls", "window_start:s window_end:s run:l calls:l errors:l duration_ms:l",
+       f"""WITH ev AS (SELECT event_id, user_id, event_type, ts, CAST(FLOOR(event_id / 2) AS BIGINT) AS call_id, event_id % 2 = 0 AS is_start FROM events),
+           pr AS (SELECT s.user_id AS run, s.ts, e.event_type = 'error' AS bad, CAST(FLOOR((epoch_us(e.ts) - epoch_us(s.ts)) / 1000) AS BIGINT) AS ms
+                    FROM ev s JOIN ev e ON e.call_id = s.call_id AND s.is_start AND NOT e.is_start AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 5 MINUTE),
+           g AS (SELECT *, CASE WHEN ts < LAG(ts) OVER w + INTERVAL 24 HOUR THEN 0 ELSE 1 END AS fresh FROM pr WINDOW w AS (PARTITION BY run ORDER BY ts)),
+           s AS (SELECT *, SUM(fresh) OVER (PARTITION BY run ORDER BY ts) AS sid FROM g)
+           SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(MAX(ts) + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, run, COUNT(*) AS calls,
+                  COUNT(*) FILTER (WHERE bad) AS errors, SUM(ms) AS duration_ms FROM s GROUP BY run, sid""")
+def _(b):
+    sessions = streams.stream_session_calls(_call_side(b, True, -1), _call_side(b, False, -2), "24 hours", "5 minutes")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return streams.run_to_table(sessions, "append").withColumns({c: text(c) for c in ("window_start", "window_end")})
 
 
 def _windows(kind, size, slide=None):
     def build(b):
         e = streams.stream_table(b.spark, b.sf_dir, "events").select(
-            F.col("user_id").alias("run"), F.col("event_type").alias("phase"), "ts", F.col("value").alias("cost"))
-        keys = ["window_start", "phase"] + (["window_end", "run"] if kind == "session" else [])
-        stream = streams.stream_phase_metrics(e, kind, size, slide)
-        out = streams.latest(streams.run_to_table(stream, "complete" if kind == "session" else "update"), keys)
+            F.col("user_id").alias("run"), F.col("event_type").alias("phase"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cost"))
+        if kind == "session":
+            closed = e.unionByName(streams.closing_event(b.spark, e.schema, ts=_END))
+            out = streams.run_to_table(streams.stream_phase_metrics(closed, kind, size), "append")
+        else:
+            out = streams.latest(streams.run_to_table(streams.stream_phase_metrics(e, kind, size, slide), "update"), ["window_start", "phase"])
         return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
     return build
 

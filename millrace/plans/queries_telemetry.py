@@ -184,11 +184,82 @@ _CNT = """cn AS (SELECT 'pkg' || l_suppkey AS package, CASE WHEN l_linenumber %
        f"""WITH {_CNT}, r AS (SELECT package, CASE WHEN lm + lc > 0 THEN CAST(lc AS DOUBLE) / CAST(lm + lc AS DOUBLE) ELSE 1 END AS line_rate, CASE WHEN bm + bc > 0 THEN CAST(bc AS DOUBLE) / CAST(bm + bc AS DOUBLE) ELSE 1 END AS branch_rate FROM ag)
            SELECT *, line_rate >= 0.9::DOUBLE AND branch_rate >= 0.75::DOUBLE AS passed FROM r""")
 def _(b):
+    return quality.coverage_summary(_counters(b))["packages"]
+
+
+def _counters(b):
     q = F.col("l_quantity").cast("bigint")
-    rows = b.lineitem.select(
-        F.concat(F.lit("pkg"), F.col("l_suppkey").cast("string")).alias("package"), F.when(F.col("l_linenumber") % 2 == 0, "LINE").otherwise("BRANCH").alias("type"),
-        F.when(F.col("l_suppkey") % 4 == 0, 0).otherwise(q % 6).alias("missed"), q.alias("covered"))
-    return quality.coverage_summary(rows)["packages"]
+    return b.lineitem.select(
+        F.concat(F.lit("pkg"), F.col("l_suppkey").cast("string")).alias("package"), F.concat(F.lit("S"), F.col("l_partkey").cast("string"), F.lit(".java")).alias("source"),
+        F.when(F.col("l_linenumber") % 2 == 0, "LINE").otherwise("BRANCH").alias("type"), F.when(F.col("l_suppkey") % 4 == 0, 0).otherwise(q % 6).alias("missed"), q.alias("covered"))
+
+
+def _coverage(b):
+    q, key = F.col("l_quantity").cast("bigint"), F.concat(F.lit("S"), F.col("l_partkey").cast("string"), F.lit(".java"))
+    lines = b.lineitem.select(F.concat(F.lit("pkg"), F.col("l_suppkey").cast("string")).alias("package"), key.alias("source"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("nr"),
+                              (q % 3).alias("mi"), q.alias("ci"), F.when(q % 5 == 0, 1).otherwise(0).alias("mb"), F.lit(0).alias("cb"))
+    # every part should have a file at its own number's supplier: many of them are in no report
+    files = b.part.select(F.concat(F.lit("app/src/main/java/pkg"), (F.col("p_partkey") % 10 + 1).cast("string"), F.lit("/S"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("path"),
+                          F.col("p_brand").alias("owner"))
+    return quality.coverage_summary(_counters(b), lines, files=files)
+
+
+_RATE = lambda m, c: f"CASE WHEN {m} + {c} > 0 THEN CAST({c} AS DOUBLE) / CAST({m} + {c} AS DOUBLE) ELSE 1 END"
+
+
+@query("coverage_total", "line_rate:d branch_rate:d executed:b passed:b",
+       f"""WITH {_CNT}, t AS (SELECT SUM(lm) AS lm, SUM(lc) AS lc, SUM(bm) AS bm, SUM(bc) AS bc FROM ag), r AS (SELECT {_RATE('lm', 'lc')} AS line_rate, {_RATE('bm', 'bc')} AS branch_rate FROM t)
+           SELECT line_rate, branch_rate, TRUE AS executed, line_rate >= 0.9::DOUBLE AND branch_rate >= 0.75::DOUBLE AS passed FROM r""")
+def _(b):
+    return _coverage(b)["total"]
+
+
+@query("coverage_gaps", "package:s source:s nr:l mi:l mb:l",
+       """SELECT 'pkg' || l_suppkey AS package, 'S' || l_partkey || '.java' AS source, l_orderkey * 8 + l_linenumber AS nr, CAST(l_quantity AS BIGINT) % 3 AS mi,
+                 CASE WHEN CAST(l_quantity AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS mb FROM lineitem WHERE CAST(l_quantity AS BIGINT) % 3 > 0 OR CAST(l_quantity AS BIGINT) % 5 = 0""")
+def _(b):
+    return _coverage(b)["gaps"]
+
+
+_FILES = """fl AS (SELECT 'app/src/main/java/pkg' || (p_partkey % 10 + 1) || '/S' || p_partkey || '.java' AS path, p_brand AS owner, p_partkey, p_partkey % 10 + 1 AS supp FROM part),
+   mt AS (SELECT l_partkey, l_suppkey, l_linenumber % 2 = 0 AS is_line, CASE WHEN l_suppkey % 4 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) % 6 END AS missed, CAST(l_quantity AS BIGINT) AS covered FROM lineitem),
+   jn AS (SELECT fl.path, fl.owner, mt.* FROM fl LEFT JOIN mt ON mt.l_partkey = fl.p_partkey AND mt.l_suppkey = fl.supp)"""
+
+
+@query("coverage_owners", "owner:s line_rate:d branch_rate:d executed:b passed:b",
+       f"""WITH {_FILES}, t AS (SELECT owner, COUNT(l_partkey) > 0 AS executed, COALESCE(SUM(missed) FILTER (WHERE is_line), 0) AS lm, COALESCE(SUM(covered) FILTER (WHERE is_line), 0) AS lc,
+             COALESCE(SUM(missed) FILTER (WHERE NOT is_line), 0) AS bm, COALESCE(SUM(covered) FILTER (WHERE NOT is_line), 0) AS bc FROM jn GROUP BY 1),
+           r AS (SELECT owner, executed, CASE WHEN executed THEN {_RATE('lm', 'lc')} END AS line_rate, CASE WHEN executed THEN {_RATE('bm', 'bc')} END AS branch_rate FROM t)
+           SELECT *, line_rate >= 0.9::DOUBLE AND branch_rate >= 0.75::DOUBLE AS passed FROM r""")
+def _(b):
+    return _coverage(b)["owners"]
+
+
+@query("coverage_skipped", "path:s owner:s", f"WITH {_FILES} SELECT path, owner FROM jn WHERE l_partkey IS NULL")
+def _(b):
+    return _coverage(b)["skipped"]
+
+
+# Runs are suppliers (their lines are objects and reviews) and users (their events are builds and phases).
+@query("run_business", "run:l package_count:l procedure_count:l table_count:l source_file_count:l test_file_count:l todos_remaining:l fix_cycles:l build_success:b review_average_score:d review_passed_rate:d",
+       f"""WITH ob AS (SELECT DISTINCT l_suppkey AS run, l_linenumber AS kind, l_partkey AS name FROM lineitem WHERE l_linenumber <= 5),
+           oc AS (SELECT run, COUNT(*) FILTER (WHERE kind = 1) AS k1, COUNT(*) FILTER (WHERE kind = 2) AS k2, COUNT(*) FILTER (WHERE kind = 3) AS k3, COUNT(*) FILTER (WHERE kind = 4) AS k4,
+                         COUNT(*) FILTER (WHERE kind = 5) AS k5 FROM ob GROUP BY 1),
+           rv AS (SELECT l_suppkey AS run, l_quantity AS q, l_linenumber AS todos, ROW_NUMBER() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 8 + l_linenumber DESC, l_quantity DESC, l_linenumber DESC) AS rn FROM lineitem),
+           rc AS (SELECT run, CAST(SUM(CAST(q * 2 AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*) AS score, CAST(COUNT(*) FILTER (WHERE q > 20) AS DOUBLE) / COUNT(*) AS rate, SUM(todos) AS todos FROM rv WHERE rn = 1 GROUP BY 1),
+           ev AS (SELECT user_id AS run, arg_max(event_type <> 'error', event_id) AS ok, COUNT(*) FILTER (WHERE {_K} % 3 = 2) AS fixes FROM events GROUP BY 1),
+           ru AS (SELECT run FROM rc UNION SELECT run FROM ev)
+           SELECT ru.run, COALESCE(k1, 0) AS package_count, COALESCE(k2, 0) AS procedure_count, COALESCE(k3, 0) AS table_count, COALESCE(k4, 0) AS source_file_count, COALESCE(k5, 0) AS test_file_count,
+                  COALESCE(todos, 0) AS todos_remaining, COALESCE(fixes, 0) AS fix_cycles, ok AS build_success, score AS review_average_score, rate AS review_passed_rate
+             FROM ru LEFT JOIN oc ON oc.run = ru.run LEFT JOIN rc ON rc.run = ru.run LEFT JOIN ev ON ev.run = ru.run""")
+def _(b):
+    kinds = F.array(*[F.lit(k) for k in telemetry.OBJECT_COUNTS])
+    objects = b.lineitem.select(F.col("l_suppkey").alias("run"), F.get(kinds, F.col("l_linenumber").cast("int") - 1).alias("kind"), F.col("l_partkey").alias("name"))
+    reviews = b.lineitem.select(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("package"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+                                (F.col("l_quantity") * 2).alias("score"), (F.col("l_quantity") > 20).alias("passed"), F.col("l_linenumber").alias("todos"))
+    builds = b.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("success"))
+    steps = _props(b).select(F.col("user_id").alias("run"), _phase().alias("phase"))
+    return telemetry.run_business(objects, reviews, builds, steps)
 
 
 _GATE = f"""{_QIN}, gi AS (SELECT grp, tests_passed AS done, tests_total AS total, file_count AS mapped, todo_count AS completed, grp % 3 <> 0 AS passed, grp % 101 AS score,

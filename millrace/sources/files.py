@@ -76,16 +76,33 @@ def read_rule_report(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_coverage_rows(spark: SparkSession, path: str) -> DataFrame:
+    """JaCoCo XML in one scan: the class counters and the source lines of every package.
+
+    ``level`` is 'counter' (class, type, missed, covered) or 'line' (nr, and the missed and
+    covered instructions mi, ci and branches mb, cb); columns of the other level are null.
+    """
+    counter = "counter: ARRAY<STRUCT<_type: STRING, _missed: BIGINT, _covered: BIGINT>>"
+    line = "line: ARRAY<STRUCT<_nr: INT, _mi: BIGINT, _ci: BIGINT, _mb: BIGINT, _cb: BIGINT>>"
+    schema = f"_name STRING, class ARRAY<STRUCT<_name: STRING, _sourcefilename: STRING, {counter}>>, sourcefile ARRAY<STRUCT<_name: STRING, {line}>>"
+    df = spark.read.schema(schema).xml(path, rowTag="package")
+
+    def row(level, source, **values):
+        kinds = {"class": "string", "type": "string", "missed": "bigint", "covered": "bigint", "nr": "int", "mi": "bigint", "ci": "bigint", "mb": "bigint", "cb": "bigint"}
+        return F.struct(F.lit(level).alias("level"), source.alias("source"), *[values.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+    def each(parts, children, make):
+        """One row per child of each part; none where either list is missing."""
+        return F.flatten(F.transform(F.coalesce(F.col(parts), F.array()), lambda p: F.transform(F.coalesce(p[children], F.array()), lambda x: make(p, x))))
+
+    counters = each("class", "counter", lambda c, n: row("counter", c["_sourcefilename"], **{"class": c["_name"]}, type=n["_type"], missed=n["_missed"], covered=n["_covered"]))
+    lines = each("sourcefile", "line", lambda f, n: row("line", f["_name"], nr=n["_nr"], mi=n["_mi"], ci=n["_ci"], mb=n["_mb"], cb=n["_cb"]))
+    return df.select(F.col("_name").alias("package"), F.explode(F.concat(counters, lines)).alias("r")).select("package", "r.*")
+
+
 def read_coverage_report(spark: SparkSession, path: str) -> DataFrame:
     """JaCoCo XML: one row per class counter (package, class, source, type, missed, covered)."""
-    counter = "counter ARRAY<STRUCT<_type: STRING, _missed: BIGINT, _covered: BIGINT>>"
-    schema = f"_name STRING, class ARRAY<STRUCT<_name: STRING, _sourcefilename: STRING, {counter.replace(' ', ': ', 1)}>>"
-    df = spark.read.schema(schema).xml(path, rowTag="package")
-    c = df.select(F.col("_name").alias("package"), F.explode("class").alias("c"))
-    n = c.select("package", F.col("c._name").alias("class"), F.col("c._sourcefilename").alias("source"),
-                 F.explode("c.counter").alias("n"))
-    return n.select("package", "class", "source", F.col("n._type").alias("type"),
-                    F.col("n._missed").alias("missed"), F.col("n._covered").alias("covered"))
+    return read_coverage_rows(spark, path).filter("level = 'counter'").select("package", "class", "source", "type", "missed", "covered")
 
 
 def read_jdbc_tables(

@@ -212,11 +212,39 @@ def stream_pair_calls(started: DataFrame, ended: DataFrame, timeout: str = "30 m
     return s.join(e, on).select("call_id", "run", "tool", "state", "start_ts", ms.alias("duration_ms"))
 
 
+def closing_event(spark: SparkSession, schema: T.StructType, **values) -> DataFrame:
+    """A one-row stream that moves the watermark on, to be united with the events before their watermark.
+
+    Append mode returns a session when the watermark has passed its end, so the last ones
+    come out only after a later event. The row must arrive after all events: with events
+    read in one micro-batch, or as the last file of theirs. Columns without a value are null.
+    """
+    path = f"{scratch_root(spark)}/millrace/closing-{uuid.uuid4().hex}"
+    row = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    row.write.parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def stream_session_calls(started: DataFrame, ended: DataFrame, gap: str = "30 minutes", timeout: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Calls, errors and time per run and session of calls, from start and end events (append mode).
+
+    Two stateful operators in one query: starts meet ends in a stream join, and the pairs
+    go to session windows over their starts; ``gap`` without a call ends a session. A
+    session comes out once, when the watermark has passed it, and its state is dropped
+    then, as the join drops starts that can no longer end.
+    """
+    pairs = stream_pair_calls(started, ended, timeout, delay)
+    agg = pairs.groupBy(F.session_window("start_ts", gap).alias("w"), "run").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("state") == "error").alias("errors"), F.sum("duration_ms").alias("duration_ms"))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "run", "calls", "errors", "duration_ms")
+
+
 def stream_phase_metrics(events: DataFrame, kind: str = "tumbling", size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Calls and cost per phase in tumbling, sliding or session windows.
 
     Rows behind the watermark are dropped. ``size`` is the gap for sessions,
-    which are kept per run and phase.
+    which are kept per run and phase and run in append mode: a session comes out once
+    it is over (see :func:`closing_event`), and its state goes.
     """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     if kind == "tumbling":

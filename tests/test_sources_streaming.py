@@ -6,7 +6,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import inventory
+from millrace.operators import inventory, quality, telemetry
 from millrace.operators.corpus import normalize_findings
 from millrace.plans.bridge import Bridge
 from millrace.plans.queries_inventory import movements
@@ -182,3 +182,55 @@ def test_a_repeated_batch_is_appended_once(spark, tmp_path):
         files.append_batch(rows(*keys), path, batch)
     got = sorted((r.batch_id, r.biz_key) for r in spark.read.schema("biz_key string, batch_id string").parquet(path).collect())
     assert got == [("1", "a"), ("1", "b"), ("1", "c"), ("2", "c"), ("2", "d"), ("x y/z", "e")]
+
+
+COVER = """<report name="own">
+<package name="shop/bikes"><class name="shop/bikes/Frame" sourcefilename="Frame.java"><counter type="LINE" missed="1" covered="3"/><counter type="BRANCH" missed="0" covered="2"/></class>
+<sourcefile name="Frame.java"><line nr="7" mi="4" ci="0" mb="0" cb="0"/><line nr="8" mi="0" ci="2" mb="0" cb="2"/><line nr="9" mi="0" ci="1" mb="1" cb="1"/></sourcefile></package>
+<package name="shop/bare"><class name="shop/bare/Marker" sourcefilename="Marker.java"/></package></report>"""
+
+
+def test_coverage_of_lines_owners_and_missing_input(spark, tmp_path):
+    rows = files.read_coverage_rows(spark, put(tmp_path, "cover.xml", COVER))
+    assert sorted((r.level, r.source, r.nr or 0, r.type or "") for r in rows.collect()) == [
+        ("counter", "Frame.java", 0, "BRANCH"), ("counter", "Frame.java", 0, "LINE"), ("line", "Frame.java", 7, ""), ("line", "Frame.java", 8, ""), ("line", "Frame.java", 9, "")]
+    wanted = spark.createDataFrame([("app/src/main/java/shop/bikes/Frame.java", "FRAME"), ("src/main/java/shop/bikes/Bell.java", "BELL")], "path string, owner string")
+    counters, lines = rows.filter("level = 'counter'"), rows.filter("level = 'line'")
+    out = quality.coverage_summary(counters, lines, files=wanted)
+    assert sorted((r.nr, r.mi, r.mb) for r in out["gaps"].collect()) == [(7, 4, 0), (9, 0, 1)]
+    assert out["total"].select("line_rate", "branch_rate", "executed", "passed").collect() == [(0.75, 1.0, True, False)]
+    assert {r.owner: (r.executed, r.line_rate, r.passed) for r in out["owners"].collect()} == {"FRAME": (True, 0.75, False), "BELL": (False, None, None)}
+    assert [r.owner for r in out["skipped"].collect()] == ["BELL"]
+    none = quality.coverage_summary(counters.filter("false"))["total"].collect()
+    assert [(r.executed, r.line_rate, r.passed) for r in none] == [(False, None, None)]
+
+
+def test_business_of_runs(spark):
+    objects = spark.createDataFrame([("a", "package", "P"), ("a", "package", "P"), ("a", "table", "P"), ("b", "note", "x")], "run string, kind string, name string")
+    reviews = spark.createDataFrame([("a", "P", 1, 40, False, 5), ("a", "P", 2, 90, True, 1), ("a", "Q", 1, 60, False, None), ("c", "P", 1, None, None, 2)],
+                                    "run string, package string, seq int, score int, passed boolean, todos int")
+    builds = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("d", 1, False)], "run string, seq int, success boolean")
+    phases = spark.createDataFrame([("a", "fix"), ("a", "fix"), ("a", "review")], "run string, phase string")
+    got = {r.run: r for r in telemetry.run_business(objects, reviews, builds, phases).collect()}
+    assert set(got) == {"a", "c", "d"}
+    a, c, d = got["a"], got["c"], got["d"]
+    assert (a.package_count, a.table_count, a.todos_remaining, a.fix_cycles, a.build_success, a.review_average_score, a.review_passed_rate) == (1, 1, 1, 2, True, 75.0, 0.5)
+    assert (c.review_average_score, c.review_passed_rate, c.todos_remaining, c.build_success) == (None, 0.0, 2, None)
+    assert (d.build_success, d.review_average_score, d.fix_cycles) == (False, None, 0)
+
+
+def test_sessions_of_calls_come_out_once_when_they_are_over(spark, tmp_path):
+    """Several micro-batches: a session is returned when later events have passed it, the last one after the closing event."""
+    day = "2024-05-01 "
+    parts = [[(1, "10:00:00", "10:01:00"), (2, "10:20:00", "10:22:00")], [(3, "10:45:00", "10:46:00"), (4, "15:00:00", "15:00:30")], [(5, "15:10:00", "15:11:00")], [(-1, "23:59:00", None)]]
+    started, ended = tmp_path / "s", tmp_path / "e"
+    for part in parts:
+        rows = [(i, "r", "t", "error" if i == 2 else "completed", day + s, day + e if e else None) for i, s, e in part]
+        df = spark.createDataFrame(rows, "call_id long, run string, tool string, state string, s string, e string")
+        df.select("call_id", "run", "tool", F.to_timestamp("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(started))
+        df.select(F.when(F.col("call_id") < 0, -2).otherwise(F.col("call_id")).alias("call_id"), "state", F.to_timestamp(F.coalesce("e", "s")).alias("ts")).coalesce(1).write.mode("append").parquet(str(ended))
+    stream = lambda p: spark.readStream.schema(spark.read.parquet(str(p)).schema).option("maxFilesPerTrigger", 1).parquet(str(p))
+    out = streams.run_to_table(streams.stream_session_calls(stream(started), stream(ended), "30 minutes", "10 minutes"), "append")
+    got = sorted((str(r.window_start)[11:], str(r.window_end)[11:], r.calls, r.errors, r.duration_ms, r.batch) for r in out.collect())
+    assert [g[:5] for g in got] == [("10:00:00", "11:15:00", 3, 1, 240000), ("15:00:00", "15:40:00", 2, 0, 90000)]
+    assert got[0][5] < got[1][5]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import doc_no
@@ -11,7 +11,7 @@ from millrace.operators.common import split_by_rules
 from millrace.operators.costing import sync_balance
 from millrace.operators.fold import ordered_fold
 from millrace.operators.ordered import is_hot, row_numbers, running_sums
-from millrace.session import materialize
+from millrace.session import discard, materialize, materialize_counted
 
 KEY = ["item_id", "warehouse_id"]
 QTY = "decimal(18,4)"
@@ -387,10 +387,10 @@ def transfer_stock(moves: DataFrame, lots: DataFrame, balances: DataFrame, order
 
 
 def archive_txns(txns: DataFrame, before) -> tuple[DataFrame, DataFrame, str]:
-    """Split the ledger at a date: (archive rows, remaining rows, archive name)."""
-    day = F.lit(before).cast("date")
+    """Split the ledger at a date: (archive rows, remaining rows, archive name); rows without a date remain."""
+    old = F.coalesce(F.col("txn_date") < F.lit(before).cast("date"), F.lit(False))
     name = "t_inv_txn_arch_" + str(before)[:7].replace("-", "")
-    return txns.filter(F.col("txn_date") < day), txns.filter(F.col("txn_date") >= day), name
+    return txns.filter(old), txns.filter(~old), name
 
 
 def write_archive(txns: DataFrame, before, archive_root: str, ledger_path: str) -> int:
@@ -408,6 +408,41 @@ def write_archive(txns: DataFrame, before, archive_root: str, ledger_path: str)
     return txns.sparkSession.read.parquet(target).count()
 
 
+def archive_ledger(spark: SparkSession, ledger_path: str, before, archive_root: str) -> str:
+    """Move the rows before a date out of a ledger kept by month (:func:`write_ledger`); returns the archive's folder.
+
+    Whole months before the date are moved as files. Of the month that the date cuts, the
+    old rows are written to the archive and the month is then overwritten with the others,
+    so one month at most is read and rewritten, whatever the ledger holds. Each cut has a
+    folder of its own in the archive. A job that fails half way is run again with the same date:
+    the old rows leave the ledger only after they are in the archive, and rows that a
+    first try left there are not added again. Rows that came late to a month already
+    archived join it.
+    """
+    from millrace.sources.files import move_period, periods, read_if_there, write_ledger
+
+    day, ledger_path = str(before), ledger_path.rstrip("/")
+    cut = f"txn_month={day[:4]}{day[5:7]}"
+    found = periods(spark, ledger_path)
+    whole = [p for p in found if p < cut and p[len("txn_month="):].isdigit()]
+    _, _, name = archive_txns(spark.range(0).select(F.lit(None).cast("date").alias("txn_date")), before)
+    target = f"{archive_root.rstrip('/')}/{name}/cut={day}"
+    if cut in found and not day.endswith("-01"):
+        old, rest, _ = archive_txns(spark.read.parquet(f"{ledger_path}/{cut}"), before)
+        old, n_old = materialize_counted(old, "archived")
+        rest, n_rest = materialize_counted(rest, "remaining")
+        if n_old and n_rest:
+            there = read_if_there(spark, f"{target}/{cut}")
+            write_ledger(old.exceptAll(there.select(old.columns)) if there is not None else old, target, grain="month")
+            write_ledger(rest, ledger_path, mode="overwrite", grain="month", only_periods=True)
+        elif n_old:
+            whole.append(cut)
+        discard(old, rest)
+    for period in whole:
+        move_period(spark, period, ledger_path, target)
+    return target
+
+
 def reconcile_balances(txns: DataFrame, lots: DataFrame, balances: DataFrame) -> DataFrame:
     """Ledger projection, lot sum and snapshot side by side; the ledger leads."""
     sign = F.when(F.col("direction") == "I", F.col("quantity")).otherwise(-F.col("quantity"))

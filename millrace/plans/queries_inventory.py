@@ -1,10 +1,14 @@
 """Inventory movements and utilities over the bridged tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import inventory, utility
 from millrace.plans.bridge import AS_OF
 from millrace.plans.catalog import exact_div, huge, query
+from millrace.session import scratch_root
+from millrace.sources.files import write_ledger
 
 _K = "item_id, warehouse_id"
 _OPEN = """open_lots AS MATERIALIZED (SELECT item_id, warehouse_id, lot_id, unit_cost, qty_on_hand - qty_allocated AS avail,
@@ -329,6 +333,20 @@ def _(b):
         F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
 
 
+@query("archive_ledger", "target:s month:s n:l quantity:d",
+       """SELECT CASE WHEN txn_date < DATE '1999-07-15' THEN 'archive' ELSE 'ledger' END AS target,
+                 strftime(txn_date, '%Y%m') AS month, COUNT(*) AS n, SUM(quantity) AS quantity FROM {ledger} GROUP BY 1, 2""")
+def _(b):
+    """Written by month, archived twice in the middle of a month, and read back from both sides."""
+    root = f"{scratch_root(b.spark)}/millrace/ledger-{uuid.uuid4().hex}"
+    write_ledger(b.ledger, f"{root}/ledger", grain="month")
+    for day in ("1999-07-04", "1999-07-15"):
+        inventory.archive_ledger(b.spark, f"{root}/ledger", day, f"{root}/archive")
+    read = lambda path, target: b.spark.read.parquet(f"{root}/{path}").select(F.lit(target).alias("target"), F.col("txn_month").cast("string").alias("month"), "quantity")
+    both = read("archive/t_inv_txn_arch_199907", "archive").unionByName(read("ledger", "ledger"))
+    return both.groupBy("target", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+
+
 @query("reconcile_balances", "item_id:l warehouse_id:l ledger_qty:d lot_qty:d balance_qty:d lot_delta:d balance_delta:d",
        f"""WITH k AS (SELECT {_K}, SUM(CASE WHEN direction = 'I' THEN quantity ELSE -quantity END) AS lq FROM {{ledger}} GROUP BY 1, 2),
            l AS (SELECT {_K}, SUM(qty_on_hand) AS lot FROM {{lots}} WHERE status IN ('AVAILABLE', 'QUARANTINE') GROUP BY 1, 2),

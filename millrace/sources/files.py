@@ -147,16 +147,51 @@ def append_batch(rows: DataFrame, path: str, batch_id: int | str) -> None:
     rows.withColumn("batch_id", F.lit(str(batch_id))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
-def write_ledger(txns: DataFrame, path: str, mode: str = "append", grain: str = "quarter") -> None:
+def write_ledger(txns: DataFrame, path: str, mode: str = "append", grain: str = "quarter", only_periods: bool = False) -> None:
     """Ledger sink partitioned by quarter (or month) of ``txn_date``.
 
-    Rows are spread over (period, hash of the row key) so that one busy period
-    is written by many tasks instead of one.
+    Rows of a period come together, and a busy period is split by its size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so files follow the data:
+    one for a small period, many for a large one. With ``only_periods`` an overwrite
+    replaces the periods that have rows in ``txns`` and leaves the others.
     """
     part = {
         "quarter": F.concat(F.year("txn_date"), F.lit("Q"), F.quarter("txn_date")),
         "month": F.date_format("txn_date", "yyyyMM"),
     }[grain]
     name = f"txn_{grain}"
-    out = txns.withColumn(name, part)
-    out.repartition(name, F.pmod(F.xxhash64("txn_id"), F.lit(16))).write.mode(mode).partitionBy(name).parquet(path)
+    out = txns.withColumn(name, part).hint("rebalance", name).write.mode(mode)
+    if only_periods:
+        out = out.option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(name).parquet(path)
+
+
+def periods(spark: SparkSession, path: str) -> list[str]:
+    """Folder names of the periods of a ledger, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory() and "=" in f.getPath().getName())
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet files of a folder, None without the folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.parquet(path) if there else None
+
+
+def move_period(spark: SparkSession, period: str, source: str, target: str) -> None:
+    """Move the files of a period from one ledger to another without reading them.
+
+    If the target has the period already, its files are joined by those of the source.
+    """
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = Path(f"{source}/{period}"), Path(f"{target}/{period}")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.exists(new):
+        moved = fs.rename(old, new)
+    else:
+        moved = all([fs.rename(f.getPath(), Path(new, f.getPath().getName())) for f in fs.listStatus(old)]) and fs.delete(old, True)
+    if not moved:
+        raise OSError(f"{old} could not be moved to {new}")

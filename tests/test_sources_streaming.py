@@ -71,6 +71,30 @@ def test_ledger_archive(spark, sf, tmp_path):
     assert plan.count() == txns.filter("quarter(txn_date) = 1 AND year(txn_date) = 2000").count()
 
 
+def test_archiving_rewrites_the_cut_month_only(spark, sf, tmp_path):
+    txns = Bridge(spark, sf).ledger.withColumn("txn_date", F.when(F.col("quantity") < 49, F.col("txn_date")))  # some rows have no date
+    ledger, archive = tmp_path / "ledger", tmp_path / "archive"
+    files.write_ledger(txns, str(ledger), grain="month")
+    listed = lambda root: {(f.parent.name, f.name, f.stat().st_mtime_ns) for f in root.rglob("*.parquet")}
+    before = listed(ledger)
+    target = inventory.archive_ledger(spark, str(ledger), "1999-07-15", str(archive))
+    after, moved = listed(ledger), listed(archive)
+    assert {p for p, _, _ in after - before} == {"txn_month=199907"}
+    assert moved - {m for m in moved if m[0] == "txn_month=199907"} <= before  # whole months: the same files
+    kept, gone = spark.read.parquet(str(ledger)), spark.read.parquet(target)
+    assert gone.filter("txn_date >= '1999-07-15' OR txn_date IS NULL").count() == 0 and kept.filter("txn_date < '1999-07-15'").count() == 0
+    same = [c for c in txns.columns if c != "txn_month"]
+    assert kept.select(same).unionByName(gone.select(same)).exceptAll(txns).count() == 0 and kept.count() + gone.count() == txns.count()
+    inventory.archive_ledger(spark, str(ledger), "1999-07-15", str(archive))  # again: nothing left to move
+    assert listed(ledger) == after and listed(archive) == moved
+    n = gone.count()
+    late = gone.filter("txn_month = 199907").limit(3)  # one comes again, two are new
+    late = late.select(*[F.concat("txn_id", F.lit("-late")).alias(c) if c == "txn_id" else c for c in same]).limit(2).unionByName(late.select(same).limit(1))
+    files.write_ledger(late, str(ledger), grain="month")
+    inventory.archive_ledger(spark, str(ledger), "1999-07-15", str(archive))
+    assert spark.read.parquet(target).count() == n + 2 and spark.read.parquet(str(ledger)).filter("txn_date < '1999-07-15'").count() == 0
+
+
 def sequential_average(rows, start):
     """Plain reference loop over one key's movements."""
     qty, avg, exists = start

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.common import small_side, valid_at
-from millrace.session import materialize
+from millrace.session import broadcast_rows, materialize
 
 WILD = ("item_id", "category_id", "customer_id")
 
+# Most tiers of one list and key that are held in one row; rules with more are met row by row.
+TIERS_IN_ROW = 4096
+
 
 def pick_price_list(customers: DataFrame, lists: DataFrame, as_of) -> DataFrame:
     """customer_id, price_list_id: the customer's live list, else the default.
@@ -42,13 +45,11 @@ def _preference() -> list[Column]:
     return [F.col("priority"), unset("item_id"), unset("customer_id"), unset("category_id"), F.col("rule_id")]
 
 
-def _candidates(requests: DataFrame, rules: DataFrame, as_of, tiered: bool) -> DataFrame:
-    """Request x matching rule pairs.
+def _live_rules(rules: DataFrame, as_of, tiered: bool) -> DataFrame:
+    """Rules in force with their class (which of item, category and customer they name) and key.
 
-    A wildcard match is a theta join. Instead, rules are classed by which of item,
-    category and customer they name. A request gets one key per class that has rules,
-    and one equi-join on list, class and key finds the pairs. Rules of a class that share
-    key and tier cannot both win, so only the preferred one is kept before a tiered join.
+    Rules of a class that share key and tier cannot both win: for a tiered match only
+    the preferred one is kept.
     """
     live = rules.filter((F.col("is_active") == "Y") & valid_at(as_of, "valid_from", "valid_to")).select(
         "rule_id", F.col("price_list_id").alias("r_list"), *[F.col(c).alias(f"r_{c}") for c in WILD],
@@ -59,18 +60,30 @@ def _candidates(requests: DataFrame, rules: DataFrame, as_of, tiered: bool) -> D
         live = live.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("priority", "rule_id")).alias("w")).select(
             *key, *[F.col(f"w.{c}").alias(c) for c in rest])
     named = F.concat(*[F.when(F.col(f"r_{c}").isNull(), "0").otherwise("1") for c in WILD])
-    live = small_side(live.withColumns({"r_class": named, "r_key": F.concat_ws("\x01", *[F.col(f"r_{c}").cast("string") for c in WILD])}))
-    classes = sorted(r["r_class"] for r in live.select("r_class").distinct().collect())  # at most eight
+    return live.withColumns({"r_class": named, "r_key": F.concat_ws("\x01", *[F.col(f"r_{c}").cast("string") for c in WILD])})
 
-    def request_key(name: str) -> Column:
-        columns = [c for c, flag in zip(WILD, name) if flag == "1"]
-        given = F.lit(True)
-        for c in columns:
-            given = given & F.col(c).isNotNull()
-        key = F.concat_ws("\x01", *[F.col(c).cast("string") for c in columns]) if columns else F.lit("")
-        return F.when(given, F.struct(F.lit(name).alias("q_class"), key.alias("q_key")))
 
-    keys = F.filter(F.array(*[request_key(name) for name in classes]), lambda k: k.isNotNull()) if classes else F.array().cast("array<struct<q_class:string,q_key:string>>")
+def _request_key(name: str) -> Column:
+    """Key of a request for the rules of class ``name``; null where it lacks a named column."""
+    columns = [c for c, flag in zip(WILD, name) if flag == "1"]
+    given = F.lit(True)
+    for c in columns:
+        given = given & F.col(c).isNotNull()
+    key = F.concat_ws("\x01", *[F.col(c).cast("string") for c in columns]) if columns else F.lit("")
+    return F.when(given, key)
+
+
+def _candidates(requests: DataFrame, live: DataFrame, tiered: bool) -> DataFrame:
+    """Request x matching rule pairs.
+
+    A wildcard match is a theta join. Instead, rules are classed by which of item,
+    category and customer they name. A request gets one key per class that has rules,
+    and one equi-join on list, class and key finds the pairs.
+    """
+    live = small_side(live)
+    classes = sorted(r["r_class"] for r in live.select("r_class").distinct().collect())  # at most eight
+    both = lambda name: F.when(_request_key(name).isNotNull(), F.struct(F.lit(name).alias("q_class"), _request_key(name).alias("q_key")))
+    keys = F.filter(F.array(*map(both, classes)), lambda k: k.isNotNull()) if classes else F.array().cast("array<struct<q_class:string,q_key:string>>")
     asked = requests.withColumn("__k", F.explode(keys)).select(*requests.columns, "__k.q_class", "__k.q_key")
     on = (F.col("price_list_id") == F.col("r_list")) & (F.col("q_class") == F.col("r_class")) & (F.col("q_key") == F.col("r_key"))
     if tiered:
@@ -78,15 +91,46 @@ def _candidates(requests: DataFrame, rules: DataFrame, as_of, tiered: bool) -> D
     return asked.join(live, on).drop("q_class", "q_key", "r_class", "r_key")
 
 
+def _with_rule(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+    """``requests`` with the winning rule in ``r`` (with rule_id, rule_type, price_value; null without one).
+
+    The tiers of one list, class and key are one row: an array in order of preference. A
+    request meets one row per class that has rules (at most eight joins, none of which
+    adds rows), takes the first tier there that holds its quantity, and the least of
+    these. It is neither exploded nor grouped nor joined back. Should one key have more
+    than ``TIERS_IN_ROW`` tiers, pairs of requests and rules are made and grouped instead.
+    """
+    live = _live_rules(rules, as_of, tiered=True)
+    rank = [c.alias(f"o{i}") for i, c in enumerate(_preference()[:-1])]
+    tier = F.struct(*rank, F.col("rule_id").alias("rule_id"), "rule_type", "price_value", "min_qty", "max_qty")
+    tiers = materialize(live.groupBy("r_list", "r_class", "r_key").agg(F.sort_array(F.collect_list(tier)).alias("tiers")), "tiers") if _fits(live) else None
+    if tiers is None:
+        pairs = _candidates(requests, live, tiered=True)
+        won = pairs.groupBy("request_id").agg(F.min_by(F.struct("rule_id", "rule_type", "price_value"), F.struct(*_preference())).alias("r"))
+        return requests.join(won, "request_id", "left")
+    counts = tiers.groupBy("r_class").agg(F.sum(F.size("tiers")).alias("n")).collect()  # at most eight rows
+    small = sum(r["n"] for r in counts) <= broadcast_rows(requests.sparkSession)
+    out, best = requests, []
+    for i, name in enumerate(sorted(r["r_class"] for r in counts)):
+        mine = tiers.filter(F.col("r_class") == name).select(F.col("r_list").alias(f"__l{i}"), F.col("r_key").alias(f"__k{i}"), F.col("tiers").alias(f"__t{i}"))
+        out = out.join(F.broadcast(mine) if small else mine, (F.col("price_list_id") == F.col(f"__l{i}")) & (_request_key(name) == F.col(f"__k{i}")), "left")
+        holds = lambda t: (t["min_qty"] <= F.col("qty")) & (t["max_qty"].isNull() | (t["max_qty"] > F.col("qty")))
+        best.append(F.get(F.filter(F.col(f"__t{i}"), holds), 0))
+    none = F.lit(None).cast(tiers.schema["tiers"].dataType.elementType)
+    return out.select(*requests.columns, F.least(*best, none, none).alias("r"))
+
+
+def _fits(live: DataFrame) -> bool:
+    """Whether the tiers of every key fit in one row."""
+    return (live.groupBy("r_list", "r_class", "r_key").count().agg(F.max("count")).first()[0] or 0) <= TIERS_IN_ROW
+
+
 def match_price_rules(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     """Winning rule per request_id.
 
     ``requests``: request_id, price_list_id, item_id, category_id, customer_id, qty.
     """
-    pairs = _candidates(requests, rules, as_of, tiered=True)
-    return pairs.groupBy("request_id").agg(
-        F.min_by(F.struct("rule_id", "rule_type", "price_value"), F.struct(*_preference())).alias("r")
-    ).select("request_id", "r.rule_id", "r.rule_type", "r.price_value")
+    return _with_rule(requests, rules, as_of).filter(F.col("r").isNotNull()).select("request_id", "r.rule_id", "r.rule_type", "r.price_value")
 
 
 def price_rejects(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: DataFrame, as_of) -> DataFrame:
@@ -112,9 +156,8 @@ def price(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: Da
         .withColumn("price_list_id", F.coalesce("price_list_id", default_price_list(lists, as_of)))
         .filter(F.col("price_list_id").isNotNull())
     )
-    won = match_price_rules(
-        full.select("request_id", "price_list_id", "item_id", "category_id", "customer_id", "qty"), rules, as_of)
-    out = full.join(won, "request_id", "left")
+    won = _with_rule(full, rules, as_of)
+    out = won.select(*full.columns, "r.rule_id", "r.rule_type", "r.price_value")
     listed = F.col("list_price").cast("decimal(20,6)")
     fixed = F.col("rule_type").isin("LIST", "OVERRIDE")
     base = F.when(fixed, F.col("price_value")).otherwise(listed)
@@ -175,7 +218,7 @@ def effective_rules(requests: DataFrame, items: DataFrame, customers: DataFrame,
     picked = pick_price_list(customers, lists, as_of).select("customer_id", "price_list_id")
     full = (requests.join(items.select("item_id", "category_id"), "item_id").join(picked, "customer_id", "left")
             .withColumn("price_list_id", F.coalesce("price_list_id", default_price_list(lists, as_of))))
-    pairs = _candidates(full, rules, as_of, tiered=False)
+    pairs = _candidates(full, _live_rules(rules, as_of, tiered=False), tiered=False)
     seq = F.row_number().over(Window.partitionBy("request_id").orderBy(*_preference()))
     return pairs.withColumn("match_seq", seq).select(
         "request_id", "item_id", "customer_id", "rule_id", "price_list_id", "min_qty", "max_qty", "rule_type",

@@ -293,6 +293,25 @@ def test_prices(spark):
     assert {r.request_id for r in pricing.price(req, seed.items(spark), customers, none, rules, seed.AS_OF).collect()} == {5, 6, 8}
 
 
+@pytest.mark.parametrize("in_row", [0, 4096])
+def test_tiers_in_rows_and_pairs_price_alike(spark, monkeypatch, in_row):
+    """Many tiers of one key that overlap: the preferred tier that holds the quantity wins, however tiers are met."""
+    monkeypatch.setattr(pricing, "TIERS_IN_ROW", in_row)
+    tiers = [(100 + i, 8, 1 if i % 2 else None, None, 55 if i % 3 == 0 else None, str(i), str(i + 4) if i % 4 else None, "LIST", str(1000 + i), 60 - i % 7) for i in range(40)]
+    rules = spark.createDataFrame(tiers, "rule_id int, price_list_id int, item_id long, category_id string, customer_id long, min_qty string, max_qty string, rule_type string, price_value string, priority int")
+    rules = seed.cast(rules, min_qty="decimal(18,4)", max_qty="decimal(18,4)", price_value="decimal(20,6)").withColumns({
+        "valid_from": F.lit("2024-01-01").cast("date"), "valid_to": F.lit(None).cast("date"), "is_active": F.lit("Y")})
+    asked = [(q * 4 + k, 8, 1 if k % 2 else 2, "city", 55 if k // 2 else None, q) for q in range(45) for k in range(4)]
+    req = seed.cast(spark.createDataFrame(asked, "request_id int, price_list_id int, item_id long, category_id string, customer_id long, qty int"), qty="decimal(18,4)")
+    want = {}
+    for rid, _, item, _, customer, q in asked:
+        fits = [(t[9], t[2] is None, t[4] is None, t[0]) for t in tiers if t[2] in (None, item) and t[4] in (None, customer) and int(t[5]) <= q and (t[6] is None or int(t[6]) > q)]
+        if fits:
+            want[rid] = min(fits)[3]
+    assert {r.request_id: r.rule_id for r in pricing.match_price_rules(req, rules, seed.AS_OF).collect()} == want
+    assert pricing.match_price_rules(req, rules.filter("false"), seed.AS_OF).count() == 0
+
+
 def test_sums_of_money(spark):
     rows = spark.createDataFrame([(1, "2.5", "EUR"), (1, "4", "EUR"), (2, "1", "EUR"), (2, "1", "USD"), (3, "1", None), (4, "1", None), (4, "1", "EUR")], "k int, amount string, currency_code string")
     good, bad = utility.sum_money(seed.cast(rows, amount="decimal(20,4)"), ["k"])

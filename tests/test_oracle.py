@@ -17,7 +17,7 @@ SPREAD = [
     "po_header_status", "po_transitions", "load_purchase_order_lines", "checkout_carts", "forecast_accuracy", "pivot_demand", "resolve_references",
     "apply_dup_rules", "phase_metrics", "quality_gates", "diff_tables", "stream_pair_calls", "stream_phase_metrics_session",
 ]
-RANGE_SPLIT = ["stock_aging", "fifo_layers", "fifo_allocate", "supplier_ranking", "receive_po_lines", "screen_transfers"]
+RANGE_SPLIT = ["stock_aging", "fifo_layers", "fifo_allocate", "supplier_ranking", "receive_po_lines", "screen_transfers", "apply_movements_trail"]
 
 
 @pytest.mark.parametrize("name", list(all_entries()) if os.environ.get("FULL_ORACLE") else SPREAD)

@@ -185,6 +185,31 @@ def test_keyed_average_orders_rows_and_returns_late_ones(spark, tmp_path):
         assert got[item] == (*want[-1], len(mine))
 
 
+def test_keyed_average_of_many_keys_in_few_buckets(spark, tmp_path):
+    """Keys share buckets, state and timers: each has the result of its own fold, also a null key; only keys of the batch come out."""
+    rng = random.Random(12)
+    rows = []
+    for n in range(300):
+        inbound, qty = rng.random() < 0.6, Decimal(rng.randint(1, 50))
+        item = rng.choice([None, *range(40)]) if n < 200 else rng.randint(0, 3)
+        rows.append((f"2024-{1 + n // 100:02d}-{1 + n % 28:02d}", item, 1, n, qty if inbound else -qty, qty if inbound else Decimal(0), Decimal(rng.randint(1, 99999)) / 1000 if inbound else None))
+    folder = tmp_path / "moves"
+    schema = "ts string, item_id long, warehouse_id int, seq long, delta_qty decimal(18,4), in_qty decimal(18,4), in_cost decimal(20,6)"
+    for n in (0, 100, 200):
+        part = sorted(rows[n:n + 100], key=lambda r: rng.random())
+        spark.createDataFrame(part, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(spark.read.parquet(str(folder)).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    emitted = streams.run_to_table(streams.stream_moving_average_late(stream, "10 days", buckets=2), "update", keyed=True)
+    assert not emitted.filter("late_seq IS NOT NULL").count()
+    last = emitted.agg(F.max("batch")).first()[0]
+    assert {r.item_id for r in emitted.filter(F.col("batch") == 2).collect()} == {r[1] for r in rows[200:]} and last >= 2
+    got = {r.item_id: (r.qty_on_hand, r.avg_cost, r.moves) for r in streams.latest(emitted, ["item_id", "warehouse_id"]).drop("late_seq", "late_qty").collect()}
+    assert set(got) == {r[1] for r in rows}
+    for item in got:
+        mine = sorted((r for r in rows if r[1] == item), key=lambda r: (r[0], r[3]))
+        assert got[item] == (*sequential_average([r[4:] for r in mine], (Decimal(0), Decimal(0), False))[-1], len(mine))
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     rows = [[("2024-01-01 10:05:00", "p")], [("2024-01-01 15:00:00", "p")], [("2024-01-01 15:02:00", "p")], [("2024-01-01 10:06:00", "p"), ("2024-01-01 15:01:00", "p")]]
     folder = tmp_path / "ev"

@@ -45,7 +45,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data and revealing terms replaced."""
-    return _with_text(privacy.sanitise(docs), F.col("sanitised"), docs.columns)
+    return _with_text(privacy.sanitise(docs, scope="document"), F.col("sanitised"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

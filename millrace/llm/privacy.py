@@ -12,7 +12,8 @@ PMI(e, t) / IC(e) = ln(p(e, t) / (p(e) p(t))) / -ln p(e) = 1 + ln p(e | t) / -ln
 t occurs in lines of e only, 0 if independent. Every entity and every term of its lines is
 judged, from one line on. p(e | t) is smoothed by ``smoothing`` further lines of t that hold
 e as often as any line does, so a term of one line counts for less than one of many. In a
-line with e, terms at or above ``remove`` are removed, those at or above ``generalise``
+line with e (``scope="document"``: in all lines of a document with e, whether they hold e or
+not), terms at or above ``remove`` are removed, those at or above ``generalise``
 replaced by a general label; terms within a base entity stay with it. Kinds of entities
 are not judged, as the labels in the text name them.
 
@@ -20,7 +21,7 @@ Null and empty texts have no entities. Repeated rows are counted each and get eq
 results. Other columns are carried along; columns called entities or sanitised are
 replaced. A text of n matches takes about n log n steps: offsets are running sums over arrays,
 and terms are taken once per line. Line, term and pair counts combine map-side; revealing terms meet their places
-by line, entity and term, so that no line meets the terms of another one.
+by term first and then by line or document and entity, so that no place pairs all its entities with all its terms.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import keep
+from millrace.operators.common import small_side
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -116,18 +118,16 @@ def _by_entity(lines: DataFrame, *columns: str) -> DataFrame:
     return lines.select(*columns, F.explode(entities).alias("e")).select(*columns, F.col("e.kind").alias("entity_kind"), F.col("e.value").alias("entity"))
 
 
-def _term_spans(lines: DataFrame, revealing: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, terms): spans of revealing terms in the lines of their entities."""
-    place = ["doc_id", "text_hash", "line_no"]
-    once = lines.dropDuplicates(place)
-    words = once.withColumns({"words": F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), "gaps": F.split("line", TERM, -1)})
-    words = words.select(*place, "line_start", F.posexplode(F.arrays_zip("words", F.slice("gaps", F.lit(1), F.size("words")).alias("gaps"))).alias("i", "w"))
-    upto = Window.partitionBy(*place).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    words = words.select(*place, "i", "line_start", F.col("w.words").alias("term"), F.length("w.gaps").alias("gap"))
-    words = words.withColumn("end", F.col("line_start") + F.sum(F.col("gap") + F.length("term")).over(upto))
-    words = keep(words.select(*place, "term", (F.col("end") - F.length("term")).cast("int").alias("start"), F.col("end").cast("int").alias("end")), "line-terms")
-    met = words.select(*place, "term").distinct().join(_by_entity(once, *place), place)
-    hits = met.join(revealing, ["entity_kind", "entity", "term"]).groupBy(*place, "term").agg(F.max("removed").alias("removed"))
+def _term_spans(lines: DataFrame, entity_lines: DataFrame, revealing: DataFrame, place: list[str]) -> DataFrame:
+    """(doc_id, text_hash, terms): spans in ``lines`` of the terms that reveal an entity of the same ``place`` (line or document)."""
+    any_entity = small_side(revealing.select("term").distinct())
+    words = lines.withColumns({"words": F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), "gaps": F.split("line", TERM, -1)})
+    words = words.select("doc_id", "text_hash", "line_no", "line_start", F.explode(_valid_spans("term", F.col("words"), F.col("gaps"))).alias("w"))
+    words = words.select("doc_id", "text_hash", "line_no", F.col("w.value").alias("term"), *[(F.col("line_start") + F.col(f"w.{c}")).cast("int").alias(c) for c in ("start", "end")])
+    words = keep(words.join(any_entity, "term", "left_semi"), "line-terms")
+    # from the term to its entities, so that a place of E entities and T terms makes no E x T pairs
+    met = words.select(*place, "term").distinct().join(revealing, "term")
+    hits = met.join(_by_entity(entity_lines, *place), [*place, "entity_kind", "entity"], "left_semi").groupBy(*place, "term").agg(F.max("removed").alias("removed"))
     spans = words.join(hits, [*place, "term"]).select("doc_id", "text_hash", F.struct(
         F.when(F.col("removed"), "gone").otherwise("term").alias("kind"), "start", "end", F.col("term").alias("value")).alias("s"))
     return spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("s")).alias("terms"))
@@ -176,8 +176,13 @@ def _sanitised(text: Column, spans: Column) -> Column:
         F.when(p["upto"] > p["at"], stretch(all_chunks, p)).otherwise(F.lit("")), label(p["kind"]))), ""))
 
 
-def sanitise(docs: DataFrame, smoothing: float = 1.0, generalise: float = 0.8, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with entities (arrays email, ip, card, phone and terms of (kind, start, end, value)) and sanitised (the text)."""
+def sanitise(docs: DataFrame, smoothing: float = 1.0, generalise: float = 0.8, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text", scope: str = "line") -> DataFrame:
+    """``docs`` with entities (arrays email, ip, card, phone and terms of (kind, start, end, value)) and sanitised (the text).
+
+    ``scope`` says where a term that reveals e is hidden: in each "line" with e, or in every line of a "document" with e.
+    """
+    if scope not in ("line", "document"):
+        raise ValueError("scope must be line or document")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     full = docs.drop("entities", "sanitised")
     place = F.struct(F.col(id_col).alias("id"))  # null ids are equal to each other in here
@@ -186,13 +191,19 @@ def sanitise(docs: DataFrame, smoothing: float = 1.0, generalise: float = 0.8, r
     found = _with_matches(rows.where(any_hint), "text").where(F.greatest(*[F.size(k) for k in KINDS]) > 0)
     found = keep(found, "entity-documents")
     before = Window.partitionBy("doc_id", "text_hash", "copy").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    lines = found.withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "text_hash", "copy", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("line_start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).drop("copy")
-    lines = _with_matches(lines.where(F.col("line").rlike("|".join(HINTS.values()))), "line", "l_")
+    split = lambda texts: texts.withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "text_hash", "copy", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn(
+        "line_start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).drop("copy")
+    once = ["doc_id", "text_hash"]
+    lines = _with_matches(split(found).where(F.col("line").rlike("|".join(HINTS.values()))), "line", "l_")
     lines = lines.select("doc_id", "text_hash", "line_no", "line", "line_start", F.concat(*[f"l_{k}" for k in KINDS]).alias("found")).where(F.size("found") > 0)
     lines = keep(lines, "lines-with-entities")
-    terms = keep(_term_spans(lines, keep(_revealing_terms(lines, rows, smoothing, generalise, remove), "revealing-terms")), "term-spans")
-    spans = found.dropDuplicates(["doc_id", "text_hash"]).join(terms, ["doc_id", "text_hash"], "left")
+    revealing = keep(_revealing_terms(lines, rows, smoothing, generalise, remove), "revealing-terms")
+    if scope == "line":
+        terms = _term_spans(lines.dropDuplicates([*once, "line_no"]), lines, revealing, [*once, "line_no"])
+    else:
+        terms = _term_spans(split(found.dropDuplicates(once)), lines, revealing, once)
+    terms = keep(terms, "term-spans")
+    spans = found.dropDuplicates(once).join(terms, once, "left")
     base = F.concat(*[F.col(k) for k in KINDS])
     clear = _clear_of(F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")), base)
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.struct(*KINDS, clear.alias("terms")).alias("__found"))

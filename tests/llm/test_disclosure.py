@@ -94,3 +94,19 @@ def test_one_line_of_many_addresses_takes_seconds(spark):
     assert len(got[1].entities.email) == n and all(text[s.start:s.end] == s.value for s in got[1].entities.email[::997])
     assert got[1].sanitised.startswith("[EMAIL] " * n) and got[1].sanitised.endswith("[IP]")
     assert got[2].sanitised == "nothing here\n" * 50
+
+
+def test_a_term_is_hidden_in_every_line_of_a_document_with_its_entity(spark):
+    """Also in the lines that do not hold the entity; documents without the entity keep the word."""
+    plain = [(i, "\n".join(f"amber birch cedar {w} dune" for w in ("ferry", "grove", "haven") * 12)) for i in range(2, 400)]
+    text = "Zanzarella came in\nask ann@mail.example.org for Zanzarella, amber\n\nbirch Zanzarella 10.0.0.7\nxZanzarella"
+    rows = [(0, text), (1, "amber Zanzarella birch"), (None, text), *plain]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places = lambda r: [] if r.entities is None else [(s.start, s.end) for s in r.entities.terms if s.value == "Zanzarella"]
+    every = [m.span() for m in re.finditer(r"(?<!\w)Zanzarella", text)]
+    got = {r.doc_id: r for r in privacy.sanitise(df, scope="document").collect()}
+    assert len(every) == 3 and places(got[0]) == every and places(got[None]) == every
+    assert "Zanzarella" not in got[0].sanitised.replace("xZanzarella", "") and got[1].sanitised == rows[1][1]
+    assert all(got[i].sanitised == t for i, t in plain)
+    by_line = {r.doc_id: r for r in privacy.sanitise(df).collect()}
+    assert places(by_line[0]) == every[1:]

@@ -1,10 +1,13 @@
 """Folds of a hot key: ranges as step functions of their start."""
 
 import random
+from datetime import date
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.operators import inventory
 from millrace.operators.fold import BAND, settled_starts
 from millrace.operators.inventory import _average_near, _average_row
 from millrace.operators.ordered import PART, range_split
@@ -61,3 +64,18 @@ def test_receipts_too_small_to_move_the_average(spark):
     # every start keeps its own end here: the ranges are the identity and rounding hides the receipts
     assert check_rounds(spark, 40_000, F.lit(1), F.lit(10 ** 13)) <= 3
     assert BAND >= 1
+
+
+def test_issues_make_the_overlap_of_lots_and_requests_once(spark):
+    """Every output is read from the written allocations; none computes the overlap anew."""
+    lots = spark.createDataFrame(
+        [(f"l{i}", f"no{i}", 1, 1, Decimal(10), Decimal(0), Decimal(i + 1), date(2024, 1, 1 + i), "AVAILABLE") for i in range(4)],
+        "lot_id string, lot_no string, item_id long, warehouse_id int, qty_on_hand decimal(18,4), qty_allocated decimal(18,4), unit_cost decimal(20,6), receipt_date date, status string")
+    balances = spark.createDataFrame([(1, 1, Decimal(50), Decimal(0))], "item_id long, warehouse_id int, qty_on_hand decimal(18,4), qty_allocated decimal(18,4)")
+    requests = spark.createDataFrame([(1, 1, 1, Decimal(15)), (2, 1, 1, Decimal(30))], "request_id long, item_id long, warehouse_id int, qty decimal(18,4)")
+    out = inventory.fifo_allocate(lots, requests, balances, ["request_id"], "2024-02-01")
+    for name in ("allocations", "lots", "txns", "short", "balances"):
+        assert "Window" not in out[name]._jdf.queryExecution().optimizedPlan().toString(), name
+    assert [(r.request_id, r.lot_id, r.qty) for r in out["allocations"].orderBy("request_id", "lot_id").collect()] == [
+        (1, "l0", 10), (1, "l1", 5), (2, "l1", 5), (2, "l2", 10), (2, "l3", 10)]
+    assert [(r.request_id, r.short_qty) for r in out["short"].collect()] == [(2, 5)] and out["balances"].first().qty_on_hand == 10

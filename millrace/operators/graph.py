@@ -175,6 +175,10 @@ def resolve_references(refs: DataFrame, index: DataFrame, builtins: Sequence[str
     caller's group, two parts take the caller's schema, three are exact. Unknown
     targets and built-ins drop out; a member does not call itself, but a call by
     name reaches the other overloads.
+
+    References and members are made distinct before they meet, so the pairs, which
+    grow with callers x overloads of a name, are not shuffled. Only members that bear
+    one ``ref_name`` under several names can give a pair twice.
     """
     parts = F.split(F.upper(F.regexp_replace("ref", '"', "")), r"\.")
     caller = F.upper("caller_group")
@@ -187,10 +191,20 @@ def resolve_references(refs: DataFrame, index: DataFrame, builtins: Sequence[str
         F.element_at("p", -1).alias("name"))
     if builtins:
         named = named.filter(~((F.col("n") == 1) & F.col("name").isin([x.upper() for x in builtins])))
-    known = index.select(F.upper("grp").alias("grp"), F.upper("name").alias("name"), F.upper("ref_name").alias("target_ref"))
-    hit = named.join(known, ["grp", "name"]).filter(
-        ~((F.col("grp") == F.col("caller_group")) & (F.col("target_ref") == F.col("caller_ref"))))
-    return hit.select("caller_group", "caller_ref", "line", F.col("grp").alias("target_group"), "target_ref").distinct()
+    known = index.select(F.upper("grp").alias("grp"), F.upper("name").alias("name"), F.upper("ref_name").alias("target_ref")).distinct()
+    shared = known.groupBy("grp", "target_ref").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "target_ref")
+    shared, count = materialize_counted(shared, "shared-refs")
+    named = named.select("caller_group", "caller_ref", "line", "grp", "name").distinct()
+
+    def edges(members: DataFrame) -> DataFrame:
+        hit = named.join(members, ["grp", "name"]).filter(
+            ~((F.col("grp") == F.col("caller_group")) & (F.col("target_ref") == F.col("caller_ref"))))
+        return hit.select("caller_group", "caller_ref", "line", F.col("grp").alias("target_group"), "target_ref")
+
+    if not count:
+        return edges(known)
+    on = [known["grp"].eqNullSafe(shared["grp"]), known["target_ref"].eqNullSafe(shared["target_ref"])]
+    return edges(known.join(shared, on, "left_anti")).unionByName(edges(known.join(shared, on, "left_semi")).distinct())
 
 
 def mixed_closure(call_edges: DataFrame, ref_edges: DataFrame, entries: DataFrame) -> DataFrame:

@@ -65,6 +65,18 @@ def test_reference_resolution(spark):
     assert got == want
 
 
+def test_reference_pairs_are_not_shuffled(spark):
+    """Pairs are distinct where they are made; a ref_name under two names still comes out once."""
+    refs = spark.createDataFrame([("S.G", "C", 1, "A"), ("S.G", "C", 1, "a"), ("S.G", "C", 1, "B")], "caller_group string, caller_ref string, line int, ref string")
+    index = spark.createDataFrame([("S.G", "A", "A__1"), ("S.G", "A", "A__2"), ("S.G", "A", "A__2"), ("S.G", "B", "B")], "grp string, name string, ref_name string")
+    out = graph.resolve_references(refs, index)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Join")]
+    assert sorted(r.target_ref for r in out.collect()) == ["A__1", "A__2", "B"]
+    twice = index.union(spark.createDataFrame([("S.G", "B", "A__1")], index.schema))
+    assert sorted(r.target_ref for r in graph.resolve_references(refs, twice).collect()) == ["A__1", "A__2", "B"]
+
+
 def test_duplicate_blocks_against_brute_force(spark):
     base = [f"w{i}" for i in range(30)]
     texts = {1: base, 2: ["x"] + base[5:20] + ["y"], 3: base[10:15], 4: ["z"] * 8}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import effective_usage, text, usage_ratio
-from millrace.operators.common import best_per_key, union_all, valid_at
+from millrace.operators.common import best_per_key, sized_side, union_all, valid_at
 from millrace.operators.graph import strongly_connected
 from millrace.session import materialize, materialize_counted
 
@@ -230,8 +230,8 @@ def rolled_cost(headers: DataFrame, lines: DataFrame, items: DataFrame, as_of) -
         F.coalesce(F.nullif(F.col("base_qty"), F.lit(0).cast("decimal(18,6)")),
                    F.lit(1).cast("decimal(18,6)")).alias("base"),
     )
-    uses = materialize(uses, "uses")
-    have_lines = uses.select(F.col("parent").alias("item_id")).distinct()
+    uses, n_uses = materialize_counted(uses, "uses")
+    have_lines = sized_side(uses.select(F.col("parent").alias("item_id")).distinct(), n_uses)
     cost = F.col("std_cost").cast("decimal(20,6)")
     empty_bom = chosen.select("item_id").join(have_lines, "item_id", "left_anti")
     absent = uses.select(F.col("child").alias("item_id")).distinct().join(items, "item_id", "left_anti").join(have_lines, "item_id", "left_anti")
@@ -240,9 +240,10 @@ def rolled_cost(headers: DataFrame, lines: DataFrame, items: DataFrame, as_of) -
         empty_bom.select("item_id", F.lit(0).cast("decimal(20,6)").alias("rolled_cost"), F.lit(True).alias("whole")),
         absent.select("item_id", F.lit(None).cast("decimal(20,6)").alias("rolled_cost"), F.lit(False).alias("whole")),
     ])
-    known = [materialize(leaves, "cost")]
+    leaves, n_done = materialize_counted(leaves, "cost")
+    known = [leaves]
     while True:
-        done = union_all(known)
+        done = sized_side(union_all(known), n_done)
         open_uses = uses.join(done.select(F.col("item_id").alias("parent")), "parent", "left_anti")
         priced = open_uses.join(done.withColumnRenamed("item_id", "child"), "child", "left")
         part = F.col("rolled_cost").cast("decimal(18,6)") * F.col("usage")
@@ -258,7 +259,8 @@ def rolled_cost(headers: DataFrame, lines: DataFrame, items: DataFrame, as_of) -
         if not count:
             break
         known.append(solved)
-    done = union_all(known)
+        n_done += count
+    done = sized_side(union_all(known), n_done)
     broken = done.filter(~F.col("whole")).join(have_lines, "item_id", "left_semi").select("item_id", F.lit("M1001").alias("error_code"))
     circular = have_lines.join(done, "item_id", "left_anti").withColumn("error_code", F.lit("M2002"))
     return done.filter("whole").drop("whole"), broken.unionByName(circular)
@@ -287,15 +289,16 @@ def low_level_codes_checked(headers: DataFrame, lines: DataFrame, items: DataFra
     no level down; all others are coded, however deep.
     """
     active = headers.filter(F.col("status") == "ACTIVE").select("bom_id", F.col("item_id").alias("parent"))
-    edges = materialize(
+    edges, count = materialize_counted(
         lines.join(active, "bom_id").select("parent", F.col("component_item_id").alias("item_id")).distinct(), "edges")
+    edges = sized_side(edges, count)
     codes = _levels_below(edges, items, LOOK_FOR_CYCLES)
     if codes is not None:
         return codes, edges.select("item_id", F.lit("M2002").alias("error_code")).limit(0)
     circular = materialize(circular_items(edges), "circular")
     on_cycle = circular.withColumnRenamed("item_id", "parent")
-    open_edges = materialize(edges.join(on_cycle, "parent", "left_anti").join(circular, "item_id", "left_anti"), "edges")
-    return _levels_below(open_edges, items, None), circular.withColumn("error_code", F.lit("M2002"))
+    open_edges, count = materialize_counted(edges.join(on_cycle, "parent", "left_anti").join(circular, "item_id", "left_anti"), "edges")
+    return _levels_below(sized_side(open_edges, count), items, None), circular.withColumn("error_code", F.lit("M2002"))
 
 
 def _levels_below(edges: DataFrame, items: DataFrame, look_at: int | None) -> DataFrame | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import doc_no
 from millrace.operators.bom import active_bom, circular_items, low_level_codes_checked, structure_edges
-from millrace.operators.common import best_per_key, union_all
+from millrace.operators.common import best_per_key, sized_side, union_all
 from millrace.operators.ordered import row_numbers, running_sums
 from millrace.session import materialize, materialize_counted, scratch_root
 
@@ -90,17 +90,20 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
     end = F.date_add(F.lit(run_date).cast("date"), horizon)
     spark = items.sparkSession
     codes, circular = low_level_codes_checked(headers, lines, items)
-    codes, circular = materialize(codes, "llc"), circular.select("item_id")
-    edges = materialize(structure_edges(headers, lines, items, run_date).select(
+    codes, n_codes = materialize_counted(codes, "llc")
+    circular = circular.select("item_id")
+    edges, n_edges = materialize_counted(structure_edges(headers, lines, items, run_date).select(
         F.col("parent_item_id").alias("parent"), F.col("component_item_id").alias("item_id"), "qty_per",
         (F.lit(1).cast("decimal(1,0)") - F.coalesce("scrap_rate", F.lit(0).cast("decimal(8,4)"))).alias("yield_rate"), "is_phantom"), "edges")
     further, loops = _uncoded_levels(edges.select("parent", "item_id").distinct(), codes, circular)
-    codes = codes if further is None else materialize(codes.unionByName(further), "llc")
+    if further is not None:
+        codes, n_codes = materialize_counted(codes.unionByName(further), "llc")
     circular = materialize(circular if loops is None else circular.union(loops).distinct(), "circular")
-    supply = materialize(
-        items.select("item_id", "lead_time_days")
+    supply, n_supply = materialize_counted(
+        items.select("item_id", "lead_time_days", F.lit(True).alias("__known"))
         .join(default_warehouse(balances).select("item_id", "warehouse_id", "available"), "item_id", "left")
         .join(transit, "item_id", "left").join(circular, "item_id", "left_anti"), "supply")
+    codes, edges, supply = sized_side(codes, n_codes), sized_side(edges, n_edges), sized_side(supply, n_supply)
     # one table of needs by level: a round appends what it hands down and reads its own level only
     needs = f"{scratch_root(spark)}/millrace/needs-{uuid.uuid4().hex}"
 
@@ -131,13 +134,14 @@ def run_mrp(demand: DataFrame, balances: DataFrame, transit: DataFrame, items: D
     for level in range(deepest + 1):
         here = needed().filter(F.col("level_no") == level).groupBy("item_id").agg(
             F.sum("qty").cast(NEED).alias("gross")).filter("gross > 0")
-        lost = here.join(supply, "item_id", "left_anti").join(circular.withColumn("__loop", F.lit(True)), "item_id", "left")
-        rejects.append(lost.select("item_id", F.lit(level).alias("level_no"), F.col("gross").alias("qty"), F.when(F.col("__loop"), "M2002").otherwise("M1001").alias("error_code")))
         zero = F.lit(0).cast(QTY)
-        net = here.join(supply, "item_id").withColumns({
-            "available": F.coalesce("available", zero), "in_transit": F.coalesce("in_transit", zero)}).withColumn(
+        met = here.join(supply, "item_id", "left").withColumns({
+            "available": F.coalesce("available", zero), "in_transit": F.coalesce("in_transit", zero), "level_no": F.lit(level)}).withColumn(
             "net", (F.col("gross") - F.col("available") - F.col("in_transit")).cast(NEED))
-        rows = materialize(net.withColumn("level_no", F.lit(level)), "plan")
+        met = materialize(met, "plan")
+        lost = met.filter("__known IS NULL").select("item_id", "gross").join(circular.withColumn("__loop", F.lit(True)), "item_id", "left")
+        rejects.append(lost.select("item_id", F.lit(level).alias("level_no"), F.col("gross").alias("qty"), F.when(F.col("__loop"), "M2002").otherwise("M1001").alias("error_code")))
+        rows = met.filter("__known")
         plans.append(rows)
         below = materialize(dependents(rows.filter("net > 0").select("item_id", "net"), level), "need")
         rejects.append(below.filter(F.col("level_no") <= level).select("item_id", "level_no", "qty", F.lit("M2004").alias("error_code")))

@@ -45,6 +45,21 @@ def test_rolled_cost(spark):
     assert failed.isEmpty()
 
 
+def test_rounds_do_not_broadcast_large_sides(spark):
+    """Beyond the bound no round of the cost roll or the planning joins by a broadcast, with the same costs and levels."""
+    h, l, i = frames(spark)
+    levels = {r.item_id: r.llc for r in bom.low_level_codes(h, l, i).collect()}
+    spark.conf.set("spark.millrace.broadcastRows", "1")
+    try:
+        done, failed = bom.rolled_cost(h, l, i, seed.AS_OF)
+        codes = bom.low_level_codes(h, l, i)
+        assert "BroadcastHashJoin" not in failed._jdf.queryExecution().executedPlan().toString()
+        assert {r.item_id: r.rolled_cost for r in done.collect()} == {k: rounded(plain_cost(k), 6) for k in seed.ITEMS}
+        assert {r.item_id: r.llc for r in codes.collect()} == levels and failed.isEmpty()
+    finally:
+        spark.conf.unset("spark.millrace.broadcastRows")
+
+
 def test_explosion(spark):
     root = spark.createDataFrame([(1,), (2,)], "item_id long")
     rows, bad = bom.explode_bom_checked(*frames(spark), root, 1, seed.AS_OF)

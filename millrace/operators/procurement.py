@@ -49,10 +49,10 @@ def receive_po_lines(orders: DataFrame, lines: DataFrame, receipts: DataFrame, b
     ``rejects``, and (unless ``post_stock`` is off) the stock posting of the
     accepted rows.
     """
-    known = receipts.join(
+    # the lines come last: the fold by line then finds the rows where this join left them
+    known = receipts.join(orders.select("po_id", "status", "warehouse_id", F.lit(True).alias("__po")), "po_id", "left").join(
         lines.select("po_line_id", "item_id", "unit_price", "qty_ordered", "qty_received", "line_status",
-                     F.lit(True).alias("__line")), "po_line_id", "left"
-    ).join(orders.select("po_id", "status", "warehouse_id", F.lit(True).alias("__po")), "po_id", "left")
+                     F.lit(True).alias("__line")), "po_line_id", "left")
     good, bad = split_by_rules(known, [
         ("M4002", F.col("qty") > 0, "received quantity must be positive"),
         ("M4001", F.col("__po"), "order not found"),

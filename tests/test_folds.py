@@ -7,10 +7,10 @@ from decimal import Decimal
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import inventory
+from millrace.operators import inventory, ordered
 from millrace.operators.fold import BAND, settled_starts
 from millrace.operators.inventory import _average_near, _average_row
-from millrace.operators.ordered import PART, range_split
+from millrace.operators.ordered import PART, is_hot, range_split
 
 
 def test_near_averages_are_those_of_single_folds():
@@ -79,3 +79,19 @@ def test_issues_make_the_overlap_of_lots_and_requests_once(spark):
     assert [(r.request_id, r.lot_id, r.qty) for r in out["allocations"].orderBy("request_id", "lot_id").collect()] == [
         (1, "l0", 10), (1, "l1", 5), (2, "l1", 5), (2, "l2", 10), (2, "l3", 10)]
     assert [(r.request_id, r.short_qty) for r in out["short"].collect()] == [(2, 5)] and out["balances"].first().qty_on_hand == 10
+
+
+def test_hot_keys_are_looked_for_in_full_buckets_only(spark, monkeypatch):
+    """Where no bucket is full no key is counted; where one is, the largest group decides, null keys too."""
+    rows = spark.createDataFrame([(k, f"t{k}") for k in [*range(50), 7, 7, None, None]], "k long, t string")
+    with monkeypatch.context() as m:
+        m.setattr(ordered, "largest_group", lambda *_: 1 / 0)
+        assert not is_hot(rows, ["k"]) and not is_hot(rows, ["k", "t"])
+    try:
+        for bound, hot in (("2", True), ("3", False), ("1", True)):
+            spark.conf.set("spark.millrace.hotGroupRows", bound)
+            assert is_hot(rows, ["k"]) is hot and is_hot(rows, ["t"]) is hot
+        spark.conf.set("spark.millrace.hotGroupRows", "1")
+        assert is_hot(rows.filter("k IS NULL"), ["k"]) and not is_hot(rows.filter("k <> 7"), ["k"]) and is_hot(rows, [])
+    finally:
+        spark.conf.unset("spark.millrace.hotGroupRows")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.common import spread
-from millrace.session import materialize
+from millrace.operators.common import small_side, spread
+from millrace.session import materialize, materialize_counted
 
 # Fixed value: a token is a run of letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -20,49 +22,170 @@ SEVERITY = {
 EXCEPTION_RULES = ("EmptyCatchBlock", "CloseResource")
 
 
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+# Texts whose blocks are hashed at once in a task.
+TEXTS_AT_ONCE = 500
+
+
+def _run_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` values of ``h`` from each place ``at`` on."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        out = out * _P1 + h[at + j]
+        out = (out ^ (out >> np.uint64(30))) * _P2
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _places(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in all tokens, position in the text) of each ``n``-token block of texts of ``sizes`` tokens."""
+    count = np.maximum(sizes - n + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    position = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, position + (np.cumsum(sizes) - sizes)[owner], position
+
+
+def _anchors(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The anchor of the block at each place: the least hash of its runs of half its tokens.
+
+    Equal blocks have equal anchors, and neighbouring blocks mostly share theirs.
+    """
+    k = (n + 1) // 2
+    grams = _run_hashes(h, np.arange(max(len(h) - k + 1, 0)), k)
+    best = grams[at]
+    for j in range(1, n - k + 1):
+        best = np.minimum(best, grams[at + j])
+    return best
+
+
+def _token_hashes(docs: DataFrame, n: int, **seeds: int | None) -> DataFrame:
+    """``docs`` of ``n`` tokens or more, with an array of token hashes per seed in place of the text."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    hashed = lambda seed: F.transform("__t", lambda t: F.xxhash64(t) if seed is None else F.xxhash64(F.lit(seed), t))
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.withColumn("__t", tokens).filter(F.size("__t") >= n).select(*rest, *[hashed(seed).alias(c) for c, seed in seeds.items()])
+
+
+def _parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
+def _hashes(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def block_places(docs: DataFrame, n: int, beside: bool = False) -> DataFrame:
+    """(h1, h2, doc_id, position, first) of every ``n``-token block whose anchor occurs in more than one document.
+
+    These hold all places of each block found in more than one document, and few others: a
+    text without repeats leaves only its anchors, about one per ``n / 4`` tokens, to be
+    counted. ``first``: whether it is the block's first place in the text. ``beside`` adds hashes
+    of the tokens before and after the block.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+
+    def anchors(batches):
+        for part in _parts(batches):
+            owner, at, _ = _places(part.column("t").value_lengths().to_numpy(zero_copy_only=False), n)
+            best = _anchors(_hashes(part.column("t")), at, n)
+            order = np.lexsort((best, owner))
+            pick = order[np.r_[True, (np.diff(owner[order]) != 0) | (best[order][1:] != best[order][:-1])][:len(order)]]
+            of = pa.array(owner[pick])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row").take(of), part.column("doc_id").take(of), pa.array(best[pick].view(np.int64))], names=["row", "doc_id", "anchor"])
+
+    met = materialize(_token_hashes(spread(texts), n, t=None).mapInArrow(anchors, f"row bigint, doc_id {id_type}, anchor bigint"), "anchors")
+    repeated = met.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("anchor")
+    wanted = materialize(met.join(repeated, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+
+    def places(batches):
+        for part in _parts(batches):
+            sizes = part.column("t").value_lengths().to_numpy(zero_copy_only=False)
+            owner, at, position = _places(sizes, n)
+            h = _hashes(part.column("t"))
+            best = _anchors(h, at, n)
+            ends = np.cumsum(np.bincount(owner, minlength=part.num_rows))
+            sets = part.column("anchors")
+            held = [np.isin(best[a:b], sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends))]
+            pick = np.flatnonzero(np.concatenate([np.empty(0, bool), *held]))
+            owner, at, position = owner[pick], at[pick], position[pick]
+            out = [pa.array(_run_hashes(x, at, n).view(np.int64)) for x in (h, _hashes(part.column("u")))]
+            keys = [x.to_numpy() for x in out[::-1]] + [owner]
+            order, new = np.lexsort(keys), np.ones(len(pick), bool)
+            new[order[1:]] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+            out += [part.column("doc_id").take(pa.array(owner)), pa.array(position.astype(np.int32)), pa.array(new)]
+            if beside:
+                h = np.r_[h, np.uint64(0)].view(np.int64)
+                out += [pa.array(h[at - 1], mask=position == 0), pa.array(h[at + n], mask=position == sizes[owner] - n)]
+            yield pa.RecordBatch.from_arrays(out, names=["h1", "h2", "doc_id", "position", "first", "before", "after"][:len(out)])
+
+    held = _token_hashes(texts.join(wanted.hint("shuffle_hash"), "row").drop("row"), n, t=None, u=7)
+    schema = f"h1 bigint, h2 bigint, doc_id {id_type}, position int, first boolean" + (", before bigint, after bigint" if beside else "")
+    return materialize(held.mapInArrow(places, schema), "places")
+
+
 def duplicate_blocks(docs: DataFrame, n: int = 20) -> DataFrame:
     """Every position of an ``n``-token block that occurs in more than one document.
 
     ``docs``: doc_id, text; whole texts are used. Blocks are compared by two
     independent 64-bit hashes of the token run, so neither block text nor document
-    pairs are shuffled. A block found in very many documents is one aggregate row
-    per task, and its positions are spread over tasks by the join's skew handling.
+    pairs are shuffled, and only blocks with a repeated anchor are (:func:`block_places`).
+    A block found in very many documents is one aggregate row per task, and its
+    positions are spread over tasks by the join's skew handling.
     """
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
-    doc = spread(docs.select("doc_id", "text")).select("doc_id", tokens.alias("t")).filter(F.size("t") >= n)
-    block = lambda i: F.struct(
-        i.alias("position"), F.xxhash64(F.slice("t", i + 1, n)).alias("h1"), F.xxhash64(F.lit(7), F.slice("t", i + 1, n)).alias("h2"))
-    rows = doc.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - n), block)).alias("b")).select(
-        "doc_id", "b.position", "b.h1", "b.h2")
-    ends = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("occurrences"))
-    shared = materialize(ends.filter("lo <> hi").select("h1", "h2", "occurrences"), "blocks")
-    hits = materialize(rows.join(shared, ["h1", "h2"]), "hits")
-    docs_per = hits.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("doc_count"))
-    return hits.join(docs_per, ["h1", "h2"]).select(
+    places = block_places(docs, n)
+    return places.join(_shared_blocks(docs, places), ["h1", "h2"]).select(
         "h1", "h2", "doc_id", "position", F.lit(n).alias("tokens"), "doc_count", "occurrences")
 
 
+def _shared_blocks(docs: DataFrame, places: DataFrame, **sides: str) -> DataFrame:
+    """(h1, h2, doc_count, occurrences) of the blocks found in more than one document.
+
+    ``sides``: per new column, the column of ``places`` that must hold one value, and no null, at all places of the
+    block. It is false too for a block that comes twice at one place of a document.
+    """
+    docs_of = lambda where: F.count_if(F.col("first") & where)
+    per, only = [], {}
+    for name, c in sides.items():
+        per += [F.count(c).alias(f"{name}_n"), F.min(c).alias(f"{name}_lo"), F.max(c).alias(f"{name}_hi")]
+        only[name] = (F.col(f"{name}_n") == F.col("occurrences")) & (F.col(f"{name}_lo") == F.col(f"{name}_hi"))
+    blocks = places.groupBy("h1", "h2").agg(
+        docs_of(F.lit(True)).alias("doc_count"), docs_of(F.col("doc_id").isNotNull()).alias("named"), F.count(F.lit(1)).alias("occurrences"), *per)
+    again, n = materialize_counted(docs.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"), "repeated-ids")
+    if n:  # texts of one doc_id count once
+        of = places.join(small_side(again), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
+        at = of.groupBy("h1", "h2", "doc_id", "position").agg(F.count_if("first").alias("f"), F.count(F.lit(1)).alias("n"))
+        in_doc = at.groupBy("h1", "h2", "doc_id").agg((F.sum("f") - 1).alias("f"), F.max("n").alias("n"))
+        more = in_doc.groupBy("h1", "h2").agg(
+            F.sum("f").alias("less"), F.sum(F.when(F.col("doc_id").isNotNull(), F.col("f")).otherwise(0)).alias("less_named"), F.max("n").alias("most"))
+        blocks = blocks.join(more, ["h1", "h2"], "left").withColumns({
+            "doc_count": F.col("doc_count") - F.coalesce("less", F.lit(0)), "named": F.col("named") - F.coalesce("less_named", F.lit(0))})
+        only = {name: c & (F.coalesce("most", F.lit(1)) == 1) for name, c in only.items()}
+    return blocks.filter("named > 1").select("h1", "h2", "doc_count", "occurrences", *[c.alias(name) for name, c in only.items()])
+
+
 def duplicate_spans(docs: DataFrame, n: int = 20) -> DataFrame:
     """Maximal duplicate blocks: the longest token runs whose ``n``-token blocks all occur at the same places.
 
     Neighbouring blocks of :func:`duplicate_blocks` are joined where each one is met next
     to the other only, so all copies of a span have the same length and the same
-    sources. That is decided per block, in one aggregate of its neighbours, and no
-    pairs of documents are formed. Per span of a document: start, tokens, sources
+    sources. A block is met after one other only if the same token stands before it
+    wherever it is; that is decided in the aggregate that counts the blocks, and no
+    pairs of blocks or documents are formed. Per span of a document: start, tokens, sources
     (documents), occurrences and its first place (first_doc, first_position).
     """
-    key = F.struct("h1", "h2")
+    places = block_places(docs, n, beside=True)
+    blocks = _shared_blocks(docs, places, one_before="before", one_after="after").withColumnRenamed("doc_count", "sources")
     within = Window.partitionBy("doc_id").orderBy("position")
-    beside = lambda f, step: F.when(f("position").over(within) == F.col("position") + step, f("block").over(within))
-    hits = duplicate_blocks(docs, n).select("doc_id", "position", key.alias("block"), F.col("doc_count").alias("sources"), "occurrences")
-    hits = materialize(hits.select("*", beside(F.lag, -1).alias("before"), beside(F.lead, 1).alias("after")), "neighbours")
-    only = lambda c: F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c))
-    blocks = materialize(hits.groupBy("block").agg(only("before").alias("before"), only("after").alias("after")), "blocks")
-    lead = blocks.filter("before IS NOT NULL").select("block", "before")
-    joined = lead.join(blocks.select(F.col("block").alias("before"), F.col("after").alias("block")), ["before", "block"]).select("block", F.lit(True).alias("__inner"))
-    marked = hits.join(joined, "block", "left").withColumn("no", F.sum(F.when(F.col("__inner"), 0).otherwise(1)).over(within))
+    hits = places.select("h1", "h2", "doc_id", "position").join(blocks, ["h1", "h2"])
+    joined = F.col("one_before") & (F.lag("position").over(within) == F.col("position") - 1) & F.lag("one_after").over(within)
+    marked = hits.withColumn("joined", joined).withColumn("no", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(within))
     spans = materialize(marked.groupBy("doc_id", "no").agg(
-        F.min("position").alias("start"), (F.count(F.lit(1)) + n - 1).alias("tokens"), F.min_by("block", "position").alias("block"),
+        F.min("position").alias("start"), (F.count(F.lit(1)) + n - 1).alias("tokens"), F.min_by(F.struct("h1", "h2"), "position").alias("block"),
         F.min("sources").alias("sources"), F.min("occurrences").alias("occurrences")).drop("no"), "spans")
     first = spans.groupBy("block").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     return spans.join(first, "block").select(

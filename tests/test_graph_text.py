@@ -137,3 +137,16 @@ def test_maximal_duplicate_spans_match_brute_force(spark):
     got = [tuple(r) for r in corpus.duplicate_spans(docs, n).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(r[2] > 20 for r in want)
     assert corpus.duplicate_spans(docs.limit(0), n).count() == 0
+
+
+def test_only_blocks_with_a_repeated_anchor_are_kept(spark):
+    rng, n = random.Random(5), 20
+    shared = [f"s{i}" for i in range(60)]
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(600)] for _ in range(12)]
+    texts[3][100:160] = texts[7][400:460] = shared
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (3, rows[3][1])], "doc_id long, text string")
+    kept = {(r.doc_id, r.position) for r in corpus.block_places(docs, n).collect()}
+    hits = {(3, 100 + i) for i in range(41)} | {(7, 400 + i) for i in range(41)}
+    assert hits <= kept and len(kept) < 2 * len(hits)
+    assert {(r.doc_id, r.position, r.doc_count, r.occurrences) for r in corpus.duplicate_blocks(docs, n).collect()} == {(d, p, 2, 3) for d, p in hits}

@@ -4,10 +4,12 @@ A spread of queries runs by default; FULL_ORACLE=1 runs all of them.
 """
 
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as contract
+from millrace.operators import reports
 from millrace.plans import all_entries
 from tests.oracle_check import compare
 
@@ -35,3 +37,29 @@ def test_matches_oracle_with_range_split(spark, duck, sf, name, tiny_groups):
 def test_contract(spark):
     assert contract.entry(spark).count() > 0
     assert set(all_entries()) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def _tasks(df):
+    return [int(n) for n in re.findall(r"RepartitionByExpression \[so_id#\d+L?\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())]
+
+
+@pytest.mark.parametrize("name", ["sales_summary_rollup", "sales_summary_cube_true_subtotals"])
+def test_sales_summary_deals_orders_by_the_number_of_lines(spark, duck, sf, name, monkeypatch):
+    monkeypatch.setattr(reports, "SALES_LINES_IN_TASK", 300)
+    assert _tasks(all_entries()[name].run(spark, sf)) == [-(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 300)]
+    n, m, same, diff = compare(spark, duck, all_entries()[name], sf)
+    assert n > 0 and n == m and same, diff
+
+
+@pytest.mark.parametrize("name", ["price", "reprice_orders_held"])
+def test_classes_of_few_tiers_alone_are_broadcast(spark, duck, sf, name):
+    spark.conf.set("spark.millrace.broadcastRows", "20")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = all_entries()[name].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        n, m, same, diff = compare(spark, duck, all_entries()[name], sf)
+    finally:
+        spark.conf.unset("spark.millrace.broadcastRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("strategy=broadcast") == (2 if name == "reprice_orders_held" else 1)  # the one rule for all requests, per pricing in the plan
+    assert n > 0 and n == m and same, diff

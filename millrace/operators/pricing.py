@@ -96,8 +96,9 @@ def _with_rule(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame:
 
     The tiers of one list, class and key are one row: an array in order of preference. A
     request meets one row per class that has rules (at most eight joins, none of which
-    adds rows), takes the first tier there that holds its quantity, and the least of
-    these. It is neither exploded nor grouped nor joined back. Should one key have more
+    adds rows), takes the first tier there that holds its quantity, and carries on the least of
+    these; a class of few tiers is broadcast, whatever the others hold. It is neither exploded
+    nor grouped nor joined back. Should one key have more
     than ``TIERS_IN_ROW`` tiers, pairs of requests and rules are made and grouped instead.
     """
     live = _live_rules(rules, as_of, tiered=True)
@@ -109,15 +110,15 @@ def _with_rule(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame:
         won = pairs.groupBy("request_id").agg(F.min_by(F.struct("rule_id", "rule_type", "price_value"), F.struct(*_preference())).alias("r"))
         return requests.join(won, "request_id", "left")
     counts = tiers.groupBy("r_class").agg(F.sum(F.size("tiers")).alias("n")).collect()  # at most eight rows
-    small = sum(r["n"] for r in counts) <= broadcast_rows(requests.sparkSession)
-    out, best = requests, []
-    for i, name in enumerate(sorted(r["r_class"] for r in counts)):
-        mine = tiers.filter(F.col("r_class") == name).select(F.col("r_list").alias(f"__l{i}"), F.col("r_key").alias(f"__k{i}"), F.col("tiers").alias(f"__t{i}"))
-        out = out.join(F.broadcast(mine) if small else mine, (F.col("price_list_id") == F.col(f"__l{i}")) & (_request_key(name) == F.col(f"__k{i}")), "left")
-        holds = lambda t: (t["min_qty"] <= F.col("qty")) & (t["max_qty"].isNull() | (t["max_qty"] > F.col("qty")))
-        best.append(F.get(F.filter(F.col(f"__t{i}"), holds), 0))
+    most = broadcast_rows(requests.sparkSession)
     none = F.lit(None).cast(tiers.schema["tiers"].dataType.elementType)
-    return out.select(*requests.columns, F.least(*best, none, none).alias("r"))
+    out = requests.withColumn("r", none)
+    for n, name in sorted(((r["n"], r["r_class"]) for r in counts), reverse=True):
+        mine = tiers.filter(F.col("r_class") == name).select(F.col("r_list").alias("__l"), F.col("r_key").alias("__k"), F.col("tiers").alias("__t"))
+        out = out.join(F.broadcast(mine) if n <= most else mine, (F.col("price_list_id") == F.col("__l")) & (_request_key(name) == F.col("__k")), "left")
+        holds = lambda t: (t["min_qty"] <= F.col("qty")) & (t["max_qty"].isNull() | (t["max_qty"] > F.col("qty")))
+        out = out.select(*requests.columns, F.least("r", F.get(F.filter("__t", holds), 0)).alias("r"))
+    return out
 
 
 def _fits(live: DataFrame) -> bool:

@@ -14,7 +14,10 @@ compared in pairs of blocks of that size, so a class is sent once per block of i
 run with a chance s(0) of at least 1 - 1/e, and still share one after k splits with a chance
 s(k) = 1 - exp(-s(k - 1)). The number of runs follows from ``recall`` and s(0). Classes in
 buckets that were split k times are sampled in more runs, up to the number that s(k) asks
-for, so a pair that meets in split buckets only is found as surely as any other.
+for, so a pair that meets in split buckets only is found as surely as any other. Runs that
+the same number of splits asks for are one turn. Buckets of different turns do not depend on
+each other, so one pass splits what is large in any turn and samples the next turn, once
+all classes of that turn are known.
 
 Buckets with the same members are compared once. Every pair is compared in one bucket
 only, the smallest that holds both. Candidate pairs never become rows: a bucket task
@@ -157,12 +160,12 @@ def _sets(rows: DataFrame, words: int, runs: int, rate: float, seed: int) -> Dat
 
 
 def _shingles_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) of the classes whose chosen document is in ``wanted`` (doc_id, class), as 32-bit hashes.
+    """(class, large, shingles) of the classes whose chosen document is in ``wanted`` (doc_id, class, large), as 32-bit hashes.
 
     Rows of one doc_id meet in one task, which returns each class once. If AQE splits the
     task, a class can come once from each part; users of the table drop these repeats.
     """
-    joined = rows.join(wanted.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("class", "text")
+    joined = rows.join(wanted.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("class", "large", "text")
 
     def make():
         shingler, seen = Shingler(words), set()
@@ -171,22 +174,23 @@ def _shingles_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 wanted = {}
-                for text, name in zip(part.column("text").to_pylist(), part.column("class").to_pylist()):
+                for text, name, large in zip(*(part.column(c).to_pylist() for c in ("text", "class", "large"))):
                     if name not in seen:
-                        wanted.setdefault((name, text), None)
+                        wanted.setdefault((name, text), large)
                 flat, sizes = shingler.sets([text for _, text in wanted])
                 ends = np.cumsum(sizes)
-                names, sets = [], []
-                for (name, _), own, a, b in zip(wanted, class_names(flat, sizes), (ends - sizes).tolist(), ends.tolist()):
+                names, flags, sets = [], [], []
+                for ((name, _), large), own, a, b in zip(wanted.items(), class_names(flat, sizes), (ends - sizes).tolist(), ends.tolist()):
                     if own == name and name not in seen:
                         seen.add(name)
                         names.append(name)
+                        flags.append(large)
                         sets.append(np.unique((flat[a:b] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(flags, pa.bool_()), pa.array(sets, pa.list_(pa.int32()))], names=["class", "large", "shingles"])
 
         return step
 
-    return map_arrow(joined, make, "class binary, shingles array<int>")
+    return map_arrow(joined, make, "class binary, large boolean, shingles array<int>")
 
 
 def _shared(placed: DataFrame, label: str) -> DataFrame:
@@ -196,75 +200,63 @@ def _shared(placed: DataFrame, label: str) -> DataFrame:
     """
     bands = placed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"))
     bands = bands.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list(F.struct("band", "n")).alias("bands")).where("n > 1")
-    bands = keep(bands, f"{label}-bands")
     near = F.aggregate(F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1), F.lit(0).cast("bigint"), lambda sum_, b: sum_ + b["n"])
-    shared = keep(placed.join(bands.hint("shuffle_hash"), "bucket").where(near > 1).drop("bands"), f"{label}-shared")
-    discard(bands)
-    return shared
+    return keep(placed.join(bands.hint("shuffle_hash"), "bucket").where(near > 1).drop("bands"), label)
 
 
-def _split(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
-    """Children (bucket, class, band, parent) of the rows (bucket, class, band, n); ``parent`` is the parent's n."""
-    joined = rows.join(sets, "class").select("bucket", "class", "band", "n", "shingles")
+def _children(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
+    """Children (bucket, class, band, parent, turn, depth) of the rows (path, class, band, n, turn, depth); ``parent`` is the parent's n.
 
-    def make():
-        def step(batch):
-            out_bucket, out_class = [], []
-            for i, (bucket, shingles) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("shingles"))):
-                children = taken(shingles.values.to_numpy().view(np.uint32).astype(np.uint64), bucket % 2**64, rate)
-                out_bucket.append(children.view(np.int64))
-                out_class.append(np.full(len(children), i, np.int32))
-            of = pa.array(np.concatenate(out_class))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_bucket)), *[batch.column(c).take(of) for c in ("class", "band", "n")]], names=["bucket", "class", "band", "parent"])
-
-        return step
-
-    return map_arrow(joined, make, "bucket bigint, class binary, band int, parent bigint")
-
-
-def _sampled(classes: DataFrame, sets: DataFrame, paths: list[int], rate: float) -> DataFrame:
-    """First-level buckets (bucket, class, band) of ``classes`` (class, band) in one run per path."""
-    joined = classes.join(sets, "class").select("class", "band", "shingles")
+    A class that is twice in ``sets`` has its children twice: more is compared, nothing lost.
+    """
+    todo = rows.groupBy("class").agg(F.first("band").alias("band"), F.collect_list(F.struct("path", "n", "turn", "depth")).alias("todo"))
+    joined = todo.join(sets, "class").select("class", "band", "todo", "shingles")
 
     def make():
         def step(batch):
-            out = [[taken(x.values.to_numpy().view(np.uint32).astype(np.uint64), p, rate) for p in paths] for x in batch.column("shingles")]
-            of = pa.array(np.repeat(np.arange(len(out)), [sum(map(len, o)) for o in out]))
-            buckets = np.concatenate([b for o in out for b in o]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), *[batch.column(c).take(of) for c in ("class", "band")]], names=["bucket", "class", "band"])
+            todo = batch.column("todo").flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("todo").offsets.to_numpy()))
+            sets, children, last = batch.column("shingles"), [], -1
+            for i, path in zip(owner.tolist(), todo.field("path").to_pylist()):
+                if i != last:
+                    last, own_set = i, sets[i].values.to_numpy().view(np.uint32).astype(np.uint64)
+                children.append(taken(own_set, path % 2**64, rate))
+            of = np.repeat(np.arange(len(children)), [len(x) for x in children])
+            own = pa.array(owner[of])
+            bucket = np.concatenate([np.empty(0, np.uint64), *children]).view(np.int64)
+            parent, turn = todo.field("n").take(pa.array(of)), todo.field("turn").take(pa.array(of))
+            depth = pa.array(todo.field("depth").to_numpy()[of] + np.int32(1))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("class").take(own), batch.column("band").take(own), parent, turn, depth], names=["bucket", "class", "band", "parent", "turn", "depth"])
 
         return step
 
-    return map_arrow(joined, make, "bucket bigint, class binary, band int").distinct()
+    return map_arrow(joined, make, "bucket bigint, class binary, band int, parent bigint, turn int, depth int")
 
 
-def _split_down(top: DataFrame, sets: DataFrame, rate: float, small: int, max_depth: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """Buckets to compare (bucket, class, band), and (class, band, splits) of the classes in buckets that were split.
+def _split_down(top: DataFrame, sets: DataFrame, rate: float, small: int, max_depth: int, paths: list[list[int]]) -> tuple[DataFrame, list[DataFrame]]:
+    """Buckets to compare (bucket, class, band), and the tables they are read from.
 
-    ``top``: first-level buckets (bucket, class, band, n), discarded.
+    ``top``: first-level buckets (bucket, class, band, n, parent, turn, depth) of turn 0. ``paths``: the
+    runs of turn 1, 2, ...; turn k is for the classes in buckets that were split k times in earlier turns.
     """
-    columns, scratch = ["bucket", "class", "band", "n"], [top]
-    ready, large = [top.where(F.col("n") <= small).select("bucket", "class", "band")], top.where(F.col("n") > small).select(*columns)
-    split = []
-    for depth in range(max_depth):
-        split.append(large.select("class", "band", F.lit(depth + 1).alias("splits")))
-        children, n = keep_counted(_split(large, sets, rate).distinct(), f"{label}-split-{depth}")
-        scratch.append(children)
-        if not n:
-            large = None
+    done = (F.col("n") <= small) | F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False)) | (F.col("depth") >= max_depth)
+    tables, turn, met = [top], 0, set()
+    while True:
+        large = tables[-1].where(~done)
+        now = {(r.turn, r.depth) for r in large.agg(F.collect_set(F.struct("turn", "depth")).alias("at")).head().at}
+        met |= now
+        rows = [large.select("class", "band", F.col("bucket").alias("path"), "n", "turn", "depth")] if now else []
+        if turn < len(paths) and any(depth == turn for _, depth in met) and all(depth >= turn for _, depth in now):
+            split = reduce(DataFrame.unionByName, [t.where(~done & (F.col("depth") == turn)).select("class", "band") for t in tables]).distinct()
+            runs = F.explode(F.array(*[F.lit(p) for p in paths[turn]]).cast("array<bigint>"))
+            turn += 1
+            rows.append(split.select("class", "band", runs.alias("path"), F.lit(None).cast("bigint").alias("n"), F.lit(turn).alias("turn"), F.lit(-1).alias("depth")))
+        if not rows:
             break
-        counted = _shared(children, f"{label}-split-{depth}")
-        scratch.append(counted)
-        done = (F.col("n") <= small) | (2 * F.col("n") > F.col("parent"))
-        ready.append(counted.where(done).select("bucket", "class", "band"))
-        large = counted.where(~done).select(*columns)
-    if large is not None:
-        ready.append(large.select("bucket", "class", "band"))
-    members = keep(reduce(DataFrame.unionByName, ready), f"{label}-members")
-    deep = top.select("class", "band", F.lit(0).alias("splits")).limit(0)
-    deep = keep(reduce(DataFrame.unionByName, split, deep).groupBy("class", "band").agg(F.max("splits").alias("splits")), f"{label}-deep")
-    discard(*scratch)
-    return members, deep
+        children = keep(_children(reduce(DataFrame.unionByName, rows), sets, rate), f"children-{len(tables)}")
+        tables.append(_shared(children, f"shared-{len(tables)}"))
+        discard(children)
+    return reduce(DataFrame.unionByName, [t.where(done).select("bucket", "class", "band") for t in tables]), tables
 
 
 def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -274,59 +266,67 @@ def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
     side 1, or within side 0 where there is no side 1. ``others``: the buckets of the class.
     """
 
-    def compare(pdf):
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("class")
-        bucket = pdf["bucket"].iloc[0]
-        side = pdf["side"].to_numpy()
-        sets = [np.asarray(s, np.int32) for s in pdf["shingles"]]
-        rank = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), rank)
-        values, code = np.unique(flat, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        posting, starts = owner[order], np.searchsorted(code[order], np.arange(len(values) + 1))
-        earlier = [np.asarray(o) for o in pdf["others"]]
-        earlier = [set(o[o < bucket].tolist()) for o in earlier]
-        members: dict[int, list[int]] = {}
-        for i, e in enumerate(earlier):
-            for b in e:
-                members.setdefault(b, []).append(i)
-        links, parent = np.zeros(len(sets), np.int64), np.arange(len(sets))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        at = np.cumsum(rank) - rank
-        two_sided = bool(side.any())
-        for i in range(len(sets)):
-            if two_sided and side[i]:
-                continue
-            mine = code[at[i]:at[i] + rank[i]]
-            sizes = starts[mine + 1] - starts[mine]
-            ends = np.cumsum(sizes)
-            where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[mine] - (ends - sizes), sizes)
-            common = np.bincount(posting[where], minlength=len(sets))
-            good = common >= threshold * (rank[i] + rank - common) - 1e-9
-            good &= (side == 1) if two_sided else (np.arange(len(sets)) > i)
-            for b in earlier[i]:  # pairs that an earlier bucket holds are compared there
-                good[members[b]] = False
-            found = np.flatnonzero(good)
-            links[i] += len(found)
-            links[found] += 1
-            for j in found.tolist():
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        names = pdf["class"].to_numpy()
-        linked = np.flatnonzero(links)
-        return pd.DataFrame({"class": names[linked], "links": links[linked], "root": names[[root(i) for i in linked.tolist()]]})
-
-    return blocks.groupBy("bucket", "pair_of_blocks").applyInPandas(compare, "class binary, links bigint, root binary")
+    def compare(table):
+        first = {}
+        for i, name in enumerate(table.column("class").to_pylist()):
+            first.setdefault(name, i)
+        side = table.column("side").to_numpy()
+        take = np.fromiter(first.values(), np.int64)
+        table = table.take(take[np.argsort(side[take], kind="stable")]).combine_chunks()
+        bucket = table.column("bucket")[0].as_py()
+        n, two = table.num_rows, int(np.count_nonzero(table.column("side").to_numpy()))
+        rows = n - two if two else n  # compared with what comes after them, or with side 1
+        rank = table.column("shingles").combine_chunks().value_lengths().to_numpy().astype(np.int64)
+        flat = table.column("shingles").combine_chunks().flatten().to_numpy()
+        owner = np.repeat(np.arange(n), rank)
+        order = np.argsort(flat, kind="stable")
+        posting, sorted_ = owner[order], flat[order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]][:len(flat)]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.r_[starts, len(flat)])
+        code = np.empty(len(flat), np.int64)
+        code[order] = np.cumsum(new) - 1
+        # what an eighth of the sets hold is counted by a matrix product, the rest along the postings
+        often = sizes >= max(2, n / 8)
+        held, column = often[code], np.cumsum(often) - 1
+        holds = np.zeros((n, int(np.count_nonzero(often))), np.float32)
+        holds[owner[held], column[code[held]]] = 1
+        shared = ~held & (sizes[code] > 1) & (owner < rows)
+        owner, code = owner[shared], code[shared]
+        steps = np.cumsum(np.bincount(owner, weights=sizes[code], minlength=rows)) // 500_000
+        at = np.arange(rows) // max(1, 500_000 // n)
+        edges = np.r_[0, np.flatnonzero((np.diff(steps) != 0) | (np.diff(at) != 0)) + 1, rows].tolist()
+        links, root = np.zeros(n, np.int64), np.arange(n)
+        earlier = members = None
+        for a, b in zip(edges, edges[1:]):
+            common = (holds[a:b] @ holds.T).astype(np.int64)
+            mine = slice(*np.searchsorted(owner, [a, b]))
+            if mine.start < mine.stop:
+                of = np.repeat((owner[mine] - a) * n, sizes[code[mine]])
+                common += np.bincount(of + take_runs(posting, starts[code[mine]], sizes[code[mine]]), minlength=(b - a) * n).reshape(b - a, n)
+            good = common >= threshold * (rank[a:b, None] + rank - common) - 1e-9
+            good &= np.arange(n) >= rows if two else np.arange(n) > np.arange(a, b)[:, None]
+            for i in np.flatnonzero(good.any(axis=1)).tolist():
+                if earlier is None:
+                    earlier = [{x for x in o if x < bucket} for o in table.column("others").to_pylist()]
+                    members = {}
+                    for j, e in enumerate(earlier):
+                        for x in e:
+                            members.setdefault(x, []).append(j)
+                    members = {x: np.array(m) for x, m in members.items() if len(m) > 1}
+                for x in earlier[a + i]:  # pairs that an earlier bucket holds are compared there
+                    if x in members:
+                        good[i, members[x]] = False
+                found = np.flatnonzero(good[i])
+                links[a + i] += len(found)
+                links[found] += 1
+                while len(found := found[root[found] != root[a + i]]):
+                    low, high = sorted((int(root[a + i]), int(root[found[0]])))
+                    root[root == high] = low
+        names, linked = table.column("class"), np.flatnonzero(links)
+        return pa.table({"class": names.take(pa.array(linked)), "links": links[linked], "root": names.take(pa.array(root[linked]))})
+
+    return blocks.groupBy("bucket", "pair_of_blocks").applyInArrow(compare, "class binary, links bigint, root binary")
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -362,39 +362,28 @@ def similarity_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     classes = sets.groupBy("class").agg(F.min(F.struct("doc_id", "size", "buckets")).alias("one")).select("class", "one.*")
     step = max(1 / threshold, 1.000001) ** 1.0001  # sizes of a band lie within this factor
     band = F.floor(F.log(F.col("size")) / math.log(step)).cast("int")
-    placed = keep(classes.select("class", "doc_id", band.alias("band"), F.explode(F.array_distinct("buckets")).alias("bucket")), "buckets")
+    placed = keep(classes.select("class", "doc_id", band.alias("band"), F.explode(F.array_distinct("buckets")).alias("bucket"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("turn"), F.lit(0).alias("depth")), "buckets")
     shared = _shared(placed, "top")
     discard(placed)
-    shingles = keep(_shingles_of(rows, shared.select("doc_id", "class").distinct(), words), "shingles")
-    members, deep = _split_down(shared, shingles, rate, small, max_depth, "top")
-    found_in = [members]
+    wanted = shared.groupBy("doc_id", "class").agg(F.max(F.col("n") > small).alias("large"))
+    shingles = keep(_shingles_of(rows, wanted, words), "shingles")
     extra = [int(x) for x in np.random.default_rng([seed, 1]).integers(1, 2**63, runs_for(recall, max_depth))]
-    for splits in range(1, max_depth + 1):
-        # deeper buckets of these runs send their classes to the next turn, so every class gets the runs of its depth
-        again, n = keep_counted(deep.where(F.col("splits") >= splits), f"again-{splits}")
-        if not n:
-            break
-        placed = keep(_sampled(again.select("class", "band"), shingles, extra[runs_for(recall, splits - 1):runs_for(recall, splits)], rate), f"more-{splits}")
-        shared = _shared(placed, f"more-{splits}")
-        members, more = _split_down(shared, shingles, rate, small, max_depth, f"more-{splits}")
-        found_in.append(members)
-        before, deep = deep, keep(again.unionByName(more).groupBy("class", "band").agg(F.max("splits").alias("splits")), f"deep-{splits}")
-        discard(placed, before, again, more)
-    members = reduce(DataFrame.unionByName, found_in)
+    paths = [extra[runs_for(recall, k - 1):runs_for(recall, k)] for k in range(1, max_depth + 1)]
+    members, tables = _split_down(shared, shingles.where("large").select("class", "shingles"), rate, small, max_depth, paths)
     same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("xor"), F.sum(F.pow(F.lit(step), F.col("band") + 1)).alias("shingles"))
     once = same.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.min("shingles").alias("shingles"))
-    once = keep(once.select("bucket", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks")), "distinct-buckets")
+    once = once.select("bucket", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks"))
     members = keep(members.join(once.hint("shuffle_hash"), "bucket").select("bucket", "class", "blocks"), "distinct-members")
-    discard(*found_in, once)
-    others = keep(members.groupBy("class").agg(F.collect_list("bucket").alias("others")), "class-buckets")
+    discard(*tables)
+    others = members.groupBy("class").agg(F.collect_list("bucket").alias("others"))
     # a bucket of several blocks is compared block pair by block pair
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     pairs = members.select("bucket", "class", "blocks", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     pairs = pairs.select("bucket", "class", (low * F.col("blocks") + high).cast("bigint").alias("pair_of_blocks"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    sets_of = shingles.dropDuplicates(["class"]).join(others.hint("shuffle_hash"), "class")
+    sets_of = shingles.dropDuplicates(["class"]).select("class", "shingles").join(others.hint("shuffle_hash"), "class")
     found = keep(_compare(pairs.join(sets_of.hint("shuffle_hash"), "class"), threshold), "links")
-    discard(members, others, shingles)
+    discard(members, shingles)
     degree = found.groupBy("class").agg(F.sum("links").alias("links"))
     component = _components(found.select("class", "root"))
     named = sets.select("doc_id", "class").join(degree, "class", "left").join(component, "class", "left").select("doc_id", F.lower(F.hex("class")).alias("class_id"), F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

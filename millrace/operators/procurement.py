@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import doc_no
-from millrace.operators.common import safe_ratio, split_by_rules
+from millrace.operators.common import first_failed, safe_ratio, split_by_rules
 from millrace.operators.fold import ordered_fold
 from millrace.operators.inventory import receive_stock, scaled
 from millrace.operators.ordered import is_hot, peer_sums, row_numbers
@@ -29,11 +29,13 @@ def po_header_status(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 # Outcomes of one receipt against its line.
-_TAKEN, _CLOSED, _OVER = 0, 1, 2
+_TAKEN, _CLOSED, _OVER, _NO_LINE = 0, 1, 2, 3
 
 
 def _receive_step(state, row):
-    (received,), (qty, ordered) = state, row
+    (received,), (qty, ordered, allowed) = state, row
+    if not allowed:
+        return state, (_NO_LINE,)
     if received >= ordered:
         return state, (_CLOSED,)
     if received + qty > ordered:
@@ -41,34 +43,63 @@ def _receive_step(state, row):
     return (received + qty,), (_TAKEN,)
 
 
+def _repeats(df: DataFrame, key: str) -> DataFrame | None:
+    """Keys met more than once, with their count in ``__n``; None without any. Only hashes are shuffled to find them."""
+    keyed = df.select(key).filter(F.col(key).isNotNull())
+    mark = F.xxhash64(key)
+    some, n = materialize_counted(keyed.groupBy(mark.alias("__h")).count().filter("count > 1").select("__h"), "repeats")
+    if not n:
+        return None
+    return materialize(keyed.join(some, mark == F.col("__h"), "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "repeats")
+
+
+def _as_met(df: DataFrame, key: str, repeats: DataFrame | None) -> DataFrame:
+    """``df`` as a left join with the frame of :func:`_repeats` would leave it: a row for each row of its key."""
+    if repeats is None:
+        return df
+    times = F.coalesce("__n", F.lit(1)).cast("int")
+    return df.join(repeats, key, "left").withColumn("__n", F.explode(F.array_repeat(F.lit(1), times))).drop("__n")
+
+
 def receive_po_lines(orders: DataFrame, lines: DataFrame, receipts: DataFrame, balances: DataFrame, as_of, post_stock: bool = True) -> dict[str, DataFrame]:
     """Post receipts in ``receipt_id`` order against order lines.
 
     A refused receipt leaves the line as it was, so over-receipt is decided by an
-    ordered fold per line. Returns the new ``lines`` and ``orders``, the
+    ordered fold per line. The rules are checked one after the other, and a receipt that
+    fails one is not joined further; should orders or lines repeat an id, it is refused once
+    for each row it would have met. Returns the new ``lines`` and ``orders``, the
     ``rejects``, and (unless ``post_stock`` is off) the stock posting of the
     accepted rows.
     """
-    # the lines come last: the fold by line then finds the rows where this join left them
-    known = receipts.join(orders.select("po_id", "status", "warehouse_id", F.lit(True).alias("__po")), "po_id", "left").join(
-        lines.select("po_line_id", "item_id", "unit_price", "qty_ordered", "qty_received", "line_status",
-                     F.lit(True).alias("__line")), "po_line_id", "left")
-    good, bad = split_by_rules(known, [
-        ("M4002", F.col("qty") > 0, "received quantity must be positive"),
+    more_orders, more_lines = _repeats(orders, "po_id"), _repeats(lines, "po_line_id")
+    given = receipts.select("receipt_id", "po_line_id", "po_id", "qty", "unit_cost")
+    asked, bad_qty = split_by_rules(given, [("M4002", F.col("qty") > 0, "received quantity must be positive")])
+    known = asked.join(orders.select("po_id", "status", "warehouse_id", F.lit(True).alias("__po")), "po_id", "left")
+    code, _ = first_failed([
         ("M4001", F.col("__po"), "order not found"),
         ("M4002", F.col("status").isin("APPROVED", "PARTIAL"), "order state does not allow receipts"),
-        ("M4001", F.col("__line"), "order line not found"),
-        ("M4002", ~F.col("line_status").isin("CLOSED", "CANCELLED"), "line closed or cancelled"),
-    ])
-    rows = good.withColumns({
-        "__q": scaled(F.col("qty"), 4), "__o": scaled(F.col("qty_ordered"), 4), "__r": scaled(F.col("qty_received"), 4)})
-    carried = ["receipt_id", "po_id", "qty", "unit_cost", "unit_price", "item_id", "warehouse_id"]
-    folded = ordered_fold(rows, ["po_line_id"], [F.col("receipt_id")], ["__q", "__o"], ["__r"], _receive_step,
-                          [("__outcome", "bigint")], carried, additive=[True], hot=is_hot(receipts, ["po_line_id"]))
+        ("M4001", F.col("po_line_id").isNotNull(), "order line not found")])
+    # good and refused rows in one pass; of the refused ones no more than is needed
+    known = materialize(known.select("receipt_id", "po_line_id", code.alias("error_code"), *[
+        F.when(code.isNull(), F.col(c)).alias(c) for c in ("po_id", "qty", "unit_cost", "warehouse_id")]), "receipts-of-orders")
+    good, bad_order = known.filter(F.col("error_code").isNull()).drop("error_code"), known.filter(F.col("error_code").isNotNull())
+    # the fold by line finds the rows where this join left them
+    rows = good.join(
+        lines.select("po_line_id", "item_id", "unit_price", "qty_ordered", "qty_received", "line_status", F.lit(1).alias("__line")), "po_line_id", "left")
+    live = F.coalesce(~F.col("line_status").isin("CLOSED", "CANCELLED"), F.lit(False))
+    rows = rows.withColumns({
+        "__q": scaled(F.col("qty"), 4), "__o": scaled(F.col("qty_ordered"), 4), "__r": scaled(F.col("qty_received"), 4),
+        "__ok": (F.col("__line").isNotNull() & live).cast("bigint")})
+    carried = ["receipt_id", "po_id", "qty", "unit_cost", "unit_price", "item_id", "warehouse_id", "__line"]
+    folded = ordered_fold(rows, ["po_line_id"], [F.col("receipt_id")], ["__q", "__o", "__ok"], ["__r"], _receive_step,
+                          [("__outcome", "bigint")], carried, additive=[True], hot=is_hot(good, ["po_line_id"]))
     folded = materialize(folded, "receipts")
     taken = folded.filter(F.col("__outcome") == _TAKEN)
     refused = folded.filter(F.col("__outcome") != _TAKEN).select(
-        "receipt_id", F.when(F.col("__outcome") == _OVER, "M4003").otherwise("M4002").alias("error_code"))
+        "receipt_id", F.when(F.col("__outcome") == _OVER, "M4003").when(F.col("__line").isNull(), "M4001").otherwise("M4002").alias("error_code"))
+    bad = _as_met(bad_qty.select("receipt_id", "po_id", "po_line_id", "error_code"), "po_id", more_orders).drop("po_id").unionByName(
+        bad_order.select("receipt_id", "po_line_id", "error_code"))
+    bad = _as_met(bad, "po_line_id", more_lines)
     rejects = bad.select("receipt_id", "error_code").unionByName(refused)
     got = taken.groupBy("po_line_id").agg(F.sum("qty").cast(QTY).alias("__got"))
     total = (F.col("qty_received") + F.col("__got")).cast(QTY)

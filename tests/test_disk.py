@@ -1,11 +1,13 @@
 """Large steps keep few bytes on disk: shuffles go with their step, and rows travel without columns nobody takes."""
 
 import random
+from collections import Counter
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import inventory
+from millrace.operators import inventory, procurement
 from millrace.operators.fold import ordered_fold
 from millrace.operators.ordered import row_numbers
 from millrace.session import materialize
@@ -98,3 +100,57 @@ def test_a_fold_that_gives_last_rows_ends_like_the_whole_one(spark):
     ends = lambda d: {r.k: (r.i, r.o) for r in d.groupBy("k").agg(F.max("i").alias("i"), F.max_by("o", "i").alias("o")).collect()}
     assert ends(whole) == ends(last)
     assert last.count() < 200 < whole.count()
+
+
+def _po(spark, twice=False):
+    orders = [("p1", "APPROVED", 1), ("p2", "PARTIAL", 2), ("p3", "CLOSED", 1), ("p4", "DRAFT", 2)]
+    lines = [(f"{p}-{n}", p, n, Decimal(10 * n), Decimal(n % 3), Decimal(n), "CANCELLED" if n == 4 else "OPEN") for p, *_ in orders for n in range(1, 6)]
+    receipts = [(f"{line}/{k}", line, p, Decimal(q), None) for line, p, *_ in lines for k, q in enumerate((4, 0, 40, 5, 3, -1))]
+    receipts += [("x1", "p1-1", "none", Decimal(1), None), ("x2", "none", "p1", Decimal(1), None), ("x3", None, "p2", Decimal(1), None),
+                 ("x4", "p1-1", None, Decimal(2), None), ("x5", "none", "none", Decimal(0), None), ("x6", "p2-1", "p2", None, None)]
+    if twice:
+        orders, lines, receipts = orders + orders[:3], lines + lines[:8], receipts + receipts[::2]
+    as_rows = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    return (orders, lines, receipts), (
+        as_rows(orders, "po_id string, status string, warehouse_id int"),
+        as_rows(lines, "po_line_id string, po_id string, item_id long, qty_ordered decimal(18,4), qty_received decimal(18,4), unit_price decimal(20,6), line_status string"),
+        as_rows(receipts, "receipt_id string, po_line_id string, po_id string, qty decimal(18,4), unit_cost decimal(20,6)"),
+        spark.createDataFrame([], BALANCE))
+
+
+def _refused(orders, lines, receipts):
+    """Codes of refused receipts, one for each pair of order and line rows, by plain loops."""
+    met, codes = [], Counter()
+    for rid, line, po, qty, _ in receipts:
+        for o in [o for o in orders if po is not None and o[0] == po] or [None]:
+            for ln in [x for x in lines if line is not None and x[0] == line] or [None]:
+                code = ("M4002" if qty is None or qty <= 0 else "M4001" if o is None else "M4002" if o[1] not in ("APPROVED", "PARTIAL")
+                        else "M4001" if ln is None else "M4002" if ln[6] in ("CLOSED", "CANCELLED") else None)
+                if code:
+                    codes[rid, code] += 1
+                else:
+                    met.append((line, rid, qty, ln))
+    had = {}
+    for line, rid, qty, ln in sorted(met, key=lambda r: r[:2]):
+        have = had.setdefault(line, ln[4])
+        if have >= ln[3] or have + qty > ln[3]:
+            codes[rid, "M4002" if have >= ln[3] else "M4003"] += 1
+        else:
+            had[line] = have + qty
+    return codes, had
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_receipts_are_refused_by_the_first_rule_that_fails(spark, twice):
+    rows, frames = _po(spark, twice)
+    out = procurement.receive_po_lines(*frames, "2026-01-01", post_stock=False)
+    codes, had = _refused(*rows)
+    assert Counter((r.receipt_id, r.error_code) for r in out["rejects"].collect()) == codes
+    if not twice:
+        assert {r.po_line_id: r.qty_received for r in out["lines"].collect()} == {ln[0]: had.get(ln[0], ln[4]) for ln in rows[1]}
+
+
+def test_refused_receipts_meet_no_order_lines_again(spark):
+    _, frames = _po(spark)
+    out = procurement.receive_po_lines(*frames, "2026-01-01", post_stock=False)
+    assert "Join" not in plan(out["rejects"]) and "hashpartitioning" not in plan(out["rejects"])

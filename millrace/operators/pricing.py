@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.common import small_side, valid_at
-from millrace.session import broadcast_rows, materialize
+from millrace.operators.common import Chain, Later, small_side, valid_at
+from millrace.session import broadcast_rows, discard, materialize
 
 WILD = ("item_id", "category_id", "customer_id")
 
@@ -91,14 +94,14 @@ def _candidates(requests: DataFrame, live: DataFrame, tiered: bool) -> DataFrame
     return asked.join(live, on).drop("q_class", "q_key", "r_class", "r_key")
 
 
-def _with_rule(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+def _with_rule(requests: DataFrame, rules: DataFrame, as_of, chain: Chain) -> DataFrame:
     """``requests`` with the winning rule in ``r`` (with rule_id, rule_type, price_value; null without one).
 
     The tiers of one list, class and key are one row: an array in order of preference. A
     request meets one row per class that has rules (at most eight joins, none of which
     adds rows), takes the first tier there that holds its quantity, and carries on the least of
-    these; a class of few tiers is broadcast, whatever the others hold. It is neither exploded
-    nor grouped nor joined back. Should one key have more
+    these; a class of few tiers is broadcast, whatever the others hold, and before a class of
+    many the requests are written (``chain``). A request is neither exploded nor grouped nor joined back. Should one key have more
     than ``TIERS_IN_ROW`` tiers, pairs of requests and rules are made and grouped instead.
     """
     live = _live_rules(rules, as_of, tiered=True)
@@ -114,6 +117,7 @@ def _with_rule(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     none = F.lit(None).cast(tiers.schema["tiers"].dataType.elementType)
     out = requests.withColumn("r", none)
     for n, name in sorted(((r["n"], r["r_class"]) for r in counts), reverse=True):
+        out = chain.before(out, n)
         mine = tiers.filter(F.col("r_class") == name).select(F.col("r_list").alias("__l"), F.col("r_key").alias("__k"), F.col("tiers").alias("__t"))
         out = out.join(F.broadcast(mine) if n <= most else mine, (F.col("price_list_id") == F.col("__l")) & (_request_key(name) == F.col("__k")), "left")
         holds = lambda t: (t["min_qty"] <= F.col("qty")) & (t["max_qty"].isNull() | (t["max_qty"] > F.col("qty")))
@@ -131,7 +135,7 @@ def match_price_rules(requests: DataFrame, rules: DataFrame, as_of) -> DataFrame
 
     ``requests``: request_id, price_list_id, item_id, category_id, customer_id, qty.
     """
-    return _with_rule(requests, rules, as_of).filter(F.col("r").isNotNull()).select("request_id", "r.rule_id", "r.rule_type", "r.price_value")
+    return _with_rule(requests, rules, as_of, Chain()).filter(F.col("r").isNotNull()).select("request_id", "r.rule_id", "r.rule_type", "r.price_value")
 
 
 def price_rejects(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: DataFrame, as_of) -> DataFrame:
@@ -150,14 +154,15 @@ def price(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: Da
     """
     picked = pick_price_list(customers, lists, as_of).select("customer_id", "price_list_id")
     dims = items.select("item_id", "category_id", "list_price")
+    chain = Chain()
+    full = requests.withColumn("qty", F.coalesce("qty", F.lit(1)).cast("decimal(18,4)")).join(dims, "item_id")
     full = (
-        requests.withColumn("qty", F.coalesce("qty", F.lit(1)).cast("decimal(18,4)"))
-        .join(dims, "item_id")
+        chain.before(full, customers)
         .join(picked, "customer_id", "left")
         .withColumn("price_list_id", F.coalesce("price_list_id", default_price_list(lists, as_of)))
         .filter(F.col("price_list_id").isNotNull())
     )
-    won = _with_rule(full, rules, as_of)
+    won = _with_rule(full, rules, as_of, chain)
     out = won.select(*full.columns, "r.rule_id", "r.rule_type", "r.price_value")
     listed = F.col("list_price").cast("decimal(20,6)")
     fixed = F.col("rule_type").isin("LIST", "OVERRIDE")
@@ -175,9 +180,11 @@ def price(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: Da
         final.cast("decimal(20,6)").alias("final_price"), "rule_id", "rule_type")
 
 
-def reprice_orders(orders, lines, items, customers, lists, rules, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reprice_orders(orders, lines, items, customers, lists, rules, as_of) -> Sequence[DataFrame]:
     """Reprice DRAFT/CONFIRMED orders: (orders, lines, rejects).
 
+    The lines are priced once, when orders or lines are first taken.
+
     An order with a line that cannot be priced stays as it is, lines and total. ``rejects``
     (so_id, so_line_id, status, error_code) hold those lines (M1001, M6002) and the
     orders in another status (M6001, without a line).
@@ -189,26 +196,34 @@ def reprice_orders(orders, lines, items, customers, lists, rules, as_of) -> tupl
     failed = price_rejects(asked, items, customers, lists, as_of).withColumnRenamed("request_id", "so_line_id")
     failed = materialize(live.join(failed, "so_line_id").select("so_id", "so_line_id", "status", "error_code"), "unpriced")
     held = failed.select("so_id").distinct()
-    priced = price(asked.join(held, "so_id", "left_anti").drop("so_id"), items, customers, lists, rules, as_of)
-    base, final = F.col("base_price").cast("decimal(16,6)"), F.col("final_price").cast("decimal(16,6)")
-    disc = F.when((base > 0) & (final < base), F.round((base - final) / base, 4)).otherwise(0).cast("decimal(8,4)")
-    disc = F.when(disc >= 1, F.lit("0.9999").cast("decimal(8,4)")).otherwise(disc)
-    upd = priced.select(F.col("request_id").alias("so_line_id"), F.col("base_price").alias("__base"), disc.alias("__disc"))
     hit = F.col("__base").isNotNull()
-    new_lines = lines.join(upd, "so_line_id", "left").withColumns({
-        "unit_price": F.when(hit, F.col("__base")).otherwise(F.col("unit_price")),
-        "discount_pct": F.when(hit, F.col("__disc")).otherwise(F.col("discount_pct")),
-    })
-    one = F.lit(1).cast("decimal(1,0)")
-    amount = F.round((F.col("qty_ordered").cast("decimal(12,4)") * F.col("unit_price").cast("decimal(16,6)"))
-                     * (one - F.col("discount_pct")), 4)
-    totals = new_lines.filter(hit).groupBy("so_id").agg(F.sum(amount.cast("decimal(24,4)")).alias("__total"))
-    new_orders = orders.join(totals, "so_id", "left").join(held.withColumn("__held", F.lit(True)), "so_id", "left").withColumn(
-        "total_amount",
-        F.when(is_open & F.col("__held").isNull(), F.coalesce("__total", F.lit(0)).cast("decimal(20,4)"))
-        .otherwise(F.col("total_amount"))).drop("__total", "__held")
+
+    @cache
+    def repriced() -> DataFrame:
+        priced = price(asked.join(held, "so_id", "left_anti").drop("so_id"), items, customers, lists, rules, as_of)
+        base, final = F.col("base_price").cast("decimal(16,6)"), F.col("final_price").cast("decimal(16,6)")
+        disc = F.when((base > 0) & (final < base), F.round((base - final) / base, 4)).otherwise(0).cast("decimal(8,4)")
+        disc = F.when(disc >= 1, F.lit("0.9999").cast("decimal(8,4)")).otherwise(disc)
+        upd = materialize(priced.select(F.col("request_id").alias("so_line_id"), F.col("base_price").alias("__base"), disc.alias("__disc")), "priced")
+        new_lines = materialize(lines.join(upd, "so_line_id", "left").withColumns({
+            "unit_price": F.when(hit, F.col("__base")).otherwise(F.col("unit_price")),
+            "discount_pct": F.when(hit, F.col("__disc")).otherwise(F.col("discount_pct")),
+            "__hit": hit}).drop("__base", "__disc"), "repriced")
+        discard(upd)
+        return new_lines
+
+    def new_orders() -> DataFrame:
+        one = F.lit(1).cast("decimal(1,0)")
+        amount = F.round((F.col("qty_ordered").cast("decimal(12,4)") * F.col("unit_price").cast("decimal(16,6)"))
+                         * (one - F.col("discount_pct")), 4)
+        totals = repriced().filter("__hit").groupBy("so_id").agg(F.sum(amount.cast("decimal(24,4)")).alias("__total"))
+        return orders.join(totals, "so_id", "left").join(held.withColumn("__held", F.lit(True)), "so_id", "left").withColumn(
+            "total_amount",
+            F.when(is_open & F.col("__held").isNull(), F.coalesce("__total", F.lit(0)).cast("decimal(20,4)"))
+            .otherwise(F.col("total_amount"))).drop("__total", "__held")
+
     closed = orders.filter(~is_open).select("so_id", F.lit(None).cast(lines.schema["so_line_id"].dataType).alias("so_line_id"), "status", F.lit("M6001").alias("error_code"))
-    return new_orders, new_lines.drop("__base", "__disc"), closed.unionByName(failed)
+    return Later(new_orders, lambda: repriced().drop("__hit"), lambda: closed.unionByName(failed))
 
 
 def effective_rules(requests: DataFrame, items: DataFrame, customers: DataFrame, lists: DataFrame, rules: DataFrame, as_of) -> DataFrame:

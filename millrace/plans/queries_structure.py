@@ -385,10 +385,10 @@ def _pricing_ctes(where):
           FROM q0 LEFT JOIN won w ON w.item_id = q0.item_id AND w.customer_id = q0.customer_id AND w.qty = q0.qty AND w.price_list_id = q0.price_list_id)"""
 
 
-def _requests(b):
-    o = b.sales_orders.select("so_id", "customer_id")
+def _requests(b, orders=None):
+    o = b.sales_orders.select("so_id", "customer_id") if orders is None else orders
     return b.so_lines.join(o, "so_id").select(
-        F.col("so_line_id").alias("request_id"), "item_id", "customer_id", F.col("qty_ordered").alias("qty"))
+        F.col("so_line_id").alias("request_id"), "item_id", *[c for c in o.columns if c != "so_id"], F.col("qty_ordered").alias("qty"))
 
 
 @query("match_price_rules", "request_id:s rule_id:s rule_type:s price_value:d",
@@ -396,7 +396,9 @@ def _requests(b):
          ON w.item_id = q0.item_id AND w.customer_id = q0.customer_id AND w.qty = q0.qty AND w.price_list_id = q0.price_list_id""")
 def _(b):
     lists = pricing.pick_price_list(b.customers, b.price_lists, AS_OF).select("customer_id", "price_list_id")
-    full = _requests(b).join(lists, "customer_id").join(b.items.select("item_id", "category_id"), "item_id")
+    # the lists join the orders, which are fewer than the lines
+    full = _requests(b, b.sales_orders.select("so_id", "customer_id").join(lists, "customer_id"))
+    full = full.join(b.items.select("item_id", "category_id"), "item_id")
     return pricing.match_price_rules(full, b.price_rules, AS_OF)
 
 

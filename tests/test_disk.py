@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import inventory, procurement
+from millrace.operators import inventory, pricing, procurement
 from millrace.operators.fold import ordered_fold
 from millrace.operators.ordered import row_numbers
 from millrace.session import materialize
@@ -154,3 +154,59 @@ def test_refused_receipts_meet_no_order_lines_again(spark):
     _, frames = _po(spark)
     out = procurement.receive_po_lines(*frames, "2026-01-01", post_stock=False)
     assert "Join" not in plan(out["rejects"]) and "hashpartitioning" not in plan(out["rejects"])
+
+
+@pytest.fixture
+def shuffled_sides(spark):
+    """No side is small enough for a broadcast."""
+    spark.conf.set("spark.millrace.broadcastRows", "0")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.millrace.broadcastRows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def _prices(spark):
+    rng = random.Random(11)
+    items = spark.createDataFrame([(i, f"c{i % 3}", Decimal(100 + i)) for i in range(30)], "item_id long, category_id string, list_price decimal(20,4)")
+    customers = spark.createDataFrame([(c, c % 3 + 1 if c % 4 else None) for c in range(20)], "customer_id long, price_list_id int")
+    lists = spark.createDataFrame([(1, "Y", "Y"), (2, "N", "Y"), (3, "N", "N")], "price_list_id int, is_default string, is_active string").withColumns(
+        {"valid_from": F.to_date(F.lit("1990-01-01")), "valid_to": F.lit(None).cast("date")})
+    rules = [(f"i{i}-{n}", 1 + i % 2, i, None, None, Decimal(n * 5), Decimal(n * 5 + 9) if n else None, "LIST", Decimal(50 + i - n), 10 - n) for i in range(0, 30, 2) for n in range(3)]
+    rules += [(f"c{c}", 2, None, None, c, Decimal(0), None, "DISCOUNT_AMT", Decimal(7), 5) for c in range(0, 20, 3)]
+    rules += [(f"k{k}", 1, None, f"c{k}", None, Decimal(2), None, "DISCOUNT_PCT", Decimal("0.1"), 50) for k in range(2)]
+    rules = spark.createDataFrame(rules, "rule_id string, price_list_id int, item_id long, category_id string, customer_id long, min_qty decimal(18,4), max_qty decimal(18,4), "
+                                  "rule_type string, price_value decimal(20,6), priority int").withColumns(
+        {"valid_from": F.to_date(F.lit("1990-01-01")), "valid_to": F.lit(None).cast("date"), "is_active": F.lit("Y")})
+    orders = spark.createDataFrame([(o, rng.randrange(20), rng.choice(["DRAFT", "CONFIRMED", "CLOSED"]), Decimal(o)) for o in range(80)],
+                                   "so_id long, customer_id long, status string, total_amount decimal(20,4)")
+    lines = spark.createDataFrame([(f"l{n % 290}", rng.randrange(80), rng.randrange(31), Decimal(rng.randrange(1, 20)), Decimal(3), Decimal("0.5"), rng.choice(["OPEN", "CANCELLED"]))
+                                   for n in range(300)], "so_line_id string, so_id long, item_id long, qty_ordered decimal(18,4), unit_price decimal(20,6), discount_pct decimal(8,4), line_status string")
+    return orders, lines, items, customers, lists, rules
+
+
+def test_prices_by_steps_are_those_of_one_plan(spark, request):
+    data = _prices(spark)
+    orders, lines, *sides = data
+    asked = lines.join(orders, "so_id").select(F.col("so_line_id").alias("request_id"), "item_id", "customer_id", F.col("qty_ordered").alias("qty"))
+    rows = lambda *frames: [sorted(map(tuple, f.collect()), key=repr) for f in frames]
+    run = lambda: rows(pricing.price(asked, *sides, "2026-01-01"), *pricing.reprice_orders(*data, "2026-01-01"))
+    one = run()
+    request.getfixturevalue("shuffled_sides")
+    priced = pricing.price(asked, *sides, "2026-01-01")
+    assert plan(priced).partition("== Physical Plan ==")[2].count("SortMergeJoin") == 1, "one large side a step"
+    assert rows(priced) == one[:1]
+    assert run() == one
+    assert len({r[-1] for r in one[0]}) > 2
+
+
+def test_repriced_lines_are_joined_once_and_rejects_price_nothing(spark, shuffled_sides, monkeypatch):
+    data, calls = _prices(spark), []
+    monkeypatch.setattr(pricing, "price", lambda *a, f=pricing.price: calls.append(1) or f(*a))
+    out = pricing.reprice_orders(*data, "2026-01-01")
+    assert out[2].count() and not calls
+    assert "Join" not in plan(out[1]).partition("== Physical Plan ==")[2]
+    assert out[0].count() == 80 and len(calls) == 1
+    orders, lines, rejects = out
+    assert lines is out[1] and rejects is out[2] and len(calls) == 1

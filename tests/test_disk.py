@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from millrace.operators import inventory, pricing, procurement
 from millrace.operators.fold import ordered_fold
 from millrace.operators.ordered import row_numbers
 from millrace.session import materialize
+from millrace.streaming.ledger import _BucketAverage
 
 BALANCE = "item_id long, warehouse_id int, qty_on_hand decimal(18,4), qty_allocated decimal(18,4), avg_cost decimal(20,6), last_txn_date date, version int"
 RECEIPT = "code string, item_id long, warehouse_id int, qty decimal(18,4), unit_cost decimal(20,6), lot_no string"
@@ -210,3 +212,45 @@ def test_repriced_lines_are_joined_once_and_rejects_price_nothing(spark, shuffle
     assert out[0].count() == 80 and len(calls) == 1
     orders, lines, rejects = out
     assert lines is out[1] and rejects is out[2] and len(calls) == 1
+
+
+class _State:
+    """A list or value state that counts its elements."""
+
+    def __init__(self):
+        self.held = []
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[0] if self.single else iter(self.held)
+
+    def update(self, value):
+        self.held = [value]
+
+    def put(self, values):
+        self.held = list(values)
+
+    def appendList(self, values):
+        self.held += values
+
+    def clear(self):
+        self.held = []
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+def test_rows_that_wait_in_a_stream_are_few_state_elements():
+    bucket = _BucketAverage("string")
+    bucket.settled, bucket.buffer, bucket.handle = _State(), _State(), _State()
+    bucket.settled.single, bucket.buffer.single = True, False
+    at = lambda ms: type("Timers", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    rows = [(f"k{i % 3}", 1000 * (i % 700 + 1), f"s{i:05d}", 10_000 * (i % 5 - 1), 10_000 * max(i % 5 - 1, 0), 1_000_000 * (i % 7), int(i % 5 > 1)) for i in range(25_000)]
+    list(bucket.handleInputRows((1,), iter([pd.DataFrame(rows, columns=bucket.ROW)]), at(0)))
+    assert len(bucket.buffer.held) == 3 and sorted(bucket._waiting()) == sorted(rows)
+    list(bucket.handleExpiredTimer((1,), at(400), None))
+    assert len(bucket.buffer.held) == 2 and sorted(bucket._waiting()) == sorted(r for r in rows if r[1] > 400_000)
+    want = {k: bucket._folded((0, 0, 0), [r[1:] for r in rows if r[0] == k and r[1] <= 400_000]) for k in ("k0", "k1", "k2")}
+    assert bucket._known().keys() == want.keys() and {k: tuple(v) for k, v in bucket._known().items()} == want
